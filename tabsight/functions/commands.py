@@ -8,10 +8,10 @@ discriminator; branches that do not apply are null and are merged with
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.schemas import ACTION, POS
+from ..sources.schemas import ACTION
 from .jscompat import LINE_START, NOT_WS, WS, js_trim, literal_replace, nonempty, try_int
 
 # The command grammar understood by the parser (JavaScript
@@ -36,19 +36,6 @@ SHELL_QUOTE = "'\"'\"'"
 _ = NOT_WS  # re-exported for callers building related patterns
 
 
-def _extract(c: Column, pattern: str, group: int) -> Column:
-    """Group of the first match, or null when there is no match."""
-    return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, group))
-
-
-def extract_command(raw: Column) -> Column:
-    """Body of the first triple-backtick fence (optional ``bash`` tag); if there
-    is none, or the body is empty, the whole trimmed text; empty -> null."""
-    t = js_trim(raw)
-    body = _extract(t, FENCE, 1)
-    return F.when(F.length(raw) > 0, F.coalesce(nonempty(body), nonempty(t)))
-
-
 def strip_think(cmd: Column) -> Column:
     """Remove every ``<think>...</think>`` block, trim; empty -> null."""
     return nonempty(js_trim(F.regexp_replace(cmd, THINK, "")))
@@ -56,7 +43,7 @@ def strip_think(cmd: Column) -> Column:
 
 def sanitize_command(cmd: Column) -> Column:
     """Clean a terminal command for display (order matters)."""
-    c = F.regexp_replace(cmd, STRAY_FLAG, "")
+    c = F.when(cmd.contains("-"), F.regexp_replace(cmd, STRAY_FLAG, "")).otherwise(cmd)
     c = literal_replace(c, SHELL_QUOTE, "'")
     c = literal_replace(c, "\\\\", "\\")
     c = literal_replace(c, "\\n", "\n")
@@ -75,7 +62,8 @@ def unescape_payload(p: Column) -> Column:
 
 def first_command(cmd: Column) -> Column:
     """Only the part before the first ``&&`` or ``||``, trimmed."""
-    return js_trim(F.get(F.split(cmd, COMMAND_SPLIT, -1), 0))
+    head = F.when(cmd.contains("&&") | cmd.contains("||"), F.get(F.split(cmd, COMMAND_SPLIT, -1), 0)).otherwise(cmd)
+    return js_trim(head)
 
 
 def pos(line: Column, ch: Column) -> Column:
@@ -115,92 +103,186 @@ def _end_position(end1: Column, line_count: Column, last_line_len: Column) -> Co
     return pos(F.when(past, line_count - 1).otherwise(end_line), F.when(past, last_line_len).otherwise(F.lit(0)))
 
 
-def parse_edit(cmd: Column, active_path: Column, line_count: Column, last_line_len: Column) -> Column:
-    """``sed -i`` edit of the active document -> editDelete / editReplace /
-    editInsert; anything else -> null."""
-    main = first_command(cmd)
-    script = _extract(main, SED, 1)
-    target = _extract(main, SED, 2)
-    on_doc = (F.length(main) > 0) & (target == active_path)
-
-    d_s, d_e = try_int(_extract(script, SED_DELETE, 1)), try_int(_extract(script, SED_DELETE, 2))
-    delete = F.when(
-        d_s.isNotNull() & d_e.isNotNull(),
-        make_action(
-            "editDelete",
-            range_=rng(pos(F.greatest(F.lit(0), d_s - 1), F.lit(0)), _end_position(d_e, line_count, last_line_len)),
-        ),
+def _with_text(payload: Column) -> Column:
+    return F.when(payload.endswith(F.lit("\n")), payload).otherwise(F.concat(payload, F.lit("\n")))
+
+
+# Parsing runs as a short chain of projections. Each intermediate (trimmed
+# text, command, first command, sed script, ...) is its own column, so every
+# regex runs once per row: nesting the column functions instead would repeat
+# the whole chain inside each branch. Catalyst keeps the projections apart
+# because the intermediates are referenced more than once.
+_P = "__p_"
+
+
+def with_command(df: DataFrame, raw: str = "raw", out: str = "command", extracted: str | None = None) -> DataFrame:
+    """Add ``out`` = the normalised command (fence body or whole text, think
+    blocks removed, trimmed; null when nothing is left). ``extracted`` also
+    keeps the command as taken from the text, before think removal."""
+    t = F.col(f"{_P}t")
+    return (
+        df.withColumn(f"{_P}t", js_trim(F.col(raw)))
+        .withColumn(
+            f"{_P}cmd0",
+            F.when(
+                F.length(F.col(raw)) > 0,
+                F.coalesce(nonempty(F.when(t.rlike(FENCE), F.regexp_extract(t, FENCE, 1))), nonempty(t)),
+            ),
+        )
+        .withColumn(out, strip_think(F.col(f"{_P}cmd0")))
+        .withColumnRenamed(f"{_P}cmd0", extracted or f"{_P}cmd0")
+        .drop(f"{_P}t", f"{_P}cmd0")
     )
 
-    r_s, r_e = try_int(_extract(script, SED_REPLACE, 1)), try_int(_extract(script, SED_REPLACE, 2))
-    r_payload = unescape_payload(_extract(script, SED_REPLACE, 3))
-    replace = F.when(
-        r_s.isNotNull() & r_e.isNotNull(),
-        make_action(
-            "editReplace",
-            range_=rng(pos(F.greatest(F.lit(0), r_s - 1), F.lit(0)), _end_position(r_e, line_count, last_line_len)),
-            text=F.when(r_payload.endswith(F.lit("\n")), r_payload).otherwise(F.concat(r_payload, F.lit("\n"))),
-        ),
-    )
 
-    i_n = try_int(_extract(script, SED_INSERT, 1))
-    i_payload = unescape_payload(_extract(script, SED_INSERT, 2))
-    insert = F.when(
-        i_n.isNotNull(),
-        make_action(
-            "editInsert",
-            position=pos(F.greatest(F.lit(0), i_n - 1), F.lit(0)),
-            text=F.when(i_payload.endswith(F.lit("\n")), i_payload).otherwise(F.concat(i_payload, F.lit("\n"))),
-        ),
+def with_sed_form(df: DataFrame, cmd: str = "command", active_path: str = "active_path") -> DataFrame:
+    """Add the sed pieces of ``cmd``: ``__p_script`` (only when the target is
+    the active document), ``__p_main`` and ``sed_form``."""
+    main = F.col(f"{_P}main")
+    matched = F.col(f"{_P}sed_ok")
+    script = F.col(f"{_P}script")
+    return (
+        df.withColumn(f"{_P}main", first_command(F.col(cmd)))
+        .withColumn(
+            f"{_P}sed_ok",
+            F.col(active_path).isNotNull() & main.contains("sed") & main.contains("'") & main.rlike(SED),
+        )
+        .withColumn(
+            f"{_P}script",
+            F.when(matched & (F.regexp_extract(main, SED, 2) == F.col(active_path)), F.regexp_extract(main, SED, 1)),
+        )
+        .withColumn(
+            "sed_form",
+            F.when(script.rlike(SED_DELETE), F.lit("delete"))
+            .when(script.rlike(SED_REPLACE), F.lit("replace"))
+            .when(script.rlike(SED_INSERT), F.lit("insert"))
+            .when(script.rlike(SED_APPEND), F.lit("append")),
+        )
     )
 
-    a_payload = unescape_payload(_extract(script, SED_APPEND, 1))
-    a_base = F.when(a_payload.endswith(F.lit("\n")), a_payload).otherwise(F.concat(a_payload, F.lit("\n")))
-    append = F.when(
-        a_payload.isNotNull(),
-        make_action(
-            "editInsert",
-            position=pos(line_count, F.lit(0)),
-            text=F.when(line_count > 0, F.concat(F.lit("\n"), a_base)).otherwise(a_base),
-        ),
+
+def with_action(
+    df: DataFrame,
+    raw: str = "raw",
+    active_path: str = "active_path",
+    line_count: str = "line_count",
+    last_line_len: str = "last_line_len",
+    out: str = "action",
+    keep_command: bool = False,
+) -> DataFrame:
+    """Add ``out``: the typed action parsed from the model output ``raw``.
+
+    Routing: sed edit of the active document, else a view command, else
+    ``terminalSendText`` of the sanitised command. Without an active document
+    (null ``active_path``) only the terminal branch applies. Null when the
+    output holds no command at all.
+    """
+    cmd_col = "command" if keep_command else f"{_P}command"
+    d = with_sed_form(with_command(df, raw, cmd_col), cmd_col, active_path)
+    script, form, main = F.col(f"{_P}script"), F.col("sed_form"), F.col(f"{_P}main")
+    lc, lll, path = F.col(line_count), F.col(last_line_len), F.col(active_path)
+    has_doc = path.isNotNull() & (F.length(main) > 0)
+
+    d = (
+        d.withColumn(
+            f"{_P}a1",
+            try_int(
+                F.when(form == "delete", F.regexp_extract(script, SED_DELETE, 1))
+                .when(form == "replace", F.regexp_extract(script, SED_REPLACE, 1))
+                .when(form == "insert", F.regexp_extract(script, SED_INSERT, 1))
+            ),
+        )
+        .withColumn(
+            f"{_P}a2",
+            try_int(
+                F.when(form == "delete", F.regexp_extract(script, SED_DELETE, 2)).when(
+                    form == "replace", F.regexp_extract(script, SED_REPLACE, 2)
+                )
+            ),
+        )
+        .withColumn(
+            f"{_P}payload",
+            unescape_payload(
+                F.when(form == "replace", F.regexp_extract(script, SED_REPLACE, 3))
+                .when(form == "insert", F.regexp_extract(script, SED_INSERT, 2))
+                .when(form == "append", F.regexp_extract(script, SED_APPEND, 1))
+            ),
+        )
+        .withColumn(f"{_P}is_cat", has_doc & main.startswith("cat"))
+        .withColumn(f"{_P}cat", F.when(F.col(f"{_P}is_cat") & main.rlike(CAT), F.regexp_extract(main, CAT, 1)))
+        .withColumn(f"{_P}slice_ok", F.col(f"{_P}is_cat") & main.contains("|") & main.rlike(CAT_SLICE))
+    )
+    a1, a2, payload = F.col(f"{_P}a1"), F.col(f"{_P}a2"), F.col(f"{_P}payload")
+    slice_ok = F.col(f"{_P}slice_ok")
+    d = (
+        d.withColumn(f"{_P}vfile", F.when(slice_ok, F.regexp_extract(main, CAT_SLICE, 1)))
+        .withColumn(f"{_P}vs", try_int(F.when(slice_ok, F.regexp_extract(main, CAT_SLICE, 2))).cast("long"))
+        .withColumn(f"{_P}ve", try_int(F.when(slice_ok, F.regexp_extract(main, CAT_SLICE, 3))).cast("long"))
+    )
+    cat, vfile, vs, ve = (F.col(f"{_P}{n}") for n in ("cat", "vfile", "vs", "ve"))
+
+    start = pos(F.greatest(F.lit(0), a1 - 1), F.lit(0))
+    edit = (
+        F.when(
+            (form == "delete") & a1.isNotNull() & a2.isNotNull(),
+            make_action("editDelete", range_=rng(start, _end_position(a2, lc, lll))),
+        )
+        .when(
+            (form == "replace") & a1.isNotNull() & a2.isNotNull(),
+            make_action("editReplace", range_=rng(start, _end_position(a2, lc, lll)), text=_with_text(payload)),
+        )
+        .when((form == "insert") & a1.isNotNull(), make_action("editInsert", position=start, text=_with_text(payload)))
+        .when(
+            form == "append",
+            make_action(
+                "editInsert",
+                position=pos(lc, F.lit(0)),
+                text=F.when(lc > 0, F.concat(F.lit("\n"), _with_text(payload))).otherwise(_with_text(payload)),
+            ),
+        )
     )
-    return F.when(on_doc, F.coalesce(delete, replace, insert, append))
-
-
-def parse_view(cmd: Column, active_path: Column, line_count: Column) -> Column:
-    """``cat -n file`` and ``cat -n file | sed -n 'S,Ep'`` -> openFile /
-    showTextDocument / setSelections; anything else -> null."""
-    main = first_command(cmd)
-    simple = _extract(main, CAT, 1)
-    simple_action = F.when(
-        simple.isNotNull(),
-        F.when(simple != active_path, make_action("openFile", file_path=simple)).otherwise(
-            make_action("showTextDocument")
+    center0 = F.greatest(F.lit(0), F.floor((vs + ve) / 2) - 1)
+    view = F.when(
+        cat.isNotNull(),
+        F.when(cat != path, make_action("openFile", file_path=cat)).otherwise(make_action("showTextDocument")),
+    ).when(
+        vfile.isNotNull() & vs.isNotNull() & ve.isNotNull(),
+        F.when(
+            vfile != path,
+            make_action("openFile", file_path=vfile, selections=F.array(rng(pos(center0, F.lit(0)), pos(center0, F.lit(0))))),
+        ).otherwise(
+            make_action(
+                "setSelections",
+                selections=F.array(
+                    rng(
+                        pos(F.least(center0, F.greatest(F.lit(0), lc - 1)), F.lit(0)),
+                        pos(F.least(center0, F.greatest(F.lit(0), lc - 1)), F.lit(0)),
+                    )
+                ),
+            )
         ),
     )
-    target = _extract(main, CAT_SLICE, 1)
-    s1 = try_int(_extract(main, CAT_SLICE, 2)).cast("long")
-    e1 = try_int(_extract(main, CAT_SLICE, 3)).cast("long")
-    center0 = F.greatest(F.lit(0), F.floor((s1 + e1) / 2) - 1)
-    other = make_action("openFile", file_path=target, selections=F.array(rng(pos(center0, F.lit(0)), pos(center0, F.lit(0)))))
-    line = F.least(center0, F.greatest(F.lit(0), line_count - 1))
-    same = make_action("setSelections", selections=F.array(rng(pos(line, F.lit(0)), pos(line, F.lit(0)))))
-    slice_action = F.when(
-        target.isNotNull() & s1.isNotNull() & e1.isNotNull(), F.when(target != active_path, other).otherwise(same)
+    cmd = F.col(cmd_col)
+    terminal = make_action("terminalSendText", text=sanitize_command(cmd))
+    # ``route``: which branch produced the action (cheap to filter on; a filter
+    # on the action struct itself would be inlined down the whole chain).
+    route = (
+        F.when(cmd.isNull(), F.lit(None))
+        .when(form.isNotNull() & (a1.isNotNull() | (form == "append")), F.lit("edit"))
+        .when(cat.isNotNull() | (vfile.isNotNull() & vs.isNotNull() & ve.isNotNull()), F.lit("view"))
+        .otherwise(F.lit("terminal"))
     )
-    return F.when(F.length(main) > 0, F.coalesce(simple_action, slice_action))
-
-
-def parse_action(raw: Column, active_path: Column, line_count: Column, last_line_len: Column) -> Column:
-    """Full routing: command extraction, think removal, then sed edit, else
-    view, else ``terminalSendText`` of the sanitised command. The sed and view
-    branches need an active document (``active_path`` not null)."""
-    normalized = strip_think(extract_command(raw))
-    has_doc = active_path.isNotNull()
-    edit = F.when(has_doc, parse_edit(normalized, active_path, line_count, last_line_len))
-    view = F.when(has_doc, parse_view(normalized, active_path, line_count))
-    terminal = make_action("terminalSendText", text=sanitize_command(normalized))
-    return F.when(normalized.isNotNull(), F.coalesce(edit, view, terminal))
+    keep = [c for c in d.columns if not c.startswith(_P) and c not in (out, "route", "sed_form")]
+    # The results come out of a one-row ``inline``: a filter on them (e.g.
+    # ``route = 'edit'``) then stays above the generator instead of being
+    # inlined down the whole parse chain, which would copy every regex into
+    # the predicate once per reference.
+    parsed = F.struct(
+        F.when(cmd.isNotNull(), F.coalesce(edit, view, terminal)).alias(out),
+        route.alias("route"),
+        form.alias("sed_form"),
+    )
+    return d.select(*keep, F.inline(F.array(parsed)))
 
 
 def action_columns(a: Column, prefix: str = "") -> list[Column]:
@@ -217,5 +299,3 @@ def action_columns(a: Column, prefix: str = "") -> list[Column]:
         a["filePath"].alias(f"{p}file_path"),
     ]
 
-
-_POS_TYPE = POS

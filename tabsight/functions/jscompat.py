@@ -16,6 +16,12 @@ JS_WS_CHARS = (
     r"\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 )
 WS = f"[{JS_WS_CHARS}]"  # JavaScript \s
+# The same set as a plain string of characters, for ``trim(str, chars)``.
+JS_WS_STRING = (
+    "\t\n\x0b\x0c\r \u00a0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 NOT_WS = f"[^{JS_WS_CHARS}]"  # JavaScript \S
 # JavaScript line terminators, for multiline ^.
 JS_LINE_TERMINATORS = r"\n\r\x{2028}\x{2029}"
@@ -29,8 +35,8 @@ def col(c: Column | str) -> Column:
 
 
 def js_trim(c: Column | str) -> Column:
-    """``String.prototype.trim``."""
-    return F.regexp_replace(col(c), rf"\A{WS}+|{WS}+\z", "")
+    """``String.prototype.trim`` (character-set trim, no regex)."""
+    return F.trim(col(c), F.lit(JS_WS_STRING))
 
 
 def js_collapse_ws(c: Column | str) -> Column:

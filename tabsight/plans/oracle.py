@@ -47,3 +47,178 @@ where total <= {TEST_BUDGET - SYS_TOK} or rn > ceil(n / 2.0)
 union all
 select distinct conv_id, cast(-1 as bigint), 'system', {SYS}, cast({SYS_TOK} as bigint) from conversations
 """
+
+
+# -- command parsing ---------------------------------------------------------
+# RE2 (DuckDB) patterns written for JavaScript semantics: W is the JavaScript
+# whitespace class, \z the end of input; (?m)^ in RE2 starts lines after \n only,
+# which is all the driver data contains.
+W_IN = r"\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+W = f"[{W_IN}]"
+
+
+def trim_js(x: str) -> str:
+    return rf"regexp_replace({x}, '\A{W}+|{W}+\z', '', 'g')"
+
+
+def unesc(x: str) -> str:
+    return (
+        f"replace(replace(replace(replace(replace({x}, '''\"''\"''', ''''), "
+        r"'\n', chr(10)), '\t', chr(9)), '\''', ''''), '\\', '\')"
+    )
+
+
+COMPLETIONS_SQL = """
+b as (
+ select l_orderkey, l_linenumber,
+   (l_orderkey * 7 + l_linenumber) % 10 as shape,
+   '/src/f' || cast(l_orderkey % 50 as varchar) || '.py' as active_path,
+   case when l_linenumber % 4 = 0 then '/src/other.py'
+        else '/src/f' || cast(l_orderkey % 50 as varchar) || '.py' end as target0,
+   cast(1 + l_suppkey % 40 as integer) as line_count,
+   cast(l_suppkey % 7 as integer) as last_line_len,
+   1 + l_orderkey % 45 as s0, 1 + l_orderkey % 45 + l_linenumber as e0,
+   'x = ' || cast(l_partkey as varchar) as pay
+ from lineitem),
+c0 as (
+ select *, case shape
+  when 0 then 'sed -i ' || chr(39) || cast(s0 as varchar) || ',' || cast(e0 as varchar) || 'd' || chr(39) || ' ' || target0
+  when 1 then 'sed -i ' || chr(39) || cast(s0 as varchar) || ',' || cast(e0 as varchar) || 'c' || chr(92) || chr(10) || pay || chr(39) || ' ' || target0
+  when 2 then 'sed -E -i ' || chr(39) || cast(s0 as varchar) || 'i' || chr(92) || chr(10) || pay || chr(92) || 'n' || chr(39) || ' ' || target0 || ' && cat -n ' || target0
+  when 3 then 'sed -i ' || chr(39) || '$a' || chr(92) || chr(10) || pay || chr(39) || ' ' || target0
+  when 4 then 'cat -n ' || target0
+  when 5 then 'cat -n ' || target0 || ' | sed -n ' || chr(39) || cast(s0 as varchar) || ',' || cast(e0 as varchar) || 'p' || chr(39)
+  when 6 then '-A ls ' || chr(92) || chr(92) || 'n ' || pay || chr(92) || 't'
+  when 7 then 'sed -i ' || chr(39) || cast(s0 as varchar) || ',' || cast(e0 as varchar) || 'c' || chr(92) || chr(10) || 'a && ' || pay || chr(39) || ' ' || target0
+  when 8 then '<think>' || pay || '</think> pytest -k ' || cast(l_orderkey as varchar)
+  else '' end as cmd0 from b),
+completions as (
+ select l_orderkey, l_linenumber, active_path, line_count, last_line_len, shape,
+  case when l_linenumber % 3 = 0 then cmd0
+       when l_linenumber % 3 = 1 then 'Plan.' || chr(10) || '```bash' || chr(10) || cmd0 || chr(10) || '```'
+       else '```' || chr(10) || cmd0 || chr(10) || '```' || chr(10) || 'done' end as raw
+ from c0)"""
+
+FENCE_RE = rf"(?is)```(?:bash)?{W}*(.*?)```"
+SED_RE = rf"(?s)sed{W}+(?:-[A-Za-z]+{W}+)*-i{W}+(?:-[A-Za-z]+{W}+)*''(.*?)''{W}+([^{W_IN}&|]+){W}*\z"
+DEL_RE = r"\A(\d+),(\d+)d\z"
+REP_RE = r"(?s)\A(\d+),(\d+)c\\\n(.*)\z"
+INS_RE = r"(?s)\A(\d+)i\\\n(.*)\z"
+APP_RE = r"(?s)\A\$a\\\n(.*)\z"
+CAT_RE = rf"\Acat{W}+-n{W}+([^{W_IN}|]+){W}*\z"
+SLICE_RE = rf"\Acat{W}+-n{W}+([^{W_IN}|]+){W}*\|{W}*sed{W}+-n{W}+''(\d+),(\d+)p''{W}*\z"
+
+
+def grp(x: str, pat: str, i: int) -> str:
+    return f"case when regexp_matches({x}, '{pat}') then regexp_extract({x}, '{pat}', {i}) end"
+
+
+def parse_chain(src: str) -> str:
+    """CTEs from a relation with (raw, active_path, line_count, last_line_len)
+    to one with the parsed action flattened into columns."""
+    fence = grp("t", FENCE_RE, 1)
+    return f"""
+p1 as (select *, {trim_js('raw')} as t from {src}),
+p2 as (select *, case when length(raw) > 0 then coalesce(nullif({fence}, ''), nullif(t, '')) end as command from p1),
+p3 as (select *, nullif({trim_js("regexp_replace(command, '(?is)<think>.*?</think>', '', 'g')")}, '') as cmd from p2),
+p4 as (select *, {trim_js(r"string_split_regex(cmd, '&&|\|\|')[1]")} as main from p3),
+p5 as (select *, case when active_path is not null and length(main) > 0
+                       and {grp('main', SED_RE, 2)} = active_path then {grp('main', SED_RE, 1)} end as script,
+              case when active_path is not null and length(main) > 0 then {grp('main', CAT_RE, 1)} end as cat_file,
+              case when active_path is not null and length(main) > 0 then {grp('main', SLICE_RE, 1)} end as slice_file,
+              try_cast({grp('main', SLICE_RE, 2)} as integer) as vs,
+              try_cast({grp('main', SLICE_RE, 3)} as integer) as ve
+       from p4),
+p6 as (select *,
+   case when regexp_matches(script, '{DEL_RE}') and try_cast(regexp_extract(script, '{DEL_RE}', 1) as integer) is not null
+             and try_cast(regexp_extract(script, '{DEL_RE}', 2) as integer) is not null then 'delete'
+        when regexp_matches(script, '{REP_RE}') and try_cast(regexp_extract(script, '{REP_RE}', 1) as integer) is not null
+             and try_cast(regexp_extract(script, '{REP_RE}', 2) as integer) is not null then 'replace'
+        when regexp_matches(script, '{INS_RE}') and try_cast(regexp_extract(script, '{INS_RE}', 1) as integer) is not null then 'insert'
+        when regexp_matches(script, '{APP_RE}') then 'append' end as form
+   from p5),
+p7 as (select *,
+   case form when 'delete' then try_cast(regexp_extract(script, '{DEL_RE}', 1) as bigint)
+             when 'replace' then try_cast(regexp_extract(script, '{REP_RE}', 1) as bigint)
+             when 'insert' then try_cast(regexp_extract(script, '{INS_RE}', 1) as bigint) end as a1,
+   case form when 'delete' then try_cast(regexp_extract(script, '{DEL_RE}', 2) as bigint)
+             when 'replace' then try_cast(regexp_extract(script, '{REP_RE}', 2) as bigint) end as a2,
+   case form when 'replace' then {unesc(f"regexp_extract(script, '{REP_RE}', 3)")}
+             when 'insert' then {unesc(f"regexp_extract(script, '{INS_RE}', 2)")}
+             when 'append' then {unesc(f"regexp_extract(script, '{APP_RE}', 1)")} end as payload,
+   greatest(0, floor((cast(vs as bigint) + cast(ve as bigint)) / 2) - 1) as center0
+   from p6),
+p8 as (select *,
+   case when a2 is null then null
+        when greatest(0, a2 - 1) + 1 >= line_count then line_count - 1 else greatest(0, a2 - 1) + 1 end as el,
+   case when a2 is null then null
+        when greatest(0, a2 - 1) + 1 >= line_count then last_line_len else 0 end as ec,
+   case when payload is null then null when suffix(payload, chr(10)) then payload else payload || chr(10) end as ptext
+   from p7),
+parsed as (select *,
+   case when cmd is null then null
+        when form = 'delete' then 'editDelete'
+        when form = 'replace' then 'editReplace'
+        when form in ('insert', 'append') then 'editInsert'
+        when cat_file is not null then case when cat_file <> active_path then 'openFile' else 'showTextDocument' end
+        when slice_file is not null and vs is not null and ve is not null then
+             case when slice_file <> active_path then 'openFile' else 'setSelections' end
+        else 'terminalSendText' end as kind,
+   cast(case when cmd is null then null
+        when form in ('delete', 'replace', 'insert') then greatest(0, a1 - 1)
+        when form = 'append' then line_count
+        when cat_file is not null then null
+        when slice_file is not null and vs is not null and ve is not null then
+             case when slice_file <> active_path then center0 else least(center0, greatest(0, line_count - 1)) end
+        end as bigint) as line,
+   cast(case when cmd is null then null
+        when form is not null then 0
+        when cat_file is not null then null
+        when slice_file is not null and vs is not null and ve is not null then 0 end as bigint) as ch,
+   cast(case when form in ('delete', 'replace') then el end as bigint) as end_line,
+   cast(case when form in ('delete', 'replace') then ec end as bigint) as end_ch,
+   case when cmd is null then null
+        when form in ('replace', 'insert') then ptext
+        when form = 'append' then case when line_count > 0 then chr(10) || ptext else ptext end
+        when form = 'delete' then null
+        when cat_file is not null or (slice_file is not null and vs is not null and ve is not null) then null
+        else {trim_js(r"replace(replace(replace(replace(regexp_replace(cmd, '(?m)^-[A-Z]" + W + r"*', '', 'g'), '''" + '"' + "''" + '"' + r"''', ''''), '\\', '\'), '\n', chr(10)), '\t', chr(9))")}
+        end as text,
+   case when cmd is null or form is not null then null
+        when cat_file is not null then case when cat_file <> active_path then cat_file end
+        when slice_file is not null and vs is not null and ve is not null then
+             case when slice_file <> active_path then slice_file end end as file_path
+   from p8)"""
+
+
+ACTION_COLS = "kind, line, ch, end_line, end_ch, text, file_path"
+
+ORACLE["extract_command"] = f"with {COMPLETIONS_SQL}, {parse_chain('completions')} select l_orderkey, l_linenumber, command from parsed"
+ORACLE["strip_think"] = f"with {COMPLETIONS_SQL}, {parse_chain('completions')} select l_orderkey, l_linenumber, cmd as command from parsed"
+ORACLE["sanitize_command"] = f"""with {COMPLETIONS_SQL}, {parse_chain('completions')}
+select l_orderkey, l_linenumber,
+  {trim_js(r"replace(replace(replace(replace(regexp_replace(cmd, '(?m)^-[A-Z]" + W + r"*', '', 'g'), '''" + '"' + "''" + '"' + r"''', ''''), '\\', '\'), '\n', chr(10)), '\t', chr(9))")} as command
+from parsed"""
+for _form in ("delete", "replace", "insert", "append"):
+    ORACLE[f"parse_edit_{_form}"] = (
+        f"with {COMPLETIONS_SQL}, {parse_chain('completions')} "
+        f"select l_orderkey, l_linenumber, {ACTION_COLS} from parsed where form = '{_form}'"
+    )
+ORACLE["parse_view"] = (
+    f"with {COMPLETIONS_SQL}, {parse_chain('completions')} select l_orderkey, l_linenumber, {ACTION_COLS} "
+    "from parsed where form is null and kind in ('openFile', 'showTextDocument', 'setSelections')"
+)
+ORACLE["route_action"] = f"with {COMPLETIONS_SQL}, {parse_chain('completions')} select l_orderkey, l_linenumber, {ACTION_COLS} from parsed"
+ORACLE["action_mix"] = (
+    f"with {COMPLETIONS_SQL}, {parse_chain('completions')} "
+    "select coalesce(kind, 'none') as kind, count(*) as n from parsed group by 1"
+)
+ORACLE["action_doc_join"] = f"""with {COMPLETIONS_SQL},
+docs as (select '/src/f' || cast(doc_id as varchar) || '.py' as path,
+                cast(len(string_split_regex(text, '\\r\\n|\\n|\\r')) as integer) as line_count,
+                cast(length(string_split_regex(text, '\\r\\n|\\n|\\r')[-1]) as integer) as last_line_len
+         from documents),
+cj as (select c.l_orderkey, c.l_linenumber, c.active_path, c.raw, d.line_count, d.last_line_len
+       from completions c left join docs d on c.active_path = d.path),
+{parse_chain('cj')}
+select l_orderkey, l_linenumber, line_count, last_line_len, {ACTION_COLS} from parsed"""

@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import commands as cm
+from ..operators import actions as act
 from ..operators import messages as msg
 from ..sources import fixtures as fx
 
@@ -46,4 +48,76 @@ def q_conversation_tokens(spark, base):
 @query("truncate_context")
 def q_truncate_context(spark, base):
     return msg.truncate_context(fx.messages(spark, base), max_tokens=TEST_BUDGET)
+
+
+# -- command parsing over the completions fixture ---------------------------
+
+KEY = ["l_orderkey", "l_linenumber"]
+
+
+def _completions(spark, base):
+    return fx.completions(spark, base)
+
+
+@query("extract_command")
+def q_extract_command(spark, base):
+    c = cm.with_command(_completions(spark, base).select(*KEY, "raw"), out="cmd", extracted="extracted")
+    return c.select(*KEY, F.col("extracted").alias("command"))
+
+
+@query("strip_think")
+def q_strip_think(spark, base):
+    return cm.with_command(_completions(spark, base).select(*KEY, "raw")).select(*KEY, "command")
+
+
+@query("sanitize_command")
+def q_sanitize_command(spark, base):
+    c = cm.with_command(_completions(spark, base).select(*KEY, "raw"))
+    return c.select(*KEY, cm.sanitize_command(F.col("command")).alias("command"))
+
+
+def _parsed(spark, base):
+    return act.parse_completions(_completions(spark, base))
+
+
+def _edit_kind(form):
+    def run(spark, base):
+        parsed = _parsed(spark, base)
+        return parsed.where((F.col("sed_form") == form) & (F.col("route") == "edit")).select(
+            *KEY, *cm.action_columns(F.col("action"))
+        )
+
+    return run
+
+
+QUERIES["parse_edit_delete"] = _edit_kind("delete")
+QUERIES["parse_edit_replace"] = _edit_kind("replace")
+QUERIES["parse_edit_insert"] = _edit_kind("insert")
+QUERIES["parse_edit_append"] = _edit_kind("append")
+
+
+@query("parse_view")
+def q_parse_view(spark, base):
+    parsed = _parsed(spark, base).where(F.col("route") == "view")
+    return parsed.select(*KEY, *cm.action_columns(F.col("action")))
+
+
+@query("route_action")
+def q_route_action(spark, base):
+    return _parsed(spark, base).select(*KEY, *cm.action_columns(F.col("action")))
+
+
+@query("action_mix")
+def q_action_mix(spark, base):
+    return act.action_mix(_parsed(spark, base))
+
+
+@query("action_doc_join")
+def q_action_doc_join(spark, base):
+    c = _completions(spark, base).drop("line_count", "last_line_len")
+    joined = act.attach_documents(c, fx.documents(spark, base))
+    parsed = act.parse_completions(joined)
+    return parsed.select(*KEY, "line_count", "last_line_len", *cm.action_columns(F.col("action")))
+
+
 FLAGSHIP = "truncate_context"
