@@ -68,7 +68,7 @@ def unesc(x: str) -> str:
     )
 
 
-COMPLETIONS_SQL = """
+COMPLETIONS_SQL_T = """
 b as (
  select l_orderkey, l_linenumber,
    (l_orderkey * 7 + l_linenumber) % 10 as shape,
@@ -79,7 +79,7 @@ b as (
    cast(l_suppkey % 7 as integer) as last_line_len,
    1 + l_orderkey % 45 as s0, 1 + l_orderkey % 45 + l_linenumber as e0,
    'x = ' || cast(l_partkey as varchar) as pay
- from lineitem),
+ from {src}),
 c0 as (
  select *, case shape
   when 0 then 'sed -i ' || chr(39) || cast(s0 as varchar) || ',' || cast(e0 as varchar) || 'd' || chr(39) || ' ' || target0
@@ -98,6 +98,7 @@ completions as (
        when l_linenumber % 3 = 1 then 'Plan.' || chr(10) || '```bash' || chr(10) || cmd0 || chr(10) || '```'
        else '```' || chr(10) || cmd0 || chr(10) || '```' || chr(10) || 'done' end as raw
  from c0)"""
+COMPLETIONS_SQL = COMPLETIONS_SQL_T.replace("{src}", "lineitem")
 
 FENCE_RE = rf"(?is)```(?:bash)?{W}*(.*?)```"
 SED_RE = rf"(?s)sed{W}+(?:-[A-Za-z]+{W}+)*-i{W}+(?:-[A-Za-z]+{W}+)*''(.*?)''{W}+([^{W_IN}&|]+){W}*\z"
@@ -222,3 +223,72 @@ cj as (select c.l_orderkey, c.l_linenumber, c.active_path, c.raw, d.line_count,
        from completions c left join docs d on c.active_path = d.path),
 {parse_chain('cj')}
 select l_orderkey, l_linenumber, line_count, last_line_len, {ACTION_COLS} from parsed"""
+
+
+# -- responses ------------------------------------------------------------
+RESPONSES_SQL = f"""
+first_li as (
+  select l_orderkey, l_linenumber, l_partkey, l_suppkey from (
+    select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as rn
+    from lineitem) where rn = 1),
+{COMPLETIONS_SQL_T.replace("{src}", "first_li")},
+toks as (
+  select l_orderkey as request_id,
+         list(struct_pack(logprob := (-25 * round(l_discount * 100)) / 100.0) order by l_linenumber) as lp
+  from lineitem group by l_orderkey),
+first_c as (select l_orderkey as request_id, raw, active_path, line_count, last_line_len
+            from completions),
+r0 as (
+  select o.o_orderkey as request_id, 'model-' || substr(o.o_orderpriority, 1, 1) as model_name,
+         coalesce(t.lp, []::struct(logprob double)[]) as lp, f.raw, f.active_path, f.line_count, f.last_line_len
+  from orders o left join toks t on t.request_id = o.o_orderkey left join first_c f on f.request_id = o.o_orderkey),
+responses as (
+  select request_id, model_name, active_path, line_count, last_line_len,
+    case request_id % 20
+      when 0 then json_object('choices', json_array(json_object('text', raw, 'logprobs', json_object('content', lp))))::varchar
+      when 1 then json_object('choices', json_array(json_object('message', json_object('content', 5), 'logprobs', json_object('content', lp))))::varchar
+      when 2 then json_object('choices', json_array(json_object('message', json_object('content', '  '), 'logprobs', json_object('content', lp))))::varchar
+      when 3 then json_object('choices', json_array(json_object('message', json_object('content', raw))))::varchar
+      when 4 then '{{"id":' || cast(request_id as varchar) || '}}'
+      when 5 then 'not json ' || cast(request_id as varchar)
+      else json_object('choices', json_array(json_object('message', json_object('content', raw), 'logprobs', json_object('content', lp))))::varchar
+    end as body
+  from r0),
+scored0 as (
+  select *, json_valid(body) as valid from responses),
+scored1 as (
+  select *,
+    case when valid and json_type(body, '$.choices[0].logprobs.content') = 'ARRAY'
+         then list_transform(json_extract(body, '$.choices[0].logprobs.content[*].logprob'), lambda x: cast(x as double)) end as lps,
+    case when valid and json_type(body, '$.choices[0].message.content') = 'VARCHAR' then json_extract_string(body, '$.choices[0].message.content')
+         when valid and json_type(body, '$.choices[0].text') = 'VARCHAR' then json_extract_string(body, '$.choices[0].text') end as text
+  from scored0),
+scored as (
+  select *, cast(len(lps) as bigint) as n_tokens,
+    case when lps is null then null when len(lps) = 0 then 'nan'::double
+         else list_reduce(list_prepend(0.0::double, lps), lambda a, x: a + x) / len(lps) end as avg_lp
+  from scored1),
+pre as (
+  select *, case when lps is null then 'bad_response'
+                 when not isnan(avg_lp) and avg_lp < -1.0 then 'low_confidence'
+                 when text is null or length({trim_js('text')}) = 0 then 'empty_content' end as pre_status
+  from scored),
+resp_in as (select request_id, model_name, pre_status, active_path, line_count, last_line_len,
+                   case when pre_status is null then text end as raw from pre)"""
+
+AVG_OUT = "case when not isnan(avg_lp) then round(avg_lp, 6) end as avg_logprob"
+
+ORACLE["response_text"] = f"with {RESPONSES_SQL} select request_id, text from scored"
+ORACLE["avg_logprob"] = f"with {RESPONSES_SQL} select request_id, n_tokens, {AVG_OUT} from scored"
+ORACLE["response_logprob"] = """
+select l_orderkey as request_id, count(*) as n_tokens,
+       round(avg(-25 * round(l_discount * 100)) / 100, 6) as avg_logprob
+from lineitem group by l_orderkey"""
+ORACLE["confidence_gate"] = (
+    f"with {RESPONSES_SQL} select request_id, {AVG_OUT} from scored "
+    "where avg_lp is not null and (isnan(avg_lp) or avg_lp >= -1.0)"
+)
+ORACLE["parse_status"] = f"""with {RESPONSES_SQL}, {parse_chain('resp_in')}
+select request_id, model_name,
+       coalesce(pre_status, case when kind is null then 'no_action' else 'ok' end) as parse_status, kind
+from parsed"""

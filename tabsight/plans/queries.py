@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import commands as cm
 from ..operators import actions as act
 from ..operators import messages as msg
+from ..operators import responses as rsp
 from ..sources import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,4 +121,43 @@ def q_action_doc_join(spark, base):
     return parsed.select(*KEY, "line_count", "last_line_len", *cm.action_columns(F.col("action")))
 
 
+
+# -- responses ------------------------------------------------------------
+
+
+def _avg_out(c):
+    """Rounded mean for comparison; NaN (empty token list) shown as null."""
+    return F.when(~F.isnan(c), F.round(c, 6)).alias("avg_logprob")
+
+
+@query("response_text")
+def q_response_text(spark, base):
+    return rsp.with_scores(fx.responses(spark, base)).select("request_id", "text")
+
+
+@query("avg_logprob")
+def q_avg_logprob(spark, base):
+    sc = rsp.with_scores(fx.responses(spark, base))
+    return sc.select("request_id", "n_tokens", _avg_out(F.col("avg_logprob")))
+
+
+@query("response_logprob")
+def q_response_logprob(spark, base):
+    t = fx.token_logprobs(spark, base)
+    out = rsp.avg_logprob_tokens(t, "request_id", "logprob_centi")
+    return out.select("request_id", "n_tokens", F.round(F.col("avg_logprob") / 100, 6).alias("avg_logprob"))
+
+
+@query("confidence_gate")
+def q_confidence_gate(spark, base):
+    sc = rsp.with_scores(fx.responses(spark, base))
+    return rsp.confidence_gate(sc).select("request_id", _avg_out(F.col("avg_logprob")))
+
+
+@query("parse_status")
+def q_parse_status(spark, base):
+    p = rsp.parse_responses(fx.responses(spark, base))
+    return p.select("request_id", "model_name", "parse_status", F.col("action.kind").alias("kind"))
+
+
 FLAGSHIP = "truncate_context"

@@ -27,9 +27,10 @@ def messages(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
-def completions(spark: SparkSession, base: str) -> DataFrame:
+def completions(spark: SparkSession, base: str, lineitems: DataFrame | None = None) -> DataFrame:
     """One model output per lineitem row, ten command shapes, three wrappings."""
-    li = table(spark, base, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    li = lineitems if lineitems is not None else table(spark, base, "lineitem")
+    li = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     ok, ln = F.col("l_orderkey"), F.col("l_linenumber")
     shape = ((ok * 7 + ln) % 10).cast("long")
     active = F.concat(F.lit("/src/f"), s(ok % 50), F.lit(".py"))
@@ -115,3 +116,64 @@ def decisions(spark: SparkSession, base: str) -> DataFrame:
         "value",
         "props",
     )
+
+
+def token_logprobs(spark: SparkSession, base: str) -> DataFrame:
+    """Per-token log-probabilities: one token per lineitem, in line order, in
+    integer hundredths (-25 x round(discount x 100)), i.e. multiples of
+    -0.25: exact in binary, so any summation order gives the same double until the last step."""
+    li = table(spark, base, "lineitem")
+    return li.select(
+        F.col("l_orderkey").alias("request_id"),
+        F.col("l_linenumber").cast("long").alias("idx"),
+        (F.lit(-25) * F.round(F.col("l_discount") * 100)).cast("long").alias("logprob_centi"),
+    )
+
+
+# Response shapes by request_id % 20 (others: content = the completion text).
+RESPONSE_SHAPES = {0: "text_field", 1: "number_content", 2: "blank_content", 3: "no_logprobs", 4: "no_choices", 5: "not_json"}
+
+
+def responses(spark: SparkSession, base: str) -> DataFrame:
+    """One model response per order: ``(request_id, model_name, body,
+    active_path, line_count, last_line_len)``. The body is JSON written with
+    ``to_json``; its text is the order's first completion, its tokens the
+    order's lineitems (none for an order without lines: mean NaN)."""
+    toks = token_logprobs(spark, base).groupBy("request_id").agg(
+        F.array_sort(F.collect_list(F.struct("idx", "logprob_centi"))).alias("toks")
+    )
+    # The response text is the completion of the order's first line (lowest
+    # line number, then part and supplier: equal keys give equal text).
+    first_line = (
+        table(spark, base, "lineitem")
+        .groupBy("l_orderkey")
+        .agg(F.min(F.struct("l_linenumber", "l_partkey", "l_suppkey")).alias("m"))
+        .select("l_orderkey", "m.l_linenumber", "m.l_partkey", "m.l_suppkey")
+    )
+    first = completions(spark, base, first_line).select(
+        F.col("l_orderkey").alias("request_id"), "raw", "active_path", "line_count", "last_line_len"
+    )
+    orders = table(spark, base, "orders").select(
+        F.col("o_orderkey").alias("request_id"),
+        F.concat(F.lit("model-"), F.substring("o_orderpriority", 1, 1)).alias("model_name"),
+    )
+    d = orders.join(toks, "request_id", "left").join(first, "request_id", "left")
+    lp = F.transform(
+        F.coalesce(F.col("toks"), F.array().cast("array<struct<idx:long,logprob_centi:long>>")),
+        lambda t: F.struct((t["logprob_centi"] / F.lit(100.0)).alias("logprob")),
+    )
+    logprobs = F.struct(lp.alias("content"))
+    k = F.col("request_id") % 20
+    regular = F.to_json(
+        F.struct(F.array(F.struct(F.struct(F.col("raw").alias("content")).alias("message"), logprobs.alias("logprobs"))).alias("choices"))
+    )
+    body = (
+        F.when(k == 0, F.to_json(F.struct(F.array(F.struct(F.col("raw").alias("text"), logprobs.alias("logprobs"))).alias("choices"))))
+        .when(k == 1, F.concat(F.lit('{"choices":[{"message":{"content":5},"logprobs":'), F.to_json(logprobs), F.lit("}]}")))
+        .when(k == 2, F.concat(F.lit('{"choices":[{"message":{"content":"  "},"logprobs":'), F.to_json(logprobs), F.lit("}]}")))
+        .when(k == 3, F.to_json(F.struct(F.array(F.struct(F.struct(F.col("raw").alias("content")).alias("message"))).alias("choices"))))
+        .when(k == 4, F.concat(F.lit('{"id":'), s(F.col("request_id")), F.lit("}")))
+        .when(k == 5, F.concat(F.lit("not json "), s(F.col("request_id"))))
+        .otherwise(regular)
+    )
+    return d.select("request_id", "model_name", body.alias("body"), "active_path", "line_count", "last_line_len")
