@@ -106,3 +106,34 @@ def block_slice(n: Column | str, block: int) -> Column:
     """Slice of a non-negative integer order key (turn number)."""
     c = F.col(n) if isinstance(n, str) else n
     return F.floor(c / F.lit(block)).cast("long")
+
+
+def with_next(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    slice_expr: Column,
+    value: str,
+    out: str,
+) -> DataFrame:
+    """``lead(value)`` per key in ``order``, computed in slices.
+
+    Inside a slice the local ``lead`` answers; the last row of a slice takes
+    the first value of the key's next non-empty slice, found on the small
+    per-slice table (one row per key and slice) and joined back on
+    ``(key, slice)``.
+    """
+    keys = list(keys)
+    order_cols = [F.col(c) for c in order]
+    src = df.withColumn(_SLICE, slice_expr)
+    w_local = Window.partitionBy(*keys, _SLICE).orderBy(*order_cols)
+    local = src.withColumn("__lead", F.lead(value).over(w_local)).withColumn(
+        "__is_last", F.lead(F.lit(1)).over(w_local).isNull()
+    )
+    firsts = src.groupBy(*keys, _SLICE).agg(F.min_by(F.col(value), F.struct(*order_cols)).alias("__first"))
+    w_slices = Window.partitionBy(*keys).orderBy(_SLICE)
+    carry = firsts.select(*keys, _SLICE, F.lead("__first").over(w_slices).alias("__next_first"))
+    out_df = local.join(carry, [*keys, _SLICE], "inner").withColumn(
+        out, F.when(F.col("__is_last"), F.col("__next_first")).otherwise(F.col("__lead"))
+    )
+    return out_df.drop(_SLICE, "__lead", "__is_last", "__next_first")

@@ -292,3 +292,69 @@ ORACLE["parse_status"] = f"""with {RESPONSES_SQL}, {parse_chain('resp_in')}
 select request_id, model_name,
        coalesce(pre_status, case when kind is null then 'no_action' else 'ok' end) as parse_status, kind
 from parsed"""
+
+
+# -- session state ----------------------------------------------------------
+SESSION_SQL = """
+sev as (
+  select user_id, (epoch_us(ts) // 1000) as ts, event_id as seq, value,
+    case event_type when 'view' then 'shown' when 'purchase' then 'accept' when 'error' then 'reject'
+         when 'click' then 'tab'
+         when 'signup' then case when event_id % 2 = 0 then 'clear' else 'toggle' end end as kind,
+    case when event_type = 'click'
+         then '/src/f' || cast(cast(json_extract(props, '$.k') as bigint) % 20 as varchar) || '.py' end as file
+  from events),
+st0 as (
+  select *,
+    sum(case when kind = 'clear' then 1 else 0 end) over w as epoch,
+    sum(case when kind = 'toggle' then 1 else 0 end) over w % 2 = 0 as enabled
+  from sev window w as (partition by user_id order by ts, seq rows between unbounded preceding and current row)),
+st1 as (
+  select *, case when kind in ('reject', 'dismiss') then true
+                 when kind = 'toggle' and not enabled then true
+                 when kind in ('selection', 'tab', 'content') then false end as flag
+  from st0),
+st as (
+  select *, coalesce(last_value(flag ignore nulls) over (partition by user_id order by ts, seq
+                     rows between unbounded preceding and current row), false) as suppressed
+  from st1),
+docs_len as (select '/src/f' || cast(doc_id as varchar) || '.py' as file, cast(length(text) as bigint) as doc_chars
+             from documents)"""
+
+ORACLE["context_epoch"] = f"with {SESSION_SQL} select user_id, seq, kind, cast(epoch as bigint) as epoch from st"
+ORACLE["suppress_state"] = (
+    f"with {SESSION_SQL} select user_id, seq, kind, cast(epoch as bigint) as epoch, enabled, suppressed from st"
+)
+ORACLE["first_activation"] = f"""with {SESSION_SQL},
+t as (select *, row_number() over (partition by user_id, epoch, file order by ts, seq) = 1 as is_first
+      from st where kind = 'tab')
+select t.user_id, t.seq, t.file, cast(t.epoch as bigint) as epoch, t.is_first,
+       case when t.is_first then d.doc_chars end as n_chars
+from t left join docs_len d on d.file = t.file"""
+ORACLE["trigger_gate"] = f"""with {SESSION_SQL}
+select s.user_id, s.seq, s.enabled, s.suppressed,
+       s.enabled and not s.suppressed and coalesce(d.doc_chars, 0) > 0 as passes
+from st s left join docs_len d on d.file = s.file where s.kind = 'tab'"""
+ORACLE["latest_wins"] = f"""with {SESSION_SQL},
+r as (select user_id, seq, ts, ts + cast(round(value * 100000) as bigint) as response_ts from sev where kind = 'shown')
+select user_id, seq, ts, response_ts, next_request_ts,
+       next_request_ts is null or next_request_ts > response_ts as was_shown
+from (select *, lead(ts) over (partition by user_id order by ts, seq) as next_request_ts from r)"""
+ORACLE["outcome_resolve"] = """
+with d as (
+  select user_id, (epoch_us(ts) // 1000) as ts, event_id as seq,
+         case event_type when 'view' then 'shown' when 'purchase' then 'accept' when 'error' then 'reject' end as kind
+  from events where event_type in ('view', 'purchase', 'error')),
+n as (select *, sum(case when kind = 'shown' then 1 else 0 end)
+                  over (partition by user_id order by ts, seq rows between unbounded preceding and current row) as g
+      from d),
+shown as (select user_id, g, ts as shown_ts, seq as shown_seq,
+                 lead(ts) over (partition by user_id order by ts, seq) as next_shown_ts
+          from n where kind = 'shown'),
+firstd as (select user_id, g, arg_min(kind, (ts, seq)) as dkind, min(ts) as dts
+           from n where kind <> 'shown' and g > 0 group by user_id, g)
+select s.user_id, s.shown_seq, s.shown_ts,
+       case when f.dkind = 'accept' then 'accepted' when f.dkind = 'reject' then 'rejected' else 'ignored' end as outcome,
+       coalesce(f.dts, s.next_shown_ts) as outcome_ts
+from shown s left join firstd f on f.user_id = s.user_id and f.g = s.g
+where f.dkind is not null or s.next_shown_ts is not null"""

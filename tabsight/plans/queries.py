@@ -16,6 +16,7 @@ from ..functions import commands as cm
 from ..operators import actions as act
 from ..operators import messages as msg
 from ..operators import responses as rsp
+from ..operators import sessions as ses
 from ..sources import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,4 +161,57 @@ def q_parse_status(spark, base):
     return p.select("request_id", "model_name", "parse_status", F.col("action.kind").alias("kind"))
 
 
+
+# -- session state ----------------------------------------------------------
+
+
+def _state(spark, base):
+    return ses.session_state(fx.session_events(spark, base))
+
+
+@query("context_epoch")
+def q_context_epoch(spark, base):
+    return ses.context_epoch(fx.session_events(spark, base)).select("user_id", "seq", "kind", "epoch")
+
+
+@query("suppress_state")
+def q_suppress_state(spark, base):
+    return _state(spark, base).select("user_id", "seq", "kind", "epoch", "enabled", "suppressed")
+
+
+def _doc_chars(spark, base):
+    d = fx.documents(spark, base)
+    return d.select(F.col("path").alias("file"), F.length("text").cast("long").alias("doc_chars"))
+
+
+@query("first_activation")
+def q_first_activation(spark, base):
+    tabs = _state(spark, base).where(F.col("kind") == "tab")
+    fa = ses.first_activation(tabs).join(_doc_chars(spark, base), "file", "left")
+    return fa.select(
+        "user_id", "seq", "file", "epoch", "is_first",
+        F.when(F.col("is_first"), F.col("doc_chars")).alias("n_chars"),
+    )
+
+
+@query("trigger_gate")
+def q_trigger_gate(spark, base):
+    tabs = _state(spark, base).where(F.col("kind") == "tab").join(_doc_chars(spark, base), "file", "left")
+    g = ses.trigger_gate(
+        tabs.withColumn("has_editor", F.lit(True)).withColumn("focused", F.lit(True))
+    )
+    return g.select("user_id", "seq", "enabled", "suppressed", "passes")
+
+
+@query("latest_wins")
+def q_latest_wins(spark, base):
+    lw = ses.latest_wins(fx.requests(spark, base))
+    return lw.select("user_id", "seq", "ts", "response_ts", "next_request_ts", "was_shown")
+
+
+@query("outcome_resolve")
+def q_outcome_resolve(spark, base):
+    return ses.resolve_outcomes(fx.decisions(spark, base))
+
+
 FLAGSHIP = "truncate_context"

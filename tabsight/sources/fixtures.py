@@ -177,3 +177,39 @@ def responses(spark: SparkSession, base: str) -> DataFrame:
         .otherwise(regular)
     )
     return d.select("request_id", "model_name", body.alias("body"), "active_path", "line_count", "last_line_len")
+
+
+def session_events(spark: SparkSession, base: str) -> DataFrame:
+    """``events`` as editor session events ``(user_id, ts, seq, kind, file,
+    value)``: view -> shown, purchase -> accept, error -> reject, click -> tab
+    (file ``/src/f<k % 20>.py`` from ``props.k``), signup -> clear for even
+    event ids and toggle for odd ones."""
+    ev = table(spark, base, "events")
+    et, eid = F.col("event_type"), F.col("event_id")
+    kind = (
+        F.when(et == "view", "shown")
+        .when(et == "purchase", "accept")
+        .when(et == "error", "reject")
+        .when(et == "click", "tab")
+        .when(et == "signup", F.when(eid % 2 == 0, "clear").otherwise("toggle"))
+    )
+    k = F.get_json_object("props", "$.k").cast("long")
+    file = F.when(et == "click", F.concat(F.lit("/src/f"), s(k % 20), F.lit(".py")))
+    return ev.select(
+        "user_id", event_ms(F.col("ts")).alias("ts"), eid.alias("seq"), kind.alias("kind"), file.alias("file"), "value"
+    )
+
+
+# Response latency of the fixture: value x 100,000 ms.
+LATENCY_MS_PER_VALUE = 100_000
+
+
+def requests(spark: SparkSession, base: str) -> DataFrame:
+    """Model requests: every shown event, answered after ``value`` x 100 s."""
+    ev = session_events(spark, base).where(F.col("kind") == "shown")
+    return ev.select(
+        "user_id",
+        "ts",
+        "seq",
+        (F.col("ts") + F.round(F.col("value") * LATENCY_MS_PER_VALUE).cast("long")).alias("response_ts"),
+    )
