@@ -358,3 +358,85 @@ select s.user_id, s.shown_seq, s.shown_ts,
        coalesce(f.dts, s.next_shown_ts) as outcome_ts
 from shown s left join firstd f on f.user_id = s.user_id and f.g = s.g
 where f.dkind is not null or s.next_shown_ts is not null"""
+
+
+# -- preference samples -------------------------------------------------------
+SAMPLES_SQL = f"""{RESPONSES_SQL}, {parse_chain('resp_in')},
+pstat as (
+  select p.request_id, p.model_name, p.raw, p.kind, p.line, p.ch, p.end_line, p.end_ch, p.text as atext, p.file_path,
+         s.avg_lp, coalesce(p.pre_status, case when p.kind is null then 'no_action' else 'ok' end) as status
+  from parsed p join scored s on s.request_id = p.request_id),
+ev as (select user_id, (epoch_us(ts) // 1000) as ts, event_id as seq, event_type from events),
+shown as (
+  select v.user_id, v.ts, v.seq, p.raw, p.kind, p.line, p.ch, p.end_line, p.end_ch, p.atext, p.file_path,
+         p.avg_lp, p.model_name
+  from ev v join pstat p on p.request_id = v.seq where v.event_type = 'view' and p.status = 'ok'),
+dec as (
+  select user_id, ts, seq, 'shown' as dk from shown
+  union all
+  select user_id, ts, seq, case event_type when 'purchase' then 'accept' else 'reject' end from ev
+  where event_type in ('purchase', 'error')),
+dn as (select *, sum(case when dk = 'shown' then 1 else 0 end)
+                   over (partition by user_id order by ts, seq rows between unbounded preceding and current row) as g
+       from dec),
+sg as (select user_id, g, ts as shown_ts, seq as shown_seq,
+              lead(ts) over (partition by user_id order by ts, seq) as next_shown_ts
+       from dn where dk = 'shown'),
+fd as (select user_id, g, arg_min(dk, (ts, seq)) as dkind, min(ts) as dts
+       from dn where dk <> 'shown' and g > 0 group by user_id, g),
+outc as (
+  select s.user_id, s.shown_seq, s.shown_ts,
+         case when f.dkind = 'accept' then 'accepted' when f.dkind = 'reject' then 'rejected' else 'ignored' end as outcome,
+         coalesce(f.dts, s.next_shown_ts) as outcome_ts
+  from sg s left join fd f on f.user_id = s.user_id and f.g = s.g
+  where f.dkind is not null or s.next_shown_ts is not null),
+tm as (
+  select conv_id, turn, case when role = 'user' then 'user' else 'assistant' end as role, text as content,
+         row_number() over (partition by conv_id order by turn) as rn, count(*) over (partition by conv_id) as n,
+         coalesce(sum({TOK}) over (partition by conv_id), 0) as total
+  from conversations),
+tk as (
+  select conv_id, turn, role, content from tm where total <= {120000 - SYS_TOK} or rn > ceil(n / 2.0)
+  union all
+  select distinct conv_id, -1, 'system', {SYS} from conversations),
+ctx as (select conv_id, list(struct_pack(role := role, content := content) order by turn) as context
+        from tk group by conv_id),
+samples as (
+  select o.user_id, o.shown_seq as sample_id, o.shown_ts as timestamp, o.outcome, o.outcome_ts as outcomeTimestamp,
+         s.model_name as modelName, s.raw, s.kind, s.line, s.ch, s.end_line, s.end_ch, s.atext, s.file_path,
+         s.avg_lp, coalesce(c.context, []) as context
+  from outc o join shown s on s.seq = o.shown_seq left join ctx c on c.conv_id = o.user_id)"""
+
+ORACLE["outcome_report"] = f"""with {SAMPLES_SQL}
+select modelName as model_name, kind,
+       case when not isnan(avg_lp) then floor(avg_lp / 0.25) * 0.25 end as lp_bucket,
+       count(*) as n,
+       sum(case when outcome = 'accepted' then 1 else 0 end) as n_accepted,
+       sum(case when outcome = 'rejected' then 1 else 0 end) as n_rejected,
+       sum(case when outcome = 'ignored' then 1 else 0 end) as n_ignored,
+       case when sum(case when outcome in ('accepted', 'rejected') then 1 else 0 end) > 0
+            then round(sum(case when outcome = 'accepted' then 1 else 0 end)
+                       / sum(case when outcome in ('accepted', 'rejected') then 1 else 0 end), 6) end as acceptance_rate,
+       round(sum(outcomeTimestamp - timestamp) / count(*), 3) as avg_latency_ms,
+       min(outcomeTimestamp - timestamp) as min_latency_ms,
+       max(outcomeTimestamp - timestamp) as max_latency_ms
+from samples group by 1, 2, 3"""
+
+ORACLE["preference_log_roundtrip"] = f"""with {SAMPLES_SQL}
+select timestamp, outcome, outcomeTimestamp, modelName, cast(len(context) as bigint) as n_context,
+       kind, line, ch, end_line, end_ch, atext as text, file_path,
+       case when not isnan(avg_lp) then round(avg_lp, 6) end as avg_logprob, raw
+from samples"""
+
+ORACLE["reward_labels"] = f"""with {SAMPLES_SQL},
+lab as (select *, case outcome when 'accepted' then 1 when 'rejected' then 0 end as label from samples),
+m as (select min(struct_pack(ts := timestamp, id := sample_id, label := label)) as m
+      from lab where label is not null group by context, raw)
+select m.id as sample_id, m.ts as timestamp, cast(m.label as integer) as label from m"""
+
+ORACLE["dpo_pairs"] = f"""with {SAMPLES_SQL},
+d as (select *, last_value(case when outcome = 'accepted' then sample_id end ignore nulls)
+                  over (partition by context order by timestamp, sample_id
+                        rows between unbounded preceding and current row) as chosen_id
+      from samples where outcome in ('accepted', 'rejected'))
+select chosen_id, sample_id as rejected_id from d where outcome = 'rejected' and chosen_id is not null"""

@@ -16,7 +16,9 @@ from ..functions import commands as cm
 from ..operators import actions as act
 from ..operators import messages as msg
 from ..operators import responses as rsp
+from ..operators import preferences as pref
 from ..operators import sessions as ses
+from ..session import scratch_path
 from ..sources import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -214,4 +216,47 @@ def q_outcome_resolve(spark, base):
     return ses.resolve_outcomes(fx.decisions(spark, base))
 
 
-FLAGSHIP = "truncate_context"
+
+# -- preference log and training tables ---------------------------------------
+
+
+def _samples(spark, base, include_pending=False):
+    parsed = rsp.parse_responses(fx.responses(spark, base))
+    shown = fx.shown_suggestions(spark, base, parsed)
+    contexts = pref.context_arrays(msg.truncate_context(fx.messages(spark, base)))
+    return pref.preference_samples(shown, fx.decisions(spark, base), contexts, include_pending)
+
+
+@query("outcome_report")
+def q_outcome_report(spark, base):
+    return pref.outcome_report(_samples(spark, base))
+
+
+@query("preference_log_roundtrip")
+def q_preference_log_roundtrip(spark, base):
+    import uuid
+
+    path = scratch_path(spark, f"preferences-{uuid.uuid4().hex}")
+    pref.write_preferences(_samples(spark, base), path)
+    back, _bad = pref.read_preferences(spark, path)
+    a = F.col("completion.parsedAction")
+    return back.select(
+        "timestamp", "outcome", "outcomeTimestamp", "modelName",
+        F.size("context").cast("long").alias("n_context"),
+        *cm.action_columns(a),
+        F.round(F.col("completion.avgLogprob"), 6).alias("avg_logprob"),
+        F.col("completion.rawModelOutput").alias("raw"),
+    )
+
+
+@query("reward_labels")
+def q_reward_labels(spark, base):
+    return pref.reward_labels(_samples(spark, base))
+
+
+@query("dpo_pairs")
+def q_dpo_pairs(spark, base):
+    return pref.dpo_pairs(_samples(spark, base))
+
+
+FLAGSHIP = "outcome_report"

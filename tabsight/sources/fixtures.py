@@ -213,3 +213,14 @@ def requests(spark: SparkSession, base: str) -> DataFrame:
         "seq",
         (F.col("ts") + F.round(F.col("value") * LATENCY_MS_PER_VALUE).cast("long")).alias("response_ts"),
     )
+
+
+def shown_suggestions(spark: SparkSession, base: str, parsed_responses: DataFrame) -> DataFrame:
+    """Shown rows: a ``view`` event whose request (``request_id = event_id``)
+    got an ``ok`` response. Other views created no sample. The user's
+    conversation (``conv_id = user_id``) is the sample's context."""
+    views = decisions(spark, base).where(F.col("kind") == "shown").select("user_id", "ts", "seq")
+    ok = parsed_responses.where(F.col("parse_status") == "ok").select(
+        F.col("request_id").alias("seq"), F.col("text").alias("raw"), "action", "avg_logprob", "model_name"
+    )
+    return views.join(ok, "seq").withColumn("conv_id", F.col("user_id"))
