@@ -32,18 +32,20 @@ CAT = rf"\Acat{WS}+-n{WS}+([^{WS[1:-1]}|]+){WS}*\z"
 CAT_SLICE = rf"\Acat{WS}+-n{WS}+([^{WS[1:-1]}|]+){WS}*\|{WS}*sed{WS}+-n{WS}+'(\d+),(\d+)p'{WS}*\z"
 STRAY_FLAG = rf"{LINE_START}-[A-Z]{WS}*"
 SHELL_QUOTE = "'\"'\"'"
+BT = "`" * 3
 
 _ = NOT_WS  # re-exported for callers building related patterns
 
 
 def strip_think(cmd: Column) -> Column:
     """Remove every ``<think>...</think>`` block, trim; empty -> null."""
-    return nonempty(js_trim(F.regexp_replace(cmd, THINK, "")))
+    has_think = F.instr(F.lower(cmd), "<think>") > 0
+    return nonempty(js_trim(F.when(has_think, F.regexp_replace(cmd, THINK, "")).otherwise(cmd)))
 
 
 def sanitize_command(cmd: Column) -> Column:
     """Clean a terminal command for display (order matters)."""
-    c = F.when(cmd.contains("-"), F.regexp_replace(cmd, STRAY_FLAG, "")).otherwise(cmd)
+    c = F.when(cmd.rlike(STRAY_FLAG), F.regexp_replace(cmd, STRAY_FLAG, "")).otherwise(cmd)
     c = literal_replace(c, SHELL_QUOTE, "'")
     c = literal_replace(c, "\\\\", "\\")
     c = literal_replace(c, "\\n", "\n")
@@ -126,7 +128,9 @@ def with_command(df: DataFrame, raw: str = "raw", out: str = "command", extracte
             f"{_P}cmd0",
             F.when(
                 F.length(F.col(raw)) > 0,
-                F.coalesce(nonempty(F.when(t.rlike(FENCE), F.regexp_extract(t, FENCE, 1))), nonempty(t)),
+                F.coalesce(
+                    nonempty(F.when(t.contains(BT) & t.rlike(FENCE), F.regexp_extract(t, FENCE, 1))), nonempty(t)
+                ),
             ),
         )
         .withColumn(out, strip_think(F.col(f"{_P}cmd0")))

@@ -36,7 +36,7 @@ def col(c: Column | str) -> Column:
 
 def js_trim(c: Column | str) -> Column:
     """``String.prototype.trim`` (character-set trim, no regex)."""
-    return F.trim(col(c), F.lit(JS_WS_STRING))
+    return F.btrim(col(c), F.lit(JS_WS_STRING))
 
 
 def js_collapse_ws(c: Column | str) -> Column:

@@ -440,3 +440,148 @@ d as (select *, last_value(case when outcome = 'accepted' then sample_id end ign
                         rows between unbounded preceding and current row) as chosen_id
       from samples where outcome in ('accepted', 'rejected'))
 select chosen_id, sample_id as rejected_id from d where outcome = 'rejected' and chosen_id is not null"""
+
+
+# -- positions, edits, viewports (documents hold \n line ends only) -----------
+NL = "chr(10)"
+
+
+def start_of(lines: str, line: str) -> str:
+    return f"(case when {line} <= 0 then 0 else length(array_to_string(list_slice({lines}, 1, {line}), {NL})) + 1 end)"
+
+
+def offset_sql(text: str, lines: str, line: str, ch: str) -> str:
+    return (
+        f"(case when {line} < 0 then 0 when {line} >= len({lines}) then length({text}) "
+        f"else {start_of(lines, line)} + least(greatest({ch}, 0), length({lines}[{line} + 1])) end)"
+    )
+
+
+ORACLE["offset_to_position"] = """
+with d as (select doc_id, text, cast(floor(length(text) / 2) as bigint) as o_mid, cast(length(text) as bigint) as o_end
+           from documents)
+select doc_id,
+  cast(length(left(text, o_mid)) - length(replace(left(text, o_mid), chr(10), '')) as bigint) as line_mid,
+  cast(o_mid - length(regexp_extract(left(text, o_mid), '(?s)^.*\\n', 0)) as bigint) as ch_mid,
+  cast(length(text) - length(replace(text, chr(10), '')) as bigint) as line_end,
+  cast(o_end - length(regexp_extract(text, '(?s)^.*\\n', 0)) as bigint) as ch_end
+from d""".replace("\\\\n", "\\n")
+
+ORACLE["position_to_offset"] = f"""
+with d as (select doc_id, text, string_split(text, {NL}) as ls from documents),
+e as (select *, cast(floor(len(ls) / 2) as integer) as l_mid, len(ls) + 5 as l_past from d)
+select doc_id,
+  cast({offset_sql('text', 'ls', 'l_mid', '3')} as bigint) as off_mid,
+  cast({offset_sql('text', 'ls', 'l_past', '0')} as bigint) as off_past,
+  cast({offset_sql('text', 'ls', '1', '1000000')} as bigint) as off_clamp
+from e"""
+
+
+def collapse_sql(x: str) -> str:
+    return trim_js(f"regexp_replace({x}, '{W}+', ' ', 'g')")
+
+
+def applied_sql(kind: str) -> str:
+    return f"""with {COMPLETIONS_SQL},
+docs as (select '/src/f' || cast(doc_id as varchar) || '.py' as path, text,
+                cast(len(string_split_regex(text, '\\r\\n|\\n|\\r')) as integer) as line_count,
+                cast(length(string_split_regex(text, '\\r\\n|\\n|\\r')[-1]) as integer) as last_line_len
+         from documents),
+cj as (select c.l_orderkey, c.l_linenumber, c.active_path, c.raw, d.line_count, d.last_line_len
+       from completions c join docs d on c.active_path = d.path),
+{parse_chain('cj')},
+ap as (select p.l_orderkey, p.l_linenumber, p.kind, p.line, p.ch, p.end_line, p.end_ch, p.text as ins, d.text as t,
+              string_split(d.text, {NL}) as ls
+       from parsed p join docs d on d.path = p.active_path where p.form is not null and p.kind = '{kind}'),
+offs as (select *, {offset_sql('t', 'ls', 'line', 'ch')} as o1, {offset_sql('t', 'ls', 'end_line', 'end_ch')} as o2 from ap),
+res as (select *, case when kind = 'editInsert' then left(t, o1) || ins || substr(t, o1 + 1)
+                       when kind = 'editDelete' then left(t, least(o1, o2)) || substr(t, greatest(o1, o2) + 1)
+                       else left(t, least(o1, o2)) || ins || substr(t, greatest(o1, o2) + 1) end as nt from offs)
+select l_orderkey, l_linenumber, cast(length(nt) as bigint) as new_len, md5(nt) as new_md5,
+       t <> nt and {collapse_sql('t')} <> {collapse_sql('nt')} as significant
+from res"""
+
+
+ORACLE["apply_insert"] = applied_sql("editInsert")
+ORACLE["apply_delete"] = applied_sql("editDelete")
+ORACLE["apply_replace"] = applied_sql("editReplace")
+
+ORACLE["viewport_lines"] = f"""
+with d as (select doc_id, string_split(text, {NL}) as ls from documents),
+e as (select *, greatest(cast(floor(len(ls) / 2) as integer) - 10, 0) as first from d)
+select doc_id, cast(first + i as bigint) as line_no, cast(length(ls[first + i + 1]) as bigint) as line_len,
+       md5(ls[first + i + 1]) as line_md5
+from e, range(0, 21) r(i) where first + i < len(ls)"""
+
+
+# -- display strings -----------------------------------------------------
+def trunc_sql(x: str, n: int) -> str:
+    one = f"regexp_replace({x}, '\\r?\\n', '↵', 'g')"
+    return f"(case when length({one}) <= {n} then {one} else left({one}, {n - 1}) || '…' end)"
+
+
+ORACLE["truncate_text"] = f"""
+select conv_id, turn, {trunc_sql('text', 60)} as t60,
+       {trunc_sql("replace(replace(text, chr(10), '↵'), chr(9), '→')", 80)} as d80
+from conversations"""
+
+BASE_SQL = "coalesce(nullif(string_split_regex(file_path, '[/\\\\]')[-1], ''), file_path)"
+
+ORACLE["path_basename"] = (
+    f"with {COMPLETIONS_SQL}, {parse_chain('completions')} "
+    f"select l_orderkey, l_linenumber, {BASE_SQL} as base_name from parsed where kind = 'openFile'"
+)
+
+
+def l1(x: str) -> str:
+    return f"cast({x} + 1 as varchar)"
+
+
+DISPLAY = {
+    "summary": f"""case kind when 'terminalSendText' then 'Run terminal command'
+      when 'openFile' then 'Open file: ' || {BASE_SQL}
+      when 'setSelections' then 'Move cursor to line ' || {l1('line')}
+      when 'editInsert' then 'Insert text' when 'editReplace' then 'Replace text'
+      when 'editDelete' then 'Delete lines ' || {l1('line')} || '–' || {l1('end_line')}
+      when 'terminalShow' then 'Show terminal' when 'showTextDocument' then 'Show document'
+      else 'Execute action' end""",
+    "detail": f"""case kind when 'terminalSendText' then text
+      when 'openFile' then case when line is not null then file_path || ':' || {l1('line')} else file_path end
+      when 'setSelections' then 'Line ' || {l1('line')} || ', Column ' || {l1('ch')}
+      when 'editInsert' then {trunc_sql('text', 200)} when 'editReplace' then {trunc_sql('text', 200)}
+      when 'editDelete' then 'Lines ' || {l1('line')} || ' to ' || {l1('end_line')}
+      else '' end""",
+    "label": f"""case kind when 'terminalSendText' then 'Run: ' || {trunc_sql('text', 60)}
+      when 'openFile' then case when line is not null then 'Open: ' || {BASE_SQL} || ':' || {l1('line')}
+                                else 'Open: ' || {BASE_SQL} end
+      when 'setSelections' then case when line <= 20 then 'Move cursor here' else 'Go to line ' || {l1('line')} end
+      end""",
+}
+DESC = {
+    "terminalSendText": ("Terminal Command", "text", "Press Tab to execute, Esc to dismiss"),
+    "openFile": (
+        "Open File",
+        f"'`' || file_path || '`' || case when line is not null then ' at line ' || {l1('line')} else '' end",
+        "Press Tab to open, Esc to dismiss",
+    ),
+    "setSelections": ("Move Cursor", f"'Go to line ' || {l1('line')}", "Press Tab to move, Esc to dismiss"),
+    "editInsert": ("Insert Text", "text", "Press Tab to insert, Esc to dismiss"),
+    "editReplace": ("Replace Text", "text", "Press Tab to replace, Esc to dismiss"),
+    "editDelete": ("Delete Text", f"'Lines ' || {l1('line')} || '–' || {l1('end_line')}", "Press Tab to delete, Esc to dismiss"),
+}
+
+
+def _desc(i: int) -> str:
+    whens = " ".join(
+        f"when '{k}' then " + (f"'{v[i]}'" if i != 1 else v[1]) for k, v in DESC.items()
+    )
+    return f"case kind {whens} end"
+
+
+_PARSED = f"with {COMPLETIONS_SQL}, {parse_chain('completions')} select l_orderkey, l_linenumber"
+ORACLE["action_summary"] = f"{_PARSED}, {DISPLAY['summary']} as summary from parsed"
+ORACLE["action_detail"] = f"{_PARSED}, {DISPLAY['detail']} as detail from parsed"
+ORACLE["action_label"] = f"{_PARSED}, {DISPLAY['label']} as label from parsed"
+ORACLE["action_description"] = (
+    f"{_PARSED}, {_desc(0)} as title, {_desc(1)} as body, {_desc(2)} as hint from parsed"
+)

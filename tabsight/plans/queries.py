@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import commands as cm
+from ..functions import display as dsp
 from ..operators import actions as act
+from ..operators import edits as ed
 from ..operators import messages as msg
 from ..operators import responses as rsp
 from ..operators import preferences as pref
@@ -259,4 +261,121 @@ def q_dpo_pairs(spark, base):
     return pref.dpo_pairs(_samples(spark, base))
 
 
+
+# -- positions, edit application, viewports ----------------------------------
+
+
+def _docs_with_len(spark, base):
+    return fx.documents(spark, base).withColumn("n", F.length("text").cast("long"))
+
+
+@query("offset_to_position")
+def q_offset_to_position(spark, base):
+    d = _docs_with_len(spark, base).withColumn("o_mid", F.floor(F.col("n") / 2)).withColumn("o_end", F.col("n"))
+    p = ed.offsets_to_positions(d, "text", {"p_mid": "o_mid", "p_end": "o_end"})
+    return p.select(
+        "doc_id",
+        F.col("p_mid.line").cast("long").alias("line_mid"), F.col("p_mid.ch").cast("long").alias("ch_mid"),
+        F.col("p_end.line").cast("long").alias("line_end"), F.col("p_end.ch").cast("long").alias("ch_end"),
+    )
+
+
+@query("position_to_offset")
+def q_position_to_offset(spark, base):
+    from ..functions.jscompat import line_count
+
+    d = (
+        fx.documents(spark, base)
+        .withColumn("lc", line_count(F.col("text")))
+        .withColumn("l_mid", F.floor(F.col("lc") / 2).cast("int"))
+        .withColumn("c3", F.lit(3))
+        .withColumn("l_past", F.col("lc") + 5)
+        .withColumn("c0", F.lit(0))
+        .withColumn("l1", F.lit(1))
+        .withColumn("c_big", F.lit(1_000_000))
+    )
+    o = ed.positions_to_offsets(
+        d, "text", {"off_mid": ("l_mid", "c3"), "off_past": ("l_past", "c0"), "off_clamp": ("l1", "c_big")}
+    )
+    return o.select("doc_id", "off_mid", "off_past", "off_clamp")
+
+
+def _applied(spark, base, kind):
+    c = _completions(spark, base).drop("line_count", "last_line_len")
+    docs = fx.documents(spark, base)
+    parsed = act.parse_completions(act.attach_documents(c, docs)).where(F.col("route") == "edit")
+    parsed = parsed.where(F.col("action.kind") == kind) if kind else parsed
+    withtext = parsed.join(docs.select(F.col("path").alias("active_path"), "text"), "active_path")
+    out = ed.apply_action(withtext)
+    return out.select(
+        *KEY,
+        F.length("new_text").cast("long").alias("new_len"),
+        F.md5(F.col("new_text")).alias("new_md5"),
+        dsp.significant_diff(F.col("text"), F.col("new_text")).alias("significant"),
+    )
+
+
+QUERIES["apply_insert"] = lambda spark, base: _applied(spark, base, "editInsert")
+QUERIES["apply_delete"] = lambda spark, base: _applied(spark, base, "editDelete")
+QUERIES["apply_replace"] = lambda spark, base: _applied(spark, base, "editReplace")
+
+
+@query("viewport_lines")
+def q_viewport_lines(spark, base):
+    from ..functions.jscompat import line_count
+
+    d = fx.documents(spark, base).withColumn("cursor_line", F.floor(line_count(F.col("text")) / 2).cast("int"))
+    v = ed.viewport_lines(d.select("doc_id", "text", "cursor_line"))
+    return v.select("doc_id", "line_no", F.length("line").cast("long").alias("line_len"), F.md5("line").alias("line_md5"))
+
+
+# -- display strings -----------------------------------------------------
+
+
+@query("truncate_text")
+def q_truncate_text(spark, base):
+    m = fx.messages(spark, base)
+    return m.select("conv_id", "turn", dsp.truncate_text(F.col("content"), 60).alias("t60"),
+                    dsp.display_text(F.col("content"), 80).alias("d80"))
+
+
+@query("path_basename")
+def q_path_basename(spark, base):
+    p = _parsed(spark, base).where(F.col("action.kind") == "openFile")
+    return p.select(*KEY, dsp.path_basename(F.col("action.filePath")).alias("base_name"))
+
+
+def _display_cols(a):
+    vis = F.get(a["selections"], 0)["start"]["line"] <= 20
+    desc = dsp.action_description(a)
+    return [
+        dsp.action_summary(a).alias("summary"),
+        dsp.action_detail(a).alias("detail"),
+        dsp.action_label(a, vis).alias("label"),
+        desc["title"].alias("title"),
+        desc["body"].alias("body"),
+        desc["hint"].alias("hint"),
+    ]
+
+
+@query("action_summary")
+def q_action_summary(spark, base):
+    return _parsed(spark, base).select(*KEY, *_display_cols(F.col("action"))[:1])
+
+
+@query("action_detail")
+def q_action_detail(spark, base):
+    return _parsed(spark, base).select(*KEY, *_display_cols(F.col("action"))[1:2])
+
+
+@query("action_label")
+def q_action_label(spark, base):
+    return _parsed(spark, base).select(*KEY, *_display_cols(F.col("action"))[2:3])
+
+
+@query("action_description")
+def q_action_description(spark, base):
+    return _parsed(spark, base).select(*KEY, *_display_cols(F.col("action"))[3:])
+
+
 FLAGSHIP = "outcome_report"
