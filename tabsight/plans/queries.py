@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import commands as cm
 from ..functions import display as dsp
 from ..operators import actions as act
+from ..operators import diffs as df_
 from ..operators import edits as ed
 from ..operators import messages as msg
 from ..operators import responses as rsp
@@ -378,4 +379,102 @@ def q_action_description(spark, base):
     return _parsed(spark, base).select(*KEY, *_display_cols(F.col("action"))[3:])
 
 
+
+# -- revision diffs (no SQL oracle: LCS is checked against a brute-force
+# implementation on fixed pairs in tests/test_diffs.py) ------------------------
+
+
+def _revisions(spark, base):
+    """Every parsed action on its document; for replacements, ``old_text`` is
+    the whole replaced range and ``new_text`` the replacement."""
+    c = _completions(spark, base).drop("line_count", "last_line_len")
+    docs = fx.documents(spark, base)
+    parsed = act.parse_completions(act.attach_documents(c, docs))
+    withtext = parsed.join(docs.select(F.col("path").alias("active_path"), "text"), "active_path")
+    a = F.col("action")
+    rep = a["kind"] == "editReplace"
+    o = ed.positions_to_offsets(
+        withtext.withColumn("__sl", a["range"]["start"]["line"]).withColumn("__sc", a["range"]["start"]["ch"])
+        .withColumn("__el", a["range"]["end"]["line"]).withColumn("__ec", a["range"]["end"]["ch"]),
+        "text",
+        {"__o1": ("__sl", "__sc"), "__o2": ("__el", "__ec")},
+    )
+    o = (
+        o.withColumn("range_start", F.least("__o1", "__o2"))
+        .withColumn("old_text", F.when(rep, F.substr(F.col("text"), F.col("range_start") + 1, F.abs(F.col("__o2") - F.col("__o1")))))
+        .withColumn("new_text", F.when(rep, a["text"]))
+        .drop("__sl", "__sc", "__el", "__ec", "__o1", "__o2")
+    )
+    return df_.with_diff_facts(df_.revision_diff(o))
+
+
+def _replacements(spark, base):
+    return _revisions(spark, base).where(F.col("action.kind") == "editReplace")
+
+
+@query("revision_diff_totals")
+def q_revision_diff_totals(spark, base):
+    r = _replacements(spark, base)
+
+    def total(kind):
+        return F.aggregate(
+            F.filter("segments", lambda x: x["type"] == kind), F.lit(0).cast("long"), lambda acc, x: acc + F.length(x["value"])
+        ).alias(f"{kind}_chars")
+
+    return r.select(*KEY, "diff_status", total("equal"), total("delete"), total("insert"),
+                    F.size("segments").cast("long").alias("n_segments"))
+
+
+@query("diff_regions")
+def q_diff_regions(spark, base):
+    return _replacements(spark, base).select(*KEY, "regions")
+
+
+@query("diff_flags")
+def q_diff_flags(spark, base):
+    return _replacements(spark, base).select(*KEY, "has_deletion", "has_insertions")
+
+
+@query("coherent_replacement")
+def q_coherent_replacement(spark, base):
+    r = df_.to_positions(
+        _replacements(spark, base), "text",
+        {"__ds": F.col("range_start") + F.col("coherent.del_start"), "__de": F.col("range_start") + F.col("coherent.del_end")},
+    )
+    return r.select(
+        *KEY, F.col("coherent.is_coherent").alias("is_coherent"),
+        F.when(F.col("coherent.is_coherent"), F.col("__ds.line")).cast("long").alias("del_start_line"),
+        F.when(F.col("coherent.is_coherent"), F.col("__ds.ch")).cast("long").alias("del_start_ch"),
+        F.when(F.col("coherent.is_coherent"), F.col("__de.line")).cast("long").alias("del_end_line"),
+        F.when(F.col("coherent.is_coherent"), F.col("__de.ch")).cast("long").alias("del_end_ch"),
+        F.col("coherent.text").alias("text"),
+    )
+
+
+@query("pure_insertion")
+def q_pure_insertion(spark, base):
+    r = df_.to_positions(_replacements(spark, base), "text", {"__at": F.col("range_start") + F.col("pure.at")})
+    return r.select(
+        *KEY, F.col("pure.is_pure").alias("is_pure"),
+        F.when(F.col("pure.is_pure"), F.col("__at.line")).cast("long").alias("line"),
+        F.when(F.col("pure.is_pure"), F.col("__at.ch")).cast("long").alias("ch"),
+        F.col("pure.text").alias("text"),
+    )
+
+
+@query("deletion_ranges")
+def q_deletion_ranges(spark, base):
+    r = df_.deletion_offsets(_replacements(spark, base).select(*KEY, "text", "range_start", "segments"))
+    r = df_.to_positions(r, "text", {"__s": F.col("range_start") + F.col("del_start"), "__e": F.col("range_start") + F.col("del_end")})
+    return r.select(*KEY, "idx", F.col("__s.line").cast("long").alias("start_line"), F.col("__s.ch").cast("long").alias("start_ch"),
+                    F.col("__e.line").cast("long").alias("end_line"), F.col("__e.ch").cast("long").alias("end_ch"))
+
+
+@query("preview_class")
+def q_preview_class(spark, base):
+    r = _revisions(spark, base)
+    cl = df_.preview_class(F.col("action"), F.floor(F.col("line_count") / 2), F.lit(0))
+    return r.select(*KEY, F.col("action.kind").alias("kind"), cl.alias("preview_class"))
+
+
 FLAGSHIP = "outcome_report"
