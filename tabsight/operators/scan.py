@@ -137,3 +137,30 @@ def with_next(
         out, F.when(F.col("__is_last"), F.col("__next_first")).otherwise(F.col("__lead"))
     )
     return out_df.drop(_SLICE, "__lead", "__is_last", "__next_first")
+
+
+def with_prev(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    slice_expr: Column,
+    value: str,
+    out: str,
+) -> DataFrame:
+    """``lag(value)`` per key in ``order``, computed in slices (the mirror of
+    ``with_next``: the first row of a slice takes the last value of the key's
+    previous non-empty slice)."""
+    keys = list(keys)
+    order_cols = [F.col(c) for c in order]
+    src = df.withColumn(_SLICE, slice_expr)
+    w_local = Window.partitionBy(*keys, _SLICE).orderBy(*order_cols)
+    local = src.withColumn("__lag", F.lag(value).over(w_local)).withColumn(
+        "__is_first", F.lag(F.lit(1)).over(w_local).isNull()
+    )
+    lasts = src.groupBy(*keys, _SLICE).agg(F.max_by(F.col(value), F.struct(*order_cols)).alias("__last"))
+    w_slices = Window.partitionBy(*keys).orderBy(_SLICE)
+    carry = lasts.select(*keys, _SLICE, F.lag("__last").over(w_slices).alias("__prev_last"))
+    out_df = local.join(carry, [*keys, _SLICE], "inner").withColumn(
+        out, F.when(F.col("__is_first"), F.col("__prev_last")).otherwise(F.col("__lag"))
+    )
+    return out_df.drop(_SLICE, "__lag", "__is_first", "__prev_last")

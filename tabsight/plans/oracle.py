@@ -585,3 +585,11 @@ ORACLE["action_label"] = f"{_PARSED}, {DISPLAY['label']} as label from parsed"
 ORACLE["action_description"] = (
     f"{_PARSED}, {_desc(0)} as title, {_desc(1)} as body, {_desc(2)} as hint from parsed"
 )
+
+
+# Streams must equal their batch forms on the same input.
+ORACLE["stream_outcomes"] = ORACLE["outcome_resolve"]
+ORACLE["stream_first_activation"] = f"""with {SESSION_SQL}
+select user_id, seq, file, cast(epoch as bigint) as epoch,
+       row_number() over (partition by user_id, epoch, file order by ts, seq) = 1 as is_first
+from st where kind = 'tab'"""

@@ -21,6 +21,7 @@ from ..operators import messages as msg
 from ..operators import responses as rsp
 from ..operators import preferences as pref
 from ..operators import sessions as ses
+from ..operators import triggers as trg
 from ..session import scratch_path
 from ..sources import fixtures as fx
 
@@ -477,4 +478,30 @@ def q_preview_class(spark, base):
     return r.select(*KEY, F.col("action.kind").alias("kind"), cl.alias("preview_class"))
 
 
+
+# -- trigger coalescing and streams --------------------------------------------
+
+
+@query("coalesce_triggers")
+def q_coalesce_triggers(spark, base):
+    return trg.coalesce_triggers(fx.trigger_events(spark, base))
+
+
+@query("stream_outcomes")
+def q_stream_outcomes(spark, base):
+    from ..streaming.runner import run_available
+    from ..streaming.state import stream_outcomes
+
+    return run_available(spark, stream_outcomes(fx.decisions_from(fx.event_stream(spark, base))), "stream_outcomes")
+
+
+@query("stream_first_activation")
+def q_stream_first_activation(spark, base):
+    from ..streaming.runner import run_available
+    from ..streaming.state import stream_first_activation
+
+    s = stream_first_activation(fx.session_events_from(fx.event_stream(spark, base)))
+    return run_available(spark, s, "stream_first_activation")
+
+
 FLAGSHIP = "outcome_report"

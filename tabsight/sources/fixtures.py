@@ -104,7 +104,11 @@ def event_ms(ts: Column) -> Column:
 def decisions(spark: SparkSession, base: str) -> DataFrame:
     """``events`` -> ``(user_id, ts, seq, kind, value, props)``; ``ts`` in ms,
     ``seq`` = event_id breaks ties."""
-    ev = table(spark, base, "events")
+    return decisions_from(table(spark, base, "events"))
+
+
+def decisions_from(ev: DataFrame) -> DataFrame:
+    """The decision mapping over any events frame (batch or stream)."""
     kind = F.lit(None).cast("string")
     for src, dst in reversed(DECISION_KIND.items()):
         kind = F.when(F.col("event_type") == src, F.lit(dst)).otherwise(kind)
@@ -184,7 +188,11 @@ def session_events(spark: SparkSession, base: str) -> DataFrame:
     value)``: view -> shown, purchase -> accept, error -> reject, click -> tab
     (file ``/src/f<k % 20>.py`` from ``props.k``), signup -> clear for even
     event ids and toggle for odd ones."""
-    ev = table(spark, base, "events")
+    return session_events_from(table(spark, base, "events"))
+
+
+def session_events_from(ev: DataFrame) -> DataFrame:
+    """The session-event mapping over any events frame (batch or stream)."""
     et, eid = F.col("event_type"), F.col("event_id")
     kind = (
         F.when(et == "view", "shown")
@@ -224,3 +232,23 @@ def shown_suggestions(spark: SparkSession, base: str, parsed_responses: DataFram
         F.col("request_id").alias("seq"), F.col("text").alias("raw"), "action", "avg_logprob", "model_name"
     )
     return views.join(ok, "seq").withColumn("conv_id", F.col("user_id"))
+
+
+def trigger_events(spark: SparkSession, base: str) -> DataFrame:
+    """Every event as an editor trigger on a compressed clock:
+    ``t = epoch ms div 100,000`` (median gap of a user a few hundred ms)."""
+    ev = session_events(spark, base)
+    return ev.select("user_id", F.floor(F.col("ts") / 100_000).cast("long").alias("t"), "seq")
+
+
+EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+
+def event_stream(spark: SparkSession, base: str, max_files_per_trigger: int = 1) -> DataFrame:
+    """The ``events`` parquet file(s) under ``base`` as a stream."""
+    return (
+        spark.readStream.schema(EVENTS_SCHEMA)
+        .option("pathGlobFilter", "events*.parquet")
+        .option("maxFilesPerTrigger", max_files_per_trigger)
+        .parquet(base)
+    )
