@@ -149,3 +149,48 @@ def resolve_outcomes(
         outcome_ts.alias("outcome_ts"),
     )
     return out if include_pending else out.where(F.col("outcome").isNotNull())
+
+
+def terminal_transcript(outputs: DataFrame) -> DataFrame:
+    """Output chunks of one terminal command in arrival order, joined.
+
+    ``outputs``: ``(execution_id, ts, seq, text)``. The transcript of one
+    command is the unit the report needs; chunks travel with their order key
+    and are sorted before joining, so ``collect_list`` order never matters.
+    """
+    chunks = F.array_sort(F.collect_list(F.struct("ts", "seq", "text")))
+    return outputs.groupBy("execution_id").agg(
+        F.count(F.lit(1)).alias("n_chunks"),
+        F.array_join(F.transform(chunks, lambda c: c["text"]), "").alias("transcript"),
+    )
+
+
+def attach_to_last_command(events: DataFrame, slice_ms: int = config.EVENT_SLICE_MS) -> DataFrame:
+    """Give output rows without an execution id the id of the user's last
+    terminal command before them (sliced as-of scan)."""
+    cmd_id = F.when(F.col("kind") == "terminal_command", F.col("execution_id"))
+    s = ordered_scan(events, KEYS, ORDER, _slice(slice_ms), running_lasts={"__last_cmd": cmd_id})
+    return s.withColumn("execution_id", F.coalesce(F.col("execution_id"), F.col("__last_cmd"))).drop("__last_cmd")
+
+
+def session_state_asof(actions: DataFrame, slice_ms: int = config.EVENT_SLICE_MS) -> DataFrame:
+    """Editor state after each executed action: ``active_file``,
+    ``cursor_line``, ``terminal_text`` (typed, not submitted) as of the row.
+
+    ``actions``: ``(user_id, ts, seq, action)``. Each action sets what it
+    changes; the rest carries over (sliced last-non-null scan).
+    """
+    a = F.col("action")
+    k = a["kind"]
+    sel = F.get(a["selections"], 0)
+    return ordered_scan(
+        actions,
+        KEYS,
+        ORDER,
+        _slice(slice_ms),
+        running_lasts={
+            "active_file": F.when(k == "openFile", a["filePath"]),
+            "cursor_line": F.when(k.isin("setSelections", "openFile"), sel["start"]["line"].cast("long")),
+            "terminal_text": F.when(k == "terminalSendText", a["text"]),
+        },
+    )

@@ -593,3 +593,66 @@ ORACLE["stream_first_activation"] = f"""with {SESSION_SQL}
 select user_id, seq, file, cast(epoch as bigint) as epoch,
        row_number() over (partition by user_id, epoch, file order by ts, seq) = 1 as is_first
 from st where kind = 'tab'"""
+
+
+# -- event sources, transcripts, state as of, request bodies -------------------
+FEEDS_SQL = """
+ev0 as (select user_id, (epoch_us(ts) // 1000) as ts, event_id as seq, event_type,
+               cast(json_extract(props, '$.k') as bigint) as k from events),
+eu as (
+  select user_id, min(ts) as ts, -1 as seq, 'tab' as kind, '/src/f' || cast(user_id % 20 as varchar) || '.py' as file,
+         null::integer as "offset", null::integer as length, null::varchar as text, null::bigint as execution_id
+  from ev0 where event_type in ('click', 'error') group by user_id
+  union all
+  select user_id, ts, seq, 'selection', '/src/f' || cast(k % 20 as varchar) || '.py', cast(k as integer), null, null, null
+  from ev0 where event_type = 'view' and seq % 5 <> 0
+  union all
+  select user_id, ts, seq, 'tab', '/src/f' || cast(k % 20 as varchar) || '.py', null, null, null, null
+  from ev0 where event_type = 'click'
+  union all
+  select user_id, ts, seq, 'content', '/src/f' || cast(k % 20 as varchar) || '.py', cast(seq % 20 as integer), 0, 'c0', null
+  from ev0 where event_type = 'purchase' and seq % 4 <> 0
+  union all
+  select user_id, ts, seq, 'terminal_command', null, null, null, 'pytest -k ' || cast(k as varchar), seq
+  from ev0 where event_type = 'error'
+  union all
+  select user_id, ts, seq, 'terminal_output', null, null, null, 'ok ' || cast(k as varchar) || chr(10), null
+  from ev0 where event_type = 'signup')"""
+
+ORACLE["event_union"] = f"""with {FEEDS_SQL}
+select user_id, ts, cast(seq as bigint) as seq, kind, file, "offset", length, text, execution_id from eu"""
+
+ORACLE["explode_changes"] = f"""with {FEEDS_SQL}
+select user_id, seq, cast(j as bigint) as change_idx, cast((seq + j) % 20 as bigint) as "offset",
+       cast(j as bigint) as length, 'c' || cast(j as varchar) as text
+from ev0, range(0, 3) r(j) where event_type = 'purchase' and seq % 4 <> 0 and j <= seq % 3"""
+
+ORACLE["terminal_transcript"] = f"""with {FEEDS_SQL},
+t as (select *, last_value(case when kind = 'terminal_command' then execution_id end ignore nulls)
+                 over (partition by user_id order by ts, seq rows between unbounded preceding and current row) as xid
+      from eu where kind in ('terminal_command', 'terminal_output'))
+select xid as execution_id, count(*) as n_chunks, string_agg(text, '' order by ts, seq) as transcript
+from t where kind = 'terminal_output' and xid is not null group by xid"""
+
+ORACLE["session_state_asof"] = f"""with {SAMPLES_SQL},
+acc as (select user_id, outcomeTimestamp as ts, sample_id as seq, kind, line, file_path, atext
+        from samples where outcome = 'accepted'),
+w as (select *,
+   last_value(case when kind = 'openFile' then file_path end ignore nulls) over x as active_file,
+   last_value(case when kind = 'setSelections' or (kind = 'openFile' and line is not null) then line end ignore nulls) over x as cursor_line,
+   last_value(case when kind = 'terminalSendText' then atext end ignore nulls) over x as terminal_text
+ from acc window x as (partition by user_id order by ts, seq rows between unbounded preceding and current row))
+select user_id, seq, kind, active_file, cursor_line, terminal_text from w"""
+
+ORACLE["request_build"] = f"""
+with m as (
+  select conv_id, turn, case when role = 'user' then 'user' else 'assistant' end as role, text as content,
+         {TOK} as tokens,
+         row_number() over (partition by conv_id order by turn) as rn, count(*) over (partition by conv_id) as n,
+         coalesce(sum({TOK}) over (partition by conv_id), 0) as total
+  from conversations),
+k as (select conv_id, turn, role, content, tokens from m where total <= {TEST_BUDGET - SYS_TOK} or rn > ceil(n / 2.0)
+      union all select distinct conv_id, -1, 'system', {SYS}, {SYS_TOK} from conversations)
+select conv_id, count(*) as n_messages, sum(tokens) as request_tokens, sum(length(content)) as content_chars,
+       arg_min(role, turn) as first_role, arg_max(role, turn) as last_role
+from k group by conv_id"""

@@ -504,4 +504,68 @@ def q_stream_first_activation(spark, base):
     return run_available(spark, s, "stream_first_activation")
 
 
+
+# -- event sources, transcripts, state as of, request bodies -------------------
+
+
+def _event_union(spark, base):
+    from ..sources import events as evs
+
+    feeds = fx.editor_feeds(spark, base)
+    content_single = evs.explode_changes(feeds["content"]).where(F.col("change_idx") == 0).drop("change_idx")
+    start = evs.session_start(
+        feeds["tab"].unionByName(feeds["terminal_command"], allowMissingColumns=True).select("user_id", "ts"),
+        F.concat(F.lit("/src/f"), (F.col("user_id") % 20).cast("string"), F.lit(".py")),
+    )
+    return evs.event_union(
+        start, evs.first_selection(feeds["selection"]), feeds["tab"], content_single,
+        feeds["terminal_command"], feeds["terminal_output"],
+    )
+
+
+@query("event_union")
+def q_event_union(spark, base):
+    return _event_union(spark, base)
+
+
+@query("explode_changes")
+def q_explode_changes(spark, base):
+    from ..sources import events as evs
+
+    c = evs.explode_changes(fx.editor_feeds(spark, base)["content"])
+    return c.select("user_id", "seq", "change_idx", F.col("offset").cast("long").alias("offset"),
+                    F.col("length").cast("long").alias("length"), "text")
+
+
+@query("terminal_transcript")
+def q_terminal_transcript(spark, base):
+    ev = ses.attach_to_last_command(
+        _event_union(spark, base).where(F.col("kind").isin("terminal_command", "terminal_output"))
+    )
+    out = ev.where((F.col("kind") == "terminal_output") & F.col("execution_id").isNotNull())
+    return ses.terminal_transcript(out)
+
+
+@query("session_state_asof")
+def q_session_state_asof(spark, base):
+    acc = _samples(spark, base).where(F.col("outcome") == "accepted").select(
+        "user_id", F.col("outcomeTimestamp").alias("ts"), F.col("sample_id").alias("seq"),
+        F.col("completion.parsedAction").alias("action"),
+    )
+    st = ses.session_state_asof(acc)
+    return st.select("user_id", "seq", F.col("action.kind").alias("kind"), "active_file", "cursor_line", "terminal_text")
+
+
+@query("request_build")
+def q_request_build(spark, base):
+    r = msg.build_requests(msg.truncate_context(fx.messages(spark, base), max_tokens=TEST_BUDGET))
+    m = F.col("messages")
+    return r.select(
+        "conv_id", "n_messages", "request_tokens",
+        F.aggregate(m, F.lit(0).cast("long"), lambda a, x: a + F.length(x["content"])).alias("content_chars"),
+        F.get(m, 0)["role"].alias("first_role"),
+        F.element_at(m, -1)["role"].alias("last_role"),
+    )
+
+
 FLAGSHIP = "outcome_report"

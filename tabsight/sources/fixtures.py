@@ -252,3 +252,42 @@ def event_stream(spark: SparkSession, base: str, max_files_per_trigger: int = 1)
         .option("maxFilesPerTrigger", max_files_per_trigger)
         .parquet(base)
     )
+
+
+def editor_feeds(spark: SparkSession, base: str) -> dict[str, DataFrame]:
+    """Per-kind event feeds from ``events`` (k = ``props.k``): view ->
+    selection (selections [k, k+5] and [0, 0]; from the active editor unless
+    event_id % 5 = 0), click -> tab, purchase -> content (a batch of
+    1 + event_id % 3 changes; for the active document unless event_id % 4 = 0),
+    error -> terminal command ``pytest -k <k>``, signup -> terminal output
+    chunk ``ok <k>\n``."""
+    ev = table(spark, base, "events")
+    k = F.get_json_object("props", "$.k").cast("long")
+    eid = F.col("event_id")
+    basecols = [F.col("user_id"), event_ms(F.col("ts")).alias("ts"), eid.alias("seq")]
+    file = F.concat(F.lit("/src/f"), s(k % 20), F.lit(".py")).alias("file")
+    et = F.col("event_type")
+    sel = F.array(
+        F.struct(k.cast("int").alias("start"), (k + 5).cast("int").alias("end")),
+        F.struct(F.lit(0).alias("start"), F.lit(0).alias("end")),
+    )
+    changes = F.transform(
+        F.sequence(F.lit(0), (eid % 3).cast("int")),
+        lambda j: F.struct(((eid + j) % 20).cast("int").alias("offset"), j.alias("length"), F.concat(F.lit("c"), s(j)).alias("text")),
+    )
+    return {
+        "selection": ev.where(et == "view").select(
+            *basecols, F.lit("selection").alias("kind"), file, sel.alias("selections"), (eid % 5 != 0).alias("is_active_editor")
+        ),
+        "tab": ev.where(et == "click").select(*basecols, F.lit("tab").alias("kind"), file),
+        "content": ev.where(et == "purchase").select(
+            *basecols, F.lit("content").alias("kind"), file, changes.alias("changes"), (eid % 4 != 0).alias("is_active_document")
+        ),
+        "terminal_command": ev.where(et == "error").select(
+            *basecols, F.lit("terminal_command").alias("kind"), F.concat(F.lit("pytest -k "), s(k)).alias("text"),
+            eid.alias("execution_id"),
+        ),
+        "terminal_output": ev.where(et == "signup").select(
+            *basecols, F.lit("terminal_output").alias("kind"), F.concat(F.lit("ok "), s(k), F.lit("\n")).alias("text")
+        ),
+    }
