@@ -140,14 +140,14 @@ def write_preferences(samples: DataFrame, path: str, enabled: bool = True) -> bo
 def read_preferences(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``(samples, quarantine)``: the log read with the declared schema;
     malformed lines go to the quarantine frame instead of failing the job."""
-    raw = (
-        spark.read.schema(PREFERENCE_DISK)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .json(path)
-    )
-    good = raw.where(F.col("_corrupt_record").isNull())
-    bad = raw.where(F.col("_corrupt_record").isNotNull()).select("_corrupt_record")
+    # Lines are read as text and parsed with the declared schema: a malformed
+    # line keeps its text in ``_corrupt_record`` instead of failing the job.
+    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    parsed = lines.select(
+        F.from_json("value", PREFERENCE_DISK, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")
+    ).select("r.*")
+    good = parsed.where(F.col("_corrupt_record").isNull())
+    bad = parsed.where(F.col("_corrupt_record").isNotNull()).select("_corrupt_record")
     a = F.col("completion.parsedAction")
     action = F.when(
         a.isNotNull(),
