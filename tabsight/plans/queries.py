@@ -385,15 +385,20 @@ def q_action_description(spark, base):
 # implementation on fixed pairs in tests/test_diffs.py) ------------------------
 
 
-def _revisions(spark, base):
-    """Every parsed action on its document; for replacements, ``old_text`` is
-    the whole replaced range and ``new_text`` the replacement."""
+def _doc_parsed(spark, base):
     c = _completions(spark, base).drop("line_count", "last_line_len")
+    return act.parse_completions(act.attach_documents(c, fx.documents(spark, base)))
+
+
+def _revisions(spark, base):
+    """Replacement actions on their documents: ``old_text`` is the whole
+    replaced range, ``new_text`` the replacement. Only replacements carry
+    document text into the join and the diff."""
     docs = fx.documents(spark, base)
-    parsed = act.parse_completions(act.attach_documents(c, docs))
+    parsed = _doc_parsed(spark, base).where((F.col("route") == "edit") & (F.col("action.kind") == "editReplace"))
     withtext = parsed.join(docs.select(F.col("path").alias("active_path"), "text"), "active_path")
     a = F.col("action")
-    rep = a["kind"] == "editReplace"
+    rep = F.lit(True)
     o = ed.positions_to_offsets(
         withtext.withColumn("__sl", a["range"]["start"]["line"]).withColumn("__sc", a["range"]["start"]["ch"])
         .withColumn("__el", a["range"]["end"]["line"]).withColumn("__ec", a["range"]["end"]["ch"]),
@@ -410,7 +415,7 @@ def _revisions(spark, base):
 
 
 def _replacements(spark, base):
-    return _revisions(spark, base).where(F.col("action.kind") == "editReplace")
+    return _revisions(spark, base)
 
 
 @query("revision_diff_totals")
@@ -473,7 +478,8 @@ def q_deletion_ranges(spark, base):
 
 @query("preview_class")
 def q_preview_class(spark, base):
-    r = _revisions(spark, base)
+    facts = _revisions(spark, base).select(*KEY, "pure", "has_insertions", "coherent")
+    r = _doc_parsed(spark, base).join(facts, KEY, "left")
     cl = df_.preview_class(F.col("action"), F.floor(F.col("line_count") / 2), F.lit(0))
     return r.select(*KEY, F.col("action.kind").alias("kind"), cl.alias("preview_class"))
 
