@@ -478,10 +478,18 @@ def q_deletion_ranges(spark, base):
 
 @query("preview_class")
 def q_preview_class(spark, base):
-    facts = _revisions(spark, base).select(*KEY, "pure", "has_insertions", "coherent")
-    r = _doc_parsed(spark, base).join(facts, KEY, "left")
+    # Replacements need their diff facts; every other kind is classified from
+    # the action alone. Two disjoint branches, one union, no join.
     cl = df_.preview_class(F.col("action"), F.floor(F.col("line_count") / 2), F.lit(0))
-    return r.select(*KEY, F.col("action.kind").alias("kind"), cl.alias("preview_class"))
+    out = [F.col(k) for k in KEY] + [F.col("action.kind").alias("kind"), cl.alias("preview_class")]
+    others = (
+        _doc_parsed(spark, base)
+        .where(~((F.col("route") == "edit") & (F.col("action.kind") == "editReplace")) | F.col("route").isNull())
+        .withColumn("pure", F.lit(None).cast("struct<is_pure:boolean>"))
+        .withColumn("has_insertions", F.lit(None).cast("boolean"))
+        .withColumn("coherent", F.lit(None).cast("struct<is_coherent:boolean>"))
+    )
+    return others.select(*out).unionByName(_revisions(spark, base).select(*out))
 
 
 
