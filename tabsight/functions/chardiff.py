@@ -26,19 +26,38 @@ from ..sources.schemas import DIFF_SEGMENT
 DEFAULT_MAX_CELLS = 20_000_000
 
 
+def _table(x: str, y: str) -> np.ndarray:
+    """LCS length table ``t[i, j]`` for prefixes ``x[:i]``, ``y[:j]``, filled a
+    row at a time: each row is a running max along the row, so the inner loop
+    is vectorised and the Python loop runs ``len(x)`` times."""
+    cx = np.frombuffer(x.encode("utf-32-le"), dtype=np.uint32)
+    cy = np.frombuffer(y.encode("utf-32-le"), dtype=np.uint32)
+    dtype = np.uint16 if min(len(x), len(y)) < 65535 else np.uint32
+    t = np.zeros((len(x) + 1, len(y) + 1), dtype=dtype)
+    for i in range(1, len(x) + 1):
+        prev = t[i - 1]
+        diag = np.where(cy == cx[i - 1], prev[:-1] + 1, 0).astype(dtype)
+        t[i, 1:] = np.maximum.accumulate(np.maximum(prev[1:], diag))
+    return t
+
+
 def _lcs(a: str, b: str) -> str:
     m, n = len(a), len(b)
     if m == 0 or n == 0:
         return ""
-    ca = np.frombuffer(a.encode("utf-32-le"), dtype=np.uint32)
-    cb = np.frombuffer(b.encode("utf-32-le"), dtype=np.uint32)
-    dtype = np.uint16 if min(m, n) < 65535 else np.uint32
-    table = np.zeros((m + 1, n + 1), dtype=dtype)
-    for i in range(1, m + 1):
-        prev = table[i - 1]
-        diag = np.where(cb == ca[i - 1], prev[:-1] + 1, 0).astype(dtype)
-        # table[i][j] = max(up, diag-match, left): a running max along the row.
-        table[i, 1:] = np.maximum.accumulate(np.maximum(prev[1:], diag))
+    # The table is symmetric in its two texts; build it along the shorter
+    # text (fewer Python-level rows) and read it transposed when needed.
+    if m <= n:
+        t = _table(a, b)
+
+        def up(i, j):  # cell (i-1, j) vs (i, j-1)
+            return t[i - 1, j] > t[i, j - 1]
+    else:
+        t = _table(b, a)
+
+        def up(i, j):
+            return t[j, i - 1] > t[j - 1, i]
+
     out = []
     i, j = m, n
     while i > 0 and j > 0:
@@ -46,7 +65,7 @@ def _lcs(a: str, b: str) -> str:
             out.append(a[i - 1])
             i -= 1
             j -= 1
-        elif table[i - 1, j] > table[i, j - 1]:
+        elif up(i, j):
             i -= 1
         else:
             j -= 1
