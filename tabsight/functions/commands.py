@@ -129,7 +129,8 @@ def with_command(df: DataFrame, raw: str = "raw", out: str = "command", extracte
             F.when(
                 F.length(F.col(raw)) > 0,
                 F.coalesce(
-                    nonempty(F.when(t.contains(BT) & t.rlike(FENCE), F.regexp_extract(t, FENCE, 1))), nonempty(t)
+                    # no match and an empty body both give '' -> fall back to the text
+                    nonempty(F.when(t.contains(BT), F.regexp_extract(t, FENCE, 1))), nonempty(t)
                 ),
             ),
         )
@@ -143,17 +144,22 @@ def with_sed_form(df: DataFrame, cmd: str = "command", active_path: str = "activ
     """Add the sed pieces of ``cmd``: ``__p_script`` (only when the target is
     the active document), ``__p_main`` and ``sed_form``."""
     main = F.col(f"{_P}main")
-    matched = F.col(f"{_P}sed_ok")
+    target = F.col(f"{_P}target")
     script = F.col(f"{_P}script")
+    # The target group is never empty, so '' from regexp_extract means "no
+    # match": one regex pass decides, a second takes the script.
     return (
         df.withColumn(f"{_P}main", first_command(F.col(cmd)))
         .withColumn(
-            f"{_P}sed_ok",
-            F.col(active_path).isNotNull() & main.contains("sed") & main.contains("'") & main.rlike(SED),
+            f"{_P}target",
+            F.when(
+                F.col(active_path).isNotNull() & main.contains("sed") & main.contains("'"),
+                F.regexp_extract(main, SED, 2),
+            ),
         )
         .withColumn(
             f"{_P}script",
-            F.when(matched & (F.regexp_extract(main, SED, 2) == F.col(active_path)), F.regexp_extract(main, SED, 1)),
+            F.when((F.length(target) > 0) & (target == F.col(active_path)), F.regexp_extract(main, SED, 1)),
         )
         .withColumn(
             "sed_form",
@@ -213,13 +219,17 @@ def with_action(
             ),
         )
         .withColumn(f"{_P}is_cat", has_doc & main.startswith("cat"))
-        .withColumn(f"{_P}cat", F.when(F.col(f"{_P}is_cat") & main.rlike(CAT), F.regexp_extract(main, CAT, 1)))
-        .withColumn(f"{_P}slice_ok", F.col(f"{_P}is_cat") & main.contains("|") & main.rlike(CAT_SLICE))
+        .withColumn(f"{_P}cat", nonempty(F.when(F.col(f"{_P}is_cat"), F.regexp_extract(main, CAT, 1))))
+        .withColumn(
+            f"{_P}vfile0",
+            nonempty(F.when(F.col(f"{_P}is_cat") & main.contains("|"), F.regexp_extract(main, CAT_SLICE, 1))),
+        )
+        .withColumn(f"{_P}slice_ok", F.col(f"{_P}vfile0").isNotNull())
     )
     a1, a2, payload = F.col(f"{_P}a1"), F.col(f"{_P}a2"), F.col(f"{_P}payload")
     slice_ok = F.col(f"{_P}slice_ok")
     d = (
-        d.withColumn(f"{_P}vfile", F.when(slice_ok, F.regexp_extract(main, CAT_SLICE, 1)))
+        d.withColumn(f"{_P}vfile", F.col(f"{_P}vfile0"))
         .withColumn(f"{_P}vs", try_int(F.when(slice_ok, F.regexp_extract(main, CAT_SLICE, 2))).cast("long"))
         .withColumn(f"{_P}ve", try_int(F.when(slice_ok, F.regexp_extract(main, CAT_SLICE, 3))).cast("long"))
     )

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -86,21 +87,30 @@ def coalesce_triggers(
     e = ordered_scan(e, ["user_id"], ["t", "seq"], event_slice("t", slice_ms), running_sums={"burst": F.col("__new")})
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for _, g in pdf.groupby(["user_id", "burst"], sort=False):
-            res = simulate(g["t"].tolist(), debounce_ms, throttle_ms, max_pending)
-            parts.append(
-                pd.DataFrame(
-                    {
-                        "user_id": g["user_id"].to_numpy(),
-                        "seq": g["seq"].to_numpy(),
-                        "t": g["t"].to_numpy(),
-                        "fire_at": pd.array([r[0] for r in res], dtype="Int64"),
-                        "cancelled": [r[1] for r in res],
-                    }
-                )
-            )
-        return pd.concat(parts, ignore_index=True)
+        users = pdf["user_id"].to_numpy()
+        bursts = pdf["burst"].to_numpy()
+        times = pdf["t"].to_numpy()
+        n = len(pdf)
+        change = np.flatnonzero((users[1:] != users[:-1]) | (bursts[1:] != bursts[:-1])) + 1
+        bounds = np.concatenate([[0], change, [n]])
+        fire = np.zeros(n, dtype=np.int64)
+        has_fire = np.zeros(n, dtype=bool)
+        cancelled = np.zeros(n, dtype=bool)
+        for b0, b1 in zip(bounds[:-1], bounds[1:]):
+            for k, (f, c) in enumerate(simulate(times[b0:b1].tolist(), debounce_ms, throttle_ms, max_pending)):
+                if f is not None:
+                    fire[b0 + k] = f
+                    has_fire[b0 + k] = True
+                cancelled[b0 + k] = c
+        return pd.DataFrame(
+            {
+                "user_id": users,
+                "seq": pdf["seq"].to_numpy(),
+                "t": times,
+                "fire_at": pd.arrays.IntegerArray(fire, ~has_fire),
+                "cancelled": cancelled,
+            }
+        )
 
     def run(batches):
         # Rows arrive grouped by (user, burst) and time-ordered; a burst cut by
