@@ -22,7 +22,7 @@ from ..operators import responses as rsp
 from ..operators import preferences as pref
 from ..operators import sessions as ses
 from ..operators import triggers as trg
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -225,10 +225,15 @@ def q_outcome_resolve(spark, base):
 
 
 def _samples(spark, base, include_pending=False):
+    # ``shown`` carries the whole response-parse chain and is read three
+    # times downstream (outcome scan, its slice totals, sample details), so it
+    # is written once to the shared checkpoint folder; so are the samples,
+    # which the pair and state jobs scan twice.
     parsed = rsp.parse_responses(fx.responses(spark, base))
-    shown = fx.shown_suggestions(spark, base, parsed)
+    shown = materialize(fx.shown_suggestions(spark, base, parsed), "shown")
     contexts = pref.context_arrays(msg.truncate_context(fx.messages(spark, base)))
-    return pref.preference_samples(shown, fx.decisions(spark, base), contexts, include_pending)
+    samples = pref.preference_samples(shown, fx.decisions(spark, base), contexts, include_pending)
+    return materialize(samples, "samples")
 
 
 @query("outcome_report")
