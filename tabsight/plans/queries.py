@@ -587,4 +587,18 @@ def q_request_build(spark, base):
     )
 
 
+
+@query("stream_coalesce_triggers")
+def q_stream_coalesce_triggers(spark, base):
+    """Streaming coalescing over the events file. Timers still pending when
+    the input ends stay pending (the watermark never passes them), so this has
+    at most the rows of ``coalesce_triggers``."""
+    from ..streaming.runner import run_available
+    from ..streaming.triggers import stream_coalesce_triggers
+
+    ev = fx.session_events_from(fx.event_stream(spark, base))
+    trig = ev.select("user_id", F.floor(F.col("ts") / 100_000).cast("long").alias("t"), "seq")
+    return run_available(spark, stream_coalesce_triggers(trig), "stream_triggers")
+
+
 FLAGSHIP = "outcome_report"

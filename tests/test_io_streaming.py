@@ -73,3 +73,28 @@ def test_entry_runs(spark):
     df = e.entry(spark)
     assert df.count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_stream_coalescing_equals_batch(spark):
+    from tabsight.operators.triggers import coalesce_triggers
+    from tabsight.streaming.triggers import stream_coalesce_triggers
+
+    tmp = tempfile.mkdtemp(prefix="tabsight-trig-")
+    # Epoch-like times: an event exactly at the initial watermark (0) counts as late.
+    times = [1_700_000_000_000 + x for x in [0, 50, 100, 400, 5000, 5010, 5020, 5030, 5040, 9000, 9100]]
+    rows = [(1, t, i) for i, t in enumerate(times)] + [(2, t + 3, 100 + i) for i, t in enumerate(times)]
+    import pyarrow as pa
+
+    tbl = pa.table({"user_id": [r[0] for r in rows], "t": [r[1] for r in rows], "seq": [r[2] for r in rows]})
+    pq.write_table(tbl.slice(0, 9), os.path.join(tmp, "part_00.parquet"))
+    pq.write_table(tbl.slice(9), os.path.join(tmp, "part_01.parquet"))
+    # A closing event far in the future moves the watermark past every timer.
+    pq.write_table(pa.table({"user_id": [99], "t": [1_800_000_000_000], "seq": [999]}), os.path.join(tmp, "part_02.parquet"))
+    stream = (
+        spark.readStream.schema("user_id bigint, t bigint, seq bigint").option("maxFilesPerTrigger", 1).parquet(tmp)
+    )
+    got = run_available(spark, stream_coalesce_triggers(stream), "t_trig")
+    got = sorted(tuple(r) for r in got.where("user_id <> 99").collect())
+    batch = spark.createDataFrame(rows, "user_id long, t long, seq long")
+    want = sorted(tuple(r) for r in coalesce_triggers(batch, slice_ms=1000).collect())
+    assert got == want
