@@ -229,8 +229,8 @@ def _samples(spark, base, include_pending=False):
     # times downstream (outcome scan, its slice totals, sample details), so it
     # is written once to the shared checkpoint folder; so are the samples,
     # which the pair and state jobs scan twice.
-    parsed = rsp.parse_responses(fx.responses(spark, base))
-    shown = materialize(fx.shown_suggestions(spark, base, parsed), "shown")
+    parsed = rsp.parse_responses(fx.view_requests(spark, base))
+    shown = materialize(fx.shown_suggestions(parsed), "shown")
     contexts = pref.context_arrays(msg.truncate_context(fx.messages(spark, base)))
     samples = pref.preference_samples(shown, fx.decisions(spark, base), contexts, include_pending)
     return materialize(samples, "samples")

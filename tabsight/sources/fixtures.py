@@ -223,15 +223,21 @@ def requests(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
-def shown_suggestions(spark: SparkSession, base: str, parsed_responses: DataFrame) -> DataFrame:
-    """Shown rows: a ``view`` event whose request (``request_id = event_id``)
-    got an ``ok`` response. Other views created no sample. The user's
-    conversation (``conv_id = user_id``) is the sample's context."""
+def view_requests(spark: SparkSession, base: str) -> DataFrame:
+    """``view`` events with the response to their request
+    (``request_id = event_id``): only these responses are ever shown, so only
+    these are parsed."""
     views = decisions(spark, base).where(F.col("kind") == "shown").select("user_id", "ts", "seq")
-    ok = parsed_responses.where(F.col("parse_status") == "ok").select(
-        F.col("request_id").alias("seq"), F.col("text").alias("raw"), "action", "avg_logprob", "model_name"
+    return views.join(responses(spark, base), views["seq"] == F.col("request_id")).drop("seq")
+
+
+def shown_suggestions(parsed_views: DataFrame) -> DataFrame:
+    """Shown rows: a view whose response parsed ``ok``. Other views created no
+    sample. The user's conversation (``conv_id = user_id``) is the context."""
+    return parsed_views.where(F.col("parse_status") == "ok").select(
+        "user_id", "ts", F.col("request_id").alias("seq"), F.col("text").alias("raw"), "action", "avg_logprob",
+        "model_name", F.col("user_id").alias("conv_id"),
     )
-    return views.join(ok, "seq").withColumn("conv_id", F.col("user_id"))
 
 
 def trigger_events(spark: SparkSession, base: str) -> DataFrame:
