@@ -217,7 +217,7 @@ def q_latest_wins(spark, base):
 
 @query("outcome_resolve")
 def q_outcome_resolve(spark, base):
-    return ses.resolve_outcomes(fx.decisions(spark, base))
+    return ses.resolve_outcomes(fx.decisions(spark, base, kinds=("shown", "accept", "reject")))
 
 
 
@@ -232,7 +232,8 @@ def _samples(spark, base, include_pending=False):
     parsed = rsp.parse_responses(fx.view_requests(spark, base))
     shown = materialize(fx.shown_suggestions(parsed), "shown")
     contexts = pref.context_arrays(msg.truncate_context(fx.messages(spark, base)))
-    samples = pref.preference_samples(shown, fx.decisions(spark, base), contexts, include_pending)
+    decided = fx.decisions(spark, base, kinds=("accept", "reject"))
+    samples = pref.preference_samples(shown, decided, contexts, include_pending)
     return materialize(samples, "samples")
 
 

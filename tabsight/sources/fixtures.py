@@ -101,10 +101,14 @@ def event_ms(ts: Column) -> Column:
     return F.unix_millis(ts.cast("timestamp"))
 
 
-def decisions(spark: SparkSession, base: str) -> DataFrame:
+def decisions(spark: SparkSession, base: str, kinds: tuple[str, ...] | None = None) -> DataFrame:
     """``events`` -> ``(user_id, ts, seq, kind, value, props)``; ``ts`` in ms,
-    ``seq`` = event_id breaks ties."""
-    return decisions_from(table(spark, base, "events"))
+    ``seq`` = event_id breaks ties. ``kinds`` keeps only those decision kinds,
+    as a filter on the raw ``event_type`` that reaches the parquet scan."""
+    ev = table(spark, base, "events")
+    if kinds is not None:
+        ev = ev.where(F.col("event_type").isin([k for k, v in DECISION_KIND.items() if v in kinds]))
+    return decisions_from(ev)
 
 
 def decisions_from(ev: DataFrame) -> DataFrame:
@@ -138,29 +142,40 @@ def token_logprobs(spark: SparkSession, base: str) -> DataFrame:
 RESPONSE_SHAPES = {0: "text_field", 1: "number_content", 2: "blank_content", 3: "no_logprobs", 4: "no_choices", 5: "not_json"}
 
 
-def responses(spark: SparkSession, base: str) -> DataFrame:
+def responses(spark: SparkSession, base: str, request_ids: DataFrame | None = None) -> DataFrame:
     """One model response per order: ``(request_id, model_name, body,
     active_path, line_count, last_line_len)``. The body is JSON written with
     ``to_json``; its text is the order's first completion, its tokens the
-    order's lineitems (none for an order without lines: mean NaN)."""
-    toks = token_logprobs(spark, base).groupBy("request_id").agg(
-        F.array_sort(F.collect_list(F.struct("idx", "logprob_centi"))).alias("toks")
-    )
-    # The response text is the completion of the order's first line (lowest
-    # line number, then part and supplier: equal keys give equal text).
-    first_line = (
-        table(spark, base, "lineitem")
-        .groupBy("l_orderkey")
-        .agg(F.min(F.struct("l_linenumber", "l_partkey", "l_suppkey")).alias("m"))
-        .select("l_orderkey", "m.l_linenumber", "m.l_partkey", "m.l_suppkey")
-    )
-    first = completions(spark, base, first_line).select(
-        F.col("l_orderkey").alias("request_id"), "raw", "active_path", "line_count", "last_line_len"
+    order's lineitems (none for an order without lines: mean NaN).
+    ``request_ids`` (one column ``request_id``) restricts the build to those
+    requests before any aggregation (a semi-join on both inputs)."""
+    li = table(spark, base, "lineitem")
+    if request_ids is not None:
+        li = li.join(request_ids.withColumnRenamed("request_id", "l_orderkey"), "l_orderkey", "left_semi")
+    # One pass over the lines of an order: its tokens in line order, and its
+    # first line (lowest line number, then part and supplier: equal keys give
+    # equal text), whose completion is the response text.
+    per_order = li.groupBy(F.col("l_orderkey").alias("request_id")).agg(
+        F.array_sort(
+            F.collect_list(
+                F.struct(
+                    F.col("l_linenumber").cast("long").alias("idx"),
+                    (F.lit(-25) * F.round(F.col("l_discount") * 100)).cast("long").alias("logprob_centi"),
+                )
+            )
+        ).alias("toks"),
+        F.min(F.struct("l_linenumber", "l_partkey", "l_suppkey")).alias("m"),
     )
+    first = completions(
+        spark, base, per_order.select(F.col("request_id").alias("l_orderkey"), "m.l_linenumber", "m.l_partkey", "m.l_suppkey")
+    ).select(F.col("l_orderkey").alias("request_id"), "raw", "active_path", "line_count", "last_line_len")
+    toks = per_order.select("request_id", "toks")
     orders = table(spark, base, "orders").select(
         F.col("o_orderkey").alias("request_id"),
         F.concat(F.lit("model-"), F.substring("o_orderpriority", 1, 1)).alias("model_name"),
     )
+    if request_ids is not None:
+        orders = orders.join(request_ids, "request_id", "left_semi")
     d = orders.join(toks, "request_id", "left").join(first, "request_id", "left")
     lp = F.transform(
         F.coalesce(F.col("toks"), F.array().cast("array<struct<idx:long,logprob_centi:long>>")),
@@ -227,8 +242,9 @@ def view_requests(spark: SparkSession, base: str) -> DataFrame:
     """``view`` events with the response to their request
     (``request_id = event_id``): only these responses are ever shown, so only
     these are parsed."""
-    views = decisions(spark, base).where(F.col("kind") == "shown").select("user_id", "ts", "seq")
-    return views.join(responses(spark, base), views["seq"] == F.col("request_id")).drop("seq")
+    views = decisions(spark, base, kinds=("shown",)).select("user_id", "ts", "seq")
+    wanted = views.select(F.col("seq").alias("request_id"))
+    return views.join(responses(spark, base, wanted), views["seq"] == F.col("request_id")).drop("seq")
 
 
 def shown_suggestions(parsed_views: DataFrame) -> DataFrame:
