@@ -44,6 +44,13 @@ def preference_samples(
         decisions.where(F.col("kind").isin("accept", "reject")).select("user_id", "ts", "seq", "kind")
     )
     outcomes = resolve_outcomes(seq_rows, include_pending=include_pending)
+    return samples_from_outcomes(outcomes, shown, contexts)
+
+
+def samples_from_outcomes(outcomes: DataFrame, shown: DataFrame, contexts: DataFrame | None = None) -> DataFrame:
+    """Attach the shown suggestion's details and context to resolved outcomes
+    (batch or stream: both joins are equi-joins with ``shown`` and
+    ``contexts`` as the static side)."""
     info = shown.select(
         F.col("seq").alias("shown_seq"), "raw", "action", "avg_logprob", "model_name", "conv_id"
     )

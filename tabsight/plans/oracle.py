@@ -656,3 +656,6 @@ k as (select conv_id, turn, role, content, tokens from m where total <= {TEST_BU
 select conv_id, count(*) as n_messages, sum(tokens) as request_tokens, sum(length(content)) as content_chars,
        arg_min(role, turn) as first_role, arg_max(role, turn) as last_role
 from k group by conv_id"""
+
+ORACLE["stream_actions"] = ORACLE["route_action"]
+ORACLE["stream_preference_log"] = ORACLE["preference_log_roundtrip"]

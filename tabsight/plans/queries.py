@@ -602,4 +602,50 @@ def q_stream_coalesce_triggers(spark, base):
     return run_available(spark, stream_coalesce_triggers(trig), "stream_triggers")
 
 
+
+@query("stream_actions")
+def q_stream_actions(spark, base):
+    """The stateless parse on a stream of completions; equals ``route_action``."""
+    from ..streaming.runner import run_available
+
+    li = fx.table_stream(spark, base, "lineitem", fx.LINEITEM_SCHEMA)
+    parsed = act.parse_completions(fx.completions(spark, base, li))
+    out = parsed.select(*KEY, *cm.action_columns(F.col("action")))
+    return run_available(spark, out, "stream_actions")
+
+
+@query("stream_preference_log")
+def q_stream_preference_log(spark, base):
+    """Samples appended to the JSONL log as their outcome resolves (stream of
+    events, static shown and context tables), then read back like
+    ``preference_log_roundtrip``."""
+    import uuid
+
+    from ..streaming.runner import write_preference_stream
+    from ..streaming.state import stream_outcomes
+
+    parsed = rsp.parse_responses(fx.view_requests(spark, base))
+    shown = materialize(fx.shown_suggestions(parsed), "shown")
+    contexts = materialize(pref.context_arrays(msg.truncate_context(fx.messages(spark, base))), "contexts")
+    ev = fx.decisions_from(fx.event_stream(spark, base))
+    # A view counts as shown only if its response parsed ok (stream-static semi-join).
+    shown_ev = ev.where(F.col("kind") == "shown").join(shown.select("seq"), "seq", "left_semi")
+    decided = ev.where(F.col("kind").isin("accept", "reject"))
+    outcomes = stream_outcomes(shown_ev.unionByName(decided))
+    samples = pref.samples_from_outcomes(outcomes, shown, contexts)
+    tag = uuid.uuid4().hex
+    path = scratch_path(spark, f"stream-log-{tag}")
+    q = write_preference_stream(samples, path, scratch_path(spark, f"stream-log-ckpt-{tag}"), available_now=True)
+    q.awaitTermination()
+    back, _bad = pref.read_preferences(spark, path)
+    a = F.col("completion.parsedAction")
+    return back.select(
+        "timestamp", "outcome", "outcomeTimestamp", "modelName",
+        F.size("context").cast("long").alias("n_context"),
+        *cm.action_columns(a),
+        F.round(F.col("completion.avgLogprob"), 6).alias("avg_logprob"),
+        F.col("completion.rawModelOutput").alias("raw"),
+    )
+
+
 FLAGSHIP = "outcome_report"

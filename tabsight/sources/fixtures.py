@@ -313,3 +313,20 @@ def editor_feeds(spark: SparkSession, base: str) -> dict[str, DataFrame]:
             *basecols, F.lit("terminal_output").alias("kind"), F.concat(F.lit("ok "), s(k), F.lit("\n")).alias("text")
         ),
     }
+
+
+LINEITEM_SCHEMA = (
+    "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz"
+)
+
+
+def table_stream(spark: SparkSession, base: str, name: str, schema: str, max_files_per_trigger: int = 1) -> DataFrame:
+    """A driver table's parquet file(s) under ``base`` as a stream."""
+    return (
+        spark.readStream.schema(schema)
+        .option("pathGlobFilter", f"{name}*.parquet")
+        .option("maxFilesPerTrigger", max_files_per_trigger)
+        .parquet(base)
+    )

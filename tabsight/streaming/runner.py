@@ -31,19 +31,23 @@ def run_available(spark: SparkSession, stream: DataFrame, name: str, fmt: str =
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def write_preference_stream(samples: DataFrame, path: str, checkpoint: str, enabled: bool = True):
+def write_preference_stream(
+    samples: DataFrame, path: str, checkpoint: str, enabled: bool = True, available_now: bool = False
+):
     """Append resolved samples to the JSONL log as they resolve (nulls kept).
     Returns the started query, or None when logging is disabled."""
     from ..operators.preferences import to_log_records
 
     if not enabled:
         return None
-    return (
+    w = (
         to_log_records(samples)
         .writeStream.format("json")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .option("ignoreNullFields", "false")
         .outputMode("append")
-        .start()
     )
+    if available_now:
+        w = w.trigger(availableNow=True)
+    return w.start()
