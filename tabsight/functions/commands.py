@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.schemas import ACTION
-from .jscompat import LINE_START, NOT_WS, WS, js_trim, literal_replace, nonempty, try_int
+from .jscompat import LINE_START, WS, js_trim, literal_replace, nonempty, try_int
 
 # The command grammar understood by the parser (JavaScript
 # semantics re-expressed for Java regexes: \s is the JavaScript whitespace
@@ -34,7 +34,6 @@ STRAY_FLAG = rf"{LINE_START}-[A-Z]{WS}*"
 SHELL_QUOTE = "'\"'\"'"
 BT = "`" * 3
 
-_ = NOT_WS  # re-exported for callers building related patterns
 
 
 def strip_think(cmd: Column) -> Column:

@@ -659,3 +659,35 @@ from k group by conv_id"""
 
 ORACLE["stream_actions"] = ORACLE["route_action"]
 ORACLE["stream_preference_log"] = ORACLE["preference_log_roundtrip"]
+
+
+# -- revision diff totals: equal = L, deleted = m - L, inserted = n - L, with L
+# the LCS length from a recursive CTE (one DP row per step of the old text).
+ORACLE["revision_diff_totals"] = f"""with recursive {COMPLETIONS_SQL},
+docs as (select '/src/f' || cast(doc_id as varchar) || '.py' as path, text,
+                cast(len(string_split_regex(text, '\\r\\n|\\n|\\r')) as integer) as line_count,
+                cast(length(string_split_regex(text, '\\r\\n|\\n|\\r')[-1]) as integer) as last_line_len
+         from documents),
+cj as (select c.l_orderkey, c.l_linenumber, c.active_path, c.raw, d.line_count, d.last_line_len
+       from completions c join docs d on c.active_path = d.path),
+{parse_chain('cj')},
+ap as (select p.l_orderkey, p.l_linenumber, p.line, p.ch, p.end_line, p.end_ch, p.text as ins, d.text as t,
+              string_split(d.text, {NL}) as ls
+       from parsed p join docs d on d.path = p.active_path where p.form is not null and p.kind = 'editReplace'),
+offs as (select *, {offset_sql('t', 'ls', 'line', 'ch')} as o1, {offset_sql('t', 'ls', 'end_line', 'end_ch')} as o2 from ap),
+pairs as (select row_number() over () as pid, l_orderkey, l_linenumber,
+                 substr(t, least(o1, o2) + 1, abs(o2 - o1)) as a, ins as b from offs),
+dp(pid, i, r) as (
+  select pid, 0, list_transform(range(0, length(b) + 1), lambda j: 0) from pairs
+  union all
+  select d.pid, d.i + 1,
+         list_reduce(range(1, length(p.b) + 1),
+                     lambda acc, j: list_append(acc, case when substr(p.a, d.i + 1, 1) = substr(p.b, j, 1)
+                                                          then d.r[j] + 1 else greatest(d.r[j + 1], acc[j]) end),
+                     [0])
+  from dp d join pairs p on p.pid = d.pid where d.i < length(p.a))
+select p.l_orderkey, p.l_linenumber, 'ok' as diff_status,
+       cast(d.r[-1] as bigint) as equal_chars,
+       cast(length(p.a) - d.r[-1] as bigint) as delete_chars,
+       cast(length(p.b) - d.r[-1] as bigint) as insert_chars
+from pairs p join dp d on d.pid = p.pid and d.i = length(p.a)"""

@@ -433,8 +433,7 @@ def q_revision_diff_totals(spark, base):
             F.filter("segments", lambda x: x["type"] == kind), F.lit(0).cast("long"), lambda acc, x: acc + F.length(x["value"])
         ).alias(f"{kind}_chars")
 
-    return r.select(*KEY, "diff_status", total("equal"), total("delete"), total("insert"),
-                    F.size("segments").cast("long").alias("n_segments"))
+    return r.select(*KEY, "diff_status", total("equal"), total("delete"), total("insert"))
 
 
 @query("diff_regions")
