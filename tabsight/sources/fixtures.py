@@ -96,9 +96,13 @@ def documents(spark: SparkSession, base: str) -> DataFrame:
 DECISION_KIND = {"view": "shown", "purchase": "accept", "error": "reject", "click": "content", "signup": "clear"}
 
 
+_EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
 def event_ms(ts: Column) -> Column:
-    """Epoch milliseconds of a ``timestamp_ntz`` read as UTC wall clock."""
-    return F.unix_millis(ts.cast("timestamp"))
+    """Epoch milliseconds of a ``timestamp_ntz`` read as UTC wall clock,
+    independent of the session time zone (NTZ arithmetic only)."""
+    return F.timestamp_diff("MILLISECOND", F.lit(_EPOCH_NTZ).cast("timestamp_ntz"), ts)
 
 
 def decisions(spark: SparkSession, base: str, kinds: tuple[str, ...] | None = None) -> DataFrame:

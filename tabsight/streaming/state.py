@@ -48,7 +48,8 @@ def _outcomes(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterat
             state.remove()
     else:
         state.update(pending)
-    yield pd.DataFrame(rows, columns=[f.name for f in OUTCOME_OUT.fields])
+    if rows:
+        yield pd.DataFrame(rows, columns=[f.name for f in OUTCOME_OUT.fields])
 
 
 def stream_outcomes(decisions: DataFrame) -> DataFrame:
@@ -85,7 +86,8 @@ def _activation(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iter
                 files.add(r.file)
                 rows.append((user, r.seq, r.file, epoch, first))
     state.update((epoch, json.dumps(sorted(files))))
-    yield pd.DataFrame(rows, columns=[f.name for f in ACTIVATION_OUT.fields])
+    if rows:
+        yield pd.DataFrame(rows, columns=[f.name for f in ACTIVATION_OUT.fields])
 
 
 def stream_first_activation(events: DataFrame) -> DataFrame:

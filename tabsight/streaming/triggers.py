@@ -71,6 +71,8 @@ def _processor(debounce: int, throttle: int, max_pending: int):
             state.setTimeoutTimestamp(max(min(p[2] for p in pending), state.getCurrentWatermarkMs() + 1))
         elif last_fire is not None:
             state.update((last_fire, "[]"))
+        if not out:
+            return
         yield pd.DataFrame(
             {
                 "user_id": pd.array([o[0] for o in out], dtype="Int64"),
