@@ -120,7 +120,8 @@ def with_diff_facts(d: DataFrame, segs: str = "segments", new: str = "new_text")
 
 
 def deletion_offsets(d: DataFrame, segs: str = "segments") -> DataFrame:
-    """``(…, idx, del_start, del_end)`` relative offsets of each deleted run."""
+    """``(…, idx, del_start, del_end)``: relative offsets of each deleted run,
+    ``idx`` numbering the deleted runs from 1 in order."""
     s = F.col(segs)
     dels = F.filter(
         F.transform(F.sequence(F.lit(1), F.greatest(F.size(s), F.lit(1))), lambda i: F.struct(i.alias("i"), F.get(s, i - 1).alias("seg"))),
@@ -128,8 +129,8 @@ def deletion_offsets(d: DataFrame, segs: str = "segments") -> DataFrame:
     )
     spans = F.transform(
         dels,
-        lambda x: F.struct(
-            x["i"].alias("idx"),
+        lambda x, n: F.struct(
+            (n + 1).alias("idx"),
             _offset_before(s, x["i"]).alias("start"),
             (_offset_before(s, x["i"]) + F.length(x["seg"]["value"])).alias("end"),
         ),

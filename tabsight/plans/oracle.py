@@ -661,9 +661,14 @@ ORACLE["stream_actions"] = ORACLE["route_action"]
 ORACLE["stream_preference_log"] = ORACLE["preference_log_roundtrip"]
 
 
-# -- revision diff totals: equal = L, deleted = m - L, inserted = n - L, with L
-# the LCS length from a recursive CTE (one DP row per step of the old text).
-ORACLE["revision_diff_totals"] = f"""with recursive {COMPLETIONS_SQL},
+# -- revision diffs ------------------------------------------------------------
+# Pairs: the whole replaced range of a document (a) against the replacement (b).
+# L comes from the LCS table built one row per character of a (recursive CTE);
+# the alignment is recovered by backtracking that table (match first, then up
+# when the cell above is strictly larger, else left), and segments follow from
+# the leftmost embedding of the LCS string in a and in b: between consecutive
+# matched characters lie one deleted run and one inserted run.
+REVISION_PAIRS_SQL = f"""{COMPLETIONS_SQL},
 docs as (select '/src/f' || cast(doc_id as varchar) || '.py' as path, text,
                 cast(len(string_split_regex(text, '\\r\\n|\\n|\\r')) as integer) as line_count,
                 cast(length(string_split_regex(text, '\\r\\n|\\n|\\r')[-1]) as integer) as last_line_len
@@ -675,7 +680,7 @@ ap as (select p.l_orderkey, p.l_linenumber, p.line, p.ch, p.end_line, p.end_ch,
               string_split(d.text, {NL}) as ls
        from parsed p join docs d on d.path = p.active_path where p.form is not null and p.kind = 'editReplace'),
 offs as (select *, {offset_sql('t', 'ls', 'line', 'ch')} as o1, {offset_sql('t', 'ls', 'end_line', 'end_ch')} as o2 from ap),
-pairs as (select row_number() over () as pid, l_orderkey, l_linenumber,
+pairs as (select row_number() over () as pid, l_orderkey, l_linenumber, t, ls, least(o1, o2) as range_start,
                  substr(t, least(o1, o2) + 1, abs(o2 - o1)) as a, ins as b from offs),
 dp(pid, i, r) as (
   select pid, 0, list_transform(range(0, length(b) + 1), lambda j: 0) from pairs
@@ -685,7 +690,85 @@ dp(pid, i, r) as (
                      lambda acc, j: list_append(acc, case when substr(p.a, d.i + 1, 1) = substr(p.b, j, 1)
                                                           then d.r[j] + 1 else greatest(d.r[j + 1], acc[j]) end),
                      [0])
-  from dp d join pairs p on p.pid = d.pid where d.i < length(p.a))
+  from dp d join pairs p on p.pid = d.pid where d.i < length(p.a))"""
+
+DIFF_SQL = f"""{REVISION_PAIRS_SQL},
+bt(pid, i, j, lcs) as (
+  select pid, length(a), length(b), '' from pairs
+  union all
+  select b0.pid,
+    case when substr(p.a, b0.i, 1) = substr(p.b, b0.j, 1) or d1.r[b0.j + 1] > d0.r[b0.j] then b0.i - 1 else b0.i end,
+    case when substr(p.a, b0.i, 1) = substr(p.b, b0.j, 1) or not (d1.r[b0.j + 1] > d0.r[b0.j]) then b0.j - 1 else b0.j end,
+    case when substr(p.a, b0.i, 1) = substr(p.b, b0.j, 1) then substr(p.a, b0.i, 1) || b0.lcs else b0.lcs end
+  from bt b0 join pairs p on p.pid = b0.pid
+       join dp d0 on d0.pid = b0.pid and d0.i = b0.i
+       join dp d1 on d1.pid = b0.pid and d1.i = b0.i - 1
+  where b0.i > 0 and b0.j > 0),
+lcs as (select pid, lcs from bt where i = 0 or j = 0),
+emb(pid, k, po, pn) as (
+  select pid, 0, 0, 0 from lcs
+  union all
+  select e.pid, e.k + 1,
+         e.po + instr(substr(p.a, e.po + 1), substr(l.lcs, e.k + 1, 1)),
+         e.pn + instr(substr(p.b, e.pn + 1), substr(l.lcs, e.k + 1, 1))
+  from emb e join lcs l on l.pid = e.pid join pairs p on p.pid = e.pid where e.k < length(l.lcs)),
+gaps as (
+  -- gap k (1..L+1) lies before matched character k (k = L+1: the tail)
+  select p.pid, e.k + 1 as k,
+         e.po as del_start,
+         coalesce(n.po - 1, length(p.a)) as del_end,
+         substr(p.b, e.pn + 1, coalesce(n.pn - 1, length(p.b)) - e.pn) as ins
+  from emb e join pairs p on p.pid = e.pid
+       left join emb n on n.pid = e.pid and n.k = e.k + 1),
+facts as (
+  select p.pid, p.l_orderkey, p.l_linenumber, p.t, p.range_start, p.a, p.b,
+    count(*) filter (where g.del_end > g.del_start or length(g.ins) > 0) as regions,
+    count(*) filter (where length(g.ins) > 0) as ins_regions,
+    bool_or(g.del_end > g.del_start) as has_del,
+    bool_or(length({trim_js('g.ins')}) > 0) as nonblank_ins,
+    arg_min(g.del_start, g.k) filter (where g.del_end > g.del_start or length(g.ins) > 0) as c_start,
+    arg_min(g.del_end, g.k) filter (where g.del_end > g.del_start or length(g.ins) > 0) as c_end,
+    arg_min(g.ins, g.k) filter (where g.del_end > g.del_start or length(g.ins) > 0) as c_text
+  from pairs p join gaps g on g.pid = p.pid
+  group by p.pid, p.l_orderkey, p.l_linenumber, p.t, p.range_start, p.a, p.b)"""
+
+
+def pos_line(text: str, off: str) -> str:
+    return f"cast(length(left({text}, {off})) - length(replace(left({text}, {off}), chr(10), '')) as bigint)"
+
+
+def pos_ch(text: str, off: str) -> str:
+    return f"cast({off} - length(regexp_extract(left({text}, {off}), '(?s)^.*\\n', 0)) as bigint)"
+
+
+ORACLE["diff_regions"] = f"with recursive {DIFF_SQL} select l_orderkey, l_linenumber, cast(regions as bigint) as regions from facts"
+ORACLE["diff_flags"] = f"""with recursive {DIFF_SQL}
+select l_orderkey, l_linenumber, has_del as has_deletion, length(b) > 0 and nonblank_ins as has_insertions from facts"""
+ORACLE["coherent_replacement"] = f"""with recursive {DIFF_SQL},
+c as (select *, regions = 1 and has_del and length(c_text) > 0 as ok from facts)
+select l_orderkey, l_linenumber, ok as is_coherent,
+  case when ok then {pos_line('t', 'range_start + c_start')} end as del_start_line,
+  case when ok then {pos_ch('t', 'range_start + c_start')} end as del_start_ch,
+  case when ok then {pos_line('t', 'range_start + c_end')} end as del_end_line,
+  case when ok then {pos_ch('t', 'range_start + c_end')} end as del_end_ch,
+  case when ok then c_text end as text
+from c"""
+ORACLE["pure_insertion"] = f"""with recursive {DIFF_SQL},
+c as (select *, not has_del and ins_regions = 1 and length(c_text) > 0 as ok from facts)
+select l_orderkey, l_linenumber, ok as is_pure,
+  case when ok then {pos_line('t', 'range_start + c_start')} end as line,
+  case when ok then {pos_ch('t', 'range_start + c_start')} end as ch,
+  case when ok then c_text end as text
+from c"""
+ORACLE["deletion_ranges"] = f"""with recursive {DIFF_SQL},
+d as (select p.l_orderkey, p.l_linenumber, p.t, p.range_start, g.del_start, g.del_end,
+             row_number() over (partition by g.pid order by g.k) as idx
+      from gaps g join pairs p on p.pid = g.pid where g.del_end > g.del_start)
+select l_orderkey, l_linenumber, cast(idx as bigint) as idx,
+  {pos_line('t', 'range_start + del_start')} as start_line, {pos_ch('t', 'range_start + del_start')} as start_ch,
+  {pos_line('t', 'range_start + del_end')} as end_line, {pos_ch('t', 'range_start + del_end')} as end_ch
+from d"""
+ORACLE["revision_diff_totals"] = f"""with recursive {REVISION_PAIRS_SQL}
 select p.l_orderkey, p.l_linenumber, 'ok' as diff_status,
        cast(d.r[-1] as bigint) as equal_chars,
        cast(length(p.a) - d.r[-1] as bigint) as delete_chars,
