@@ -774,3 +774,20 @@ select p.l_orderkey, p.l_linenumber, 'ok' as diff_status,
        cast(length(p.a) - d.r[-1] as bigint) as delete_chars,
        cast(length(p.b) - d.r[-1] as bigint) as insert_chars
 from pairs p join dp d on d.pid = p.pid and d.i = length(p.a)"""
+
+ORACLE["preview_class"] = f"""with recursive {DIFF_SQL},
+rep as (select l_orderkey, l_linenumber, 'editReplace' as kind,
+               case when not has_del and ins_regions = 1 and length(c_text) > 0 then 'inline_insertion'
+                    when length(b) > 0 and nonblank_ins and regions = 1 and has_del and length(c_text) > 0 then 'coherent_inline'
+                    when length(b) > 0 and nonblank_ins then 'replace_block'
+                    else 'deletion_only' end as preview_class
+        from facts),
+oth as (select l_orderkey, l_linenumber, kind,
+               case when kind = 'editInsert' then
+                         case when line > floor(line_count / 2) or (line = floor(line_count / 2) and ch >= 0)
+                              then 'ghost' else 'insert_block' end
+                    when kind = 'editDelete' then 'range_delete'
+                    when kind in ('terminalSendText', 'setSelections', 'openFile') then 'indicator'
+                    when kind in ('terminalShow', 'showTextDocument') then 'none' end as preview_class
+        from parsed where not (form is not null and kind = 'editReplace') or kind is null)
+select * from rep union all select * from oth"""
