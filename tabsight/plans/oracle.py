@@ -791,3 +791,46 @@ oth as (select l_orderkey, l_linenumber, kind,
                     when kind in ('terminalShow', 'showTextDocument') then 'none' end as preview_class
         from parsed where not (form is not null and kind = 'editReplace') or kind is null)
 select * from rep union all select * from oth"""
+
+
+# -- trigger coalescing: a per-user step-by-step simulation (recursive CTE over
+# each user's events in order; state = pending timers + last fire time).
+_PEND_T = "struct(seq bigint, t bigint, f bigint)"
+_OUT_T = "struct(seq bigint, t bigint, fire bigint, cancelled boolean)"
+ORACLE["coalesce_triggers"] = f"""with recursive
+ev as (select user_id, (epoch_us(ts) // 1000) // 100000 as t, event_id as seq,
+              row_number() over (partition by user_id order by (epoch_us(ts) // 1000) // 100000, event_id) as k
+       from events),
+sim(user_id, k, pending, last_fire, out) as (
+  select user_id, 0, []::{_PEND_T}[], null::bigint, []::{_OUT_T}[] from (select distinct user_id from ev)
+  union all
+  select user_id, k, 
+         case when len(np) > 2 then np[2:] else np end,
+         lf,
+         list_concat(out0, case when len(np) > 2
+                                then [struct_pack(seq := np[1].seq, t := np[1].t, fire := null::bigint, cancelled := true)]
+                                else []::{_OUT_T}[] end)
+  from (
+    select user_id, k, lf, out0,
+           list_append(rest, struct_pack(seq := eseq, t := et,
+                f := et + case when lf is not null and et - lf < 300 then greatest(150, 300 - (et - lf)) else 150 end)) as np
+    from (
+      select s.user_id, s.k + 1 as k, e.t as et, e.seq as eseq,
+             list_filter(s.pending, lambda p: p.f > e.t) as rest,
+             coalesce(list_max(list_transform(list_filter(s.pending, lambda p: p.f <= e.t), lambda p: p.f)), s.last_fire) as lf,
+             list_concat(s.out, list_transform(list_filter(s.pending, lambda p: p.f <= e.t),
+                         lambda p: struct_pack(seq := p.seq, t := p.t, fire := p.f, cancelled := false))) as out0
+      from sim s join ev e on e.user_id = s.user_id and e.k = s.k + 1))),
+fin as (
+  select s.user_id,
+         list_concat(s.out, list_transform(s.pending,
+                     lambda p: struct_pack(seq := p.seq, t := p.t, fire := p.f, cancelled := false))) as res
+  from sim s join (select user_id, max(k) as n from ev group by user_id) m on m.user_id = s.user_id and s.k = m.n)
+select user_id, r.seq as seq, r.t as t, r.fire as fire_at, r.cancelled as cancelled
+from (select user_id, unnest(res) as r from fin)"""
+
+# The stream resolves a timer once the watermark (latest event time, no delay)
+# has passed it; timers at or after the last event time are still pending.
+ORACLE["stream_coalesce_triggers"] = f"""with c as ({ORACLE["coalesce_triggers"].replace("with recursive", "with recursive", 1)}),
+w as (select max((epoch_us(ts) // 1000) // 100000) as mx from events)
+select c.* from c, w where c.cancelled or c.fire_at < w.mx"""
