@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 
 from ..sources.schemas import DIFF_SEGMENT
 
-# Pairs whose table would exceed this many cells are not diffed; their status
-# says so (``too_large``) instead of returning an approximate result.
+# Pairs whose table would exceed this many cells get no segments; their status
+# says so (``too_large``) and their LCS length is still computed exactly.
 DEFAULT_MAX_CELLS = 20_000_000
 
 
@@ -41,6 +41,23 @@ def _table(x: str, y: str) -> np.ndarray:
     return t
 
 
+def lcs_length(a: str, b: str) -> int:
+    """Exact LCS length with two table rows (memory linear in the shorter
+    text); used for pairs too large for a full table."""
+    x, y = (a, b) if len(a) >= len(b) else (b, a)
+    if not y:
+        return 0
+    cy = np.frombuffer(y.encode("utf-32-le"), dtype=np.uint32)
+    prev = np.zeros(len(y) + 1, dtype=np.int64)
+    for ch in np.frombuffer(x.encode("utf-32-le"), dtype=np.uint32):
+        diag = np.where(cy == ch, prev[:-1] + 1, 0)
+        cur = np.empty_like(prev)
+        cur[0] = 0
+        cur[1:] = np.maximum.accumulate(np.maximum(prev[1:], diag))
+        prev = cur
+    return int(prev[-1])
+
+
 def _lcs(a: str, b: str) -> str:
     m, n = len(a), len(b)
     if m == 0 or n == 0:
@@ -99,24 +116,34 @@ def diff_chars(old: str, new: str) -> list[tuple[str, str]]:
 
 
 DIFF_RESULT = T.StructType(
-    [T.StructField("status", T.StringType()), T.StructField("segments", T.ArrayType(DIFF_SEGMENT))]
+    [
+        T.StructField("status", T.StringType()),
+        T.StructField("segments", T.ArrayType(DIFF_SEGMENT)),
+        T.StructField("lcs_len", T.LongType()),
+    ]
 )
 
 
 def diff_udf(max_cells: int = DEFAULT_MAX_CELLS):
     @F.pandas_udf(DIFF_RESULT)
     def _diff(old: pd.Series, new: pd.Series) -> pd.DataFrame:
-        status, segs = [], []
+        status, segs, lens = [], [], []
         for a, b in zip(old, new):
             if a is None or b is None:
                 status.append(None)
                 segs.append(None)
+                lens.append(None)
             elif len(a) * len(b) > max_cells:
+                # No segments (the full table would not fit), but the totals
+                # stay exact: the LCS length from a two-row pass.
                 status.append("too_large")
                 segs.append(None)
+                lens.append(lcs_length(a, b))
             else:
+                d = diff_chars(a, b)
                 status.append("ok")
-                segs.append([{"type": t, "value": v} for t, v in diff_chars(a, b)])
-        return pd.DataFrame({"status": status, "segments": segs})
+                segs.append([{"type": t, "value": v} for t, v in d])
+                lens.append(sum(len(v) for t, v in d if t == "equal"))
+        return pd.DataFrame({"status": status, "segments": segs, "lcs_len": pd.array(lens, dtype="Int64")})
 
     return _diff

@@ -18,9 +18,15 @@ from ..functions.positions import line_pieces, position_at
 
 
 def revision_diff(pairs: DataFrame, old: str = "old_text", new: str = "new_text", max_cells: int = DEFAULT_MAX_CELLS) -> DataFrame:
-    """Add ``diff_status`` (``ok`` / ``too_large``) and ``segments``."""
+    """Add ``diff_status`` (``ok`` / ``too_large``), ``segments`` (null when
+    too large) and ``lcs_len`` (always exact)."""
     d = pairs.withColumn("__d", diff_udf(max_cells)(F.col(old), F.col(new)))
-    return d.withColumn("diff_status", F.col("__d.status")).withColumn("segments", F.col("__d.segments")).drop("__d")
+    return (
+        d.withColumn("diff_status", F.col("__d.status"))
+        .withColumn("segments", F.col("__d.segments"))
+        .withColumn("lcs_len", F.col("__d.lcs_len"))
+        .drop("__d")
+    )
 
 
 def _is_change(s: Column) -> Column:

@@ -427,13 +427,13 @@ def _replacements(spark, base):
 @query("revision_diff_totals")
 def q_revision_diff_totals(spark, base):
     r = _replacements(spark, base)
-
-    def total(kind):
-        return F.aggregate(
-            F.filter("segments", lambda x: x["type"] == kind), F.lit(0).cast("long"), lambda acc, x: acc + F.length(x["value"])
-        ).alias(f"{kind}_chars")
-
-    return r.select(*KEY, "diff_status", total("equal"), total("delete"), total("insert"))
+    # From the LCS length, so pairs too large for segments still get exact totals.
+    lcs = F.col("lcs_len")
+    return r.select(
+        *KEY, "diff_status", lcs.alias("equal_chars"),
+        (F.length("old_text") - lcs).cast("long").alias("delete_chars"),
+        (F.length("new_text") - lcs).cast("long").alias("insert_chars"),
+    )
 
 
 @query("diff_regions")
