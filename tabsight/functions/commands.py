@@ -38,7 +38,7 @@ BT = "`" * 3
 
 def strip_think(cmd: Column) -> Column:
     """Remove every ``<think>...</think>`` block, trim; empty -> null."""
-    has_think = F.instr(F.lower(cmd), "<think>") > 0
+    has_think = cmd.contains("<") & (F.instr(F.lower(cmd), "<think>") > 0)
     return nonempty(js_trim(F.when(has_think, F.regexp_replace(cmd, THINK, "")).otherwise(cmd)))
 
 
