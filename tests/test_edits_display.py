@@ -72,3 +72,18 @@ def test_action_strings(spark):
     ).first()
     assert r["s"] == "Delete lines 3–5" and r["d"] == "Lines 3 to 5"
     assert r["x"]["title"] == "Delete Text" and r["x"]["body"] == "Lines 3–5"
+
+
+def test_start_after_end_is_normalised(spark):
+    # sed '5,2d' parses to a range whose start is after its end; applying it
+    # deletes the same text as the ordered range.
+    from tabsight.functions.commands import with_action
+
+    text = "\n".join(f"l{i}" for i in range(8))
+    d = spark.createDataFrame([("sed -i '5,2d' /a.py", "/a.py", 8, 2, text)],
+                              "raw string, active_path string, line_count int, last_line_len int, text string")
+    a = with_action(d)
+    r = a.select("action.range.start.line", "action.range.end.line").first()
+    assert tuple(r) == (4, 2)
+    out = ed.apply_action(a).first()["new_text"]
+    assert out == "\n".join(["l0", "l1", "l4", "l5", "l6", "l7"])
