@@ -29,7 +29,7 @@ from conversations group by 1
 """
 
 ORACLE["conversation_tokens"] = f"""
-select conv_id, count(*) as n_turns, sum({TOK}) as turn_tokens,
+select conv_id, count(*) as n_turns, cast(sum({TOK}) as bigint) as turn_tokens,
        cast({SYS_TOK} as bigint) as system_tokens
 from conversations group by conv_id
 """
@@ -411,9 +411,9 @@ ORACLE["outcome_report"] = f"""with {SAMPLES_SQL}
 select modelName as model_name, kind,
        case when not isnan(avg_lp) then floor(avg_lp / 0.25) * 0.25 end as lp_bucket,
        count(*) as n,
-       sum(case when outcome = 'accepted' then 1 else 0 end) as n_accepted,
-       sum(case when outcome = 'rejected' then 1 else 0 end) as n_rejected,
-       sum(case when outcome = 'ignored' then 1 else 0 end) as n_ignored,
+       cast(sum(case when outcome = 'accepted' then 1 else 0 end) as bigint) as n_accepted,
+       cast(sum(case when outcome = 'rejected' then 1 else 0 end) as bigint) as n_rejected,
+       cast(sum(case when outcome = 'ignored' then 1 else 0 end) as bigint) as n_ignored,
        case when sum(case when outcome in ('accepted', 'rejected') then 1 else 0 end) > 0
             then round(sum(case when outcome = 'accepted' then 1 else 0 end)
                        / sum(case when outcome in ('accepted', 'rejected') then 1 else 0 end), 6) end as acceptance_rate,
@@ -653,7 +653,8 @@ with m as (
   from conversations),
 k as (select conv_id, turn, role, content, tokens from m where total <= {TEST_BUDGET - SYS_TOK} or rn > ceil(n / 2.0)
       union all select distinct conv_id, -1, 'system', {SYS}, {SYS_TOK} from conversations)
-select conv_id, count(*) as n_messages, sum(tokens) as request_tokens, sum(length(content)) as content_chars,
+select conv_id, count(*) as n_messages, cast(sum(tokens) as bigint) as request_tokens,
+       cast(sum(length(content)) as bigint) as content_chars,
        arg_min(role, turn) as first_role, arg_max(role, turn) as last_role
 from k group by conv_id"""
 
