@@ -43,11 +43,18 @@ def test_roundtrip_and_quarantine(spark):
     assert path
 
 
+def _in_order(tmp):
+    """The file source takes files by modification time: make it the name order."""
+    for i, name in enumerate(sorted(os.listdir(tmp))):
+        os.utime(os.path.join(tmp, name), (1_700_000_000 + i, 1_700_000_000 + i))
+
+
 def _split_events(tmp, n_parts=4):
     t = pq.read_table(f"{SF}/events.parquet").sort_by("ts")
     step = (t.num_rows + n_parts - 1) // n_parts
     for i in range(n_parts):
         pq.write_table(t.slice(i * step, step), os.path.join(tmp, f"events_{i:02d}.parquet"))
+    _in_order(tmp)
 
 
 def test_stream_equals_batch(spark):
@@ -90,6 +97,7 @@ def test_stream_coalescing_equals_batch(spark):
     pq.write_table(tbl.slice(9), os.path.join(tmp, "part_01.parquet"))
     # A closing event far in the future moves the watermark past every timer.
     pq.write_table(pa.table({"user_id": [99], "t": [1_800_000_000_000], "seq": [999]}), os.path.join(tmp, "part_02.parquet"))
+    _in_order(tmp)
     stream = (
         spark.readStream.schema("user_id bigint, t bigint, seq bigint").option("maxFilesPerTrigger", 1).parquet(tmp)
     )
