@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabsight.llm import bpe, quality_rules, simhash
+from tabsight.llm import bpe, decontaminate, quality_rules, simhash
 from tabsight.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_quality_rules, op5_bpe, op10_simhash)
+    f.__name__: f for f in (op1_decontaminate, op3_quality_rules, op5_bpe, op10_simhash)
+}
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SHINGLES = (
+    "unnest(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))"
+    " WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s"
+)
+ORACLE: dict[str, str] = {
+    "op1_decontaminate": rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+        ds AS (SELECT doc_id, {_SHINGLES} FROM d),
+        bs AS (SELECT item_id, {_SHINGLES} FROM b),
+        n AS (SELECT item_id, count(*) AS n_item_shingles FROM bs GROUP BY item_id),
+        j AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (s) GROUP BY doc_id, item_id)
+        SELECT doc_id, item_id, n_item_shingles, n_shared, n_shared / n_item_shingles AS containment
+        FROM j JOIN n USING (item_id) WHERE 5 * n_shared >= 4 * n_item_shingles""",
 }
-ORACLE: dict[str, str] = {}
