@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsight.llm.common import LOWER, shingle_hashes, span_hashes, text_chunks, word_spans
+from tabsight.llm.common import LOWER, shingle_hashes, span_hashes, stored, text_chunks, word_spans
 
 PERMUTATIONS, BLOCK_BYTES, LEAST_CLASS = 64, 16 << 20, 3
 MULTIPLIERS = np.random.default_rng(77).integers(0, 2**31, PERMUTATIONS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -166,3 +166,9 @@ def contained(docs: DataFrame, benchmark: DataFrame, k: int = 5, per_cent: int =
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
         parts.append(_search(docs, Items([tuple(r) for r in block.collect()], k), per_cent))
     return reduce(DataFrame.unionByName, parts).withColumn("containment", F.col("n_shared") / F.col("n_item_shingles"))
+
+
+def without_items(docs: DataFrame, benchmark: DataFrame, k: int = 5, per_cent: int = 80) -> DataFrame:
+    """The documents that contain no test item."""
+    found = stored(contained(docs, benchmark, k, per_cent).select("doc_id").distinct(), "contaminated")
+    return docs.join(found.withColumnRenamed("doc_id", "_found"), docs["doc_id"].eqNullSafe(F.col("_found")), "left_anti")

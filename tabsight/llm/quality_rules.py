@@ -58,10 +58,12 @@ def consistency(support: float, dof: int) -> float:
     return support / (1 - exp(-x / 2) * sum((x / 2) ** k / factorial(k) for k in range(dof // 2 + 1)))
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """Counts over each whole text: the contract's four, lines, capitals, marks."""
+def statistics(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """Counts over each whole text: the contract's four, lines, capitals, marks.
+    ``carry`` keeps the input row in a column ``row``."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), text.alias("t"))
+    row = F.struct(*docs.columns) if carry else F.lit(0)
+    d = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), text.alias("t"), row.alias("row"))
     d = d.withColumn("w", F.filter(F.split("t", SPACE_RE + "+"), lambda x: x != ""))
     d = d.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(WORD_RE)))
     d = d.withColumn("n_words", F.size("w").cast("long"))
@@ -72,7 +74,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     d = d.withColumn("sorted", F.expr("CASE WHEN size(array_distinct(windows)) < size(windows) THEN array_sort(transform(windows, (h, i) -> struct(h, i))) END"))
     again = "filter(sorted, (x, j) -> get(sorted, j - 1).h <=> x.h OR get(sorted, j + 1).h <=> x.h)"
     return d.select(
-        "doc_id", "lang", "source", "n_words",
+        "doc_id", "lang", "source", "n_words", "row",
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         left_over(r"[^#*$%&|<>]+").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -140,19 +142,27 @@ def _concentrate(vectors: DataFrame, estimate: DataFrame, support: float) -> Dat
 def judge(docs: DataFrame, support: float = SUPPORT, steps: int = STEPS, min_cell: int = MIN_CELL, beyond: float = BEYOND) -> DataFrame:
     """Statistics of every document with ``base_failed``, squared distance ``d2``
     (null where the base rules failed) and ``kept``."""
-    stats = stored(statistics(docs), "quality-statistics")
-    good = stats.where("NOT base_failed").select("doc_id", "lang", "source", *(F.expr(e).alias(v) for v, e, _ in VECTOR))
+    stats = stored(statistics(docs).drop("row"), "quality-statistics")
+    return _verdicts(stats, support, steps, min_cell, beyond).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
+
+
+def passing(docs: DataFrame, support: float = SUPPORT, steps: int = STEPS, min_cell: int = MIN_CELL, beyond: float = BEYOND) -> DataFrame:
+    """The input rows that :func:`judge` keeps. The rows are written once beside
+    their statistics, so no text is shuffled."""
+    stats = stored(statistics(docs, carry=True), "quality-statistics")
+    return _verdicts(stats, support, steps, min_cell, beyond).where("kept").select("row.*")
+
+
+def _verdicts(stats: DataFrame, support: float, steps: int, min_cell: int, beyond: float) -> DataFrame:
+    good = stats.where("NOT base_failed").select("lang", "source", *(F.expr(e).alias(v) for v, e, _ in VECTOR))
     cells = stored(_cells(good, min_cell), "quality-cells")
-    vectors = stored(good.join(cells, ["lang", "source"]).drop("lang", "source", "doc_id"), "quality-vectors")
-    estimate = stored(_start(vectors), "quality-cells")
+    vectors = stored(good.join(cells, ["lang", "source"]).drop("lang", "source"), "quality-vectors")
+    estimate = stored(_start(vectors), "quality-estimate")
     for _ in range(steps):
-        estimate = stored(_concentrate(vectors, estimate, support), "quality-cells")
-    cells = cells.join(estimate, "cell")
+        estimate = stored(_concentrate(vectors, estimate, support), "quality-estimate")
     every = stats.select("*", *(F.expr(f"CASE WHEN NOT base_failed THEN {e} END").alias(v) for v, e, _ in VECTOR))
     inverse = {(i, j): F.col(f"p_{i}_{j}") for i in range(DIM) for j in range(i, DIM)}
     d2 = F.when(~F.col("base_failed"), _distance([F.col(f"m_{i}") for i in range(DIM)], inverse))
     cut = chi2_quantile(1 - beyond, DIM)
-    return every.join(cells, ["lang", "source"], "left").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        F.coalesce(~F.col("base_failed") & (d2 <= cut), F.lit(False)).alias("kept"), d2.alias("d2"),
-    )
+    judged = every.join(cells.join(estimate, "cell"), ["lang", "source"], "left").withColumn("d2", d2)
+    return judged.withColumn("kept", F.coalesce(~F.col("base_failed") & (F.col("d2") <= cut), F.lit(False)))

@@ -201,3 +201,11 @@ def near_duplicates(docs: DataFrame, k: int = 3, reach: int = 2, shard: int = SH
     smallest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
     named = stored(classes.join(smallest, "root").select("fp", "component_id"), "classes")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def without_copies(docs: DataFrame, k: int = 3, reach: int = 2) -> DataFrame:
+    """The documents that name their component. Rows with the same doc_id (null
+    included) are one document, of which one row stays."""
+    named = near_duplicates(docs, k, reach).where("doc_id <=> component_id").select("doc_id").distinct()
+    first = docs.dropDuplicates(["doc_id"]).alias("t")
+    return first.join(named.withColumnRenamed("doc_id", "_named"), F.col("t.doc_id").eqNullSafe(F.col("_named")), "left_semi")
