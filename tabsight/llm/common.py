@@ -149,54 +149,48 @@ def text_chunks(batch: pa.RecordBatch, column: str, most: int = 1 << 21) -> Iter
 # ---------------------------------------------------------------- blocks
 
 BLOCKS = "block long, doc_ids array<long>, lens array<int>, ids binary, words array<binary>"
-#: A block ends at this many words or distinct words; word numbers are uint16.
-BLOCK_WORDS, BLOCK_DISTINCT, BLOCK_STEP = 1_000_000, 60_000, 4096
+BLOCK_SCHEMA = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int32())), ("ids", pa.binary()), ("words", pa.list_(pa.binary()))])
+#: A block ends with the document that takes it over either number.
+BLOCK_WORDS, BLOCK_DISTINCT = 1_000_000, 50_000
 
 
 def pack_blocks(docs: DataFrame, lower: bool, name: str) -> DataFrame:
     """Documents as rows of packed word numbers with the words they stand for,
-    written once. A block holds consecutive documents of one task, up to about
-    ``BLOCK_WORDS`` words and ``BLOCK_DISTINCT`` distinct words. A document that
-    goes over either limit is cut: its parts lie in consecutive blocks, and a
-    negative length ``-n - 1`` says that it goes on after these n words."""
+    written once. A block holds consecutive whole documents of one task, about
+    ``BLOCK_WORDS`` words or ``BLOCK_DISTINCT`` distinct words; word numbers have
+    two bytes, or four where one document has too many distinct words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, seq = TaskContext.get().partitionId() << 33, 0
         number: dict[bytes, int] = {}
         ids: list[np.ndarray] = []
         doc_ids: list[int | None] = []
-        lens: list[int] = []
-        size = taken = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal seq, size, taken
-            packed = np.concatenate([*ids, np.empty(0, np.uint16)]).tobytes()
-            row = {"block": base + seq, "doc_ids": list(doc_ids), "lens": list(lens), "ids": packed, "words": list(number)}
-            seq, size, taken = seq + 1, 0, 0
-            number.clear(), ids.clear(), doc_ids.clear(), lens.clear()
+            nonlocal seq
+            packed = np.concatenate(ids).astype(np.uint16 if len(number) <= 1 << 16 else np.uint32).tobytes()
+            row = {"block": base + seq, "doc_ids": list(doc_ids), "lens": list(map(len, ids)), "ids": packed, "words": list(number)}
+            seq += 1
+            number.clear(), ids.clear(), doc_ids.clear()
             return pa.RecordBatch.from_pylist([row], BLOCK_SCHEMA)
 
+        size = 0
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 raw = (text.as_py() or "").encode()
                 words = (raw.translate(LOWER) if lower else raw).split()
-                at, more = 0, True
-                while more:
-                    part = words[at : at + BLOCK_STEP]
-                    ids.append(np.array([number.setdefault(w, len(number)) for w in part], np.uint16))
-                    at, size = at + len(part), size + len(part)
-                    more = at < len(words)
-                    full = size >= BLOCK_WORDS or len(number) > BLOCK_DISTINCT - BLOCK_STEP
-                    if full or not more:
-                        doc_ids.append(doc_id)
-                        lens.append(taken - size - 1 if more else size - taken)
-                        taken = size
-                    if full:
-                        yield flush()
+                ids.append(np.array([number.setdefault(w, len(number)) for w in words], np.uint32))
+                doc_ids.append(doc_id)
+                size += len(words)
+                if size >= BLOCK_WORDS or len(number) >= BLOCK_DISTINCT or len(ids) >= 100_000:
+                    yield flush()
+                    size = 0
         if doc_ids:
             yield flush()
 
     return stored(docs.select("doc_id", "text").mapInArrow(run, BLOCKS), name)
 
 
-BLOCK_SCHEMA = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int32())), ("ids", pa.binary()), ("words", pa.list_(pa.binary()))])
+def block_ids(ids: bytes, lens: np.ndarray) -> np.ndarray:
+    """Word numbers of a block."""
+    return np.frombuffer(ids, np.uint32 if len(ids) > 2 * int(np.sum(lens)) else np.uint16)

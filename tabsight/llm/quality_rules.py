@@ -114,7 +114,7 @@ def _inverse(cov: DataFrame) -> DataFrame:
 
 def _start(vectors: DataFrame) -> DataFrame:
     """Medians and median absolute deviations, as a diagonal estimate."""
-    med = vectors.groupBy("cell").agg(*(F.percentile_approx(v, 0.5, 10_000).alias(f"m_{i}") for i, (v, _, _) in enumerate(VECTOR)))
+    med = stored(vectors.groupBy("cell").agg(*(F.percentile_approx(v, 0.5, 10_000).alias(f"m_{i}") for i, (v, _, _) in enumerate(VECTOR))), "quality-medians")
     away = vectors.join(med, "cell").groupBy("cell").agg(*(F.percentile_approx(F.abs(F.col(v) - F.col(f"m_{i}")), 0.5, 10_000).alias(f"d_{i}") for i, (v, _, _) in enumerate(VECTOR)))
     spread = [F.pow(F.greatest(1.4826 * F.col(f"d_{i}"), F.lit(floor)), 2) for i, (_, _, floor) in enumerate(VECTOR)]
     zero = [F.lit(0.0).alias(f"p_{i}_{j}") for i in range(DIM) for j in range(i + 1, DIM)]
@@ -130,7 +130,7 @@ def _judged(vectors: DataFrame, estimate: DataFrame) -> DataFrame:
 def _concentrate(vectors: DataFrame, estimate: DataFrame, support: float) -> DataFrame:
     """Mean and covariance of each cell's nearest ``support`` share."""
     judged = _judged(vectors, estimate)
-    edge = judged.groupBy("cell").agg(F.percentile_approx("d2", support, 10_000).alias("edge"))
+    edge = stored(judged.groupBy("cell").agg(F.percentile_approx("d2", support, 10_000).alias("edge")), "quality-edge")
     near = judged.join(edge, "cell").where("d2 <= edge")
     x = [F.col(v) for v, _, _ in VECTOR]
     sums = near.groupBy("cell").agg(*(F.avg(x[i]).alias(f"m_{i}") for i in range(DIM)), *(F.covar_pop(x[i], x[j]).alias(f"q_{i}_{j}") for i in range(DIM) for j in range(i, DIM)))
@@ -164,5 +164,7 @@ def _verdicts(stats: DataFrame, support: float, steps: int, min_cell: int, beyon
     inverse = {(i, j): F.col(f"p_{i}_{j}") for i in range(DIM) for j in range(i, DIM)}
     d2 = F.when(~F.col("base_failed"), _distance([F.col(f"m_{i}") for i in range(DIM)], inverse))
     cut = chi2_quantile(1 - beyond, DIM)
-    judged = every.join(cells.join(estimate, "cell"), ["lang", "source"], "left").withColumn("d2", d2)
+    # Written, so that the planner knows its size and can send it to the rows.
+    fitted = stored(cells.join(estimate, "cell"), "quality-fitted")
+    judged = every.join(fitted, ["lang", "source"], "left").withColumn("d2", d2)
     return judged.withColumn("kept", F.coalesce(~F.col("base_failed") & (F.col("d2") <= cut), F.lit(False)))
