@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.llm import bpe, decontaminate, lm_score, pii, quality_classifier, quality_rules, simhash, substring_dedup, url_filter
+from tabsight.llm import bpe, decontaminate, licenses, lm_score, pii, quality_classifier, quality_rules, simhash, substring_dedup, url_filter
 from tabsight.llm.common import crc_mod, table
 
 
@@ -25,6 +25,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op3_quality_rules, op4_pii, op5_bpe, op6_substring_dedup, op7_lm_score, op8_url_filter, op9_quality_classifier, op10_simhash)
+    f.__name__: f for f in (op1_decontaminate, op2_licenses, op3_quality_rules, op4_pii, op5_bpe, op6_substring_dedup, op7_lm_score, op8_url_filter, op9_quality_classifier, op10_simhash)
 }
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SHINGLES = (
