@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsight.llm.common import block_ids, pack_blocks, shingle_hashes, span_hashes, stored
+from tabsight.llm.common import block_ids, pack_blocks, shingle_hashes, span_hashes, stored, word_list
 
 WINDOW, GRAM = 20, 8
 #: Blocks whose anchors or stretches share a group, about.
@@ -81,14 +81,14 @@ class Block:
 
 def _read(batch: pa.RecordBatch) -> Iterator[Block]:
     for r in batch.to_pylist():
-        yield Block(r["block"], r["doc_ids"], np.array(r["lens"], np.int64), r["ids"], r["words"])
+        yield Block(r["block"], r["doc_ids"], np.array(r["lens"], np.int64), r["ids"], word_list(r["words"]))
 
 
 def _of(rows: pd.DataFrame) -> Block | None:
     if not len(rows):
         return None
     r = rows.iloc[0]
-    return Block(r["block"], list(r["doc_ids"]), r["lens"], r["ids"], list(r["words"]))
+    return Block(r["block"], list(r["doc_ids"]), r["lens"], r["ids"], word_list(r["words"]))
 
 
 def _by_group(values: np.ndarray, groups: int) -> Iterator[tuple[int, np.ndarray]]:
