@@ -30,7 +30,6 @@ HEADLINE = [
     "reward_labels",
     "dpo_pairs",
     "revision_diff_totals",
-    "replay_edits",
     "coalesce_triggers",
 ]
 
@@ -41,8 +40,6 @@ def main() -> None:
     spark = local_session(cores=cpus, shuffle_partitions=int(cpus) * 2 if cpus.isdigit() else 16, app="tabsight-bench")
     times: dict[str, float] = {}
     for name in HEADLINE:
-        if name not in QUERIES:
-            continue
         best = None
         for _ in range(3):
             t0 = time.perf_counter()

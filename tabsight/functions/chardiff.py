@@ -1,19 +1,22 @@
-"""Character diff of two texts (longest common subsequence), as an Arrow
-batch UDF. This is the one place where per-row Python runs: the dynamic
-programme has no native Spark form. Everything derived from the segments
-(regions, flags, ranges) is computed back in the JVM with higher-order
-functions.
-
-Alignment rules (they decide which of several equally long alignments is
-reported): the LCS table is filled in full; backtracking from the end takes a
-match when the characters are equal, else moves up when the cell above is
-strictly larger, else left. Segments are then cut by scanning both texts
-forward against that LCS string: deleted characters first, then inserted,
-then equal.
+"""Character diff of two texts, as Arrow batch UDFs.
+
+The longest-common-subsequence table has no native Spark form, so Python runs
+here; everything derived from the segments is computed back in the JVM.
+
+Which alignment is reported: from the end of both texts, equal characters are
+matched; where they differ, a strictly larger value above wins, else the walk
+goes left. Each common character then takes its leftmost place in either text;
+between two places deletions come before insertions.
+
+Memory grows with n * sqrt(m), not with n * m: every sqrt(m)-th row of the
+table is kept, and the rows between are computed again, block by block from the
+end. There is no size limit.
 """
 
 from __future__ import annotations
 
+from math import isqrt
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -21,129 +24,102 @@ from pyspark.sql import types as T
 
 from ..sources.schemas import DIFF_SEGMENT
 
-# Pairs whose table would exceed this many cells get no segments; their status
-# says so (``too_large``) and their LCS length is still computed exactly.
-DEFAULT_MAX_CELLS = 20_000_000
-
-
-def _table(x: str, y: str) -> np.ndarray:
-    """LCS length table ``t[i, j]`` for prefixes ``x[:i]``, ``y[:j]``, filled a
-    row at a time: each row is a running max along the row, so the inner loop
-    is vectorised and the Python loop runs ``len(x)`` times."""
-    cx = np.frombuffer(x.encode("utf-32-le"), dtype=np.uint32)
-    cy = np.frombuffer(y.encode("utf-32-le"), dtype=np.uint32)
-    dtype = np.uint16 if min(len(x), len(y)) < 65535 else np.uint32
-    t = np.zeros((len(x) + 1, len(y) + 1), dtype=dtype)
-    for i in range(1, len(x) + 1):
-        prev = t[i - 1]
-        diag = np.where(cy == cx[i - 1], prev[:-1] + 1, 0).astype(dtype)
-        t[i, 1:] = np.maximum.accumulate(np.maximum(prev[1:], diag))
-    return t
-
-
-def lcs_length(a: str, b: str) -> int:
-    """Exact LCS length with two table rows (memory linear in the shorter
-    text); used for pairs too large for a full table."""
-    x, y = (a, b) if len(a) >= len(b) else (b, a)
-    if not y:
-        return 0
-    cy = np.frombuffer(y.encode("utf-32-le"), dtype=np.uint32)
-    prev = np.zeros(len(y) + 1, dtype=np.int64)
-    for ch in np.frombuffer(x.encode("utf-32-le"), dtype=np.uint32):
-        diag = np.where(cy == ch, prev[:-1] + 1, 0)
-        cur = np.empty_like(prev)
-        cur[0] = 0
-        cur[1:] = np.maximum.accumulate(np.maximum(prev[1:], diag))
-        prev = cur
-    return int(prev[-1])
-
-
-def _lcs(a: str, b: str) -> str:
-    m, n = len(a), len(b)
-    if m == 0 or n == 0:
-        return ""
-    # The table is symmetric in its two texts; build it along the shorter
-    # text (fewer Python-level rows) and read it transposed when needed.
-    if m <= n:
-        t = _table(a, b)
-
-        def up(i, j):  # cell (i-1, j) vs (i, j-1)
-            return t[i - 1, j] > t[i, j - 1]
-    else:
-        t = _table(b, a)
-
-        def up(i, j):
-            return t[j, i - 1] > t[j - 1, i]
-
-    out = []
-    i, j = m, n
-    while i > 0 and j > 0:
-        if a[i - 1] == b[j - 1]:
-            out.append(a[i - 1])
-            i -= 1
-            j -= 1
-        elif up(i, j):
-            i -= 1
-        else:
-            j -= 1
-    return "".join(reversed(out))
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _next_row(row: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """The table row below ``row``; ``same``: columns whose character equals the new one."""
+    out = row.copy()
+    np.maximum(out[1:], row[:-1] + same, out=out[1:])
+    return np.maximum.accumulate(out, out=out)
+
+
+def _matches(old: str, new: str) -> list[int]:
+    """Places in ``old`` of the characters that the walk from the end matches."""
+    a, b = _points(old), _points(new)
+    if not len(a) or not len(b):
+        return []
+    step = isqrt(len(a)) + 1
+    row = np.zeros(len(b) + 1, np.int32)
+    kept = [row]
+    for i, c in enumerate(a[: (len(a) - 1) // step * step], 1):
+        row = _next_row(row, b == c)
+        if i % step == 0:
+            kept.append(row)
+    out, j, columns = [], len(b), np.arange(1, len(b) + 1)
+    for k in range(len(kept) - 1, -1, -1):
+        rows = [kept.pop()]
+        block = a[k * step : (k + 1) * step]
+        for c in block:
+            rows.append(_next_row(rows[-1], b == c))
+        for i in range(len(block) - 1, -1, -1):
+            if not j:
+                return out[::-1]
+            # The walk leaves a row at the last column, up to j, that either
+            # matches or has a larger value above than to its left.
+            same = b[:j] == block[i]
+            leave = same | (rows[i][1 : j + 1] > rows[i + 1][:j])
+            j = int(np.max(columns[:j], where=leave, initial=0))
+            if j and same[j - 1]:
+                out.append(k * step + i)
+                j -= 1
+    return out[::-1]
+
+
+def common_text(old: str, new: str) -> str:
+    """The longest common subsequence that the alignment rules pick."""
+    end = 0  # equal ends are matched first, so they need no table
+    while end < min(len(old), len(new)) and old[-1 - end] == new[-1 - end]:
+        end += 1
+    tail = old[len(old) - end :]
+    return "".join(old[i] for i in _matches(old[: len(old) - end], new[: len(new) - end])) + tail
+
+
+def lcs_length(old: str, new: str) -> int:
+    """Length alone, a bit per character of ``old`` in one integer: a zero bit
+    marks a column where the row's value rises."""
+    where: dict[str, int] = {}
+    for i, c in enumerate(old):
+        where[c] = where.get(c, 0) | 1 << i
+    full = (1 << len(old)) - 1
+    flat = full
+    for c in new:
+        hit = flat & where.get(c, 0)
+        flat = ((flat + hit) | (flat - hit)) & full
+    return len(old) - flat.bit_count()
+
+
+def _leftmost(common: str, text: str) -> list[int]:
+    places, at = [], -1
+    for c in common:
+        at = text.index(c, at + 1)
+        places.append(at)
+    return places
 
 
 def diff_chars(old: str, new: str) -> list[tuple[str, str]]:
     """Ordered ``(type, value)`` segments, type ``equal`` / ``insert`` / ``delete``."""
-    common = _lcs(old, new)
-    segs: list[tuple[str, str]] = []
-    i = j = k = 0
-    while i < len(old) or j < len(new):
-        s = i
-        while i < len(old) and (k >= len(common) or old[i] != common[k]):
-            i += 1
-        if i > s:
-            segs.append(("delete", old[s:i]))
-        s = j
-        while j < len(new) and (k >= len(common) or new[j] != common[k]):
-            j += 1
-        if j > s:
-            segs.append(("insert", new[s:j]))
-        s = i
-        while k < len(common) and i < len(old) and j < len(new) and old[i] == common[k] and new[j] == common[k]:
-            i += 1
-            j += 1
-            k += 1
-        if i > s:
-            segs.append(("equal", old[s:i]))
-    return segs
-
-
-DIFF_RESULT = T.StructType(
-    [
-        T.StructField("status", T.StringType()),
-        T.StructField("segments", T.ArrayType(DIFF_SEGMENT)),
-        T.StructField("lcs_len", T.LongType()),
-    ]
-)
-
-
-def diff_udf(max_cells: int = DEFAULT_MAX_CELLS):
-    @F.pandas_udf(DIFF_RESULT)
-    def _diff(old: pd.Series, new: pd.Series) -> pd.DataFrame:
-        status, segs, lens = [], [], []
-        for a, b in zip(old, new):
-            if a is None or b is None:
-                status.append(None)
-                segs.append(None)
-                lens.append(None)
-            elif len(a) * len(b) > max_cells:
-                # No segments (the full table would not fit), but the totals
-                # stay exact: the LCS length from a two-row pass.
-                status.append("too_large")
-                segs.append(None)
-                lens.append(lcs_length(a, b))
-            else:
-                d = diff_chars(a, b)
-                status.append("ok")
-                segs.append([{"type": t, "value": v} for t, v in d])
-                lens.append(sum(len(v) for t, v in d if t == "equal"))
-        return pd.DataFrame({"status": status, "segments": segs, "lcs_len": pd.array(lens, dtype="Int64")})
-
-    return _diff
+    common = common_text(old, new)
+    in_old = [-1, *_leftmost(common, old), len(old)]
+    in_new = [-1, *_leftmost(common, new), len(new)]
+    out: list[tuple[str, str]] = []
+    held = ""
+    for n in range(1, len(in_old)):
+        gone, added = old[in_old[n - 1] + 1 : in_old[n]], new[in_new[n - 1] + 1 : in_new[n]]
+        if gone or added:
+            out += [("equal", held), ("delete", gone), ("insert", added)]
+            held = ""
+        held += common[n - 1 : n]
+    return [s for s in [*out, ("equal", held)] if s[1]]
+
+
+@F.pandas_udf(T.ArrayType(DIFF_SEGMENT))
+def segments_udf(old: pd.Series, new: pd.Series) -> pd.Series:
+    return pd.Series([None if a is None or b is None else [{"type": t, "value": v} for t, v in diff_chars(a, b)] for a, b in zip(old, new)], dtype=object)
+
+
+@F.pandas_udf(T.LongType())
+def lcs_length_udf(old: pd.Series, new: pd.Series) -> pd.Series:
+    return pd.Series([None if a is None or b is None else lcs_length(a, b) for a, b in zip(old, new)], dtype="Int64")

@@ -12,21 +12,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.chardiff import DEFAULT_MAX_CELLS, diff_udf
+from ..functions.chardiff import lcs_length_udf, segments_udf
 from ..functions.jscompat import js_trim
 from ..functions.positions import line_pieces, position_at
 
 
-def revision_diff(pairs: DataFrame, old: str = "old_text", new: str = "new_text", max_cells: int = DEFAULT_MAX_CELLS) -> DataFrame:
-    """Add ``diff_status`` (``ok`` / ``too_large``), ``segments`` (null when
-    too large) and ``lcs_len`` (always exact)."""
-    d = pairs.withColumn("__d", diff_udf(max_cells)(F.col(old), F.col(new)))
-    return (
-        d.withColumn("diff_status", F.col("__d.status"))
-        .withColumn("segments", F.col("__d.segments"))
-        .withColumn("lcs_len", F.col("__d.lcs_len"))
-        .drop("__d")
-    )
+def revision_diff(pairs: DataFrame, old: str = "old_text", new: str = "new_text") -> DataFrame:
+    """Add ``segments``, null where a text is null."""
+    return pairs.withColumn("segments", segments_udf(F.col(old), F.col(new)))
+
+
+def revision_lengths(pairs: DataFrame, old: str = "old_text", new: str = "new_text") -> DataFrame:
+    """Add ``lcs_len`` alone, which needs no alignment."""
+    return pairs.withColumn("lcs_len", lcs_length_udf(F.col(old), F.col(new)))
 
 
 def _is_change(s: Column) -> Column:
@@ -113,7 +111,7 @@ def pure_insertion(segs: Column) -> Column:
 
 def with_diff_facts(d: DataFrame, segs: str = "segments", new: str = "new_text") -> DataFrame:
     """Add ``regions``, ``has_deletion``, ``has_insertions``, ``coherent``,
-    ``pure`` from the segment array (null when the pair was not diffed)."""
+    ``pure`` from the segment array (null where a text is null)."""
     s = F.col(segs)
     ok = s.isNotNull()
     return (
@@ -157,7 +155,8 @@ def to_positions(d: DataFrame, text: str, offsets: dict[str, Column]) -> DataFra
 
 def preview_class(action: Column, cursor_line: Column, cursor_ch: Column) -> Column:
     """How a suggestion is previewed. Needs the diff facts for replacements
-    (columns ``pure``, ``has_insertions``, ``coherent``)."""
+    (columns ``pure``, ``has_insertions``, ``coherent``, ``has_deletion``) and
+    ``old_text``: without a deletion or insertion the whole range is marked."""
     k = action["kind"]
     p = action["position"]
     after_cursor = (p["line"] > cursor_line) | ((p["line"] == cursor_line) & (p["ch"] >= cursor_ch))
@@ -165,6 +164,7 @@ def preview_class(action: Column, cursor_line: Column, cursor_ch: Column) -> Col
         F.when(F.col("pure.is_pure"), F.lit("inline_insertion"))
         .when(F.col("has_insertions") & F.col("coherent.is_coherent"), F.lit("coherent_inline"))
         .when(F.col("has_insertions"), F.lit("replace_block"))
+        .when(~F.col("has_deletion") & (F.length("old_text") > 0), F.lit("whole_range"))
         .otherwise(F.lit("deletion_only"))
     )
     return (

@@ -132,7 +132,7 @@ def default_log_path(configured: str = "", workspace: str | None = None) -> str:
         return configured
     if workspace:
         return workspace.rstrip("/") + "/" + config.PREFERENCE_LOG_FILE_NAME
-    raise ValueError("No preference log path found.")
+    raise ValueError("set a log path or a workspace folder for the preference log")
 
 
 def write_preferences(samples: DataFrame, path: str, enabled: bool = True) -> bool:

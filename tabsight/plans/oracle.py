@@ -601,26 +601,26 @@ ev0 as (select user_id, (epoch_us(ts) // 1000) as ts, event_id as seq, event_typ
                cast(json_extract(props, '$.k') as bigint) as k from events),
 eu as (
   select user_id, min(ts) as ts, -1 as seq, 'tab' as kind, '/src/f' || cast(user_id % 20 as varchar) || '.py' as file,
-         null::integer as "offset", null::integer as length, null::varchar as text, null::bigint as execution_id
-  from ev0 where event_type in ('click', 'error') group by user_id
+         null::integer as "offset", null::integer as length, null::varchar as text, null::bigint as execution_id, null::bigint as change_idx
+  from ev0 where event_type in ('view', 'click', 'purchase', 'error', 'signup') group by user_id
   union all
-  select user_id, ts, seq, 'selection', '/src/f' || cast(k % 20 as varchar) || '.py', cast(k as integer), null, null, null
+  select user_id, ts, seq, 'selection', '/src/f' || cast(k % 20 as varchar) || '.py', cast(k as integer), null, null, null, null
   from ev0 where event_type = 'view' and seq % 5 <> 0
   union all
-  select user_id, ts, seq, 'tab', '/src/f' || cast(k % 20 as varchar) || '.py', null, null, null, null
+  select user_id, ts, seq, 'tab', '/src/f' || cast(k % 20 as varchar) || '.py', null, null, null, null, null
   from ev0 where event_type = 'click'
   union all
-  select user_id, ts, seq, 'content', '/src/f' || cast(k % 20 as varchar) || '.py', cast(seq % 20 as integer), 0, 'c0', null
-  from ev0 where event_type = 'purchase' and seq % 4 <> 0
+  select user_id, ts, seq, 'content', '/src/f' || cast(k % 20 as varchar) || '.py', cast((seq + j) % 20 as integer), cast(j as integer), 'c' || cast(j as varchar), null, j
+  from ev0, range(0, 3) r(j) where event_type = 'purchase' and seq % 4 <> 0 and j <= seq % 3
   union all
-  select user_id, ts, seq, 'terminal_command', null, null, null, 'pytest -k ' || cast(k as varchar), seq
+  select user_id, ts, seq, 'terminal_command', null, null, null, 'pytest -k ' || cast(k as varchar), seq, null
   from ev0 where event_type = 'error'
   union all
-  select user_id, ts, seq, 'terminal_output', null, null, null, 'ok ' || cast(k as varchar) || chr(10), null
+  select user_id, ts, seq, 'terminal_output', null, null, null, 'ok ' || cast(k as varchar) || chr(10), null, null
   from ev0 where event_type = 'signup')"""
 
 ORACLE["event_union"] = f"""with {FEEDS_SQL}
-select user_id, ts, cast(seq as bigint) as seq, kind, file, "offset", length, text, execution_id from eu"""
+select user_id, ts, cast(seq as bigint) as seq, kind, file, "offset", length, text, execution_id, change_idx from eu"""
 
 ORACLE["explode_changes"] = f"""with {FEEDS_SQL}
 select user_id, seq, cast(j as bigint) as change_idx, cast((seq + j) % 20 as bigint) as "offset",
@@ -770,7 +770,7 @@ select l_orderkey, l_linenumber, cast(idx as bigint) as idx,
   {pos_line('t', 'range_start + del_end')} as end_line, {pos_ch('t', 'range_start + del_end')} as end_ch
 from d"""
 ORACLE["revision_diff_totals"] = f"""with recursive {REVISION_PAIRS_SQL}
-select p.l_orderkey, p.l_linenumber, 'ok' as diff_status,
+select p.l_orderkey, p.l_linenumber,
        cast(d.r[-1] as bigint) as equal_chars,
        cast(length(p.a) - d.r[-1] as bigint) as delete_chars,
        cast(length(p.b) - d.r[-1] as bigint) as insert_chars
@@ -781,6 +781,7 @@ rep as (select l_orderkey, l_linenumber, 'editReplace' as kind,
                case when not has_del and ins_regions = 1 and length(c_text) > 0 then 'inline_insertion'
                     when length(b) > 0 and nonblank_ins and regions = 1 and has_del and length(c_text) > 0 then 'coherent_inline'
                     when length(b) > 0 and nonblank_ins then 'replace_block'
+                    when not has_del and length(a) > 0 then 'whole_range'
                     else 'deletion_only' end as preview_class
         from facts),
 oth as (select l_orderkey, l_linenumber, kind,

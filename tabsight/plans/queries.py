@@ -8,6 +8,7 @@ columns whose names match the DuckDB oracle in ``plans/oracle.py``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -404,7 +405,6 @@ def _revisions(spark, base):
     parsed = _doc_parsed(spark, base).where((F.col("route") == "edit") & (F.col("action.kind") == "editReplace"))
     withtext = parsed.join(docs.select(F.col("path").alias("active_path"), "text"), "active_path")
     a = F.col("action")
-    rep = F.lit(True)
     o = ed.positions_to_offsets(
         withtext.withColumn("__sl", a["range"]["start"]["line"]).withColumn("__sc", a["range"]["start"]["ch"])
         .withColumn("__el", a["range"]["end"]["line"]).withColumn("__ec", a["range"]["end"]["ch"]),
@@ -413,24 +413,23 @@ def _revisions(spark, base):
     )
     o = (
         o.withColumn("range_start", F.least("__o1", "__o2"))
-        .withColumn("old_text", F.when(rep, F.substr(F.col("text"), F.col("range_start") + 1, F.abs(F.col("__o2") - F.col("__o1")))))
-        .withColumn("new_text", F.when(rep, a["text"]))
+        .withColumn("old_text", F.substr(F.col("text"), F.col("range_start") + 1, F.abs(F.col("__o2") - F.col("__o1"))))
+        .withColumn("new_text", a["text"])
         .drop("__sl", "__sc", "__el", "__ec", "__o1", "__o2")
     )
-    return df_.with_diff_facts(df_.revision_diff(o))
+    return o
 
 
 def _replacements(spark, base):
-    return _revisions(spark, base)
+    return df_.with_diff_facts(df_.revision_diff(_revisions(spark, base)))
 
 
 @query("revision_diff_totals")
 def q_revision_diff_totals(spark, base):
-    r = _replacements(spark, base)
-    # From the LCS length, so pairs too large for segments still get exact totals.
+    r = df_.revision_lengths(_revisions(spark, base))
     lcs = F.col("lcs_len")
     return r.select(
-        *KEY, "diff_status", lcs.alias("equal_chars"),
+        *KEY, lcs.alias("equal_chars"),
         (F.length("old_text") - lcs).cast("long").alias("delete_chars"),
         (F.length("new_text") - lcs).cast("long").alias("insert_chars"),
     )
@@ -493,8 +492,10 @@ def q_preview_class(spark, base):
         .withColumn("pure", F.lit(None).cast("struct<is_pure:boolean>"))
         .withColumn("has_insertions", F.lit(None).cast("boolean"))
         .withColumn("coherent", F.lit(None).cast("struct<is_coherent:boolean>"))
+        .withColumn("has_deletion", F.lit(None).cast("boolean"))
+        .withColumn("old_text", F.lit(None).cast("string"))
     )
-    return others.select(*out).unionByName(_revisions(spark, base).select(*out))
+    return others.select(*out).unionByName(_replacements(spark, base).select(*out))
 
 
 
@@ -531,13 +532,13 @@ def _event_union(spark, base):
     from ..sources import events as evs
 
     feeds = fx.editor_feeds(spark, base)
-    content_single = evs.explode_changes(feeds["content"]).where(F.col("change_idx") == 0).drop("change_idx")
+    every = reduce(DataFrame.unionByName, [f.select("user_id", "ts") for f in feeds.values()])
     start = evs.session_start(
-        feeds["tab"].unionByName(feeds["terminal_command"], allowMissingColumns=True).select("user_id", "ts"),
+        every,
         F.concat(F.lit("/src/f"), (F.col("user_id") % 20).cast("string"), F.lit(".py")),
     )
     return evs.event_union(
-        start, evs.first_selection(feeds["selection"]), feeds["tab"], content_single,
+        start, evs.first_selection(feeds["selection"]), feeds["tab"], evs.explode_changes(feeds["content"]),
         feeds["terminal_command"], feeds["terminal_output"],
     )
 

@@ -4,7 +4,6 @@ checkpoint folder every lineage cut goes through."""
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,27 +38,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
-
-    A cluster sets it to shared storage. Only when it is unset (local tests)
-    do we create a scratch folder of our own.
-    """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(current)
-        return current
-    path = tempfile.mkdtemp(prefix="tabsight-ckpt-")
-    sc.setCheckpointDir(path)
-    return path
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` into the shared checkpoint folder (reliable, survives
-    executor loss) and return the re-read DataFrame."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The folder named by ``spark.checkpoint.dir``, which all executors share.
+    A session on one machine gets a folder under its warehouse where the setting
+    is missing; a cluster session must set it."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    return path.rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

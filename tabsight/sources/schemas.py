@@ -86,6 +86,7 @@ EVENT = T.StructType(
         T.StructField("length", T.IntegerType()),
         T.StructField("text", T.StringType()),
         T.StructField("execution_id", T.LongType()),
+        T.StructField("change_idx", T.LongType()),  # place in a batch of content changes
     ]
 )
 

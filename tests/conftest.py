@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -10,7 +11,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from tabsight.session import local_session
 
+    tmp = tempfile.mkdtemp(prefix="tabsight-tests-")
     s = local_session(cores="*", shuffle_partitions=8, app="tabsight-tests")
+    s.sparkContext.setCheckpointDir(tmp)
     yield s
     s.stop()
 
