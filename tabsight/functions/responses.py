@@ -33,10 +33,17 @@ def response_text(v: Column) -> Column:
 
 def token_logprobs(v: Column) -> Column:
     """Per-token log-probabilities in order; null when the list is missing
-    (the caller treats that as a bad response). A token whose logprob is not a
-    number contributes NaN."""
+    (the caller treats that as a bad response). A JSON null counts as 0; a
+    missing logprob or one that is not a number contributes NaN."""
     toks = F.try_variant_get(v, LOGPROBS, "array<variant>")
-    return F.transform(toks, lambda t: F.coalesce(F.try_variant_get(t, "$.logprob", "double"), F.lit(float("nan"))))
+
+    def value(t: Column) -> Column:
+        is_null = F.schema_of_variant(F.try_variant_get(t, "$.logprob", "variant")) == "VOID"
+        return F.coalesce(
+            F.try_variant_get(t, "$.logprob", "double"), F.when(is_null, F.lit(0.0)), F.lit(float("nan"))
+        )
+
+    return F.transform(toks, value)
 
 
 def mean_logprob(lps: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..sources.schemas import PREFERENCE_DISK
 from .scan import event_slice, ordered_scan
-from .sessions import resolve_outcomes
+from .sessions import DECIDED, resolve_outcomes
 
 
 def context_arrays(truncated: DataFrame, key: str = "conv_id") -> DataFrame:
@@ -36,12 +36,12 @@ def preference_samples(
 
     ``shown``: ``(user_id, ts, seq, raw, action, avg_logprob, model_name,
     conv_id)``, one row per shown suggestion; ``decisions``: ``(user_id, ts,
-    seq, kind)`` with accept / reject rows. ``contexts``: ``(conv_id,
+    seq, kind)`` with accept / reject / dismiss rows. ``contexts``: ``(conv_id,
     context)``. Output: the log's fields plus ``user_id`` and ``sample_id``
     (the shown row's ``seq``).
     """
     seq_rows = shown.select("user_id", "ts", "seq", F.lit("shown").alias("kind")).unionByName(
-        decisions.where(F.col("kind").isin("accept", "reject")).select("user_id", "ts", "seq", "kind")
+        decisions.where(F.col("kind").isin(*DECIDED)).select("user_id", "ts", "seq", "kind")
     )
     outcomes = resolve_outcomes(seq_rows, include_pending=include_pending)
     return samples_from_outcomes(outcomes, shown, contexts)
@@ -185,15 +185,16 @@ def read_preferences(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
 # -- training tables ---------------------------------------------------------
 
 
-def context_hash(ctx: Column) -> Column:
-    """Partition key for a context; never an output column."""
-    return F.xxhash64(F.to_json(ctx))
+def context_digest(ctx: Column) -> Column:
+    """SHA-256 of a context: the key that stands for it in every shuffle."""
+    return F.sha2(F.to_json(ctx), 256)
 
 
 def reward_labels(samples: DataFrame, keep_ignored: bool = False) -> DataFrame:
     """Accepted -> 1, rejected -> 0 (ignored dropped, or -1 with
     ``keep_ignored``), one row per distinct (context, output): the earliest.
-    A grouped ``min`` of a struct (map-side combined), not a window."""
+    A grouped ``min`` of a struct (map-side combined), not a window; contexts
+    and outputs travel as digests only."""
     lab = (
         F.when(F.col("outcome") == "accepted", 1)
         .when(F.col("outcome") == "rejected", 0)
@@ -201,34 +202,36 @@ def reward_labels(samples: DataFrame, keep_ignored: bool = False) -> DataFrame:
     )
     s = samples.withColumn("label", lab).where(F.col("label").isNotNull())
     first = s.groupBy(
-        context_hash(F.col("context")).alias("__h"),
-        F.to_json(F.col("context")).alias("__ctx"),
-        F.col("completion.rawModelOutput").alias("__raw"),
+        context_digest(F.col("context")).alias("__ctx"),
+        F.sha2(F.col("completion.rawModelOutput"), 256).alias("__raw"),
     ).agg(F.min(F.struct("timestamp", "sample_id", "label")).alias("m"))
     return first.select(F.col("m.sample_id").alias("sample_id"), F.col("m.timestamp").alias("timestamp"),
                         F.col("m.label").cast("int").alias("label"))
 
 
 def dpo_pairs(samples: DataFrame, slice_ms: int = config.EVENT_SLICE_MS) -> DataFrame:
-    """One preference pair per rejected sample: the most recent earlier
-    accepted sample with the same context is ``chosen``.
+    """One preference pair per rejected sample with an accepted sample of the
+    same context: the most recent earlier one is ``chosen``, else the nearest
+    later one, which then is the first of the context.
 
-    Linear in the log (no all-pairs product within a context). Keyed by a
-    context hash in a sliced ordered scan; the pair is kept only when the
-    two contexts are really equal (a hash collision yields no pair).
+    Linear in the log (no all-pairs product within a context): one sliced
+    ordered scan keyed by the context's digest.
     """
     s = samples.select(
-        context_hash(F.col("context")).alias("__h"),
-        F.to_json(F.col("context")).alias("__ctx"),
+        context_digest(F.col("context")).alias("__ctx"),
         F.col("timestamp").alias("ts"),
         F.col("sample_id").alias("seq"),
         "outcome",
     ).where(F.col("outcome").isin("accepted", "rejected"))
-    accepted = F.when(F.col("outcome") == "accepted", F.struct(F.col("seq").alias("id"), F.col("__ctx").alias("ctx")))
-    scanned = ordered_scan(s, ["__h"], ["ts", "seq"], event_slice("ts", slice_ms), running_lasts={"__chosen": accepted})
-    return scanned.where(
-        (F.col("outcome") == "rejected") & (F.col("__chosen.ctx") == F.col("__ctx"))
-    ).select(F.col("__chosen.id").alias("chosen_id"), F.col("seq").alias("rejected_id"))
+    is_accepted = F.col("outcome") == "accepted"
+    scanned = ordered_scan(
+        s, ["__ctx"], ["ts", "seq"], event_slice("ts", slice_ms),
+        running_lasts={"__earlier": F.when(is_accepted, F.col("seq"))},
+        key_mins={"__first": F.when(is_accepted, F.struct("ts", "seq"))},
+    )
+    return scanned.where(F.col("outcome") == "rejected").select(
+        F.coalesce(F.col("__earlier"), F.col("__first.seq")).alias("chosen_id"), F.col("seq").alias("rejected_id")
+    ).where(F.col("chosen_id").isNotNull())
 
 
 def logprob_bucket(avg: Column, width: float = 0.25) -> Column:
@@ -237,25 +240,46 @@ def logprob_bucket(avg: Column, width: float = 0.25) -> Column:
 
 def outcome_report(samples: DataFrame) -> DataFrame:
     """Counts, acceptance rate and decision latency by model, action kind and
-    log-probability bucket. All aggregates combine map-side."""
-    lat = (F.col("outcomeTimestamp") - F.col("timestamp")).cast("long")
-    g = samples.groupBy(
+    log-probability bucket.
+
+    Counts per (group, latency) combine map-side; a sliced running sum over
+    them gives the exact nearest-rank percentiles, so no group is one task.
+    """
+    group = ["model_name", "kind", "lp_bucket"]
+    hist = samples.groupBy(
         F.col("modelName").alias("model_name"),
         F.col("completion.parsedAction.kind").alias("kind"),
         logprob_bucket(F.col("completion.avgLogprob")).alias("lp_bucket"),
+        (F.col("outcomeTimestamp") - F.col("timestamp")).cast("long").alias("lat"),
     ).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum((F.col("outcome") == "accepted").cast("long")).alias("n_accepted"),
         F.sum((F.col("outcome") == "rejected").cast("long")).alias("n_rejected"),
         F.sum((F.col("outcome") == "ignored").cast("long")).alias("n_ignored"),
-        F.sum(lat).alias("__lat_sum"),
-        F.min(lat).alias("min_latency_ms"),
-        F.max(lat).alias("max_latency_ms"),
+    )
+    timed = F.when(F.col("lat").isNotNull(), F.col("n"))
+    ranked = ordered_scan(
+        hist, group, ["lat"], event_slice("lat", config.EVENT_SLICE_MS),
+        running_sums={"__upto": timed}, key_totals={"__timed": timed},
+    )
+
+    def percentile(p: int) -> Column:
+        reached = F.col("lat").isNotNull() & (F.col("__upto") * 100 >= F.col("__timed") * p)
+        return F.min(F.when(reached, F.col("lat"))).alias(f"p{p}_latency_ms")
+
+    counts = ["n", "n_accepted", "n_rejected", "n_ignored"]
+    g = ranked.groupBy(*group).agg(
+        *[F.sum(c).alias(c) for c in counts],
+        F.sum(F.col("lat") * F.col("n")).alias("__lat_sum"),
+        F.min("lat").alias("min_latency_ms"),
+        F.max("lat").alias("max_latency_ms"),
+        percentile(50),
+        percentile(95),
     )
     decided = F.col("n_accepted") + F.col("n_rejected")
     return g.select(
         "model_name", "kind", "lp_bucket", "n", "n_accepted", "n_rejected", "n_ignored",
         F.when(decided > 0, F.round(F.col("n_accepted") / decided, 6)).alias("acceptance_rate"),
         F.round(F.col("__lat_sum") / F.col("n"), 3).alias("avg_latency_ms"),
-        "min_latency_ms", "max_latency_ms",
+        "min_latency_ms", "p50_latency_ms", "p95_latency_ms", "max_latency_ms",
     )

@@ -17,7 +17,10 @@ numbers). The scan then runs in two levels, the classic parallel prefix sum:
    hash-partitioned on ``(key, slice)`` by step 1, so only the small slice
    table moves; AQE turns it into a broadcast when its runtime size allows.
 
-The result equals the single-window scan exactly.
+The result equals the single-window scan exactly, rows with a null key or a
+null order column included: the cell ``(key, slice)`` is one struct column,
+and structs compare equal when the same fields are null, so the carry join
+stays a plain equi-join on the column the rows are already partitioned by.
 """
 
 from __future__ import annotations
@@ -28,6 +31,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _SLICE = "__slice"
+_CELL = "__cell"
+
+
+def _with_cell(df: DataFrame, keys: Sequence[str], slice_expr: Column) -> DataFrame:
+    """Add the slice and the ``(key, slice)`` cell, never null itself."""
+    return df.withColumn(_SLICE, slice_expr).withColumn(_CELL, F.struct(*keys, _SLICE))
 
 
 def ordered_scan(
@@ -38,6 +47,7 @@ def ordered_scan(
     running_sums: Mapping[str, Column] | None = None,
     running_lasts: Mapping[str, Column] | None = None,
     key_totals: Mapping[str, Column] | None = None,
+    key_mins: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Add running aggregates per ``keys`` in ``order`` (ties must not exist).
 
@@ -45,20 +55,22 @@ def ordered_scan(
     ``running_lasts``: name -> expression; last non-null value up to and
     including the row (``last(x, ignorenulls) over unbounded preceding``).
     ``key_totals``: name -> numeric expression; the sum over the whole key.
+    ``key_mins``: name -> orderable expression; the minimum over the whole key.
     ``slice_expr`` must be non-decreasing along ``order`` within a key.
     """
     running_sums = dict(running_sums or {})
     running_lasts = dict(running_lasts or {})
     key_totals = dict(key_totals or {})
+    key_mins = dict(key_mins or {})
     keys = list(keys)
     order_cols = [F.col(c) for c in order]
 
-    src = df.withColumn(_SLICE, slice_expr)
-    for name, e in {**running_sums, **running_lasts, **key_totals}.items():
+    src = _with_cell(df, keys, slice_expr)
+    for name, e in {**running_sums, **running_lasts, **key_totals, **key_mins}.items():
         src = src.withColumn(f"__v_{name}", e)
 
     w_local = (
-        Window.partitionBy(*keys, _SLICE)
+        Window.partitionBy(_CELL)
         .orderBy(*order_cols)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
@@ -76,23 +88,26 @@ def ordered_scan(
         for n in running_lasts
     ]
     aggs += [F.sum(f"__v_{n}").alias(f"__k_{n}") for n in key_totals]
+    aggs += [F.min(f"__v_{n}").alias(f"__k_{n}") for n in key_mins]
     if not aggs:
         raise ValueError("ordered_scan needs at least one aggregate")
-    totals = src.groupBy(*keys, _SLICE).agg(*aggs)
+    totals = src.groupBy(_CELL).agg(*aggs)
+    totals = totals.select(f"{_CELL}.*", "*")
 
     w_before = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     w_key = Window.partitionBy(*keys)
     carry_cols = [F.coalesce(F.sum(f"__t_{n}").over(w_before), F.lit(0)).alias(f"__c_{n}") for n in running_sums]
     carry_cols += [F.last(f"__t_{n}", ignorenulls=True).over(w_before).alias(f"__c_{n}") for n in running_lasts]
     carry_cols += [F.sum(f"__k_{n}").over(w_key).alias(n) for n in key_totals]
-    carry = totals.select(*keys, _SLICE, *carry_cols)
+    carry_cols += [F.min(f"__k_{n}").over(w_key).alias(n) for n in key_mins]
+    carry = totals.select(_CELL, *carry_cols)
 
-    out = local.join(carry, [*keys, _SLICE], "inner")
+    out = local.join(carry, _CELL, "inner")
     for name in running_sums:
         out = out.withColumn(name, F.col(f"__l_{name}") + F.col(f"__c_{name}"))
     for name in running_lasts:
         out = out.withColumn(name, F.coalesce(F.col(f"__l_{name}"), F.col(f"__c_{name}")))
-    drop = [_SLICE] + [c for c in out.columns if c.startswith(("__v_", "__l_", "__c_"))]
+    drop = [_SLICE, _CELL] + [c for c in out.columns if c.startswith(("__v_", "__l_", "__c_"))]
     return out.drop(*drop)
 
 
@@ -125,18 +140,20 @@ def with_next(
     """
     keys = list(keys)
     order_cols = [F.col(c) for c in order]
-    src = df.withColumn(_SLICE, slice_expr)
-    w_local = Window.partitionBy(*keys, _SLICE).orderBy(*order_cols)
+    src = _with_cell(df, keys, slice_expr)
+    w_local = Window.partitionBy(_CELL).orderBy(*order_cols)
     local = src.withColumn("__lead", F.lead(value).over(w_local)).withColumn(
         "__is_last", F.lead(F.lit(1)).over(w_local).isNull()
     )
-    firsts = src.groupBy(*keys, _SLICE).agg(F.min_by(F.col(value), F.struct(*order_cols)).alias("__first"))
+    firsts = src.groupBy(_CELL).agg(F.min_by(F.col(value), F.struct(*order_cols)).alias("__first"))
     w_slices = Window.partitionBy(*keys).orderBy(_SLICE)
-    carry = firsts.select(*keys, _SLICE, F.lead("__first").over(w_slices).alias("__next_first"))
-    out_df = local.join(carry, [*keys, _SLICE], "inner").withColumn(
+    carry = firsts.select(f"{_CELL}.*", "*").select(
+        _CELL, F.lead("__first").over(w_slices).alias("__next_first")
+    )
+    out_df = local.join(carry, _CELL, "inner").withColumn(
         out, F.when(F.col("__is_last"), F.col("__next_first")).otherwise(F.col("__lead"))
     )
-    return out_df.drop(_SLICE, "__lead", "__is_last", "__next_first")
+    return out_df.drop(_SLICE, _CELL, "__lead", "__is_last", "__next_first")
 
 
 def with_prev(
@@ -152,15 +169,17 @@ def with_prev(
     previous non-empty slice)."""
     keys = list(keys)
     order_cols = [F.col(c) for c in order]
-    src = df.withColumn(_SLICE, slice_expr)
-    w_local = Window.partitionBy(*keys, _SLICE).orderBy(*order_cols)
+    src = _with_cell(df, keys, slice_expr)
+    w_local = Window.partitionBy(_CELL).orderBy(*order_cols)
     local = src.withColumn("__lag", F.lag(value).over(w_local)).withColumn(
         "__is_first", F.lag(F.lit(1)).over(w_local).isNull()
     )
-    lasts = src.groupBy(*keys, _SLICE).agg(F.max_by(F.col(value), F.struct(*order_cols)).alias("__last"))
+    lasts = src.groupBy(_CELL).agg(F.max_by(F.col(value), F.struct(*order_cols)).alias("__last"))
     w_slices = Window.partitionBy(*keys).orderBy(_SLICE)
-    carry = lasts.select(*keys, _SLICE, F.lag("__last").over(w_slices).alias("__prev_last"))
-    out_df = local.join(carry, [*keys, _SLICE], "inner").withColumn(
+    carry = lasts.select(f"{_CELL}.*", "*").select(
+        _CELL, F.lag("__last").over(w_slices).alias("__prev_last")
+    )
+    out_df = local.join(carry, _CELL, "inner").withColumn(
         out, F.when(F.col("__is_first"), F.col("__prev_last")).otherwise(F.col("__lag"))
     )
-    return out_df.drop(_SLICE, "__lag", "__is_first", "__prev_last")
+    return out_df.drop(_SLICE, _CELL, "__lag", "__is_first", "__prev_last")

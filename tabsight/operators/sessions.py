@@ -17,6 +17,8 @@ from .scan import event_slice, ordered_scan, with_next
 
 KEYS = ["user_id"]
 ORDER = ["ts", "seq"]
+# Events that decide the pending suggestion; all but ``accept`` reject it.
+DECIDED = ("accept", "reject", "dismiss")
 
 
 def _slice(slice_ms: int):
@@ -111,10 +113,10 @@ def resolve_outcomes(
 ) -> DataFrame:
     """Label every shown suggestion accepted / rejected / ignored.
 
-    ``decisions``: ``(user_id, ts, seq, kind)`` with kind ``shown``, ``accept``
-    or ``reject`` (other rows are ignored). Rules: a new ``shown`` row labels
-    the pending one ``ignored`` at its own time; the first accept or reject
-    after a shown row labels it and clears it; later decisions do nothing. A
+    ``decisions``: ``(user_id, ts, seq, kind)`` with kind ``shown``, ``accept``,
+    ``reject`` or ``dismiss`` (other rows are ignored). Rules: a new ``shown`` row
+    labels the pending one ``ignored`` at its own time; the first accept, reject
+    or dismiss (a rejection) after a shown row labels it and clears it; later decisions do nothing. A
     sample still pending at the end is emitted only with ``include_pending``
     (outcome null).
 
@@ -124,7 +126,7 @@ def resolve_outcomes(
     of that small table with itself on ``n + 1``. No per-user window.
     """
     kind = F.col("kind")
-    d = decisions.where(kind.isin("shown", "accept", "reject")).select("user_id", "ts", "seq", "kind")
+    d = decisions.where(kind.isin("shown", *DECIDED)).select("user_id", "ts", "seq", "kind")
     numbered = ordered_scan(d, KEYS, ORDER, _slice(slice_ms), running_sums={"n": (kind == "shown").cast("long")})
     per = (
         numbered.where(F.col("n") > 0)
@@ -178,19 +180,22 @@ def session_state_asof(actions: DataFrame, slice_ms: int = config.EVENT_SLICE_MS
     ``cursor_line``, ``terminal_text`` (typed, not submitted) as of the row.
 
     ``actions``: ``(user_id, ts, seq, action)``. Each action sets what it
-    changes; the rest carries over (sliced last-non-null scan).
+    changes; the rest carries over (sliced last-non-null scan). A cursor line
+    belongs to its file: opening a file without a selection sets it to null.
     """
     a = F.col("action")
     k = a["kind"]
-    sel = F.get(a["selections"], 0)
-    return ordered_scan(
+    line = F.get(a["selections"], 0)["start"]["line"].cast("long")
+    sets_cursor = (k == "openFile") | ((k == "setSelections") & line.isNotNull())
+    out = ordered_scan(
         actions,
         KEYS,
         ORDER,
         _slice(slice_ms),
         running_lasts={
             "active_file": F.when(k == "openFile", a["filePath"]),
-            "cursor_line": F.when(k.isin("setSelections", "openFile"), sel["start"]["line"].cast("long")),
+            "__cursor": F.when(sets_cursor, F.struct(line.alias("line"))),
             "terminal_text": F.when(k == "terminalSendText", a["text"]),
         },
     )
+    return out.withColumn("cursor_line", F.col("__cursor.line")).drop("__cursor")

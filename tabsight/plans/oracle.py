@@ -419,6 +419,8 @@ select modelName as model_name, kind,
                        / sum(case when outcome in ('accepted', 'rejected') then 1 else 0 end), 6) end as acceptance_rate,
        round(sum(outcomeTimestamp - timestamp) / count(*), 3) as avg_latency_ms,
        min(outcomeTimestamp - timestamp) as min_latency_ms,
+       list_sort(list(outcomeTimestamp - timestamp))[(count(*) * 50 + 99) // 100] as p50_latency_ms,
+       list_sort(list(outcomeTimestamp - timestamp))[(count(*) * 95 + 99) // 100] as p95_latency_ms,
        max(outcomeTimestamp - timestamp) as max_latency_ms
 from samples group by 1, 2, 3"""
 
@@ -435,9 +437,13 @@ m as (select min(struct_pack(ts := timestamp, id := sample_id, label := label))
 select m.id as sample_id, m.ts as timestamp, cast(m.label as integer) as label from m"""
 
 ORACLE["dpo_pairs"] = f"""with {SAMPLES_SQL},
-d as (select *, last_value(case when outcome = 'accepted' then sample_id end ignore nulls)
+d as (select *, coalesce(
+         last_value(case when outcome = 'accepted' then sample_id end ignore nulls)
                   over (partition by context order by timestamp, sample_id
-                        rows between unbounded preceding and current row) as chosen_id
+                        rows between unbounded preceding and current row),
+         first_value(case when outcome = 'accepted' then sample_id end ignore nulls)
+                  over (partition by context order by timestamp, sample_id
+                        rows between current row and unbounded following)) as chosen_id
       from samples where outcome in ('accepted', 'rejected'))
 select chosen_id, sample_id as rejected_id from d where outcome = 'rejected' and chosen_id is not null"""
 
@@ -639,7 +645,8 @@ acc as (select user_id, outcomeTimestamp as ts, sample_id as seq, kind, line, fi
         from samples where outcome = 'accepted'),
 w as (select *,
    last_value(case when kind = 'openFile' then file_path end ignore nulls) over x as active_file,
-   last_value(case when kind = 'setSelections' or (kind = 'openFile' and line is not null) then line end ignore nulls) over x as cursor_line,
+   (last_value(case when kind = 'openFile' or (kind = 'setSelections' and line is not null)
+                    then struct_pack(l := line) end ignore nulls) over x).l as cursor_line,
    last_value(case when kind = 'terminalSendText' then atext end ignore nulls) over x as terminal_text
  from acc window x as (partition by user_id order by ts, seq rows between unbounded preceding and current row))
 select user_id, seq, kind, active_file, cursor_line, terminal_text from w"""

@@ -2,10 +2,11 @@
 
 Each keeps one small state per user (``applyInPandasWithState``): the pending
 suggestion for outcome resolution, the epoch and activated files for first
-activation. Rows of a micro-batch are processed in ``(ts, seq)`` order; events
-of one user are expected in order across micro-batches (a log partitioned by
-user). The batch operators give the same rows on the same input
-(``tests/test_streaming.py``).
+activation. All rows a user has in a micro-batch are processed in ``(ts, seq)``
+order, however many Arrow chunks Spark hands them over in; a micro-batch's size
+is the source's to set (files or bytes per trigger). Across micro-batches a
+user's events are expected in order (a log partitioned by user). The batch
+operators give the same rows on the same input (``tests/test_io_streaming.py``).
 """
 
 from __future__ import annotations
@@ -15,9 +16,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.sessions import DECIDED
+
 OUTCOME_OUT = T.StructType(
     [
         T.StructField("user_id", T.LongType()),
@@ -30,19 +34,23 @@ OUTCOME_OUT = T.StructType(
 OUTCOME_STATE = T.StructType([T.StructField("seq", T.LongType()), T.StructField("ts", T.LongType())])
 
 
+def in_order(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
+    """A group's rows of this micro-batch in one order over all its chunks."""
+    return pd.concat(list(batches), ignore_index=True).sort_values(by, kind="stable")
+
+
 def _outcomes(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     (user,) = key
     pending = state.get if state.exists else None
     rows = []
-    for pdf in batches:
-        for r in pdf.sort_values(["ts", "seq"], kind="stable").itertuples(index=False):
-            if r.kind == "shown":
-                if pending is not None:
-                    rows.append((user, pending[0], pending[1], "ignored", r.ts))
-                pending = (r.seq, r.ts)
-            elif r.kind in ("accept", "reject") and pending is not None:
-                rows.append((user, pending[0], pending[1], "accepted" if r.kind == "accept" else "rejected", r.ts))
-                pending = None
+    for r in in_order(batches, ["ts", "seq"]).itertuples(index=False):
+        if r.kind == "shown":
+            if pending is not None:
+                rows.append((user, pending[0], pending[1], "ignored", r.ts))
+            pending = (r.seq, r.ts)
+        elif r.kind in DECIDED and pending is not None:
+            rows.append((user, pending[0], pending[1], "accepted" if r.kind == "accept" else "rejected", r.ts))
+            pending = None
     if pending is None:
         if state.exists:
             state.remove()
@@ -54,7 +62,7 @@ def _outcomes(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterat
 
 def stream_outcomes(decisions: DataFrame) -> DataFrame:
     """Outcome resolution on a stream of ``(user_id, ts, seq, kind)``."""
-    d = decisions.where("kind in ('shown', 'accept', 'reject')").select("user_id", "ts", "seq", "kind")
+    d = decisions.where(F.col("kind").isin("shown", *DECIDED)).select("user_id", "ts", "seq", "kind")
     return d.groupBy("user_id").applyInPandasWithState(
         _outcomes, OUTCOME_OUT, OUTCOME_STATE, "append", GroupStateTimeout.NoTimeout
     )
@@ -76,15 +84,14 @@ def _activation(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iter
     (user,) = key
     epoch, files = (state.get[0], set(json.loads(state.get[1]))) if state.exists else (0, set())
     rows = []
-    for pdf in batches:
-        for r in pdf.sort_values(["ts", "seq"], kind="stable").itertuples(index=False):
-            if r.kind == "clear":
-                epoch += 1
-                files = set()
-            elif r.kind == "tab":
-                first = r.file not in files
-                files.add(r.file)
-                rows.append((user, r.seq, r.file, epoch, first))
+    for r in in_order(batches, ["ts", "seq"]).itertuples(index=False):
+        if r.kind == "clear":
+            epoch += 1
+            files = set()
+        elif r.kind == "tab":
+            first = r.file not in files
+            files.add(r.file)
+            rows.append((user, r.seq, r.file, epoch, first))
     state.update((epoch, json.dumps(sorted(files))))
     if rows:
         yield pd.DataFrame(rows, columns=[f.name for f in ACTIVATION_OUT.fields])

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import config
+from .state import in_order
 
 OUT = T.StructType(
     [
@@ -55,17 +56,16 @@ def _processor(debounce: int, throttle: int, max_pending: int):
         if state.hasTimedOut:
             fire_until(state.getCurrentWatermarkMs())
         else:
-            for pdf in batches:
-                for r in pdf.sort_values(["t", "seq"], kind="stable").itertuples(index=False):
-                    t = int(r.t)
-                    fire_until(t)
-                    delay = debounce
-                    if last_fire is not None and t - last_fire < throttle:
-                        delay = max(delay, throttle - (t - last_fire))
-                    pending.append((int(r.seq), t, t + delay))
-                    if len(pending) > max_pending:
-                        old = pending.pop(0)
-                        out.append((user, old[0], old[1], None, True))
+            for r in in_order(batches, ["t", "seq"]).itertuples(index=False):
+                t = int(r.t)
+                fire_until(t)
+                delay = debounce
+                if last_fire is not None and t - last_fire < throttle:
+                    delay = max(delay, throttle - (t - last_fire))
+                pending.append((int(r.seq), t, t + delay))
+                if len(pending) > max_pending:
+                    old = pending.pop(0)
+                    out.append((user, old[0], old[1], None, True))
         if pending:
             state.update((last_fire, json.dumps(pending)))
             state.setTimeoutTimestamp(max(min(p[2] for p in pending), state.getCurrentWatermarkMs() + 1))

@@ -106,3 +106,26 @@ def test_stream_coalescing_equals_batch(spark):
     batch = spark.createDataFrame(rows, "user_id long, t long, seq long")
     want = sorted(tuple(r) for r in coalesce_triggers(batch, slice_ms=1000).collect())
     assert got == want
+
+
+def test_stream_orders_groups_of_many_chunks(spark):
+    """One user, one micro-batch, more rows than an Arrow chunk, shuffled."""
+    import random
+
+    import pyarrow as pa
+
+    rnd = random.Random(5)
+    n = 25_000
+    seqs = list(range(n))
+    rnd.shuffle(seqs)
+    kinds = ["shown", "accept", "reject", "dismiss", "content"]
+    tmp = tempfile.mkdtemp(prefix="tabsight-big-")
+    pq.write_table(
+        pa.table({"user_id": [1] * n, "ts": [s // 3 for s in seqs], "seq": seqs, "kind": [kinds[s * 7 % 11 % 5] for s in seqs]}),
+        os.path.join(tmp, "part.parquet"),
+    )
+    schema = "user_id bigint, ts bigint, seq bigint, kind string"
+    got = run_available(spark, stream_outcomes(spark.readStream.schema(schema).parquet(tmp)), "t_big")
+    want = S.resolve_outcomes(spark.read.parquet(tmp))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert want.where("outcome = 'rejected'").count() > 0

@@ -19,10 +19,10 @@ def test_user_windows_are_sliced(spark):
     specs = re.findall(r"windowspecdefinition\(([^)]*)\)", p)
     row_level = [sp for sp in specs if re.search(r"\bts#\d+L ASC", sp)]
     assert row_level, "expected event-ordered windows"
-    # every window over events is partitioned by (user, slice); the only
-    # per-user windows order the small per-slice table by slice
+    # every window over events is partitioned by the (user, slice) cell; the
+    # only per-user windows order the small per-slice table by slice
     for sp in row_level:
-        assert re.match(r"user_id#\d+L, __slice#\d+L, ", sp), sp
+        assert re.match(r"__cell#\d+, ", sp), sp
     for sp in specs:
         if sp not in row_level:
             assert re.match(r"user_id#\d+L, __slice#\d+L ASC", sp), sp

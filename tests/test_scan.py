@@ -43,3 +43,24 @@ def test_sliced_equals_window(spark, events, width):
     a = sorted(tuple(r) for r in got.select("seq", "s", "l", "nx", "pv").collect())
     b = sorted(tuple(r) for r in want.collect())
     assert a == b
+
+
+@pytest.mark.parametrize("width", [1, 10, 10**9])
+def test_null_keys_and_times_stay(spark, width):
+    rows = [(None, 5, 0, 1), (None, 50, 1, None), (1, None, 2, 7), (1, 3, 3, None), (1, 30, 4, 2), (None, None, 5, 3)]
+    ev = spark.createDataFrame(rows, "user_id long, ts long, seq long, v long")
+    w = Window.partitionBy("user_id").orderBy("ts", "seq")
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    want = ev.select(
+        "user_id", "ts", "seq", F.last("v", ignorenulls=True).over(run).alias("l"),
+        F.lead("seq").over(w).alias("nx"), F.lag("seq").over(w).alias("pv"),
+        F.min("v").over(Window.partitionBy("user_id")).alias("m"),
+    )
+    sl = event_slice("ts", width)
+    got = ordered_scan(ev, ["user_id"], ["ts", "seq"], sl, running_lasts={"l": F.col("v")}, key_mins={"m": F.col("v")})
+    got = with_next(got, ["user_id"], ["ts", "seq"], sl, "seq", "nx")
+    got = with_prev(got, ["user_id"], ["ts", "seq"], sl, "seq", "pv")
+    cols = want.columns
+    assert sorted(map(tuple, got.select(*cols).collect()), key=lambda r: r[2]) == sorted(
+        map(tuple, want.collect()), key=lambda r: r[2]
+    )

@@ -128,3 +128,54 @@ def test_responses(spark):
             assert out[i]["avg_logprob"] == pytest.approx(avg)
     assert out[5]["avg_logprob"] != out[5]["avg_logprob"]  # NaN for an empty list
     assert out[2]["text"] == "ls"
+
+
+def test_dismiss_rejects(spark):
+    ev = spark.createDataFrame(
+        [(1, 1, 1, "shown"), (1, 2, 2, "dismiss"), (1, 3, 3, "accept")], "user_id long, ts long, seq long, kind string"
+    )
+    out = [(r.shown_seq, r.outcome, r.outcome_ts) for r in S.resolve_outcomes(ev).collect()]
+    assert out == [(1, "rejected", 2)]
+
+
+def test_cursor_belongs_to_its_file(spark):
+    point = "struct<line:int,ch:int>"
+    schema = (
+        "user_id long, ts long, seq long, "
+        f"action struct<kind:string,filePath:string,selections:array<struct<start:{point},`end`:{point}>>,text:string>"
+    )
+    at = [((7, 0), (7, 0))]
+    rows = [
+        (1, 1, 1, ("openFile", "a", at, None)),
+        (1, 2, 2, ("openFile", "b", None, None)),
+        (1, 3, 3, ("setSelections", None, at, None)),
+    ]
+    st = S.session_state_asof(spark.createDataFrame(rows, schema)).orderBy("seq").collect()
+    assert [(r.active_file, r.cursor_line) for r in st] == [("a", 7), ("b", None), ("b", 7)]
+
+
+def test_pairs_take_the_nearest_accepted_sample(spark):
+    from tabsight.operators.preferences import dpo_pairs
+
+    rows = [(t, t, o, [(c, c)]) for t, o, c in [
+        (1, "rejected", "x"), (2, "accepted", "x"), (3, "accepted", "x"), (4, "rejected", "x"), (5, "rejected", "y"),
+        (6, "ignored", "y")]]
+    s = spark.createDataFrame(
+        rows, "timestamp long, sample_id long, outcome string, context array<struct<role:string,content:string>>"
+    )
+    for width in (1, 1000):
+        got = sorted(map(tuple, dpo_pairs(s, slice_ms=width).collect()))
+        assert got == [(2, 1), (3, 4)]
+
+
+def test_null_logprob_counts_as_zero(spark):
+    import math
+
+    from tabsight.functions.responses import mean_logprob, parse_body, token_logprobs
+
+    def body(tokens):
+        return '{"choices":[{"text":"t","logprobs":{"content":[%s]}}]}' % tokens
+
+    df = spark.createDataFrame([(body('{"logprob":-4.0},{"logprob":null}'),), (body('{"logprob":-4.0},{}'),)], "b string")
+    got = [r.m for r in df.select(mean_logprob(token_logprobs(parse_body(F.col("b")))).alias("m")).collect()]
+    assert got[0] == -2.0 and math.isnan(got[1])
