@@ -72,9 +72,9 @@ COMPLETIONS_SQL_T = """
 b as (
  select l_orderkey, l_linenumber,
    (l_orderkey * 7 + l_linenumber) % 10 as shape,
-   '/src/f' || cast(l_orderkey % 50 as varchar) || '.py' as active_path,
+   '/src/f' || cast(l_orderkey // 15 as varchar) || '.py' as active_path,
    case when l_linenumber % 4 = 0 then '/src/other.py'
-        else '/src/f' || cast(l_orderkey % 50 as varchar) || '.py' end as target0,
+        else '/src/f' || cast(l_orderkey // 15 as varchar) || '.py' end as target0,
    cast(1 + l_suppkey % 40 as integer) as line_count,
    cast(l_suppkey % 7 as integer) as last_line_len,
    1 + l_orderkey % 45 as s0, 1 + l_orderkey % 45 + l_linenumber as e0,
@@ -302,7 +302,7 @@ sev as (
          when 'click' then 'tab'
          when 'signup' then case when event_id % 2 = 0 then 'clear' else 'toggle' end end as kind,
     case when event_type = 'click'
-         then '/src/f' || cast(cast(json_extract(props, '$.k') as bigint) % 20 as varchar) || '.py' end as file
+         then '/src/f' || cast(user_id * 7 + cast(json_extract(props, '$.k') as bigint) % 20 as varchar) || '.py' end as file
   from events),
 st0 as (
   select *,
@@ -606,17 +606,17 @@ FEEDS_SQL = """
 ev0 as (select user_id, (epoch_us(ts) // 1000) as ts, event_id as seq, event_type,
                cast(json_extract(props, '$.k') as bigint) as k from events),
 eu as (
-  select user_id, min(ts) as ts, -1 as seq, 'tab' as kind, '/src/f' || cast(user_id % 20 as varchar) || '.py' as file,
+  select user_id, min(ts) as ts, -1 as seq, 'tab' as kind, '/src/f' || cast(user_id * 7 as varchar) || '.py' as file,
          null::integer as "offset", null::integer as length, null::varchar as text, null::bigint as execution_id, null::bigint as change_idx
   from ev0 where event_type in ('view', 'click', 'purchase', 'error', 'signup') group by user_id
   union all
-  select user_id, ts, seq, 'selection', '/src/f' || cast(k % 20 as varchar) || '.py', cast(k as integer), null, null, null, null
+  select user_id, ts, seq, 'selection', '/src/f' || cast(user_id * 7 + k % 20 as varchar) || '.py', cast(k as integer), null, null, null, null
   from ev0 where event_type = 'view' and seq % 5 <> 0
   union all
-  select user_id, ts, seq, 'tab', '/src/f' || cast(k % 20 as varchar) || '.py', null, null, null, null, null
+  select user_id, ts, seq, 'tab', '/src/f' || cast(user_id * 7 + k % 20 as varchar) || '.py', null, null, null, null, null
   from ev0 where event_type = 'click'
   union all
-  select user_id, ts, seq, 'content', '/src/f' || cast(k % 20 as varchar) || '.py', cast((seq + j) % 20 as integer), cast(j as integer), 'c' || cast(j as varchar), null, j
+  select user_id, ts, seq, 'content', '/src/f' || cast(user_id * 7 + k % 20 as varchar) || '.py', cast((seq + j) % 20 as integer), cast(j as integer), 'c' || cast(j as varchar), null, j
   from ev0, range(0, 3) r(j) where event_type = 'purchase' and seq % 4 <> 0 and j <= seq % 3
   union all
   select user_id, ts, seq, 'terminal_command', null, null, null, 'pytest -k ' || cast(k as varchar), seq, null

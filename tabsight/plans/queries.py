@@ -388,8 +388,7 @@ def q_action_description(spark, base):
 
 
 
-# -- revision diffs (no SQL oracle: LCS is checked against a brute-force
-# implementation on fixed pairs in tests/test_diffs.py) ------------------------
+# -- revision diffs ------------------------------------------------------------
 
 
 def _doc_parsed(spark, base):
@@ -535,7 +534,7 @@ def _event_union(spark, base):
     every = reduce(DataFrame.unionByName, [f.select("user_id", "ts") for f in feeds.values()])
     start = evs.session_start(
         every,
-        F.concat(F.lit("/src/f"), (F.col("user_id") % 20).cast("string"), F.lit(".py")),
+        fx.user_file(0),
     )
     return evs.event_union(
         start, evs.first_selection(feeds["selection"]), feeds["tab"], evs.explode_changes(feeds["content"]),

@@ -20,6 +20,20 @@ def s(c: Column) -> Column:
     return c.cast("string")
 
 
+# Orders whose completions edit the same document; files between one user's
+# first file and the next user's. Documents touched grow with the tables.
+ORDERS_PER_DOC, FILES_PER_USER = 15, 7
+
+
+def doc_path(n: Column) -> Column:
+    return F.concat(F.lit("/src/f"), s(n), F.lit(".py"))
+
+
+def user_file(k: Column | int) -> Column:
+    """One of the twenty files that a user works on."""
+    return doc_path(F.col("user_id") * FILES_PER_USER + k % 20)
+
+
 def messages(spark: SparkSession, base: str) -> DataFrame:
     """``conversations`` -> ``(conv_id, turn, role, content)``."""
     return table(spark, base, "conversations").select(
@@ -33,7 +47,7 @@ def completions(spark: SparkSession, base: str, lineitems: DataFrame | None = No
     li = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     ok, ln = F.col("l_orderkey"), F.col("l_linenumber")
     shape = ((ok * 7 + ln) % 10).cast("long")
-    active = F.concat(F.lit("/src/f"), s(ok % 50), F.lit(".py"))
+    active = doc_path(F.floor(ok / ORDERS_PER_DOC))
     target = F.when(ln % 4 == 0, F.lit("/src/other.py")).otherwise(active)
     st = 1 + ok % 45
     en = st + ln
@@ -88,7 +102,7 @@ def completions(spark: SparkSession, base: str, lineitems: DataFrame | None = No
 def documents(spark: SparkSession, base: str) -> DataFrame:
     """Edit-target documents: ``path = /src/f<doc_id>.py``, text as is."""
     return table(spark, base, "documents").select(
-        "doc_id", F.concat(F.lit("/src/f"), s(F.col("doc_id")), F.lit(".py")).alias("path"), "text"
+        "doc_id", doc_path(F.col("doc_id")).alias("path"), "text"
     )
 
 
@@ -205,7 +219,7 @@ def responses(spark: SparkSession, base: str, request_ids: DataFrame | None = No
 def session_events(spark: SparkSession, base: str) -> DataFrame:
     """``events`` as editor session events ``(user_id, ts, seq, kind, file,
     value)``: view -> shown, purchase -> accept, error -> reject, click -> tab
-    (file ``/src/f<k % 20>.py`` from ``props.k``), signup -> clear for even
+    (file ``user_file(k)``, k = ``props.k``), signup -> clear for even
     event ids and toggle for odd ones."""
     return session_events_from(table(spark, base, "events"))
 
@@ -221,7 +235,7 @@ def session_events_from(ev: DataFrame) -> DataFrame:
         .when(et == "signup", F.when(eid % 2 == 0, "clear").otherwise("toggle"))
     )
     k = F.get_json_object("props", "$.k").cast("long")
-    file = F.when(et == "click", F.concat(F.lit("/src/f"), s(k % 20), F.lit(".py")))
+    file = F.when(et == "click", user_file(k))
     return ev.select(
         "user_id", event_ms(F.col("ts")).alias("ts"), eid.alias("seq"), kind.alias("kind"), file.alias("file"), "value"
     )
@@ -291,7 +305,7 @@ def editor_feeds(spark: SparkSession, base: str) -> dict[str, DataFrame]:
     k = F.get_json_object("props", "$.k").cast("long")
     eid = F.col("event_id")
     basecols = [F.col("user_id"), event_ms(F.col("ts")).alias("ts"), eid.alias("seq")]
-    file = F.concat(F.lit("/src/f"), s(k % 20), F.lit(".py")).alias("file")
+    file = user_file(k).alias("file")
     et = F.col("event_type")
     sel = F.array(
         F.struct(k.cast("int").alias("start"), (k + 5).cast("int").alias("end")),
