@@ -205,7 +205,12 @@ def near_duplicates(docs: DataFrame, k: int = 3, reach: int = 2, shard: int = SH
 
 def without_copies(docs: DataFrame, k: int = 3, reach: int = 2) -> DataFrame:
     """The documents that name their component. Rows with the same doc_id (null
-    included) are one document, of which one row stays."""
-    named = near_duplicates(docs, k, reach).where("doc_id <=> component_id").select("doc_id").distinct()
-    first = docs.dropDuplicates(["doc_id"]).alias("t")
-    return first.join(named.withColumnRenamed("doc_id", "_named"), F.col("t.doc_id").eqNullSafe(F.col("_named")), "left_semi")
+    included) are one document, of which one row stays.
+
+    The id goes into a struct, which is never null itself: a plain equi-join on
+    it finds null ids too and reuses the partitioning by which repeated ids were
+    put together, so texts are shuffled once."""
+    key = "_key" + "_" * max(map(len, docs.columns))  # no column has this name
+    named = near_duplicates(docs, k, reach).where("doc_id <=> component_id").select(F.struct("doc_id").alias(key))
+    first = docs.withColumn(key, F.struct("doc_id")).dropDuplicates([key])
+    return first.join(named.distinct(), key, "left_semi").drop(key)
