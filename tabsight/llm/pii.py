@@ -31,6 +31,8 @@ KINDS = ["email", "ip", "card", "phone", "secret"]
 BASE = KINDS[:4]
 #: Rounds of scoring, least confidence and least number of distinct seeds of a pattern.
 ROUNDS, CONFIDENCE, SUPPORT = 3, 0.75, 3
+#: Trusted patterns up to this size go to the tasks whole; more are joined.
+TRUSTED_BYTES = 16 << 20
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -155,12 +157,20 @@ def trusted_patterns(seen: DataFrame, rounds: int = ROUNDS, confidence: float =
     return best.where(f"b.confidence >= {confidence}").select("pattern", (-F.col("b.col2")).alias("kind"), F.col("b.confidence").alias("confidence"))
 
 
+def _scanned(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The scan of ``docs``, its mentions one by one, and the trusted patterns."""
+    scanned = stored(scan(docs), "pii-scan")
+    seen = scanned.select("doc_id", "key", F.explode("mentions").alias("m")).select("doc_id", "key", "m.*")
+    return scanned, seen, stored(trusted_patterns(seen.select("kind", "pattern", "value")), "pii-trusted")
+
+
 def find(docs: DataFrame) -> DataFrame:
     """Per input row: ``doc_id, key``, the base counts and ``base`` spans, and
     ``added``, the spans that seeds' and trusted patterns' contexts add."""
-    scanned = stored(scan(docs), "pii-scan")
-    seen = scanned.select("doc_id", "key", F.explode("mentions").alias("m")).select("doc_id", "key", "m.*")
-    trusted = stored(trusted_patterns(seen.select("kind", "pattern", "value")), "pii-trusted")
+    return _found(*_scanned(docs))
+
+
+def _found(scanned: DataFrame, seen: DataFrame, trusted: DataFrame) -> DataFrame:
     secret = seen.where("kind = 4").select("doc_id", "key", "start", "end", "kind")
     found = seen.where("kind = -1").drop("kind").join(trusted.select("pattern", "kind"), "pattern").select("doc_id", "key", "start", "end", "kind")
     added = secret.unionByName(found).groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end"))).alias("added"))
@@ -196,17 +206,35 @@ def cover(text: str, spans: str) -> str:
     return "".join(out) + text[at:]
 
 
-def redact(docs: DataFrame) -> DataFrame:
+def spans_of(text: str, trusted: dict[str, int]) -> str:
+    """All spans of a text, given the kind of each trusted pattern."""
+    base = base_spans(text)
+    named = ((s, k if k >= 0 else trusted.get(pattern, -1), e) for s, e, k, pattern, _ in mentions(text, base) if k in (-1, 4))
+    return joined(sorted(base + list({x for x in named if x[1] >= 0})))
+
+
+def redact(docs: DataFrame, trusted_bytes: int = TRUSTED_BYTES) -> DataFrame:
     """The documents with all spans covered; other columns as they are, and
-    ``n_chars``, where there is one, counted anew."""
-    spans = find(docs).select("doc_id", "key", F.expr(all_spans()).alias("spans")).where("spans != ''").distinct()
-    spans = stored(spans, "pii-spans").select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("spans").alias("_spans"))
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    both = docs.join(spans, docs["doc_id"].eqNullSafe(spans["_d"]) & (key == spans["_k"]), "left").drop("_d", "_k")
+    ``n_chars``, where there is one, counted anew. Where the trusted patterns
+    have at most ``trusted_bytes``, each task looks for them in its own texts and
+    no text is shuffled; otherwise the spans are joined to the documents."""
+    scanned, seen, trusted = _scanned(docs)
+    size = trusted.agg(F.sum(F.octet_length("pattern") + 64)).first()[0] or 0
+    small, known = size <= trusted_bytes, {}
+    if small:
+        known = {r["pattern"]: r["kind"] for r in trusted.select("pattern", "kind").collect()}
+        both = docs
+    else:
+        spans = _found(scanned, seen, trusted).select("doc_id", "key", F.expr(all_spans()).alias("spans")).where("spans != ''").distinct()
+        spans = stored(spans, "pii-spans").select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("spans").alias("_spans"))
+        key = F.xxhash64(F.coalesce("text", F.lit("")))
+        both = docs.join(spans, docs["doc_id"].eqNullSafe(spans["_d"]) & (key == spans["_k"]), "left").drop("_d", "_k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t if not s else cover(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist())]
+            texts = batch.column("text").to_pylist()
+            spans = [spans_of(t, known) if t else "" for t in texts] if small else batch.column("_spans").to_pylist()
+            texts = [t if not s else cover(t, s) for t, s in zip(texts, spans)]
             fields = {f.name: batch.column(f.name) for f in batch.schema if f.name != "_spans"}
             fields["text"] = pa.array(texts, pa.string())
             if "n_chars" in fields:
