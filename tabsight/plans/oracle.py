@@ -329,8 +329,8 @@ ORACLE["first_activation"] = f"""with {SESSION_SQL},
 t as (select *, row_number() over (partition by user_id, epoch, file order by ts, seq) = 1 as is_first
       from st where kind = 'tab')
 select t.user_id, t.seq, t.file, cast(t.epoch as bigint) as epoch, t.is_first,
-       case when t.is_first then d.doc_chars end as n_chars
-from t left join docs_len d on d.file = t.file"""
+       d.text, cast(length(d.text) as bigint) as n_chars
+from t left join documents d on t.is_first and t.file = '/src/f' || cast(d.doc_id as varchar) || '.py'"""
 ORACLE["trigger_gate"] = f"""with {SESSION_SQL}
 select s.user_id, s.seq, s.enabled, s.suppressed,
        s.enabled and not s.suppressed and coalesce(d.doc_chars, 0) > 0 as passes
@@ -662,7 +662,10 @@ k as (select conv_id, turn, role, content, tokens from m where total <= {TEST_BU
       union all select distinct conv_id, -1, 'system', {SYS}, {SYS_TOK} from conversations)
 select conv_id, count(*) as n_messages, cast(sum(tokens) as bigint) as request_tokens,
        cast(sum(length(content)) as bigint) as content_chars,
-       arg_min(role, turn) as first_role, arg_max(role, turn) as last_role
+       arg_min(role, turn) as first_role, arg_max(role, turn) as last_role,
+       sha256(string_agg(concat_ws(':', role, content), chr(10) order by turn)) as messages_sha256,
+       'qwen/qwen3-8b' as model, 0.7::double as temperature, 0.8::double as top_p, 20::bigint as top_k,
+       0::double as min_p, true as logprobs, false as enable_thinking
 from k group by conv_id"""
 
 ORACLE["stream_actions"] = ORACLE["route_action"]

@@ -194,11 +194,11 @@ def _doc_chars(spark, base):
 @query("first_activation")
 def q_first_activation(spark, base):
     tabs = _state(spark, base).where(F.col("kind") == "tab")
-    fa = ses.first_activation(tabs).join(_doc_chars(spark, base), "file", "left")
-    return fa.select(
-        "user_id", "seq", "file", "epoch", "is_first",
-        F.when(F.col("is_first"), F.col("doc_chars")).alias("n_chars"),
-    )
+    docs = fx.documents(spark, base).select(F.col("path").alias("doc_file"), "text")
+    fa = ses.first_activation(tabs)
+    # Only first rows carry the file's text.
+    fa = fa.join(docs, (F.col("file") == F.col("doc_file")) & F.col("is_first"), "left")
+    return fa.select("user_id", "seq", "file", "epoch", "is_first", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 @query("trigger_gate")
@@ -575,19 +575,30 @@ def q_session_state_asof(spark, base):
     return st.select("user_id", "seq", F.col("action.kind").alias("kind"), "active_file", "cursor_line", "terminal_text")
 
 
+REQUEST_BODY = (
+    "model string, messages array<struct<role:string,content:string>>, temperature double, top_p double, "
+    "top_k long, min_p double, logprobs boolean, chat_template_kwargs struct<enable_thinking:boolean>"
+)
+
+
 @query("request_build")
 def q_request_build(spark, base):
+    """Every field is read back from the JSON body; messages as a digest in order."""
     r = msg.build_requests(msg.truncate_context(fx.messages(spark, base), max_tokens=TEST_BUDGET))
-    m = F.col("messages")
+    r = r.select("conv_id", "n_messages", "request_tokens", F.from_json("body", REQUEST_BODY).alias("b"))
+    m = F.col("b.messages")
+    lines = F.transform(m, lambda x: F.concat_ws(":", x["role"], x["content"]))
     return r.select(
         "conv_id", "n_messages", "request_tokens",
         F.aggregate(m, F.lit(0).cast("long"), lambda a, x: a + F.length(x["content"])).alias("content_chars"),
         F.get(m, 0)["role"].alias("first_role"),
         F.element_at(m, -1)["role"].alias("last_role"),
+        F.sha2(F.array_join(lines, "\n"), 256).alias("messages_sha256"),
+        *(F.col(f"b.{c}").alias(c) for c in ("model", "temperature", "top_p", "top_k", "min_p", "logprobs")),
+        F.col("b.chat_template_kwargs.enable_thinking").alias("enable_thinking"),
     )
 
 
-
 @query("stream_coalesce_triggers")
 def q_stream_coalesce_triggers(spark, base):
     """Streaming coalescing over the events file. Timers still pending when
