@@ -3,21 +3,23 @@
 Every document gets counts over its whole text. A few hard rules reject it
 outright; all others are judged by the Mahalanobis distance of a transformed
 statistic vector from the minimum-covariance-determinant estimate of its
-(language, source) cell: start from medians, then concentration steps that fit
-mean and covariance to the ``SUPPORT`` share of documents nearest to the last
-estimate. Everything is DataFrame expressions; the cells' estimates are a small
-table, the documents' vectors are written once.
+(language, source) cell: three robust starts, from each concentration steps that
+fit mean and covariance to the ``SUPPORT`` share of documents nearest to the last
+estimate until the determinant falls no more, then the estimate of the least
+determinant. Everything is DataFrame expressions; the cells' estimates are a
+small table, the documents' vectors are written once.
 
 Null and empty texts have no words and fail the base rule. Null languages and
 sources are cells of their own. Cells with fewer than ``MIN_CELL`` documents
-are pooled by language, and languages with fewer over everything. Each
-dimension's variance has a floor (``SPREAD``), so constant statistics make no
-singular matrices and tiny deviations no outliers. Repeated rows are judged one
-by one. An empty table gives no rows. Clashing extra columns are not read.
+are pooled by language, and languages with fewer over everything. A ridge keeps
+dependent statistics from making singular matrices; a variance below ``LEAST``
+squared counts as that, so a constant statistic makes no outliers of tiny
+deviations. Repeated rows are judged one by one. An empty table gives no rows. Clashing extra columns are not read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from math import exp, factorial
 
 from pyspark.sql import Column, DataFrame
@@ -25,20 +27,23 @@ from pyspark.sql import functions as F
 
 from tabsight.llm.common import SPACE_RE, WORD_RE, stored
 
-#: Share of a cell that the estimate rests on; concentration steps; smallest
-#: cell; share of a clean normal cell beyond the cut.
-SUPPORT, STEPS, MIN_CELL, BEYOND = 0.75, 3, 200, 1e-5
+#: Share of a cell that the estimate rests on; smallest cell; share of a clean
+#: normal cell beyond the cut; fall of the log-determinant that ends the steps.
+SUPPORT, MIN_CELL, BEYOND, TOLERANCE = 0.75, 200, 1e-5, 1e-6
 
-#: Statistic vector: name, expression, least standard deviation.
+#: Statistic vector: name, expression, ridge (a standard deviation).
 VECTOR: list[tuple[str, str, float]] = [
-    ("v_length", "ln(word_chars / n_words)", 0.12),
-    ("v_symbols", "ln(1 + n_symbols / n_words)", 0.03),
-    ("v_lines", "sqrt(n_dup_lines / greatest(n_lines, 1))", 0.2),
-    ("v_repeats", "sqrt(n_repeat_words / n_words)", 0.2),
-    ("v_upper", "ln(1 + n_upper / n_words)", 0.08),
-    ("v_marks", "ln(1 + n_marks / n_words)", 0.08),
+    ("v_length", "ln(word_chars / n_words)", 1e-3),
+    ("v_symbols", "ln(1 + n_symbols / n_words)", 1e-3),
+    ("v_lines", "sqrt(n_dup_lines / greatest(n_lines, 1))", 1e-3),
+    ("v_repeats", "sqrt(n_repeat_words / n_words)", 1e-3),
+    ("v_upper", "ln(1 + n_upper / n_words)", 1e-3),
+    ("v_marks", "ln(1 + n_marks / n_words)", 1e-3),
 ]
 DIM = len(VECTOR)
+#: Least standard deviation of each statistic, in place of smaller ones. Of the
+#: two shares: where all others have none, half of the lines or words is beyond the cut.
+LEAST = [0.05, 0.03, 0.12, 0.12, 0.03, 0.03]
 
 
 def chi2_quantile(p: float, dof: int) -> float:
@@ -103,63 +108,103 @@ def _distance(center: list[Column], inverse: dict[tuple[int, int], Column]) -> C
 
 
 def _inverse(cov: DataFrame) -> DataFrame:
-    """Center and ``p_i_j`` (i <= j), the inverse of the symmetric matrix
-    ``c_i_j``, by one sweep per row on an array of rows."""
+    """Center, ``p_i_j`` (i <= j), the inverse of the symmetric matrix ``c_i_j``,
+    by one sweep per row on an array of rows, and ``det``, its log-determinant."""
     matrix = ", ".join(f"array({', '.join(f'c_{min(i, j)}_{max(i, j)}' for j in range(DIM))})" for i in range(DIM))
-    swept = F.expr(f"""aggregate(sequence(0, {DIM - 1}), array({matrix}), (m, k) -> transform(m, (row, i) -> transform(row, (x, j) ->
-        CASE WHEN i = k AND j = k THEN -1 / m[k][k] WHEN i = k OR j = k THEN x / m[k][k] ELSE x - m[i][k] * m[k][j] / m[k][k] END)))""")
-    center = [f"m_{i}" for i in range(DIM)]
-    return cov.select("cell", *center, swept.alias("s")).select("cell", *center, *((-F.col("s")[i][j]).alias(f"p_{i}_{j}") for i in range(DIM) for j in range(i, DIM)))
+    swept = F.expr(f"""aggregate(sequence(0, {DIM - 1}), struct(array({matrix}) AS m, CAST(0 AS DOUBLE) AS det), (s, k) -> struct(transform(s.m, (row, i) -> transform(row, (x, j) ->
+        CASE WHEN i = k AND j = k THEN -1 / s.m[k][k] WHEN i = k OR j = k THEN x / s.m[k][k] ELSE x - s.m[i][k] * s.m[k][j] / s.m[k][k] END)) AS m, s.det + ln(s.m[k][k]) AS det))""")
+    keep = [c for c in cov.columns if not c.startswith("c_")]
+    return cov.select(*keep, swept.alias("s")).select(*keep, *((-F.col("s.m")[i][j]).alias(f"p_{i}_{j}") for i in range(DIM) for j in range(i, DIM)), F.col("s.det").alias("det"))
 
 
 def _start(vectors: DataFrame) -> DataFrame:
     """Medians and median absolute deviations, as a diagonal estimate."""
     med = stored(vectors.groupBy("cell").agg(*(F.percentile_approx(v, 0.5, 10_000).alias(f"m_{i}") for i, (v, _, _) in enumerate(VECTOR))), "quality-medians")
     away = vectors.join(med, "cell").groupBy("cell").agg(*(F.percentile_approx(F.abs(F.col(v) - F.col(f"m_{i}")), 0.5, 10_000).alias(f"d_{i}") for i, (v, _, _) in enumerate(VECTOR)))
-    spread = [F.pow(F.greatest(1.4826 * F.col(f"d_{i}"), F.lit(floor)), 2) for i, (_, _, floor) in enumerate(VECTOR)]
+    spread = [F.pow(F.greatest(1.4826 * F.col(f"d_{i}"), F.lit(LEAST[i])), 2) for i in range(DIM)]
     zero = [F.lit(0.0).alias(f"p_{i}_{j}") for i in range(DIM) for j in range(i + 1, DIM)]
     return med.join(away, "cell").select("cell", *(f"m_{i}" for i in range(DIM)), *((F.lit(1.0) / s).alias(f"p_{i}_{i}") for i, s in enumerate(spread)), *zero)
 
 
+def _starts(vectors: DataFrame) -> DataFrame:
+    """Three starts per cell around the medians, all with the spreads of
+    :func:`_start`: no correlations, and those of two robust transforms of the
+    scaled deviations, their hyperbolic tangents and their directions."""
+    first = stored(_start(vectors), "quality-start")
+    z = [((F.col(v) - F.col(f"m_{i}")) * F.sqrt(f"p_{i}_{i}")).alias(f"z_{i}") for i, (v, _, _) in enumerate(VECTOR)]
+    scaled = vectors.join(first, "cell").select("cell", *z)
+    norm = F.expr("sqrt(" + " + ".join(f"z_{i} * z_{i}" for i in range(DIM)) + ")")
+    pairs = [(i, j) for i in range(DIM) for j in range(i, DIM)]
+    parts = [first.withColumn("start", F.lit(0))]
+    for n, y in enumerate([[F.tanh(f"z_{i}") for i in range(DIM)], [F.col(f"z_{i}") / F.greatest(norm, F.lit(1e-9)) for i in range(DIM)]], 1):
+        means = scaled.groupBy("cell").agg(*(F.avg(y[i] * y[j]).alias(f"q_{i}_{j}") for i, j in pairs))
+        both = first.join(means, "cell")
+        size = lambda i: F.sqrt(F.col(f"q_{i}_{i}") + 1e-6)
+        cov = [((F.lit(1.0) if i == j else F.col(f"q_{i}_{j}") / (size(i) * size(j))) / F.sqrt(F.col(f"p_{i}_{i}") * F.col(f"p_{j}_{j}"))).alias(f"c_{i}_{j}") for i, j in pairs]
+        parts.append(_inverse(both.select("cell", *(f"m_{i}" for i in range(DIM)), *cov)).drop("det").withColumn("start", F.lit(n)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _judged(vectors: DataFrame, estimate: DataFrame) -> DataFrame:
     inverse = {(i, j): F.col(f"p_{i}_{j}") for i in range(DIM) for j in range(i, DIM)}
     d2 = _distance([F.col(f"m_{i}") for i in range(DIM)], inverse)
-    return vectors.join(estimate, "cell").withColumn("d2", d2).select(*vectors.columns, "d2")
+    return vectors.join(estimate, "cell").withColumn("d2", d2).select(*_keys(estimate), *(v for v, _, _ in VECTOR), "d2")
+
+
+def _keys(estimate: DataFrame) -> list[str]:
+    return [c for c in ("cell", "start") if c in estimate.columns]
 
 
 def _concentrate(vectors: DataFrame, estimate: DataFrame, support: float) -> DataFrame:
-    """Mean and covariance of each cell's nearest ``support`` share."""
+    """Mean and covariance of each cell's nearest ``support`` share, for each start."""
+    keys = _keys(estimate)
     judged = _judged(vectors, estimate)
-    edge = stored(judged.groupBy("cell").agg(F.percentile_approx("d2", support, 10_000).alias("edge")), "quality-edge")
-    near = judged.join(edge, "cell").where("d2 <= edge")
+    edge = stored(judged.groupBy(*keys).agg(F.percentile_approx("d2", support, 10_000).alias("edge")), "quality-edge")
+    near = judged.join(edge, keys).where("d2 <= edge")
     x = [F.col(v) for v, _, _ in VECTOR]
-    sums = near.groupBy("cell").agg(*(F.avg(x[i]).alias(f"m_{i}") for i in range(DIM)), *(F.covar_pop(x[i], x[j]).alias(f"q_{i}_{j}") for i in range(DIM) for j in range(i, DIM)))
+    sums = near.groupBy(*keys).agg(*(F.avg(x[i]).alias(f"m_{i}") for i in range(DIM)), *(F.covar_pop(x[i], x[j]).alias(f"q_{i}_{j}") for i in range(DIM) for j in range(i, DIM)))
     factor = consistency(support, DIM)
-    cov = [(F.col(f"q_{i}_{j}") * factor + (VECTOR[i][2] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i in range(DIM) for j in range(i, DIM)]
-    return _inverse(sums.select("cell", *(f"m_{i}" for i in range(DIM)), *cov))
-
-
-def judge(docs: DataFrame, support: float = SUPPORT, steps: int = STEPS, min_cell: int = MIN_CELL, beyond: float = BEYOND) -> DataFrame:
+    cov = {(i, j): F.col(f"q_{i}_{j}") * factor for i in range(DIM) for j in range(i, DIM)}
+    for i in range(DIM):
+        cov[i, i] = F.greatest(cov[i, i] + VECTOR[i][2] ** 2, F.lit(LEAST[i] ** 2))
+    return _inverse(sums.select(*keys, *(f"m_{i}" for i in range(DIM)), *(c.alias(f"c_{i}_{j}") for (i, j), c in cov.items())))
+
+
+def _estimate(vectors: DataFrame, support: float) -> DataFrame:
+    """Per cell the estimate of the least determinant that concentration reaches
+    from any start. A start is left when its determinant falls no more."""
+    open_ = stored(_starts(vectors).withColumn("was", F.lit(float("inf"))), "quality-estimate")
+    reached = []
+    while not open_.isEmpty():
+        after = _concentrate(vectors, open_.drop("was"), support)
+        was = open_.select("cell", "start", "was")
+        reached.append(stored(after.join(was, ["cell", "start"]), "quality-estimate"))
+        open_ = reached[-1].where(f"det < was - {TOLERANCE}").withColumn("was", F.col("det")).drop("det")
+    if not reached:
+        return open_.drop("start", "was")
+    fields = [f"m_{i}" for i in range(DIM)] + [f"p_{i}_{j}" for i in range(DIM) for j in range(i, DIM)]
+    return reduce(DataFrame.unionByName, reached).groupBy("cell").agg(F.min(F.struct("det", "start", *fields)).alias("b")).select("cell", *(f"b.{f}" for f in fields))
+
+
+def judge(docs: DataFrame, support: float = SUPPORT, min_cell: int = MIN_CELL, beyond: float = BEYOND) -> DataFrame:
     """Statistics of every document with ``base_failed``, squared distance ``d2``
     (null where the base rules failed) and ``kept``."""
     stats = stored(statistics(docs).drop("row"), "quality-statistics")
-    return _verdicts(stats, support, steps, min_cell, beyond).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
+    return _verdicts(stats, support, min_cell, beyond).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
 
 
-def passing(docs: DataFrame, support: float = SUPPORT, steps: int = STEPS, min_cell: int = MIN_CELL, beyond: float = BEYOND) -> DataFrame:
+def passing(docs: DataFrame, support: float = SUPPORT, min_cell: int = MIN_CELL, beyond: float = BEYOND) -> DataFrame:
     """The input rows that :func:`judge` keeps. The rows are written once beside
     their statistics, so no text is shuffled."""
     stats = stored(statistics(docs, carry=True), "quality-statistics")
-    return _verdicts(stats, support, steps, min_cell, beyond).where("kept").select("row.*")
+    return _verdicts(stats, support, min_cell, beyond).where("kept").select("row.*")
 
 
-def _verdicts(stats: DataFrame, support: float, steps: int, min_cell: int, beyond: float) -> DataFrame:
+def _verdicts(stats: DataFrame, support: float, min_cell: int, beyond: float) -> DataFrame:
     good = stats.where("NOT base_failed").select("lang", "source", *(F.expr(e).alias(v) for v, e, _ in VECTOR))
     cells = stored(_cells(good, min_cell), "quality-cells")
     vectors = stored(good.join(cells, ["lang", "source"]).drop("lang", "source"), "quality-vectors")
-    estimate = stored(_start(vectors), "quality-estimate")
-    for _ in range(steps):
-        estimate = stored(_concentrate(vectors, estimate, support), "quality-estimate")
+    estimate = _estimate(vectors, support)
     every = stats.select("*", *(F.expr(f"CASE WHEN NOT base_failed THEN {e} END").alias(v) for v, e, _ in VECTOR))
     inverse = {(i, j): F.col(f"p_{i}_{j}") for i in range(DIM) for j in range(i, DIM)}
     d2 = F.when(~F.col("base_failed"), _distance([F.col(f"m_{i}") for i in range(DIM)], inverse))

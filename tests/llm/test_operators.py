@@ -115,6 +115,47 @@ def test_quality_rules(docs, nothing):
     assert quality_rules.judge(nothing).count() == 0
 
 
+def test_quality_rules_duplicate_lines(spark):
+    """Ordinary words, most lines repeated: rejected although no base rule is."""
+    rnd = random.Random(31)
+    word = lambda: rnd.choice(VOCAB)
+    line = lambda n: " ".join(word() for _ in range(n))
+    rows = [(i, "\n".join(line(12) for _ in range(rnd.randint(5, 20))), "en", "s") for i in range(300)]
+    for i, distinct in enumerate((1, 3, 5)):  # of 20 short lines, beside a long one
+        short = [word() for _ in range(distinct)]
+        lines = short + [rnd.choice(short) for _ in range(20 - distinct)]
+        rows.append((1000 + i, "\n".join([line(150), *rnd.sample(lines, 20)]), "en", "s"))
+    got = _by_id(quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")))
+    for i in range(1000, 1003):
+        assert not got[i]["base_failed"] and got[i]["n_dup_lines"] >= 0.7 * 21 and not got[i]["kept"]
+    assert all(got[i]["kept"] for i in range(300))
+
+
+def test_least_determinant_of_several_starts(spark):
+    """The estimate is settled, and no start's own end has a smaller determinant."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (300, quality_rules.DIM)) @ rng.normal(0, 1, (quality_rules.DIM, quality_rules.DIM))
+    x[:70] = x[:70] * 0.2 + 3
+    names = [v for v, _, _ in quality_rules.VECTOR]
+    df = spark.createDataFrame([("c", *map(float, r)) for r in x], "cell string, " + ", ".join(f"{n} double" for n in names)).cache()
+    matrix = lambda r: np.array([[r[f"p_{min(i, j)}_{max(i, j)}"] for j in range(quality_rules.DIM)] for i in range(quality_rules.DIM)])
+    best = quality_rules._estimate(df, 0.75)
+    again = quality_rules._concentrate(df, best, 0.75).first()
+    assert np.allclose(matrix(best.first()), matrix(again), rtol=1e-5) and again["det"] == pytest.approx(-np.linalg.slogdet(matrix(again))[1])
+    factor, least, ridge = quality_rules.consistency(0.75, quality_rules.DIM), np.array(quality_rules.LEAST), np.array([r for _, _, r in quality_rules.VECTOR])
+    ends = []
+    for r in quality_rules._starts(df).collect():
+        m, inv = np.array([r[f"m_{i}"] for i in range(quality_rules.DIM)]), matrix(r)
+        for _ in range(100):
+            d2 = np.einsum("ij,jk,ik->i", x - m, inv, x - m)
+            near = x[d2 <= np.sort(d2)[224]]
+            cov = np.cov(near.T, bias=True) * factor + np.diag(ridge**2)
+            np.fill_diagonal(cov, np.maximum(np.diag(cov), least**2))
+            m, inv = near.mean(0), np.linalg.inv(cov)
+        ends.append(np.linalg.slogdet(cov)[1])
+    assert len(ends) == 3 and again["det"] == pytest.approx(min(ends), abs=1e-5)
+
+
 def test_robust_estimate_against_numpy(spark):
     """Concentration steps equal the same steps in numpy; planted outliers stay out."""
     rng = np.random.default_rng(4)
