@@ -4,10 +4,11 @@ Four base kinds are found by fixed expressions. These spans, and long
 lower-case hexadecimal keys as seeds of a fifth kind (``secret``), are the seed
 instances. Words with a digit that no base span touches are candidates. The two
 words before a mention are its lexical pattern. Spark scores the graph of
-patterns and instances in rounds: a pattern's confidence in a kind is the mean
-score of its distinct instances, a candidate's score the best confidence among
-its patterns. Candidates behind a pattern with enough confidence and enough
-distinct seeds become spans of that kind.
+patterns and instances in rounds, until no pattern gains: a pattern's confidence
+in a kind is the mean score of its distinct instances, where a seed has 1 and a
+candidate the best confidence among the *other* trusted patterns it stands
+behind. A pattern with enough confidence and enough distinct instances that are
+seeds or so discovered is trusted; candidates behind it become spans of that kind.
 
 Null texts count as empty; every input row gives one result row; repeated rows
 give the same spans; words without neighbours have the pattern of a text's
@@ -29,8 +30,9 @@ from tabsight.llm.common import stored
 
 KINDS = ["email", "ip", "card", "phone", "secret"]
 BASE = KINDS[:4]
-#: Rounds of scoring, least confidence and least number of distinct seeds of a pattern.
-ROUNDS, CONFIDENCE, SUPPORT = 3, 0.75, 3
+#: Least confidence and least number of distinct known instances of a pattern;
+#: gain in the sum of confidences that ends the rounds.
+CONFIDENCE, SUPPORT, TOLERANCE = 0.75, 3, 1e-6
 #: Trusted patterns up to this size go to the tasks whole; more are joined.
 TRUSTED_BYTES = 16 << 20
 
@@ -74,9 +76,21 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _before(text: str, at: int) -> str:
-    """The two words before a place, lower-cased and without marks at their ends."""
-    words = [w.strip(_EDGE).lower() for w in _WORD.findall(text[max(0, at - 80) : at])]
-    words = [w for w in words if w][-2:]
+    """The two words before a place, lower-cased and without marks at their ends;
+    a word over 64 characters is named by its hash."""
+    reach = 80
+    while True:
+        low = max(0, at - reach)
+        found = _WORD.findall(text, low, at)
+        if low:
+            found = found[1:]  # may be cut
+        words = [w for w in (w.strip(_EDGE).lower() for w in found[-2:]) if w]
+        if len(words) < 2:
+            words = [w for w in (w.strip(_EDGE).lower() for w in found) if w][-2:]
+        if len(words) == 2 or not low:
+            break
+        reach *= 8
+    words = [w if len(w) <= 64 else f"~{xxhash.xxh64_hexdigest(w.encode(), 42)}" for w in words]
     return " ".join(["^"] * (2 - len(words)) + words)
 
 
@@ -139,22 +153,33 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SCAN)
 
 
-def trusted_patterns(seen: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
-    """``pattern, kind, confidence`` of the patterns that hold after ``rounds``
-    of scoring. ``seen``: kind, pattern, value of each mention."""
+def trusted_patterns(seen: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
+    """``pattern, kind, confidence`` of the patterns that hold when the rounds of
+    scoring have settled. ``seen``: kind, pattern, value of each mention. Only
+    trusted patterns lend their confidence, and none to itself, so confidences
+    only rise from seeds and a pattern's own candidates never raise it."""
     edges = stored(seen.groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "pii-edges")
-    size = stored(edges.groupBy("pattern").agg(F.count("*").alias("n"), F.max("kind").alias("any")).where(f"n >= {support} AND any >= 0").select("pattern", "n"), "pii-patterns")
-    seeds = edges.where("kind >= 0").select("value", "kind").distinct().withColumn("score", F.lit(1.0))
-    open_ = stored(edges.join(size, "pattern"), "pii-open").select("pattern", "value", "n")
-    scores = seeds
-    trusted = None
-    for _ in range(rounds):
-        good = open_.join(scores, "value").groupBy("pattern", "n", "kind").agg(F.sum("score").alias("mass"), F.sum(F.when(F.col("score") == 1.0, 1).otherwise(0)).alias("seeds"))
-        trusted = stored(good.where(f"seeds >= {support}").select("pattern", "kind", (F.col("mass") / F.col("n")).alias("confidence")), "pii-scores")
-        offered = open_.join(trusted.where(f"confidence >= {confidence / 2}"), "pattern").select("value", "kind", F.col("confidence").alias("score"))
-        scores = seeds.unionByName(offered).groupBy("value", "kind").agg(F.max("score").alias("score"))
+    size = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(f"n >= {support}")
+    # No pattern has the name '', which stands for the seeds.
+    seeds = stored(edges.where("kind >= 0").select("value", "kind").distinct().select("value", "kind", F.lit(1.0).alias("confidence"), F.lit("").alias("pattern")), "pii-seeds")
+    open_ = stored(edges.join(size, "pattern").select("pattern", "value", "n"), "pii-open")
+    offered, mark = seeds, None
+    while True:
+        best = offered.groupBy("value", "kind").agg(F.max(F.struct("confidence", "pattern")).alias("best"))
+        others = offered.join(best, ["value", "kind"]).where("pattern != best.pattern").groupBy("value", "kind").agg(F.max("confidence").alias("second"))
+        scores = best.join(others, ["value", "kind"], "left")
+        score = F.when(F.col("best.pattern") != F.col("pattern"), F.col("best.confidence")).otherwise(F.coalesce("second", F.lit(0.0)))
+        scored = open_.join(scores, "value").withColumn("score", score)
+        good = scored.groupBy("pattern", "n", "kind").agg(F.sum("score").alias("mass"), F.sum(F.when(F.col("score") >= confidence, 1).otherwise(0)).alias("known"))
+        held = good.select("pattern", "kind", "known", (F.col("mass") / F.col("n")).alias("confidence")).where(f"known >= {support} AND confidence >= {confidence}").drop("known")
+        trusted = stored(held, "pii-scores")
+        n, total = trusted.agg(F.count("*"), F.coalesce(F.sum("confidence"), F.lit(0.0))).first()
+        if n == 0 or mark is not None and n == mark[0] and total - mark[1] < TOLERANCE:
+            break
+        mark = (n, total)
+        offered = seeds.unionByName(open_.join(trusted, "pattern").select("value", "kind", "confidence", "pattern"))
     best = trusted.groupBy("pattern").agg(F.max(F.struct("confidence", -F.col("kind"))).alias("b"))
-    return best.where(f"b.confidence >= {confidence}").select("pattern", (-F.col("b.col2")).alias("kind"), F.col("b.confidence").alias("confidence"))
+    return best.select("pattern", (-F.col("b.col2")).alias("kind"), F.col("b.confidence").alias("confidence"))
 
 
 def _scanned(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -221,6 +221,27 @@ def test_pii(docs, nothing):
     assert pii.report(nothing).count() == pii.redact(nothing).count() == 0
 
 
+def test_pii_patterns_bootstrap(spark):
+    """Discovered values reach patterns without a seed; a pattern's own candidates do not raise it."""
+    rows = [(0, "a a", v) for v in range(8)] + [(-1, "a a", 100), (-1, "a a", 101)]  # 80 % seeds
+    rows += [(0, "b b", v) for v in range(10, 18)] + [(-1, "b b", 102), (-1, "b b", 103)]
+    rows += [(-1, "hop one", v) for v in (100, 101, 102, 103)]  # no seed
+    rows += [(0, "low seeds", v) for v in (20, 21)] + [(0, "low seeds", 22), (0, "low seeds", 23)] + [(-1, "low seeds", v) for v in range(200, 206)]  # 40 %
+    rows += [(0, "low twin", v) for v in range(20, 24)] + [(-1, "low twin", v) for v in range(200, 206)]
+    rows += [(-1, "hop two", v) for v in (100, 102, 103)] + [(-1, "rest", v) for v in (900, 901, 902)]
+    got = {r["pattern"]: r["confidence"] for r in pii.trusted_patterns(spark.createDataFrame(rows, "kind int, pattern string, value long")).collect()}
+    assert set(got) == {"a a", "b b", "hop one", "hop two"}
+    assert all(0.75 <= c <= 1 for c in got.values())
+
+
+def test_pii_two_words_before():
+    for gap in (" ", " " * 500, " " + "- . , " * 300):
+        text = f"My Token{gap}X123456"
+        assert pii._before(text, len(text) - 7) == ("my token" if "-" not in gap else "- -")
+    long = "w" * 300
+    assert pii._before(f"one {long} X123456", 305) == f"one ~{xxhash.xxh64_hexdigest(long.encode(), 42)}"
+
+
 def test_bpe(spark, docs, nothing):
     path = public_tokenizers.path("byte_bpe_50k.json")
     lib = Tokenizer.from_file(path)
