@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 
 from tabsight.llm.common import stored
 
-#: Rounds of propagation, share that follows the links, share of distrust that blocks.
+#: Rounds of propagation between two tests of convergence, share that follows the
+#: links, share of distrust that blocks.
 ROUNDS, DAMPING, THRESHOLD = 12, 0.85, 0.3
+#: Propagation ends when a round changes all ranks together, which sum to 1, by less.
+TOLERANCE = 1e-9
 
 _UPPER, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: An absolute or protocol-relative link target's host.
@@ -47,17 +50,38 @@ def matched_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tu
     return rule, verdict
 
 
-def spread(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def settled(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """The ranks of :func:`spread` at convergence: blocks of its rounds until the
+    last round changes the ranks by less than ``tolerance`` in sum. What hosts
+    without links give back only scales all ranks alike, so the rounds leave it
+    out (a chain then settles after as many rounds as it has links, any graph by
+    ``damping`` a round) and the ranks are scaled to the sum of 1 at the end."""
+    rank = None
+    while True:
+        before = spread(nodes, edges, ROUNDS - 1, damping, rank, back=False)
+        rank = spread(nodes, edges, 1, damping, before, back=False)
+        both = rank.join(before.withColumnRenamed("rank", "was"), "host")
+        moved, total = both.agg(F.sum(F.abs(F.col("rank") - F.col("was"))), F.sum("rank")).first()
+        if (moved or 0.0) < tolerance:
+            return rank.select("host", (F.col("rank") / F.lit(total or 1.0)).alias("rank"))
+
+
+def spread(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, rank: DataFrame | None = None, back: bool = True) -> DataFrame:
     """Personalised PageRank: ``host, rank`` from ``host, seed`` (seeds sum to 1
-    or all are 0) over ``src, dst, weight`` (weights of a source sum to 1). A host
-    without links gives its rank back to the seeds."""
+    or all are 0) over ``src, dst, weight`` (weights of a source sum to 1), after
+    ``rounds`` rounds from ``rank`` or else the seeds. A host without links gives
+    its rank back to the seeds (not without ``back``)."""
     base = stored(nodes, "seeds")
-    dangling = stored(base.join(edges.select(F.col("src").alias("host")).distinct(), "host", "left_anti").select("host"), "dangling")
-    rank = base.select("host", F.col("seed").alias("rank"))
+    dangling = None if not back else stored(base.join(edges.select(F.col("src").alias("host")).distinct(), "host", "left_anti").select("host"), "dangling")
+    rank = base.select("host", F.col("seed").alias("rank")) if rank is None else rank
     for i in range(rounds):
         flow = edges.join(rank, F.col("src") == F.col("host")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("weight")).alias("flow"))
-        lost = rank.join(dangling, "host", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        after = base.join(flow, F.col("host") == F.col("dst"), "left").crossJoin(F.broadcast(lost))  # one row
+        after = base.join(flow, F.col("host") == F.col("dst"), "left")
+        if back:
+            lost = rank.join(dangling, "host", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
+            after = after.crossJoin(F.broadcast(lost))  # one row
+        else:
+            after = after.withColumn("lost", F.lit(0.0))
         rank = after.select("host", ((1 - damping) * F.col("seed") + damping * (F.coalesce("flow", F.lit(0.0)) + F.col("lost") * F.col("seed"))).alias("rank"))
         rank = stored(rank, "ranks") if i % 4 == 3 or i == rounds - 1 else rank
     return rank
@@ -82,7 +106,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], threshold: float = THR
         seeds = hosts.crossJoin(F.broadcast(total)).select("host", (F.col(column) / F.col("total")).alias("seed"))
         out = counted.groupBy(src).agg(F.sum("n").alias("out"))
         edges = counted.join(out, src).select(F.col(src).alias("src"), F.col(dst).alias("dst"), (F.col("n") / F.col("out")).alias("weight"))
-        rank = spread(seeds, stored(edges, "edges"))
+        rank = settled(stored(seeds, "seeds"), stored(edges, "edges"))
         return rank.crossJoin(F.broadcast(total)).select("host", (F.col("rank") * F.col("total")).alias("rank"))
 
     trust = ranks("allowed", "src", "dst").withColumnRenamed("rank", "trust")

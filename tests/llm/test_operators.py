@@ -379,6 +379,19 @@ def test_pagerank_against_numpy(spark):
     assert np.allclose([got[h] for h in hosts], rank)
 
 
+def test_pagerank_settles_on_a_chain(spark):
+    """A chain longer than one block of rounds, against the solved linear system."""
+    n = 16
+    nodes = spark.createDataFrame([(f"h{i:02}", 1.0 if i == 0 else 0.0) for i in range(n)], "host string, seed double")
+    edges = spark.createDataFrame([(f"h{i:02}", f"h{i + 1:02}", 1.0) for i in range(n - 1)], "src string, dst string, weight double")
+    got = {r["host"]: r["rank"] for r in url_filter.settled(nodes, edges).collect()}
+    m = np.diag(np.ones(n - 1), -1)
+    m[0, n - 1] = 1.0  # the last host gives its rank back to the seed
+    seed = np.eye(n)[0]
+    want = np.linalg.solve(np.eye(n) - url_filter.DAMPING * m, (1 - url_filter.DAMPING) * seed)
+    assert want[13] > 0.01 and np.allclose([got[f"h{i:02}"] for i in range(n)], want)
+
+
 def test_quality_classifier(spark, docs, nothing):
     rnd = random.Random(9)
     good = [(i, " ".join(rnd.choice(VOCAB) for _ in range(80))) for i in range(200)]
