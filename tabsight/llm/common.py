@@ -67,6 +67,14 @@ def crc_mod(doc_id, n: int):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def free_name(stem: str, *frames: DataFrame) -> str:
+    """A column name that none of the tables has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 # ---------------------------------------------------------------- hashing
 
 

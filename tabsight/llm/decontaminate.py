@@ -10,8 +10,12 @@ Minima are taken once per smallest block and merged upwards. Every candidate
 (document, item) is verified by the exact share of the item's distinct shingles
 that occur anywhere in the document, compared as words.
 
+Items of one to ``FEW`` shingles are looked up instead: by their whole word
+sequence where they are shorter than a shingle, else by each of their shingles,
+so that none is missed.
+
 Items are a query set: they are read in blocks of bounded size (``BLOCK_BYTES``),
-each against all documents. Words are lower-cased (A-Z). A text of one to four
+each against all documents and written before the next one is read. Words are lower-cased (A-Z). A text of one to four
 words has its whole word sequence as its only shingle; null, empty and wordless
 texts have none and match nothing. Repeated documents and items are reported
 one by one. Empty tables give no rows. Other columns are not read.
@@ -28,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsight.llm.common import LOWER, shingle_hashes, span_hashes, stored, text_chunks, word_spans
+from tabsight.llm.common import LOWER, free_name, shingle_hashes, span_hashes, stored, text_chunks, word_spans
 
 PERMUTATIONS, BLOCK_BYTES, LEAST_CLASS = 64, 16 << 20, 3
 MULTIPLIERS = np.random.default_rng(77).integers(0, 2**31, PERMUTATIONS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
-SCHEMA = "doc_id long, item_id long, n_item_shingles long, n_shared long"
+#: Items of at most so many distinct shingles are found by looking them up.
+FEW = 4
+SCHEMA = "doc_id long, key long, item_id long, n_item_shingles long, n_shared long"
 
 
 def shingles(words: list[bytes], k: int) -> set[bytes]:
@@ -54,6 +60,7 @@ class Items:
     def __init__(self, rows: list[tuple[int, str | None]], k: int):
         self.k, self.ids, self.sets, self.hashes = k, [], [], []
         self.short: dict[bytes, list[int]] = defaultdict(list)
+        few: list[int] = []
         classes: dict[int, list[int]] = defaultdict(list)
         for item_id, text in rows:
             words = (text or "").encode().translate(LOWER).split()
@@ -65,8 +72,13 @@ class Items:
             self.hashes.append(np.unique(_hashes(words, k)))
             if len(words) < k:
                 self.short[b" ".join(words)].append(at)
+            elif len(self.hashes[at]) <= FEW:
+                few.append(at)
             else:
                 classes[max(LEAST_CLASS, int(np.ceil(np.log2(len(words) - k + 1))))].append(at)
+        owned = np.concatenate([np.empty(0, np.uint64), *[self.hashes[i] for i in few]])
+        order = np.argsort(owned, kind="stable")
+        self.few, self.few_items = owned[order], np.repeat(np.array(few, np.int64), [len(self.hashes[i]) for i in few])[order]
         self.classes = {c: _Bands(np.array(at), [self.hashes[i] for i in at]) for c, at in sorted(classes.items())}
 
 
@@ -100,15 +112,19 @@ class _Bands:
 def candidates(items: Items, hashes: np.ndarray, text: np.ndarray) -> np.ndarray:
     """Distinct (text, item) pairs with a common band value in some window.
     ``text``: text number of each shingle, rising."""
+    a, b = np.searchsorted(items.few, hashes), np.searchsorted(items.few, hashes, "right")
+    hit = np.flatnonzero(b > a)
+    looked_up = [(text[h], items.few_items[i]) for h in hit.tolist() for i in range(a[h], b[h])]
+    looked_up = np.unique(np.array(looked_up, np.int64).reshape(-1, 2), axis=0)
     if not len(hashes) or not items.classes:
-        return np.empty((0, 2), np.int64)
+        return looked_up
     level = min(items.classes)
     first = np.searchsorted(text, text, "left")
     starts = np.flatnonzero((np.arange(len(text)) - first) % (1 << level) == 0)
     block_text = text[starts]
     low = (hashes >> np.uint64(32)).astype(np.uint32)
     minima = np.stack([np.minimum.reduceat(low * m, starts) for m in MULTIPLIERS])
-    out = [np.empty((0, 2), np.int64)]
+    out = [looked_up]
     while True:
         if level in items.classes:
             joined = minima.copy()
@@ -128,7 +144,6 @@ def _search(docs: DataFrame, items: Items, per_cent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
             for i, _, data, offsets in text_chunks(batch, "text"):
                 low = np.frombuffer(data.tobytes().translate(LOWER), np.uint8)
                 starts, ends, text = word_spans(low, offsets)
@@ -148,27 +163,38 @@ def _search(docs: DataFrame, items: Items, per_cent: int) -> DataFrame:
                         rows += [(t, item, 1) for item in items.short.get(words, ())]
                 if rows:
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array([i + t for t, _, _ in rows])), pa.array([items.ids[x] for _, x, _ in rows], pa.int64()), pa.array([len(items.sets[x]) for _, x, _ in rows], pa.int64()), pa.array([s for _, _, s in rows], pa.int64())],
-                        ["doc_id", "item_id", "n_item_shingles", "n_shared"],
+                        [*(batch.column(c).take(pa.array([i + t for t, _, _ in rows])) for c in ("doc_id", "key")), pa.array([items.ids[x] for _, x, _ in rows], pa.int64()), pa.array([len(items.sets[x]) for _, x, _ in rows], pa.int64()), pa.array([s for _, _, s in rows], pa.int64())],
+                        ["doc_id", "key", "item_id", "n_item_shingles", "n_shared"],
                     )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(run, SCHEMA)
 
 
-def contained(docs: DataFrame, benchmark: DataFrame, k: int = 5, per_cent: int = 80, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``doc_id, item_id, n_item_shingles, n_shared, containment`` of each test
-    item that lies in a document to at least ``per_cent`` of its shingles."""
+def _found(docs: DataFrame, benchmark: DataFrame, k: int, per_cent: int, block_bytes: int) -> DataFrame:
+    """What :func:`contained` returns, with a hash ``key`` of the document's text.
+    One block of items is on the driver and in the tasks at a time: where there are
+    several, each block's rows are written before the next block is read."""
     items = benchmark.select("item_id", "text")
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = max(1, -(-size // block_bytes))
     parts = []
-    for b in range(n):  # one block is on the driver and in the tasks at a time
+    for b in range(n):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
-        parts.append(_search(docs, Items([tuple(r) for r in block.collect()], k), per_cent))
+        part = _search(docs, Items([tuple(r) for r in block.collect()], k), per_cent)
+        parts.append(part if n == 1 else stored(part, "contained"))
     return reduce(DataFrame.unionByName, parts).withColumn("containment", F.col("n_shared") / F.col("n_item_shingles"))
 
 
-def without_items(docs: DataFrame, benchmark: DataFrame, k: int = 5, per_cent: int = 80) -> DataFrame:
-    """The documents that contain no test item."""
-    found = stored(contained(docs, benchmark, k, per_cent).select("doc_id").distinct(), "contaminated")
-    return docs.join(found.withColumnRenamed("doc_id", "_found"), docs["doc_id"].eqNullSafe(F.col("_found")), "left_anti")
+def contained(docs: DataFrame, benchmark: DataFrame, k: int = 5, per_cent: int = 80, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``doc_id, item_id, n_item_shingles, n_shared, containment`` of each test
+    item that lies in a document to at least ``per_cent`` of its shingles."""
+    return _found(docs, benchmark, k, per_cent, block_bytes).drop("key")
+
+
+def without_items(docs: DataFrame, benchmark: DataFrame, k: int = 5, per_cent: int = 80, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents that contain no test item. A row goes by its id and text hash
+    together: another text under the same (or a null) id stays."""
+    name = free_name("_found", docs)
+    found = _found(docs, benchmark, k, per_cent, block_bytes).select(F.struct("doc_id", "key").alias(name)).distinct()
+    rows = docs.withColumn(name, F.struct(F.col("doc_id"), F.xxhash64("text").alias("key")))
+    return rows.join(stored(found, "contaminated"), name, "left_anti").select(*docs.columns)

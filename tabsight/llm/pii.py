@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsight.llm.common import stored
+from tabsight.llm.common import free_name, stored
 
 KINDS = ["email", "ip", "card", "phone", "secret"]
 BASE = KINDS[:4]
@@ -246,21 +246,22 @@ def redact(docs: DataFrame, trusted_bytes: int = TRUSTED_BYTES) -> DataFrame:
     scanned, seen, trusted = _scanned(docs)
     size = trusted.agg(F.sum(F.octet_length("pattern") + 64)).first()[0] or 0
     small, known = size <= trusted_bytes, {}
+    name = free_name("_spans", docs)
     if small:
         known = {r["pattern"]: r["kind"] for r in trusted.select("pattern", "kind").collect()}
         both = docs
     else:
-        spans = _found(scanned, seen, trusted).select("doc_id", "key", F.expr(all_spans()).alias("spans")).where("spans != ''").distinct()
-        spans = stored(spans, "pii-spans").select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("spans").alias("_spans"))
-        key = F.xxhash64(F.coalesce("text", F.lit("")))
-        both = docs.join(spans, docs["doc_id"].eqNullSafe(spans["_d"]) & (key == spans["_k"]), "left").drop("_d", "_k")
+        at = free_name("_at", docs)
+        spans = _found(scanned, seen, trusted).select(F.struct("doc_id", "key").alias(at), F.expr(all_spans()).alias(name)).where(F.col(name) != "").distinct()
+        rows = docs.withColumn(at, F.struct(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")))
+        both = rows.join(stored(spans, "pii-spans"), at, "left").select(*docs.columns, name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            spans = [spans_of(t, known) if t else "" for t in texts] if small else batch.column("_spans").to_pylist()
+            spans = [spans_of(t, known) if t else "" for t in texts] if small else batch.column(name).to_pylist()
             texts = [t if not s else cover(t, s) for t, s in zip(texts, spans)]
-            fields = {f.name: batch.column(f.name) for f in batch.schema if f.name != "_spans"}
+            fields = {f.name: batch.column(f.name) for f in batch.schema if f.name != name}
             fields["text"] = pa.array(texts, pa.string())
             if "n_chars" in fields:
                 fields["n_chars"] = pa.array([None if t is None else len(t) for t in texts], fields["n_chars"].type)

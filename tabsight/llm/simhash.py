@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsight.llm.common import LOWER, stored
+from tabsight.llm.common import LOWER, free_name, stored
 from tabsight.llm.components import components
 
 #: Points per shard aimed at, points the split tree is fitted on, leaf size.
@@ -51,12 +51,15 @@ def fingerprint(text: str | None, k: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
+    """Per row of ``docs``: doc_id, fp, a hash ``key`` of the text, and the row's number."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(t.as_py(), k) for t in batch.column("text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), batch.column("row"), pa.array(fp.view(np.int64))], ["doc_id", "key", "row", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("key"), F.monotonically_increasing_id().alias("row"))
+    return rows.mapInArrow(run, "doc_id long, key long, row long, fp long")
 
 
 # ---------------------------------------------------------------- vantage-point trees
@@ -189,28 +192,42 @@ def point_links(points: DataFrame, reach: int = 2, shard: int = SHARD, sample: i
     return routed.groupBy("shard").applyInPandas(search, "a long, b long")
 
 
+def _classes(prints: DataFrame, reach: int, shard: int) -> DataFrame:
+    """``fp, first, root`` of each fingerprint: its smallest doc_id, and the
+    fingerprint that names its component."""
+    points = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "points")
+    roots = components(point_links(points.select("fp"), reach, shard))
+    return points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 3, reach: int = 2, shard: int = SHARD) -> DataFrame:
     """``doc_id, fingerprint, component_id`` per document: fingerprints of
     ``k``-word shingles link at ``reach`` or fewer bits; a component is named by
     its smallest doc_id. Links between fingerprints with a null id count; the
     smallest id of a component is taken over its non-null ones."""
     prints = stored(fingerprints(docs, k), "fingerprints")
-    points = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "points")
-    roots = components(point_links(points.select("fp"), reach, shard))
-    classes = points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    classes = _classes(prints, reach, shard)
     smallest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
     named = stored(classes.join(smallest, "root").select("fp", "component_id"), "classes")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def without_copies(docs: DataFrame, k: int = 3, reach: int = 2) -> DataFrame:
-    """The documents that name their component. Rows with the same doc_id (null
-    included) are one document, of which one row stays.
+def without_copies(docs: DataFrame, k: int = 3, reach: int = 2, shard: int = SHARD) -> DataFrame:
+    """One row of each component: that of the smallest doc_id (null ids last), among
+    rows of one id that of the smallest text hash, among equal rows the first read.
+    Rows of different components all stay, whatever their ids.
 
-    The id goes into a struct, which is never null itself: a plain equi-join on
-    it finds null ids too and reuses the partitioning by which repeated ids were
-    put together, so texts are shuffled once."""
-    key = "_key" + "_" * max(map(len, docs.columns))  # no column has this name
-    named = near_duplicates(docs, k, reach).where("doc_id <=> component_id").select(F.struct("doc_id").alias(key))
-    first = docs.withColumn(key, F.struct("doc_id")).dropDuplicates([key])
-    return first.join(named.distinct(), key, "left_semi").drop(key)
+    The rows that go are found among fingerprints and taken out by row number, id and
+    text hash together, so a row can only go as itself; they are few beside the texts.
+    ``docs`` must give its rows in the same partitions and order each time, as a
+    written table does; of a table that does not, copies may stay."""
+    prints = stored(fingerprints(docs, k), "fingerprints")
+    classes = _classes(prints, reach, shard).select("fp", "root")
+    placed = stored(prints.join(classes, "fp").select("root", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "row").alias("place")), "placed")
+    first = placed.groupBy("root").agg(F.min("place").alias("first"))
+    gone = placed.join(first, "root").where("place.row != first.row").select("place.*")
+    names = {c: free_name(f"_{c}", docs) for c in ("row", "key", "gone")}
+    gone = stored(gone.select(F.col("row").alias(names["row"]), F.struct("doc_id", "key").alias(names["gone"])), "copies")
+    rows = docs.withColumn(names["row"], F.monotonically_increasing_id())
+    rows = rows.withColumn(names["gone"], F.struct(F.col("doc_id"), F.xxhash64("text").alias("key")))
+    return rows.join(gone, [names["row"], names["gone"]], "left_anti").select(*docs.columns)
