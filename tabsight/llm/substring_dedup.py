@@ -8,21 +8,26 @@ place in a text) has a variable-length prefix: it ends with the anchor, the
 ``WINDOW`` words. Equal windows have equal prefixes, and neighbouring suffixes
 share their anchor, so their words travel once.
 
-1. Each block sends its distinct anchors; those of at least two blocks come back.
+1. Each block sends its distinct anchors; Spark counts the blocks of each, and those
+   of at least two blocks come back.
 2. Each block settles repeats inside it, and sends of the windows with a shared
    anchor the first of each kind, as stretches of words, to the anchor's group.
    A passage with any number of copies thus sends one stretch per block.
-3. A group builds the suffix tree of its stretches level by level (prefix
-   doubling: depths 1, 2, 4, 8, 16, then ``WINDOW``, exact at each level).
-   Suffixes that share a node of depth ``WINDOW`` lie below a deep internal
-   node, a maximal repeat; all but its earliest suffix are marked.
-4. Each block removes what its own and the returned marks cover.
-
-Anchors are 64-bit hashes and only choose groups. Words travel as 32-bit codes
-of 20 per window; inside a block windows compare by 64-bit hash. Null, empty
-and short texts (under ``WINDOW`` words) lose nothing; a null doc_id comes
-before all others; rows with the same doc_id count as one document whose later
-rows follow in block order. An empty table gives no rows.
+3. A group builds the suffix tree of its stretches, cut at depth ``WINDOW``, level by
+   level (prefix doubling: depths 1, 2, 4, 8, 16, then ``WINDOW``). Suffixes that share
+   a node of depth ``WINDOW`` lie below a deep internal node, a maximal repeat;
+   all but its earliest suffix are marked.
+4. Prefixes of more than ``HOT`` blocks are lengthened to the whole window: such a
+   group is a single leaf, whose earliest suffix Spark's own aggregation finds, with
+   partial minima per task. No group of step 3 thus holds more than ``HOT``
+   stretches of one anchor, however many blocks have it.
+5. Each block removes what its own and the returned marks cover.
+
+Hashes choose groups and candidates only: inside a block, windows of equal hash are
+compared word by word (and named by the tree where a hash lies); between blocks words
+travel as words. Null, empty and short texts (under ``WINDOW`` words) lose nothing; a
+null doc_id comes before all others; rows with the same doc_id count as one document
+whose later rows follow in block order. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,6 +46,8 @@ from tabsight.llm.common import block_ids, pack_blocks, shingle_hashes, span_has
 WINDOW, GRAM = 20, 8
 #: Blocks whose anchors or stretches share a group, about.
 BLOCKS_PER_GROUP = 6
+#: Stretches of one anchor that a group takes; anchors of more blocks go the other way.
+HOT = 64
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -72,12 +79,24 @@ class Block:
 
     def first(self) -> np.ndarray:
         """Whether no equal window starts earlier in this block."""
-        order = np.lexsort((self.at, self.doc_ids[self.text[self.at]], self.window))
-        same = np.r_[False, self.window[order][1:] == self.window[order][:-1]] if len(order) else np.empty(0, bool)
-        out = np.empty(len(order), bool)
-        out[order] = ~same
+        kind = self.window
+        order = np.lexsort((self.at, self.doc_ids[self.text[self.at]], kind))
+        same = np.flatnonzero(kind[order][1:] == kind[order][:-1])
+        one, other = self.at[order[same]], self.at[order[same + 1]]
+        if any((self.ids[one + k] != self.ids[other + k]).any() for k in range(WINDOW)):
+            kind = repeats(self.ids, self.lens)[0]
+            order = np.lexsort((self.at, self.doc_ids[self.text[self.at]], kind))
+            same = np.flatnonzero(kind[order][1:] == kind[order][:-1])
+        out = np.ones(len(order), bool)
+        out[order[same + 1]] = False
         return out
 
+    def firsts(self, shared: pd.DataFrame, column: str) -> np.ndarray:
+        """The windows to send: first of their kind, with an anchor of ``column``."""
+        anchors = np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in shared[column])])
+        asked = np.isin(self.anchor, anchors)
+        return np.flatnonzero(asked & self.first()) if asked.any() else np.empty(0, np.int64)
+
 
 def _read(batch: pa.RecordBatch) -> Iterator[Block]:
     for r in batch.to_pylist():
@@ -111,39 +130,50 @@ def _anchors(blocks: DataFrame, groups: int) -> DataFrame:
     return blocks.mapInArrow(run, "grp long, block long, anchors binary")
 
 
-def _shared(rows: pd.DataFrame) -> pd.DataFrame:
-    """The anchors of each block that another block has too."""
-    lists = [np.frombuffer(b, np.uint64) for b in rows["anchors"]]
-    seen, n = np.unique(np.concatenate(lists), return_counts=True)
-    several = seen[n > 1]
-    kept = [x[np.isin(x, several, assume_unique=True)] for x in lists]
-    return pd.DataFrame([(b, x.tobytes()) for b, x in zip(rows["block"], kept) if len(x)], columns=["block", "anchors"])
+def _shared(hot: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """The anchors of each block that another block has too, those of many blocks apart."""
+        lists = [np.frombuffer(b, np.uint64) for b in rows["anchors"]]
+        seen, n = np.unique(np.concatenate(lists), return_counts=True)
+        several, many = seen[(n > 1) & (n <= hot)], seen[n > max(1, hot)]
+        parts = [(b, x[np.isin(x, several, assume_unique=True)].tobytes(), x[np.isin(x, many, assume_unique=True)].tobytes()) for b, x in zip(rows["block"], lists)]
+        return pd.DataFrame([p for p in parts if p[1] or p[2]], columns=["block", "anchors", "hot"])
+
+    return run
 
 
 def _stretches(groups: int):
     def run(block: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
         out = []
         b = _of(block)
-        if b is not None and len(shared):
-            anchors = np.concatenate([np.frombuffer(x, np.uint64) for x in shared["anchors"]])
-            send = np.flatnonzero(b.first() & np.isin(b.anchor, anchors))
-            if len(send):
-                at, anchor = b.at[send], b.anchor[send]
-                new = np.r_[True, (np.diff(at) != 1) | (anchor[1:] != anchor[:-1])]
-                begin = np.flatnonzero(new)
-                size = np.diff(np.r_[begin, len(at)])
-                code = (b.hash >> np.uint64(32)).astype(np.uint32)
-                for g, part in _by_group(anchor[begin], groups):
-                    start, n = at[begin[part]], size[part]
-                    length = n + WINDOW - 1
-                    places = np.repeat(start - np.cumsum(length) + length, length) + np.arange(length.sum())
-                    doc = b.doc_ids[b.text[start]]
-                    out.append((g, b.block, doc.tobytes(), start.astype(np.int32).tobytes(), n.astype(np.int32).tobytes(), code[places].tobytes()))
-        return pd.DataFrame(out, columns=["grp", "block", "docs", "starts", "sizes", "codes"])
+        send = b.firsts(shared, "anchors") if b is not None and len(shared) else np.empty(0, np.int64)
+        if len(send):
+            at, anchor = b.at[send], b.anchor[send]
+            new = np.r_[True, (np.diff(at) != 1) | (anchor[1:] != anchor[:-1])]
+            begin = np.flatnonzero(new)
+            size = np.diff(np.r_[begin, len(at)])
+            for g, part in _by_group(anchor[begin], groups):
+                start, n = at[begin[part]], size[part]
+                length = n + WINDOW - 1
+                places = np.repeat(start - np.cumsum(length) + length, length) + np.arange(length.sum())
+                used, code = np.unique(b.ids[places], return_inverse=True)
+                words = b" ".join([b.words[w] for w in used.tolist()])
+                code = code.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32)
+                out.append((g, b.block, b.doc_ids[b.text[start]].tobytes(), start.astype(np.int32).tobytes(), n.astype(np.int32).tobytes(), code.tobytes(), words))
+        return pd.DataFrame(out, columns=["grp", "block", "docs", "starts", "sizes", "codes", "words"])
 
     return run
 
 
+def _hot_windows(block: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
+    """The windows of the block whose anchors are in many blocks, as words."""
+    b = _of(block)
+    send = b.firsts(shared, "hot") if b is not None and len(shared) else np.empty(0, np.int64)
+    at = b.at[send] if len(send) else send
+    words = [b" ".join([b.words[w] for w in b.ids[i : i + WINDOW].tolist()]) for i in at.tolist()]
+    return pd.DataFrame({"words": words, "doc": b.doc_ids[b.text[at]] if len(send) else at, "block": np.full(len(at), b.block if len(send) else 0), "place": at.astype(np.int32)})
+
+
 def repeats(codes: np.ndarray, lengths: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Suffix-tree node of depth ``window`` of each suffix that is long enough,
     and the suffix's place. ``codes``: stretches one after another, ``lengths``
@@ -178,7 +208,13 @@ def _marks(rows: pd.DataFrame) -> pd.DataFrame:
     doc = np.concatenate([np.frombuffer(x, np.int64) for x in rows["docs"]])
     source = np.repeat(np.arange(len(rows)), [len(x) // 4 for x in rows["sizes"]])
     length = size + WINDOW - 1
-    node, at = repeats(np.concatenate([np.frombuffer(x, np.uint32) for x in rows["codes"]]), length)
+    number: dict[bytes, int] = {}
+    codes = []
+    for packed, words, sizes in zip(rows["codes"], rows["words"], rows["sizes"]):
+        n = int((np.frombuffer(sizes, np.int32).astype(np.int64) + WINDOW - 1).sum())
+        own = np.array([number.setdefault(w, len(number)) for w in word_list(words)], np.int64)
+        codes.append(own[np.frombuffer(packed, np.uint32 if len(packed) > 2 * n else np.uint16)])
+    node, at = repeats(np.concatenate(codes), length)
     stretch = np.repeat(np.arange(len(length)), length)[at]
     place = start[stretch] + at - (np.cumsum(length) - length)[stretch]
     block = rows["block"].to_numpy(np.int64)[source[stretch]]
@@ -195,7 +231,7 @@ def _kept(block: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
     b = _of(block)
     if b is None:
         return pd.DataFrame({"doc_id": [], "n_words": [], "n_removed": [], "kept_sha256": []})
-    starts = [b.at[~b.first()], *(np.frombuffer(x, np.int32).astype(np.int64) for x in marks["starts"])]
+    starts = [b.at[~b.first()], *(np.frombuffer(x, np.int32).astype(np.int64) for x in marks["starts"] if x is not None), *(np.asarray(x, np.int64) for x in marks["places"] if x is not None)]
     edge = np.zeros(len(b.ids) + 1, np.int64)
     for s in starts:
         np.add.at(edge, s, 1)
@@ -219,14 +255,25 @@ def _text(block: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
     return out[["doc_id", "n_words", "n_removed", "text"]]
 
 
-def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, with_text: bool = False, hot: int = HOT) -> DataFrame:
     """``doc_id, n_words, n_removed`` and the digest of the kept words, or with
     ``with_text`` the kept words themselves, joined by one space."""
     blocks = pack_blocks(docs, lower=False, name="sub-blocks")
     groups = max(1, blocks.count() // BLOCKS_PER_GROUP)
-    shared = stored(_anchors(blocks, groups).groupBy("grp").applyInPandas(_shared, "block long, anchors binary"), "sub-shared")
-    sent = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(_stretches(groups), "grp long, block long, docs binary, starts binary, sizes binary, codes binary")
+    anchors = _anchors(blocks, groups).groupBy("grp").applyInPandas(_shared(hot), "block long, anchors binary, hot binary")
+    shared = stored(anchors, "sub-shared")
+    asked = blocks.groupBy("block").cogroup(shared.groupBy("block"))
+    sent = asked.applyInPandas(_stretches(groups), "grp long, block long, docs binary, starts binary, sizes binary, codes binary, words binary")
     marks = stored(sent.groupBy("grp").applyInPandas(_marks, "block long, starts binary"), "sub-marks")
+    many = shared.where(F.octet_length("hot") > 0).select("block", "hot")
+    if not many.isEmpty():
+        whole = blocks.join(many.select("block").distinct(), "block", "left_semi").groupBy("block").cogroup(many.groupBy("block"))
+        whole = stored(whole.applyInPandas(_hot_windows, "words binary, doc long, block long, place int"), "sub-windows")
+        earliest = whole.groupBy("words").agg(F.min(F.struct("doc", "block", "place")).alias("first"))
+        later = whole.join(earliest, "words").where(F.struct("doc", "block", "place") != F.col("first"))
+        marks = marks.unionByName(later.groupBy("block").agg(F.collect_list("place").alias("places")), allowMissingColumns=True)
+    else:
+        marks = marks.withColumn("places", F.lit(None).cast("array<int>"))
     both = blocks.groupBy("block").cogroup(marks.groupBy("block"))
     if with_text:
         return both.applyInPandas(_text, "doc_id long, n_words long, n_removed long, text string")
