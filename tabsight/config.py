@@ -1,13 +1,7 @@
-"""Behaviour parameters of the suggestion loop, as one frozen dataclass.
-
-Every operator takes its knobs as plain arguments; ``Settings`` only bundles the
-defaults so a job can pass one object around.
-"""
+"""Behaviour parameters of the suggestion loop: defaults of the operators' arguments."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 # ---------------------------------------------------------------------------
 # Fixed values. These must equal the behaviour being reproduced.
 #   model name default .............. "qwen/qwen3-8b"
@@ -49,18 +43,6 @@ CHARS_PER_TOKEN = 4
 EVENT_SLICE_MS = 3_600_000  # one hour of one user's events
 TURN_SLICE = 4096  # turns of one conversation
 
-
-@dataclass(frozen=True)
-class Settings:
-    model_name: str = DEFAULT_MODEL_NAME
-    min_avg_logprob: float = DEFAULT_MIN_AVG_LOGPROB
-    max_context_tokens: int = DEFAULT_MAX_CONTEXT_TOKENS
-    preference_log_path: str = ""
-    enable_preference_logging: bool = True
-    viewport_radius: int = DEFAULT_VIEWPORT_RADIUS
-    debounce_ms: int = DEBOUNCE_MS
-    throttle_ms: int = THROTTLE_MS
-    max_pending: int = MAX_PENDING_TRIGGERS
-    system_prompt: str = DEFAULT_SYSTEM_PROMPT
-    event_slice_ms: int = EVENT_SLICE_MS
-    turn_slice: int = TURN_SLICE
+# How far behind the newest event a stream still takes rows; also the width of the
+# slices of event time that a stream holds and releases (streaming/ordered.py).
+STREAM_DELAY_MS = 86_400_000  # one day

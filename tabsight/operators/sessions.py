@@ -74,12 +74,9 @@ def first_activation(tabs: DataFrame) -> DataFrame:
     A grouped ``min`` (combined map-side, so a hot user or file is cheap)
     joined back on ``(user, epoch, file)``; no window over a user.
     """
-    firsts = tabs.groupBy("user_id", "epoch", "file").agg(F.min(F.struct(*ORDER)).alias("__first"))
-    return (
-        tabs.join(firsts, ["user_id", "epoch", "file"], "left")
-        .withColumn("is_first", F.struct(*ORDER) == F.col("__first"))
-        .drop("__first")
-    )
+    place = tabs.withColumn("__file", F.struct("user_id", "epoch", "file"))  # never null itself
+    firsts = place.groupBy("__file").agg(F.min(F.struct(*ORDER)).alias("__first"))
+    return place.join(firsts, "__file").withColumn("is_first", F.struct(*ORDER) == F.col("__first")).drop("__file", "__first")
 
 
 def trigger_gate(state: DataFrame) -> DataFrame:

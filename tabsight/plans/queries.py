@@ -506,22 +506,27 @@ def q_coalesce_triggers(spark, base):
     return trg.coalesce_triggers(fx.trigger_events(spark, base))
 
 
+def _stream(spark, base, fold, mapping, build):
+    """The rows of a fold over the events stream, run to the end of the input."""
+    from ..streaming.ordered import split_late
+    from ..streaming.runner import run_to_end
+
+    out = run_to_end(spark, fx.event_stream(spark, base), lambda ev: build(mapping(ev)), build.__name__)
+    return split_late(out, fold, "user_id")[0]
+
+
 @query("stream_outcomes")
 def q_stream_outcomes(spark, base):
-    from ..streaming.runner import run_available
-    from ..streaming.state import stream_outcomes
+    from ..streaming.state import Outcomes, stream_outcomes
 
-    return run_available(spark, stream_outcomes(fx.decisions_from(fx.event_stream(spark, base))), "stream_outcomes")
+    return _stream(spark, base, Outcomes(), fx.decisions_from, stream_outcomes)
 
 
 @query("stream_first_activation")
 def q_stream_first_activation(spark, base):
-    from ..streaming.runner import run_available
-    from ..streaming.state import stream_first_activation
-
-    s = stream_first_activation(fx.session_events_from(fx.event_stream(spark, base)))
-    return run_available(spark, s, "stream_first_activation")
+    from ..streaming.state import Activations, stream_first_activation
 
+    return _stream(spark, base, Activations(), fx.session_events_from, stream_first_activation)
 
 
 # -- event sources, transcripts, state as of, request bodies -------------------
@@ -631,22 +636,23 @@ def q_stream_preference_log(spark, base):
     ``preference_log_roundtrip``."""
     import uuid
 
-    from ..streaming.runner import write_preference_stream
-    from ..streaming.state import stream_outcomes
+    from ..streaming.ordered import split_late
+    from ..streaming.runner import EndMarker, write_preference_stream
+    from ..streaming.state import Outcomes, stream_outcomes
 
     parsed = rsp.parse_responses(fx.view_requests(spark, base))
     shown = materialize(fx.shown_suggestions(parsed), "shown")
     contexts = materialize(pref.context_arrays(msg.truncate_context(fx.messages(spark, base))), "contexts")
-    ev = fx.decisions_from(fx.event_stream(spark, base))
-    # A view counts as shown only if its response parsed ok (stream-static semi-join).
-    shown_ev = ev.where(F.col("kind") == "shown").join(shown.select("seq"), "seq", "left_semi")
-    decided = ev.where(F.col("kind").isin("accept", "reject"))
-    outcomes = stream_outcomes(shown_ev.unionByName(decided))
-    samples = pref.samples_from_outcomes(outcomes, shown, contexts)
+    marker = EndMarker(fx.event_stream(spark, base))
+    ev = fx.decisions_from(marker.stream)
+    # A view counts as shown only if its response parsed ok (stream-static join).
+    ok = shown.select("seq", F.lit(True).alias("ok"))
+    kind = F.when((F.col("kind") != "shown") | F.col("ok"), F.col("kind"))
+    outcomes = stream_outcomes(ev.join(ok, "seq", "left").withColumn("kind", kind))
+    samples = pref.samples_from_outcomes(split_late(outcomes, Outcomes(), "user_id")[0], shown, contexts)
     tag = uuid.uuid4().hex
-    path = scratch_path(spark, f"stream-log-{tag}")
-    q = write_preference_stream(samples, path, scratch_path(spark, f"stream-log-ckpt-{tag}"), available_now=True)
-    q.awaitTermination()
+    path, ckpt = scratch_path(spark, f"stream-log-{tag}"), scratch_path(spark, f"stream-log-ckpt-{tag}")
+    marker.run(lambda: write_preference_stream(samples, path, ckpt, available_now=True))
     back, _bad = pref.read_preferences(spark, path)
     a = F.col("completion.parsedAction")
     return back.select(

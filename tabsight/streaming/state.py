@@ -1,107 +1,92 @@
-"""Stateful streaming forms of the per-user operators.
-
-Each keeps one small state per user (``applyInPandasWithState``): the pending
-suggestion for outcome resolution, the epoch and activated files for first
-activation. All rows a user has in a micro-batch are processed in ``(ts, seq)``
-order, however many Arrow chunks Spark hands them over in; a micro-batch's size
-is the source's to set (files or bytes per trigger). Across micro-batches a
-user's events are expected in order (a log partitioned by user). The batch
+"""Stateful streaming forms of the per-user operators: folds over each user's
+events in event-time order (``streaming.ordered``), with late rows kept apart.
+
+The fold's state is small: the pending suggestion for outcome resolution; the epoch
+and, as map entries, the files activated in it for first activation. The batch
 operators give the same rows on the same input (``tests/test_io_streaming.py``).
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from .. import config
 from ..operators.sessions import DECIDED
-
-OUTCOME_OUT = T.StructType(
-    [
-        T.StructField("user_id", T.LongType()),
-        T.StructField("shown_seq", T.LongType()),
-        T.StructField("shown_ts", T.LongType()),
-        T.StructField("outcome", T.StringType()),
-        T.StructField("outcome_ts", T.LongType()),
-    ]
-)
-OUTCOME_STATE = T.StructType([T.StructField("seq", T.LongType()), T.StructField("ts", T.LongType())])
-
-
-def in_order(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    """A group's rows of this micro-batch in one order over all its chunks."""
-    return pd.concat(list(batches), ignore_index=True).sort_values(by, kind="stable")
-
-
-def _outcomes(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    (user,) = key
-    pending = state.get if state.exists else None
-    rows = []
-    for r in in_order(batches, ["ts", "seq"]).itertuples(index=False):
-        if r.kind == "shown":
-            if pending is not None:
-                rows.append((user, pending[0], pending[1], "ignored", r.ts))
-            pending = (r.seq, r.ts)
-        elif r.kind in DECIDED and pending is not None:
-            rows.append((user, pending[0], pending[1], "accepted" if r.kind == "accept" else "rejected", r.ts))
-            pending = None
-    if pending is None:
-        if state.exists:
-            state.remove()
-    else:
-        state.update(pending)
-    if rows:
-        yield pd.DataFrame(rows, columns=[f.name for f in OUTCOME_OUT.fields])
-
-
-def stream_outcomes(decisions: DataFrame) -> DataFrame:
-    """Outcome resolution on a stream of ``(user_id, ts, seq, kind)``."""
-    d = decisions.where(F.col("kind").isin("shown", *DECIDED)).select("user_id", "ts", "seq", "kind")
-    return d.groupBy("user_id").applyInPandasWithState(
-        _outcomes, OUTCOME_OUT, OUTCOME_STATE, "append", GroupStateTimeout.NoTimeout
-    )
-
-
-ACTIVATION_OUT = T.StructType(
-    [
-        T.StructField("user_id", T.LongType()),
-        T.StructField("seq", T.LongType()),
-        T.StructField("file", T.StringType()),
-        T.StructField("epoch", T.LongType()),
-        T.StructField("is_first", T.BooleanType()),
-    ]
-)
-ACTIVATION_STATE = T.StructType([T.StructField("epoch", T.LongType()), T.StructField("files", T.StringType())])
-
-
-def _activation(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    (user,) = key
-    epoch, files = (state.get[0], set(json.loads(state.get[1]))) if state.exists else (0, set())
-    rows = []
-    for r in in_order(batches, ["ts", "seq"]).itertuples(index=False):
-        if r.kind == "clear":
-            epoch += 1
-            files = set()
-        elif r.kind == "tab":
-            first = r.file not in files
-            files.add(r.file)
-            rows.append((user, r.seq, r.file, epoch, first))
-    state.update((epoch, json.dumps(sorted(files))))
-    if rows:
-        yield pd.DataFrame(rows, columns=[f.name for f in ACTIVATION_OUT.fields])
-
-
-def stream_first_activation(events: DataFrame) -> DataFrame:
-    """First activation per (epoch, file) on a stream of session events.
-    The state holds the files activated in the current epoch only (a clear
-    empties it)."""
-    e = events.where("kind in ('clear', 'tab')").select("user_id", "ts", "seq", "kind", "file")
-    return e.groupBy("user_id").applyInPandasWithState(
-        _activation, ACTIVATION_OUT, ACTIVATION_STATE, "append", GroupStateTimeout.NoTimeout
-    )
+from .ordered import Fold, in_order
+
+
+class Outcomes(Fold):
+    """A shown row waits until the first decision after it, or the next shown row."""
+
+    columns = {"ts": "bigint", "seq": "bigint", "kind": "string"}
+    output = {"shown_seq": "bigint", "shown_ts": "bigint", "outcome": "string", "outcome_ts": "bigint"}
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("pending", "seq bigint, ts bigint")
+
+    def load(self) -> None:
+        self.pending = tuple(self.state.get()) if self.state.exists() else None
+
+    def step(self, row: tuple) -> list[tuple]:
+        ts, seq, kind = row
+        before = self.pending
+        if kind == "shown":
+            self.pending = (seq, ts)
+            return [(*before, "ignored", ts)] if before else []
+        if before is None:
+            return []
+        self.pending = None
+        return [(*before, "accepted" if kind == "accept" else "rejected", ts)]
+
+    def save(self) -> None:
+        if self.pending:
+            self.state.update(self.pending)
+        else:
+            self.state.clear()
+
+
+class Activations(Fold):
+    """Whether a tab event is the first of its file since the last clear."""
+
+    columns = {"ts": "bigint", "seq": "bigint", "kind": "string", "file": "string"}
+    output = {"seq": "bigint", "file": "string", "epoch": "bigint", "is_first": "boolean"}
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("epoch", "epoch bigint")
+        self.files = handle.getMapState("files", "file string", "epoch bigint")
+
+    def load(self) -> None:
+        self.epoch = self.state.get()[0] if self.state.exists() else 0
+        self.start, self.seen = self.epoch, set()
+
+    def step(self, row: tuple) -> list[tuple]:
+        _, seq, kind, file = row
+        if kind == "clear":
+            self.epoch += 1
+            self.seen = set()
+            return []
+        name = ("x" + file if file is not None else "",)  # a file without a name is one file
+        first = name not in self.seen and not (self.epoch == self.start and self.files.containsKey(name))
+        if first:
+            self.seen.add(name)
+        return [(seq, file, self.epoch, first)]
+
+    def save(self) -> None:
+        if self.epoch != self.start:
+            self.files.clear()
+        for name in self.seen:
+            self.files.updateValue(name, (self.epoch,))
+        self.state.update((self.epoch,))
+
+
+def stream_outcomes(decisions: DataFrame, delay_ms: int = config.STREAM_DELAY_MS) -> DataFrame:
+    """Outcome resolution on a stream of ``(user_id, ts, seq, kind)``, late rows beside."""
+    kind = F.when(F.col("kind").isin("shown", *DECIDED), F.col("kind"))
+    return in_order(decisions.withColumn("kind", kind), Outcomes(), "user_id", "bigint", delay_ms)
+
+
+def stream_first_activation(events: DataFrame, delay_ms: int = config.STREAM_DELAY_MS) -> DataFrame:
+    """First activation per (epoch, file) on a stream of session events, late rows beside."""
+    kind = F.when(F.col("kind").isin("clear", "tab"), F.col("kind"))
+    return in_order(events.withColumn("kind", kind), Activations(), "user_id", "bigint", delay_ms)

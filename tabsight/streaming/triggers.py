@@ -21,7 +21,6 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import config
-from .state import in_order
 
 OUT = T.StructType(
     [
@@ -56,7 +55,7 @@ def _processor(debounce: int, throttle: int, max_pending: int):
         if state.hasTimedOut:
             fire_until(state.getCurrentWatermarkMs())
         else:
-            for r in in_order(batches, ["t", "seq"]).itertuples(index=False):
+            for r in pd.concat(list(batches), ignore_index=True).sort_values(["t", "seq"], kind="stable").itertuples(index=False):
                 t = int(r.t)
                 fire_until(t)
                 delay = debounce

@@ -1,8 +1,12 @@
 """Preference log round trip, default path, and batch = stream."""
 
+import datetime
 import os
+import random
 import tempfile
 
+import pandas as pd
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -11,8 +15,9 @@ from tabsight.operators import preferences as P
 from tabsight.operators import sessions as S
 from tabsight.plans.queries import QUERIES
 from tabsight.sources import fixtures as fx
-from tabsight.streaming.runner import run_available
-from tabsight.streaming.state import stream_first_activation, stream_outcomes
+from tabsight.streaming.ordered import CHUNK, InOrder, split_late
+from tabsight.streaming.runner import run_available, run_to_end
+from tabsight.streaming.state import Activations, Outcomes, stream_first_activation, stream_outcomes
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,21 +62,70 @@ def _split_events(tmp, n_parts=4):
     _in_order(tmp)
 
 
-def test_stream_equals_batch(spark):
+def _shuffled_events(tmp, n_parts):
+    """The events dealt out over files at random, so that each file holds all times."""
+    t = pq.read_table(f"{SF}/events.parquet")
+    order = list(range(t.num_rows))
+    random.Random(7).shuffle(order)
+    for i in range(n_parts):
+        pq.write_table(t.take(order[i::n_parts]), os.path.join(tmp, f"events_{i:02d}.parquet"))
+    _in_order(tmp)
+
+
+def _span_ms():
+    ts = pq.read_table(f"{SF}/events.parquet").column("ts").to_pylist()
+    return int((max(ts) - min(ts)).total_seconds() * 1000) + 1000
+
+
+def _both(spark, source, delay_ms):
+    out = run_to_end(spark, source, lambda ev: stream_outcomes(fx.decisions_from(ev), delay_ms), "t_outcomes")
+    outcomes = split_late(out, Outcomes(), "user_id")
+    out = run_to_end(spark, source, lambda ev: stream_first_activation(fx.session_events_from(ev), delay_ms), "t_first")
+    return outcomes, split_late(out, Activations(), "user_id")
+
+
+def _batch(decisions, events):
+    tabs = S.session_state(events).where(F.col("kind") == "tab")
+    first = S.first_activation(tabs).select("user_id", "seq", "file", "epoch", "is_first")
+    return (sorted(map(tuple, df.collect()), key=str) for df in (S.resolve_outcomes(decisions), first))
+
+
+def test_stream_equals_batch_on_shuffled_files(spark):
+    """Rows within the delay may come in any micro-batch."""
     tmp = tempfile.mkdtemp(prefix="tabsight-stream-")
-    _split_events(tmp)
-    stream = stream_outcomes(fx.decisions_from(fx.event_stream(spark, tmp)))
-    got = sorted(tuple(r) for r in run_available(spark, stream, "t_outcomes").collect())
-    want = sorted(tuple(r) for r in S.resolve_outcomes(fx.decisions(spark, SF)).collect())
-    assert got == want and len(got) > 0
-
-    fa = stream_first_activation(fx.session_events_from(fx.event_stream(spark, tmp)))
-    got = sorted(tuple(r) for r in run_available(spark, fa, "t_first").collect())
-    tabs = S.session_state(fx.session_events(spark, SF)).where(F.col("kind") == "tab")
-    want = sorted(
-        tuple(r) for r in S.first_activation(tabs).select("user_id", "seq", "file", "epoch", "is_first").collect()
-    )
-    assert got == want
+    _shuffled_events(tmp, 4)
+    outcomes, first = _both(spark, fx.event_stream(spark, tmp), _span_ms())
+    want_outcomes, want_first = _batch(fx.decisions(spark, SF), fx.session_events(spark, SF))
+    assert sorted(map(tuple, outcomes[0].collect()), key=str) == want_outcomes != []
+    assert sorted(map(tuple, first[0].collect()), key=str) == want_first != []
+    assert outcomes[1].count() == first[1].count() == 0
+
+
+def test_late_rows_are_kept_apart(spark):
+    """A delay of an hour and ordered files but for one row: it alone is late, and the
+    rest equals the batch without it."""
+    tmp = tempfile.mkdtemp(prefix="tabsight-late-")
+    t = pq.read_table(f"{SF}/events.parquet").sort_by("ts")
+    kinds = t.column("event_type").to_pylist()
+    stray = next(i for i, k in enumerate(kinds) if k in ("view", "purchase", "error"))
+    rest = [i for i in range(t.num_rows) if i != stray]
+    step = len(rest) // 3 + 1
+    parts = [rest[i : i + step] for i in range(0, len(rest), step)]
+    parts[-1].append(stray)
+    for i, part in enumerate(parts):
+        pq.write_table(t.take(part), os.path.join(tmp, f"events_{i:02d}.parquet"))
+    _in_order(tmp)
+    source = fx.event_stream(spark, tmp)
+    out = run_to_end(spark, source, lambda ev: stream_outcomes(fx.decisions_from(ev), 3_600_000), "t_late")
+    got, late = split_late(out, Outcomes(), "user_id")
+    own = t.slice(stray, 1).to_pylist()[0]
+    user_before = [i for i in rest if t.column("user_id")[i].as_py() == own["user_id"] and i < stray + 2 * step]
+    late_rows = [(r["user_id"], r["seq"]) for r in late.collect()]
+    # It is late only if a slice of its user that holds its time was released before.
+    assert late_rows in ([], [(own["user_id"], own["event_id"])]) and (late_rows or not user_before)
+    kept = spark.createDataFrame(t.take(rest if late_rows else list(range(t.num_rows))).to_pandas(), "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    want = S.resolve_outcomes(fx.decisions_from(kept))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
 
 
 def test_entry_runs(spark):
@@ -90,8 +144,6 @@ def test_stream_coalescing_equals_batch(spark):
     # Epoch-like times: an event exactly at the initial watermark (0) counts as late.
     times = [1_700_000_000_000 + x for x in [0, 50, 100, 400, 5000, 5010, 5020, 5030, 5040, 9000, 9100]]
     rows = [(1, t, i) for i, t in enumerate(times)] + [(2, t + 3, 100 + i) for i, t in enumerate(times)]
-    import pyarrow as pa
-
     tbl = pa.table({"user_id": [r[0] for r in rows], "t": [r[1] for r in rows], "seq": [r[2] for r in rows]})
     pq.write_table(tbl.slice(0, 9), os.path.join(tmp, "part_00.parquet"))
     pq.write_table(tbl.slice(9), os.path.join(tmp, "part_01.parquet"))
@@ -108,24 +160,94 @@ def test_stream_coalescing_equals_batch(spark):
     assert got == want
 
 
-def test_stream_orders_groups_of_many_chunks(spark):
-    """One user, one micro-batch, more rows than an Arrow chunk, shuffled."""
-    import random
-
-    import pyarrow as pa
-
+def test_stream_orders_a_hot_user(spark):
+    """One user, 100,000 rows in shuffled files; a null user and null files too."""
     rnd = random.Random(5)
-    n = 25_000
+    n = 100_000
     seqs = list(range(n))
     rnd.shuffle(seqs)
     kinds = ["shown", "accept", "reject", "dismiss", "content"]
     tmp = tempfile.mkdtemp(prefix="tabsight-big-")
-    pq.write_table(
-        pa.table({"user_id": [1] * n, "ts": [s // 3 for s in seqs], "seq": seqs, "kind": [kinds[s * 7 % 11 % 5] for s in seqs]}),
-        os.path.join(tmp, "part.parquet"),
-    )
-    schema = "user_id bigint, ts bigint, seq bigint, kind string"
-    got = run_available(spark, stream_outcomes(spark.readStream.schema(schema).parquet(tmp)), "t_big")
-    want = S.resolve_outcomes(spark.read.parquet(tmp))
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-    assert want.where("outcome = 'rejected'").count() > 0
+    for i in range(2):
+        part = seqs[i::2]
+        pq.write_table(
+            pa.table({
+                "user_id": pa.array([1 if s % 100 else None for s in part], pa.int64()),
+                "ts": [datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s // 3) for s in part],
+                "seq": part, "kind": [kinds[s * 7 % 11 % 5] for s in part],
+            }),
+            os.path.join(tmp, f"part_{i}.parquet"),
+        )
+    schema = "user_id bigint, ts timestamp_ntz, seq bigint, kind string"
+
+    def decided(df):
+        return df.withColumn("ts", fx.event_ms(F.col("ts")))
+
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(tmp)
+    want = S.resolve_outcomes(decided(spark.read.schema(schema).parquet(tmp)))
+    out = run_to_end(spark, source, lambda ev: stream_outcomes(decided(ev), 86_400_000), "t_big")
+    got, late = split_late(out, Outcomes(), "user_id")
+    assert late.count() == 0 and want.where("outcome = 'rejected'").count() > 0
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+class _Map(dict):
+    getValue, containsKey, removeKey = dict.__getitem__, dict.__contains__, dict.pop
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+
+class _Value:
+    value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+class _Handle:
+    """State variables in memory."""
+
+    def getMapState(self, *_):
+        return _Map()
+
+    def getValueState(self, *_):
+        return _Value()
+
+    def registerTimer(self, _):
+        pass
+
+
+class _Now:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_frames_are_bounded():
+    """No chunk of state and no output frame holds more than ``CHUNK`` rows."""
+    n = 60_000
+    processor = InOrder(Outcomes(), "user_id", 1000 * n)
+    processor.init(_Handle())
+    seqs = list(range(n))
+    random.Random(2).shuffle(seqs)
+    frame = pd.DataFrame({"user_id": 1, "ts": seqs, "seq": seqs, "kind": "shown"})
+    assert list(processor.handleInputRows((1,), iter([frame[:25_000], frame[25_000:]]), None)) == []
+    assert all(len(v[0]) <= CHUNK for v in processor.held.values())
+    frames = list(processor.handleExpiredTimer((1,), _Now(1000 * n), None))
+    assert all(len(f) <= CHUNK for f in frames)
+    assert pd.concat(frames)["shown_seq"].tolist() == list(range(n - 1))
+    late = list(processor.handleInputRows((1,), iter([frame[:3]]), None))
+    assert late[0]["late_seq"].tolist() == sorted(seqs[:3]) and late[0]["outcome"].isna().all()
+    assert not processor.held and not processor.slices
