@@ -48,6 +48,7 @@ def ordered_scan(
     running_lasts: Mapping[str, Column] | None = None,
     key_totals: Mapping[str, Column] | None = None,
     key_mins: Mapping[str, Column] | None = None,
+    switched_lasts: Mapping[str, tuple[str, Column, Column]] | None = None,
 ) -> DataFrame:
     """Add running aggregates per ``keys`` in ``order`` (ties must not exist).
 
@@ -56,8 +57,14 @@ def ordered_scan(
     including the row (``last(x, ignorenulls) over unbounded preceding``).
     ``key_totals``: name -> numeric expression; the sum over the whole key.
     ``key_mins``: name -> orderable expression; the minimum over the whole key.
+    ``switched_lasts``: name -> (name of a running sum, expression where that sum is
+    even at the row, expression where it is odd); the last non-null value so
+    chosen. An event is then a function on (parity, value), and such functions
+    compose: a slice's is known from its parity and its last value for either
+    parity it may start with, so one scan does for both.
     ``slice_expr`` must be non-decreasing along ``order`` within a key.
     """
+    switched_lasts = dict(switched_lasts or {})
     running_sums = dict(running_sums or {})
     running_lasts = dict(running_lasts or {})
     key_totals = dict(key_totals or {})
@@ -80,6 +87,15 @@ def ordered_scan(
     for name in running_lasts:
         local = local.withColumn(f"__l_{name}", F.last(f"__v_{name}", ignorenulls=True).over(w_local))
 
+    if switched_lasts:
+        if key_totals or key_mins:
+            raise ValueError("switched_lasts do not go with totals of a key")
+        for name, (total, even, odd) in switched_lasts.items():
+            starts_even = F.col(f"__l_{total}") % 2 == 0
+            for start, value in ((0, F.when(starts_even, even).otherwise(odd)), (1, F.when(starts_even, odd).otherwise(even))):
+                local = local.withColumn(f"__l_{name}_{start}", F.last(value, ignorenulls=True).over(w_local))
+        return _switched(local, keys, order_cols, running_sums, running_lasts, switched_lasts)
+
     # Slice totals: one row per (key, slice); partial aggregation before the shuffle.
     order_struct = F.struct(*order_cols)
     aggs = [F.sum(f"__v_{n}").alias(f"__t_{n}") for n in running_sums]
@@ -111,6 +127,36 @@ def ordered_scan(
     return out.drop(*drop)
 
 
+def _switched(
+    local: DataFrame,
+    keys: list[str],
+    order_cols: list[Column],
+    running_sums: Mapping[str, Column],
+    running_lasts: Mapping[str, Column],
+    switched_lasts: Mapping[str, tuple[str, Column, Column]],
+) -> DataFrame:
+    """The carry of :func:`ordered_scan` where a value depends on a running sum: the
+    slices' composed functions are their last rows' local values."""
+    both = [f"{n}_{start}" for n in switched_lasts for start in (0, 1)]
+    names = [*running_sums, *running_lasts, *both]
+    next_row = F.lead(F.lit(1)).over(Window.partitionBy(_CELL).orderBy(*order_cols))
+    last_row = local.withColumn("__end", next_row.isNull()).where("__end")
+    totals = last_row.select(_CELL, *[F.col(f"__l_{n}").alias(f"__t_{n}") for n in names]).select(f"{_CELL}.*", "*")
+    before = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.withColumns({f"__c_{n}": F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)) for n in running_sums})
+    carry = carry.withColumns({f"__c_{n}": F.last(f"__t_{n}", ignorenulls=True).over(before) for n in running_lasts})
+    for n, (total, _, _) in switched_lasts.items():
+        own = F.when(F.col(f"__c_{total}") % 2 == 0, F.col(f"__t_{n}_0")).otherwise(F.col(f"__t_{n}_1"))
+        carry = carry.withColumn(f"__c_{n}", F.last(own, ignorenulls=True).over(before))
+    out = local.join(carry.select(_CELL, *[f"__c_{n}" for n in [*running_sums, *running_lasts, *switched_lasts]]), _CELL)
+    for n, (total, _, _) in switched_lasts.items():
+        own = F.when(F.col(f"__c_{total}") % 2 == 0, F.col(f"__l_{n}_0")).otherwise(F.col(f"__l_{n}_1"))
+        out = out.withColumn(n, F.coalesce(own, F.col(f"__c_{n}")))
+    out = out.withColumns({n: F.col(f"__l_{n}") + F.col(f"__c_{n}") for n in running_sums})
+    out = out.withColumns({n: F.coalesce(f"__l_{n}", f"__c_{n}") for n in running_lasts})
+    return out.drop(_SLICE, _CELL, *[c for c in out.columns if c.startswith(("__v_", "__l_", "__c_"))])
+
+
 def event_slice(ts_ms: Column | str, slice_ms: int) -> Column:
     """Slice of an epoch-millisecond event time."""
     c = F.col(ts_ms) if isinstance(ts_ms, str) else ts_ms

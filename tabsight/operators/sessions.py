@@ -39,6 +39,7 @@ def session_state(
       suppression flag; ``selection``, ``tab`` and ``content`` clear it.
     """
     kind = F.col("kind")
+    flag = F.when(kind.isin("reject", "dismiss"), F.lit(True)).when(kind.isin("selection", "tab", "content"), F.lit(False))
     scanned = ordered_scan(
         events,
         KEYS,
@@ -48,17 +49,11 @@ def session_state(
             "epoch": (kind == "clear").cast("long"),
             "__toggles": (kind == "toggle").cast("long"),
         },
+        # After an odd number of toggles suggestions are off: that toggle suppresses.
+        switched_lasts={"suppressed": ("__toggles", flag, F.when(kind == "toggle", F.lit(True)).otherwise(flag))},
     )
     enabled = (F.col("__toggles") % 2) == 0
-    flag = (
-        F.when(kind.isin("reject", "dismiss"), F.lit(True))
-        .when((kind == "toggle") & ~enabled, F.lit(True))
-        .when(kind.isin("selection", "tab", "content"), F.lit(False))
-    )
-    with_flag = scanned.withColumn("enabled", enabled).withColumn("__flag", flag).drop("__toggles")
-    # The suppression flag depends on ``enabled``, so it is a second scan.
-    out = ordered_scan(with_flag, KEYS, ORDER, _slice(slice_ms), running_lasts={"suppressed": F.col("__flag")})
-    return out.withColumn("suppressed", F.coalesce(F.col("suppressed"), F.lit(False))).drop("__flag")
+    return scanned.withColumn("enabled", enabled).withColumn("suppressed", F.coalesce("suppressed", F.lit(False))).drop("__toggles")
 
 
 def context_epoch(events: DataFrame, slice_ms: int = config.EVENT_SLICE_MS) -> DataFrame:
@@ -117,35 +112,22 @@ def resolve_outcomes(
     sample still pending at the end is emitted only with ``include_pending``
     (outcome null).
 
-    Plan: one sliced running count of shown rows numbers the suggestion each
-    row belongs to; a grouped aggregate per ``(user, n)`` picks the shown row
-    and the first decision; the next suggestion's time comes from an equi-join
-    of that small table with itself on ``n + 1``. No per-user window.
+    Plan: among shown and deciding rows alone, the row that follows a shown one
+    settles it, so a sliced ``lead`` answers: a slice tells the one before it only
+    its first row. No per-user window and no join of samples with themselves.
     """
     kind = F.col("kind")
     d = decisions.where(kind.isin("shown", *DECIDED)).select("user_id", "ts", "seq", "kind")
-    numbered = ordered_scan(d, KEYS, ORDER, _slice(slice_ms), running_sums={"n": (kind == "shown").cast("long")})
-    per = (
-        numbered.where(F.col("n") > 0)
-        .groupBy("user_id", "n")
-        .agg(
-            F.min(F.when(kind == "shown", F.struct("ts", "seq"))).alias("shown"),
-            F.min(F.when(kind != "shown", F.struct("ts", "seq", "kind"))).alias("first"),
-        )
-    )
-    nxt = per.select("user_id", (F.col("n") - 1).alias("n"), F.col("shown").alias("next_shown"))
-    j = per.join(nxt, ["user_id", "n"], "left")
-    outcome = (
-        F.when(F.col("first").isNotNull(), F.when(F.col("first.kind") == "accept", "accepted").otherwise("rejected"))
-        .when(F.col("next_shown").isNotNull(), F.lit("ignored"))
-    )
-    outcome_ts = F.when(F.col("first").isNotNull(), F.col("first.ts")).otherwise(F.col("next_shown.ts"))
-    out = j.select(
+    d = d.withColumn("__row", F.struct("kind", "ts"))
+    shown = with_next(d, KEYS, ORDER, _slice(slice_ms), "__row", "__next").where(kind == "shown")
+    after = F.col("__next.kind")
+    outcome = F.when(after == "accept", "accepted").when(after == "shown", "ignored").when(after.isNotNull(), "rejected")
+    out = shown.select(
         "user_id",
-        F.col("shown.seq").alias("shown_seq"),
-        F.col("shown.ts").alias("shown_ts"),
+        F.col("seq").alias("shown_seq"),
+        F.col("ts").alias("shown_ts"),
         outcome.alias("outcome"),
-        outcome_ts.alias("outcome_ts"),
+        F.col("__next.ts").alias("outcome_ts"),
     )
     return out if include_pending else out.where(F.col("outcome").isNotNull())
 

@@ -298,9 +298,11 @@ from parsed"""
 SESSION_SQL = """
 sev as (
   select user_id, (epoch_us(ts) // 1000) as ts, event_id as seq, value,
-    case event_type when 'view' then 'shown' when 'purchase' then 'accept' when 'error' then 'reject'
-         when 'click' then 'tab'
+    case event_type when 'view' then 'shown' when 'purchase' then 'accept'
+         when 'error' then case when event_id % 3 = 1 then 'dismiss' else 'reject' end
+         when 'click' then case event_id % 5 when 3 then 'selection' when 4 then 'content' else 'tab' end
          when 'signup' then case when event_id % 2 = 0 then 'clear' else 'toggle' end end as kind,
+    event_id % 11 <> 0 as has_editor, event_id % 13 <> 0 as focused,
     case when event_type = 'click'
          then '/src/f' || cast(user_id * 7 + cast(json_extract(props, '$.k') as bigint) % 20 as varchar) || '.py' end as file
   from events),
@@ -325,7 +327,17 @@ ORACLE["context_epoch"] = f"with {SESSION_SQL} select user_id, seq, kind, cast(e
 ORACLE["suppress_state"] = (
     f"with {SESSION_SQL} select user_id, seq, kind, cast(epoch as bigint) as epoch, enabled, suppressed from st"
 )
-ORACLE["first_activation"] = f"""with {SESSION_SQL},
+# The session's first tab event: the file active at its start.
+_WITH_START = SESSION_SQL.replace(
+    "\n  from events),",
+    """
+  from events
+  union all
+  select user_id, min(epoch_us(ts) // 1000), -1, null, 'tab', null, null, '/src/f' || cast(user_id * 7 as varchar) || '.py'
+  from events group by user_id),""",
+    1,
+)
+ORACLE["first_activation"] = f"""with {_WITH_START},
 t as (select *, row_number() over (partition by user_id, epoch, file order by ts, seq) = 1 as is_first
       from st where kind = 'tab')
 select t.user_id, t.seq, t.file, cast(t.epoch as bigint) as epoch, t.is_first,
@@ -333,8 +345,8 @@ select t.user_id, t.seq, t.file, cast(t.epoch as bigint) as epoch, t.is_first,
 from t left join documents d on t.is_first and t.file = '/src/f' || cast(d.doc_id as varchar) || '.py'"""
 ORACLE["trigger_gate"] = f"""with {SESSION_SQL}
 select s.user_id, s.seq, s.enabled, s.suppressed,
-       s.enabled and not s.suppressed and coalesce(d.doc_chars, 0) > 0 as passes
-from st s left join docs_len d on d.file = s.file where s.kind = 'tab'"""
+       s.enabled and not s.suppressed and s.has_editor and s.focused and coalesce(d.doc_chars, 0) > 0 as passes
+from st s left join docs_len d on d.file = s.file where s.kind in ('selection', 'tab', 'content')"""
 ORACLE["latest_wins"] = f"""with {SESSION_SQL},
 r as (select user_id, seq, ts, ts + cast(round(value * 100000) as bigint) as response_ts from sev where kind = 'shown')
 select user_id, seq, ts, response_ts, next_request_ts,
@@ -625,8 +637,11 @@ eu as (
   select user_id, ts, seq, 'terminal_output', null, null, null, 'ok ' || cast(k as varchar) || chr(10), null, null
   from ev0 where event_type = 'signup')"""
 
-ORACLE["event_union"] = f"""with {FEEDS_SQL}
-select user_id, ts, cast(seq as bigint) as seq, kind, file, "offset", length, text, execution_id, change_idx from eu"""
+ORACLE["event_union"] = f"""with {FEEDS_SQL},
+e as (select *, kind = 'tab' and row_number() over (partition by user_id, kind, file order by ts, seq) = 1 as is_first from eu)
+select user_id, ts, cast(seq as bigint) as seq, kind, file, "offset", length, case when kind = 'tab' then d.text else e.text end as text,
+       execution_id, change_idx
+from e left join documents d on e.is_first and e.file = '/src/f' || cast(d.doc_id as varchar) || '.py'"""
 
 ORACLE["explode_changes"] = f"""with {FEEDS_SQL}
 select user_id, seq, cast(j as bigint) as change_idx, cast((seq + j) % 20 as bigint) as "offset",

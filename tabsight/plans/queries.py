@@ -193,7 +193,12 @@ def _doc_chars(spark, base):
 
 @query("first_activation")
 def q_first_activation(spark, base):
-    tabs = _state(spark, base).where(F.col("kind") == "tab")
+    # The editor that is active when the session starts is a tab event before all others.
+    from ..sources.events import session_start
+
+    events = fx.session_events(spark, base)
+    events = events.unionByName(session_start(events, fx.user_file(0)).drop("text"), allowMissingColumns=True)
+    tabs = ses.session_state(events).where(F.col("kind") == "tab")
     docs = fx.documents(spark, base).select(F.col("path").alias("doc_file"), "text")
     fa = ses.first_activation(tabs)
     # Only first rows carry the file's text.
@@ -203,10 +208,8 @@ def q_first_activation(spark, base):
 
 @query("trigger_gate")
 def q_trigger_gate(spark, base):
-    tabs = _state(spark, base).where(F.col("kind") == "tab").join(_doc_chars(spark, base), "file", "left")
-    g = ses.trigger_gate(
-        tabs.withColumn("has_editor", F.lit(True)).withColumn("focused", F.lit(True))
-    )
+    triggers = _state(spark, base).where(F.col("kind").isin("selection", "tab", "content"))
+    g = ses.trigger_gate(triggers.join(_doc_chars(spark, base), "file", "left"))
     return g.select("user_id", "seq", "enabled", "suppressed", "passes")
 
 
@@ -541,8 +544,9 @@ def _event_union(spark, base):
         every,
         fx.user_file(0),
     )
+    tabs = evs.with_first_text(start.unionByName(feeds["tab"], allowMissingColumns=True), fx.documents(spark, base))
     return evs.event_union(
-        start, evs.first_selection(feeds["selection"]), feeds["tab"], evs.explode_changes(feeds["content"]),
+        evs.first_selection(feeds["selection"]), tabs, evs.explode_changes(feeds["content"]),
         feeds["terminal_command"], feeds["terminal_output"],
     )
 

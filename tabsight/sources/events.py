@@ -58,3 +58,15 @@ def session_start(events: DataFrame, initial_file: F.Column, initial_text: F.Col
         initial_file.alias("file"),
         (initial_text if initial_text is not None else F.lit(None).cast("string")).alias("text"),
     )
+
+
+def with_first_text(tabs: DataFrame, documents: DataFrame) -> DataFrame:
+    """Tab events with ``text``: the first one of each file of a user carries the
+    file's text (null for a file that is no document), the others none.
+    ``documents``: ``(path, text)``. Only first events go into the join."""
+    from ..operators.sessions import first_activation
+
+    marked = first_activation(tabs.drop("text").withColumn("epoch", F.lit(0))).drop("epoch")
+    texts = documents.select(F.col("path").alias("__path"), "text")
+    here = F.when(F.col("is_first"), F.col("file"))
+    return marked.join(texts, here == F.col("__path"), "left").drop("__path", "is_first")

@@ -130,10 +130,12 @@ def decisions(spark: SparkSession, base: str, kinds: tuple[str, ...] | None = No
 
 
 def decisions_from(ev: DataFrame) -> DataFrame:
-    """The decision mapping over any events frame (batch or stream)."""
+    """The decision mapping over any events frame (batch or stream). A third of
+    the rejections are dismissals (event_id % 3 = 1)."""
     kind = F.lit(None).cast("string")
     for src, dst in reversed(DECISION_KIND.items()):
         kind = F.when(F.col("event_type") == src, F.lit(dst)).otherwise(kind)
+    kind = F.when((kind == "reject") & (F.col("event_id") % 3 == 1), "dismiss").otherwise(kind)
     return ev.select(
         "user_id",
         event_ms(F.col("ts")).alias("ts"),
@@ -218,9 +220,12 @@ def responses(spark: SparkSession, base: str, request_ids: DataFrame | None = No
 
 def session_events(spark: SparkSession, base: str) -> DataFrame:
     """``events`` as editor session events ``(user_id, ts, seq, kind, file,
-    value)``: view -> shown, purchase -> accept, error -> reject, click -> tab
-    (file ``user_file(k)``, k = ``props.k``), signup -> clear for even
-    event ids and toggle for odd ones."""
+    value, has_editor, focused)``: view -> shown, purchase -> accept, error ->
+    dismiss where event_id % 3 = 1, else reject, click -> selection where
+    event_id % 5 = 3, content where it is 4, else tab (file ``user_file(k)``, k =
+    ``props.k``), signup -> clear for even event ids and toggle for odd ones. No
+    editor is active where event_id % 11 = 0; the window has no focus where
+    event_id % 13 = 0."""
     return session_events_from(table(spark, base, "events"))
 
 
@@ -230,14 +235,15 @@ def session_events_from(ev: DataFrame) -> DataFrame:
     kind = (
         F.when(et == "view", "shown")
         .when(et == "purchase", "accept")
-        .when(et == "error", "reject")
-        .when(et == "click", "tab")
+        .when(et == "error", F.when(eid % 3 == 1, "dismiss").otherwise("reject"))
+        .when(et == "click", F.when(eid % 5 == 3, "selection").when(eid % 5 == 4, "content").otherwise("tab"))
         .when(et == "signup", F.when(eid % 2 == 0, "clear").otherwise("toggle"))
     )
     k = F.get_json_object("props", "$.k").cast("long")
     file = F.when(et == "click", user_file(k))
     return ev.select(
-        "user_id", event_ms(F.col("ts")).alias("ts"), eid.alias("seq"), kind.alias("kind"), file.alias("file"), "value"
+        "user_id", event_ms(F.col("ts")).alias("ts"), eid.alias("seq"), kind.alias("kind"), file.alias("file"), "value",
+        (eid % 11 != 0).alias("has_editor"), (eid % 13 != 0).alias("focused"),
     )
 
 

@@ -38,3 +38,11 @@ def test_outcome_filter_and_pruning_reach_scan(spark):
 def test_parse_reads_only_needed_columns(spark):
     p = _plan(spark, "route_action")
     assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_suppkey:bigint,l_linenumber:int>" in p
+
+
+def test_session_state_is_one_scan(spark):
+    """One scan of the log with its carry: the round-robin spread of the small test
+    file apart, at most four exchanges (the spread is planned for both branches)."""
+    for key in ("suppress_state", "outcome_resolve"):
+        p = _plan(spark, key)
+        assert p.count("hashpartitioning(") <= 4, key

@@ -64,3 +64,39 @@ def test_null_keys_and_times_stay(spark, width):
     assert sorted(map(tuple, got.select(*cols).collect()), key=lambda r: r[2]) == sorted(
         map(tuple, want.collect()), key=lambda r: r[2]
     )
+
+
+@pytest.mark.parametrize("width", [1, 7, 100, 10**9])
+def test_switched_lasts_equal_a_plain_walk(spark, width):
+    """Session state against a row-by-row walk, for any slice width; a null user too."""
+    from tabsight.operators.sessions import resolve_outcomes, session_state
+
+    rnd = random.Random(9)
+    kinds = ["toggle", "clear", "reject", "dismiss", "selection", "tab", "content", "shown", "accept"]
+    rows, t = [], 0
+    for seq in range(700):
+        t += rnd.choice([0, 1, 5, 50, 400])
+        rows.append((rnd.choice([1, 1, 1, 2, None]), t, seq, rnd.choice(kinds)))
+    state, pending = {}, {}
+    want, outcomes = [], []
+    for user, t, seq, kind in rows:
+        epoch, enabled, suppressed = state.get(user, (0, True, False))
+        epoch += kind == "clear"
+        if kind == "toggle":
+            enabled = not enabled
+            suppressed = suppressed or not enabled
+        elif kind in ("reject", "dismiss"):
+            suppressed = True
+        elif kind in ("selection", "tab", "content"):
+            suppressed = False
+        state[user] = (epoch, enabled, suppressed)
+        want.append((user, seq, epoch, enabled, suppressed))
+        if kind in ("shown", "accept", "reject", "dismiss"):
+            if pending.get(user) is not None:
+                outcomes.append((user, pending[user], {"shown": "ignored", "accept": "accepted"}.get(kind, "rejected"), t))
+            pending[user] = seq if kind == "shown" else None
+    events = spark.createDataFrame(rows, "user_id long, ts long, seq long, kind string")
+    got = session_state(events, slice_ms=width).select("user_id", "seq", "epoch", "enabled", "suppressed")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    got = resolve_outcomes(events, slice_ms=width).select("user_id", "shown_seq", "outcome", "outcome_ts")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(outcomes, key=str)
