@@ -648,6 +648,19 @@ select user_id, seq, cast(j as bigint) as change_idx, cast((seq + j) % 20 as big
        cast(j as bigint) as length, 'c' || cast(j as varchar) as text
 from ev0, range(0, 3) r(j) where event_type = 'purchase' and seq % 4 <> 0 and j <= seq % 3"""
 
+ORACLE["replay_edits"] = f"""with recursive {FEEDS_SQL},
+ed as (select file, "offset" as o, length as n, text as t, row_number() over (partition by file order by ts, seq, change_idx) as i
+       from eu where kind = 'content'),
+base as (select f.file, coalesce(d.text, '') as text from (select distinct file from ed) f
+         left join documents d on f.file = '/src/f' || cast(d.doc_id as varchar) || '.py'),
+run(file, i, text) as (
+  select file, 0::bigint, text from base
+  union all
+  select r.file, r.i + 1, left(r.text, e.o) || e.t || substr(r.text, least(e.o, length(r.text)) + e.n + 1)
+  from run r join ed e on e.file = r.file and e.i = r.i + 1)
+select file, max(i) as n_edits, cast(length(arg_max(text, i)) as bigint) as n_chars, md5(arg_max(text, i)) as text_md5
+from run group by file"""
+
 ORACLE["terminal_transcript"] = f"""with {FEEDS_SQL},
 t as (select *, last_value(case when kind = 'terminal_command' then execution_id end ignore nulls)
                  over (partition by user_id order by ts, seq rows between unbounded preceding and current row) as xid

@@ -565,6 +565,17 @@ def q_explode_changes(spark, base):
                     F.col("length").cast("long").alias("length"), "text")
 
 
+@query("replay_edits")
+def q_replay_edits(spark, base):
+    from ..operators.replay import replay_edits
+    from ..sources import events as evs
+
+    edits = evs.explode_changes(fx.editor_feeds(spark, base)["content"])
+    bases = fx.documents(spark, base).select(F.col("path").alias("file"), "text")
+    r = replay_edits(edits, bases)
+    return r.select("file", "n_edits", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 @query("terminal_transcript")
 def q_terminal_transcript(spark, base):
     ev = ses.attach_to_last_command(
