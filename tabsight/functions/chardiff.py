@@ -8,16 +8,17 @@ matched; where they differ, a strictly larger value above wins, else the walk
 goes left. Each common character then takes its leftmost place in either text;
 between two places deletions come before insertions.
 
-Memory grows with n * sqrt(m), not with n * m: every sqrt(m)-th row of the
-table is kept, and the rows between are computed again, block by block from the
-end. There is no size limit.
+A row of the table is one integer with a bit per character of the new text: rows
+differ by at most one from column to column, and a zero bit marks a column where the
+value rises. Adding and subtracting such integers makes the next row at once. Every
+sqrt(m)-th row is kept, and the rows between are made again, block by block from the
+end, so memory grows with n * sqrt(m) bits. There is no size limit.
 """
 
 from __future__ import annotations
 
 from math import isqrt
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,44 +26,59 @@ from pyspark.sql import types as T
 from ..sources.schemas import DIFF_SEGMENT
 
 
-def _points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+def _columns(text: str) -> dict[str, int]:
+    """For each character, the bits of its places."""
+    where: dict[str, int] = {}
+    for i, c in enumerate(text):
+        where[c] = where.get(c, 0) | 1 << i
+    return where
+
 
+def _next_row(flat: int, same: int, full: int) -> int:
+    """The table row below ``flat``; ``same``: columns whose character equals the new one."""
+    hit = flat & same
+    return ((flat + hit) | (flat - hit)) & full
 
-def _next_row(row: np.ndarray, same: np.ndarray) -> np.ndarray:
-    """The table row below ``row``; ``same``: columns whose character equals the new one."""
-    out = row.copy()
-    np.maximum(out[1:], row[:-1] + same, out=out[1:])
-    return np.maximum.accumulate(out, out=out)
+
+def _running_parity(bits: int, n: int) -> int:
+    """Bit p tells whether an odd number of bits up to p is set."""
+    step = 1
+    while step < n:
+        bits ^= bits << step
+        step *= 2
+    return bits & ((1 << n) - 1)
 
 
 def _matches(old: str, new: str) -> list[int]:
     """Places in ``old`` of the characters that the walk from the end matches."""
-    a, b = _points(old), _points(new)
-    if not len(a) or not len(b):
+    if not old or not new:
         return []
-    step = isqrt(len(a)) + 1
-    row = np.zeros(len(b) + 1, np.int32)
+    where, full, step = _columns(new), (1 << len(new)) - 1, isqrt(len(old)) + 1
+    row = full
     kept = [row]
-    for i, c in enumerate(a[: (len(a) - 1) // step * step], 1):
-        row = _next_row(row, b == c)
+    for i, c in enumerate(old[: (len(old) - 1) // step * step], 1):
+        row = _next_row(row, where.get(c, 0), full)
         if i % step == 0:
             kept.append(row)
-    out, j, columns = [], len(b), np.arange(1, len(b) + 1)
+    out, j = [], len(new)
     for k in range(len(kept) - 1, -1, -1):
         rows = [kept.pop()]
-        block = a[k * step : (k + 1) * step]
+        block = old[k * step : (k + 1) * step]
         for c in block:
-            rows.append(_next_row(rows[-1], b == c))
+            rows.append(_next_row(rows[-1], where.get(c, 0), full))
         for i in range(len(block) - 1, -1, -1):
             if not j:
                 return out[::-1]
-            # The walk leaves a row at the last column, up to j, that either
-            # matches or has a larger value above than to its left.
-            same = b[:j] == block[i]
-            leave = same | (rows[i][1 : j + 1] > rows[i + 1][:j])
-            j = int(np.max(columns[:j], where=leave, initial=0))
-            if j and same[j - 1]:
+            # The walk leaves a row at the last column, up to j, that either matches
+            # or has a larger value above than to its left. The value above is larger
+            # only where it rises, and if the rows do not differ one column before.
+            low = (1 << j) - 1
+            same, rises = where.get(block[i], 0) & low, ~rows[i] & low
+            j = (same | rises).bit_length()
+            if j and not same >> (j - 1) & 1:
+                differ = _running_parity((rows[i] ^ rows[i + 1]) & low, j)
+                j = (same | rises & ~(differ << 1)).bit_length()
+            if j and same >> (j - 1) & 1:
                 out.append(k * step + i)
                 j -= 1
     return out[::-1]
@@ -80,14 +96,11 @@ def common_text(old: str, new: str) -> str:
 def lcs_length(old: str, new: str) -> int:
     """Length alone, a bit per character of ``old`` in one integer: a zero bit
     marks a column where the row's value rises."""
-    where: dict[str, int] = {}
-    for i, c in enumerate(old):
-        where[c] = where.get(c, 0) | 1 << i
+    where = _columns(old)
     full = (1 << len(old)) - 1
     flat = full
     for c in new:
-        hit = flat & where.get(c, 0)
-        flat = ((flat + hit) | (flat - hit)) & full
+        flat = _next_row(flat, where.get(c, 0), full)
     return len(old) - flat.bit_count()
 
 
