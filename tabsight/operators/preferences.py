@@ -147,9 +147,14 @@ def write_preferences(samples: DataFrame, path: str, enabled: bool = True) -> bo
 def read_preferences(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``(samples, quarantine)``: the log read with the declared schema;
     malformed lines go to the quarantine frame instead of failing the job."""
+    return parse_log_lines(spark.read.text(path))
+
+
+def parse_log_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(samples, quarantine)`` of a log's lines (``value``), batch or stream."""
     # Lines are read as text and parsed with the declared schema: a malformed
     # line keeps its text in ``_corrupt_record`` instead of failing the job.
-    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    lines = lines.where(F.length(F.trim("value")) > 0)
     parsed = lines.select(
         F.from_json("value", PREFERENCE_DISK, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")
     ).select("r.*")

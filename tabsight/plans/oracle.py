@@ -643,6 +643,9 @@ select user_id, ts, cast(seq as bigint) as seq, kind, file, "offset", length, ca
        execution_id, change_idx
 from e left join documents d on e.is_first and e.file = '/src/f' || cast(d.doc_id as varchar) || '.py'"""
 
+ORACLE["stream_event_union"] = ORACLE["event_union"]
+ORACLE["stream_latest_wins"] = f"select user_id, seq, ts, response_ts, was_shown from ({ORACLE['latest_wins']})"
+
 ORACLE["explode_changes"] = f"""with {FEEDS_SQL}
 select user_id, seq, cast(j as bigint) as change_idx, cast((seq + j) % 20 as bigint) as "offset",
        cast(j as bigint) as length, 'c' || cast(j as varchar) as text

@@ -532,6 +532,38 @@ def q_stream_first_activation(spark, base):
     return _stream(spark, base, Activations(), fx.session_events_from, stream_first_activation)
 
 
+#: No response of the fixture takes longer: ``value`` x 100 s, values below 1,000.
+MAX_LATENCY_MS = 1000 * fx.LATENCY_MS_PER_VALUE
+
+
+@query("stream_latest_wins")
+def q_stream_latest_wins(spark, base):
+    """The request decisions of ``latest_wins`` on a stream, run to its end."""
+    from ..streaming.feeds import stream_latest_wins
+    from ..streaming.runner import run_to_end
+
+    def decided(ev):
+        requests = fx.requests_from(fx.session_events_from(ev).withColumn("seq", F.when(F.col("kind") == "shown", F.col("seq"))))
+        return stream_latest_wins(requests, max_latency_ms=MAX_LATENCY_MS)
+
+    return run_to_end(spark, fx.event_stream(spark, base), decided, "stream_latest_wins")
+
+
+@query("stream_event_union")
+def q_stream_event_union(spark, base):
+    """``event_union`` over a stream of the events, run to its end."""
+    from ..streaming.feeds import stream_event_union
+    from ..streaming.runner import run_to_end
+
+    documents = fx.documents(spark, base).select("path", "text")
+
+    def union(ev):
+        ticks = fx.session_events_from(ev).where("kind IS NULL")
+        return stream_event_union(fx.editor_feeds_from(ev), fx.user_file(0), documents, ticks)[0]
+
+    return run_to_end(spark, fx.event_stream(spark, base), union, "stream_event_union")
+
+
 # -- event sources, transcripts, state as of, request bodies -------------------
 
 

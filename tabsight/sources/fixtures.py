@@ -253,7 +253,11 @@ LATENCY_MS_PER_VALUE = 100_000
 
 def requests(spark: SparkSession, base: str) -> DataFrame:
     """Model requests: every shown event, answered after ``value`` x 100 s."""
-    ev = session_events(spark, base).where(F.col("kind") == "shown")
+    return requests_from(session_events(spark, base).where(F.col("kind") == "shown"))
+
+
+def requests_from(ev: DataFrame) -> DataFrame:
+    """The request mapping over any shown session events (batch or stream)."""
     return ev.select(
         "user_id",
         "ts",
@@ -301,13 +305,17 @@ def event_stream(spark: SparkSession, base: str, max_files_per_trigger: int = 1)
 
 
 def editor_feeds(spark: SparkSession, base: str) -> dict[str, DataFrame]:
+    """The editor's feeds from the ``events`` table."""
+    return editor_feeds_from(table(spark, base, "events"))
+
+
+def editor_feeds_from(ev: DataFrame) -> dict[str, DataFrame]:
     """Per-kind event feeds from ``events`` (k = ``props.k``): view ->
     selection (selections [k, k+5] and [0, 0]; from the active editor unless
     event_id % 5 = 0), click -> tab, purchase -> content (a batch of
     1 + event_id % 3 changes; for the active document unless event_id % 4 = 0),
     error -> terminal command ``pytest -k <k>``, signup -> terminal output
     chunk ``ok <k>\n``."""
-    ev = table(spark, base, "events")
     k = F.get_json_object("props", "$.k").cast("long")
     eid = F.col("event_id")
     basecols = [F.col("user_id"), event_ms(F.col("ts")).alias("ts"), eid.alias("seq")]

@@ -251,3 +251,45 @@ def test_frames_are_bounded():
     late = list(processor.handleInputRows((1,), iter([frame[:3]]), None))
     assert late[0]["late_seq"].tolist() == sorted(seqs[:3]) and late[0]["outcome"].isna().all()
     assert not processor.held and not processor.slices
+
+
+def test_union_and_latest_wins_on_shuffled_files(spark):
+    """Streams over files that each hold all times give the batch rows."""
+    from tabsight.streaming.feeds import stream_event_union, stream_latest_wins
+
+    tmp = tempfile.mkdtemp(prefix="tabsight-union-")
+    _shuffled_events(tmp, 3)
+    source = fx.event_stream(spark, tmp)
+    documents = fx.documents(spark, SF).select("path", "text")
+
+    def union(ev):
+        ticks = fx.session_events_from(ev).where("kind IS NULL")
+        return stream_event_union(fx.editor_feeds_from(ev), fx.user_file(0), documents, ticks, _span_ms())[0]
+
+    got = run_to_end(spark, source, union, "t_union")
+    want = QUERIES["event_union"](spark, SF)
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+    def decided(ev):
+        rows = fx.session_events_from(ev).withColumn("seq", F.when(F.col("kind") == "shown", F.col("seq")))
+        return stream_latest_wins(fx.requests_from(rows), 100_000_000, _span_ms())
+
+    got = run_to_end(spark, source, decided, "t_latest")
+    want = QUERIES["latest_wins"](spark, SF).select(*got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_log_tail_counts_malformed_lines(spark):
+    """A log tailed while it grows: samples and malformed lines apart."""
+    from tabsight.streaming.feeds import tail_preferences
+
+    d = tempfile.mkdtemp(prefix="tabsight-tail-")
+    line = '{"timestamp":%d,"context":[],"completion":{"rawModelOutput":"x","parsedAction":null,"avgLogprob":null},"outcome":"accepted","outcomeTimestamp":5,"modelName":"m"}\n'
+    with open(os.path.join(d, "one.jsonl"), "w") as f:
+        f.write(line % 1 + "{broken\n" + "\n" + line % 2)
+    with open(os.path.join(d, "two.jsonl"), "w") as f:
+        f.write(line % 3 + "also broken\n")
+    samples, bad = tail_preferences(spark, d)
+    assert sorted(r["timestamp"] for r in run_available(spark, samples, "t_tail").collect()) == [1, 2, 3]
+    assert sorted(r[0] for r in run_available(spark, bad, "t_bad").collect()) == ["also broken", "{broken"]
