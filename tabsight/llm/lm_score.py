@@ -2,18 +2,21 @@
 
 A text is coded as its lower-cased words, each followed by a space, and one end
 mark. Every byte is decomposed into eight binary decisions; each decision has a
-context tree over the bytes before it in its word, up to ``DEPTH`` of them (the
-place before a word's first byte counts as spaces). Krichevsky-Trofimov
-estimates of all depths are mixed with the context-tree weights learned from the
-training texts; the sum over the text is its code length.
-
-Since contexts end at the word, a word's probability is a property of the word.
-Documents are packed once into blocks of word numbers; words travel to hashed
-buckets, where equal words of all blocks meet. Byte contexts travel on, packed,
-to the subtree of their last two bytes, where weights are computed bottom-up;
-only the two top levels (at most 256 contexts of 255 decisions) meet on the
-driver. Values return the same way, packed, and no task holds more than a
-bucket, a subtree or a block.
+context tree over the ``DEPTH`` bytes before it in the running text, across words
+(the place before the text counts as spaces). Krichevsky-Trofimov estimates of all
+depths are mixed with the context-tree weights learned from the training texts;
+the sum over the text is its code length, also given in bits per coded byte.
+
+Documents are packed once into blocks of word numbers. A cell of ``CELL`` blocks
+counts its distinct contexts with the byte that follows. Those with the same last two
+bytes meet, up a tree of ``FAN`` cells or nodes at a time, in which equal contexts
+become one; the root of each is a subtree of the context tree, whose weights are
+computed bottom-up. Only the two top levels (at most 256 contexts of 255 decisions)
+meet on the driver. Values return down the same tree, each node asking for its own
+contexts alone. No task holds more than a cell, ``FAN`` nodes or one subtree, which
+grows with the distinct contexts of the language and not with the texts.
+
+Word counts of the base score meet in hashed buckets and return packed likewise.
 
 Null texts count as empty: only the end mark is scored. Repeated rows are
 learned and scored one by one. Words are of any length. An empty table gives no
@@ -35,6 +38,8 @@ from tabsight.llm.common import block_ids, crc_mod, pack_blocks, stored, word_li
 
 #: Bytes of context; distinct words of a block that share a bucket, at least.
 DEPTH, BLOCKS_PER_BUCKET = 5, 8
+#: Blocks of a cell (a power of two, as an exponent); cells or nodes that meet in one group.
+CELL, FAN = 3, 64
 END = b"\n"
 
 
@@ -66,22 +71,43 @@ def kt_log(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return lgamma(n0 + 0.5) + lgamma(n1 + 0.5) - lgamma(n0 + n1 + 1.0) - np.log(np.pi)
 
 
-def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Key (``DEPTH`` context bytes, then the byte) of each byte to code, and
-    the number of its word. A word is coded with a space behind it; b'' stands
-    for the end mark."""
-    coded = [w + b" " if w else END for w in words]
+def grams(coded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Key (``DEPTH`` context bytes, then the byte) of each byte of the ``coded``
+    texts, and the number of its text."""
     sizes = np.fromiter(map(len, coded), np.int64, len(coded))
     data = np.frombuffer(b"".join(coded), np.uint8).astype(np.int64)
-    word = np.repeat(np.arange(len(words)), sizes)
-    inside = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    text = np.repeat(np.arange(len(coded)), sizes)
+    first = np.cumsum(sizes) - sizes
     key = data.copy()
     for d in range(1, DEPTH + 1):
-        before = np.full(len(data), 32, np.int64)
-        ok = inside >= d
-        before[ok] = data[np.flatnonzero(ok) - d]
-        key |= before << (8 * d)
-    return key, word
+        key[d:] |= data[:-d] << (8 * d)
+        for i in range(d):  # the places before the text are spaces
+            at = first[sizes > i] + i
+            key[at] = key[at] & ~(255 << (8 * d)) | 32 << (8 * d)
+    return key, text
+
+
+def coded_texts(block: dict) -> list[bytes]:
+    """The texts of a block as they are coded."""
+    lens = np.array(block["lens"], np.int64)
+    words, ends = word_list(block["words"]), np.cumsum(lens)
+    ids = block_ids(block["ids"], lens).tolist()
+    return [b"".join([words[i] + b" " for i in ids[e - n : e]]) + END for e, n in zip(ends.tolist(), lens.tolist())]
+
+
+def near(keys: np.ndarray) -> np.ndarray:
+    """The last two context bytes."""
+    return keys >> 8 & 0xFFFF
+
+
+def packed(keys: np.ndarray) -> np.ndarray:
+    """A key without its last two context bytes, in the same order among equal ones."""
+    return (keys >> 24 << 8 | keys & 255).astype(np.uint32)
+
+
+def unpacked(part: np.ndarray, last: int) -> np.ndarray:
+    part = part.astype(np.int64)
+    return part >> 8 << 24 | last << 8 | part & 255
 
 
 class Subtree:
@@ -194,108 +220,157 @@ def _spread(blocks: DataFrame, buckets: int) -> DataFrame:
     return blocks.select("block", "doc_ids", "lens", "ids", "words").mapInArrow(run, "bucket long, block long, words binary, counts binary")
 
 
-def _contexts(vocab: DataFrame) -> DataFrame:
-    """Distinct grams of each bucket with their weights, by last two context bytes."""
+def _contexts(blocks: DataFrame) -> DataFrame:
+    """Distinct keys of each cell with their training counts, by last two bytes. A
+    cell whose blocks are read by two tasks has two rows of a kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, keys, weights = None, [], []
+
+        def flush() -> pa.RecordBatch:
+            key, at = np.unique(np.concatenate(keys), return_inverse=True)
+            weight = np.bincount(at, np.concatenate(weights), len(key)).astype(np.int64)
+            last = near(key)
+            order = np.argsort(last, kind="stable")
+            cuts = np.flatnonzero(np.diff(last[order])) + 1
+            parts = [p for p in np.split(order, cuts) if len(p)]
+            rows = [pa.array([cell] * len(parts), pa.int64()), pa.array([int(last[p[0]]) for p in parts], pa.int64()), pa.array([packed(key[p]).tobytes() for p in parts], pa.binary()), pa.array([weight[p].astype(np.uint32).tobytes() for p in parts], pa.binary())]
+            return pa.RecordBatch.from_arrays(rows, ["cell", "near", "keys", "weights"])
+
         for batch in batches:
             for r in batch.to_pylist():
-                counts = np.frombuffer(r["counts"], np.int64)
-                key, word = grams(r["words"].split(b" "))
-                keys, at = np.unique(key, return_inverse=True)
-                weight = np.bincount(at, counts[word], len(keys)).astype(np.int64)
-                near = (keys >> 8) & 0xFFFF
-                order = np.argsort(near, kind="stable")
-                parts = [p for p in np.split(order, np.flatnonzero(np.diff(near[order])) + 1) if len(p)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["bucket"]] * len(parts), pa.int64()), pa.array([int(near[p[0]]) for p in parts], pa.int64()), pa.array([keys[p].tobytes() for p in parts]), pa.array([weight[p].tobytes() for p in parts])],
-                    ["bucket", "near", "keys", "weights"],
-                )
-
-    return vocab.select("bucket", "words", "counts").mapInArrow(run, "bucket long, near long, keys binary, weights binary")
-
-
-def _tree(rows: pd.DataFrame) -> Subtree:
-    key = np.concatenate([np.frombuffer(b, np.int64) for b in rows["keys"]])
-    weight = np.concatenate([np.frombuffer(b, np.int64) for b in rows["weights"]])
-    keys, at = np.unique(key, return_inverse=True)
-    return Subtree(keys, np.bincount(at, weight, len(keys)))
-
-
-def _tops(rows: pd.DataFrame) -> pd.DataFrame:
-    tree = _tree(rows)
-    return pd.DataFrame({"c": (tree.top_ids >> 8) & 255, "node": tree.top_ids & 255, "n0": tree.top[0], "n1": tree.top[1], "log_pw": tree.top_pw})
-
-
-def score(docs: DataFrame) -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
+                if cell is not None and r["block"] >> CELL != cell:
+                    yield flush()
+                    keys.clear(), weights.clear()
+                cell = r["block"] >> CELL
+                learn = np.array([not held_out(d) for d in r["doc_ids"]], float)
+                key, text = grams(coded_texts(r))
+                own, at = np.unique(key, return_inverse=True)
+                keys.append(own)
+                weights.append(np.bincount(at, learn[text], len(own)))
+        if keys:
+            yield flush()
+
+    return blocks.select("block", "doc_ids", "lens", "ids", "words").mapInArrow(run, "cell long, near long, keys binary, weights binary")
+
+
+def _joined(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct packed keys of some nodes and their summed counts."""
+    keys, at = np.unique(np.concatenate([np.frombuffer(b, np.uint32) for b in rows["keys"]]), return_inverse=True)
+    n = [np.frombuffer(w, np.uint32 if len(w) == len(k) else np.int64) for k, w in zip(rows["keys"], rows["weights"])]
+    return keys, np.bincount(at, np.concatenate(n), len(keys))
+
+
+def _node(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    keys, weights = _joined(rows)
+    return pd.DataFrame({"near": [key[0]], "node": [key[1]], "keys": [keys.tobytes()], "weights": [weights.astype(np.int64).tobytes()]})
+
+
+def _tree(row) -> Subtree:
+    return Subtree(unpacked(np.frombuffer(row.keys, np.uint32), row.near), np.frombuffer(row.weights, np.int64).astype(float))
+
+
+def _tops(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for row in frame.itertuples(index=False):
+            tree = _tree(row)
+            yield pd.DataFrame({"c": (tree.top_ids >> 8) & 255, "node": tree.top_ids & 255, "n0": tree.top[0], "n1": tree.top[1], "log_pw": tree.top_pw})
+
+
+def _answers(own: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+    """The logs of each node's keys, from those of the node above it."""
+    keys, logs = (np.frombuffer(above[c].iloc[0], t) for c, t in (("keys", np.uint32), ("logs", np.float32)))
+    return own.drop(columns="weights").assign(logs=[logs[np.searchsorted(keys, np.frombuffer(k, np.uint32))].tobytes() for k in own["keys"]])
+
+
+def context_logs(blocks: DataFrame, fan: int = FAN) -> DataFrame:
+    """``cell, near, keys, logs``: log10 probability of the byte of each distinct key
+    of each cell, under the tree learned from all training texts."""
+    leaves = stored(_contexts(blocks), "lm-contexts")
+    n = leaves.select("cell").distinct().count()
+    levels = [leaves.withColumn("node", F.xxhash64("cell"))]
+    while True:
+        n = max(1, -(-n // fan))
+        levels[-1] = levels[-1].withColumn("above", F.pmod("node", F.lit(n)))
+        above = levels[-1].groupBy("near", "above").applyInPandas(_node, "near long, node long, keys binary, weights binary")
+        levels.append(stored(above, "lm-nodes"))
+        if n == 1:
+            break
+    top_rows = levels[-1].mapInPandas(_tops, "c long, node long, n0 double, n1 double, log_pw double")
+    top = Top(top_rows.groupBy("c", "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("log_pw").alias("log_pw")).toPandas())
+
+    def root(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            logs = [top.log10(_tree(row)).astype(np.float32).tobytes() for row in frame.itertuples(index=False)]
+            yield frame.drop(columns="weights").assign(logs=logs)
+
+    known = levels[-1].mapInPandas(root, "near long, node long, keys binary, logs binary")
+    for own in reversed(levels[:-1]):
+        leaf = "cell" in own.columns
+        own = own.select(*(["cell"] if leaf else []), "near", "node", "above", "keys", "weights")
+        schema = ("cell long, " if leaf else "") + "near long, node long, above long, keys binary, logs binary"
+        known = own.groupBy("near", "above").cogroup(known.groupBy("near", "node")).applyInPandas(_answers, schema)
+    return known.select("cell", "near", "keys", "logs")
+
+
+def score(docs: DataFrame, fan: int = FAN) -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
+    bits_per_byte`` (of the coded text)."""
     blocks = pack_blocks(docs, lower=True, name="lm-blocks")
     buckets = max(1, blocks.count() // BLOCKS_PER_BUCKET)
     merged = stored(
         _spread(blocks, buckets).groupBy("bucket").applyInPandas(_merge_words, "bucket long, block long, numbers binary, words binary, counts binary"), "lm-words"
     )
-    # the end mark, once per training document; its bucket is of its own
+    # the end mark, once per training document
     ends = blocks.select(F.explode("doc_ids").alias("doc_id")).where(crc_mod(F.col("doc_id"), 5) != 1).count()
-    words = merged.where("block IS NULL").select("bucket", "words", "counts")
-    end_row = docs.sparkSession.createDataFrame([(-1, bytearray(), np.array([ends], np.int64).tobytes())], "bucket long, words binary, counts binary")
-    vocab = words.unionByName(end_row)
-    total, distinct = _totals(words)
+    total, distinct = _totals(merged.where("block IS NULL").select("bucket", "words", "counts"))
     total, distinct = total + ends, distinct + (ends > 0)
-    contexts = stored(_contexts(vocab), "lm-contexts")
-    rows = contexts.groupBy("near").applyInPandas(_tops, "c long, node long, n0 double, n1 double, log_pw double")
-    top = Top(rows.groupBy("c", "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("log_pw").alias("log_pw")).toPandas())
-
-    def reply(rows: pd.DataFrame) -> pd.DataFrame:
-        tree = _tree(rows)
-        value = top.log10(tree)
-        out = [(r.bucket, r.keys, value[np.searchsorted(tree.keys, np.frombuffer(r.keys, np.int64))].tobytes()) for r in rows.itertuples(index=False)]
-        return pd.DataFrame(out, columns=["bucket", "keys", "logs"])
-
-    replies = contexts.groupBy("near").applyInPandas(reply, "bucket long, keys binary, logs binary")
-
-    def valued(words: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        """A bucket's words' values, and from them those of each block's list."""
-        key = np.concatenate([np.frombuffer(b, np.int64) for b in replies["keys"]])
-        log = np.concatenate([np.frombuffer(b, np.float64) for b in replies["logs"]])
-        order = np.argsort(key)
-        own = words[words["block"].isna()].iloc[0]
-        words_own = own["words"].split(b" ")  # the end mark is b''
-        gram, word = grams(words_own)
-        value = np.bincount(word, log[order][np.searchsorted(key[order], gram)], len(words_own))
-        counts = np.frombuffer(own["counts"], np.int64)
-        out = []
-        for r in words[words["block"].notna()].itertuples(index=False):
-            at = np.frombuffer(r.numbers, np.int32)
-            out.append((r.block, r.bucket, counts[at].tobytes(), value[at].tobytes()))
-        if own["bucket"] == -1:
-            out.append((-1, -1, counts.tobytes(), value.tobytes()))
-        return pd.DataFrame(out, columns=["block", "bucket", "counts", "logs"])
-
-    named = merged.unionByName(end_row.select("bucket", F.lit(None).cast("long").alias("block"), F.lit(None).cast("binary").alias("numbers"), "words", "counts"))
-    values = stored(named.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInPandas(valued, "block long, bucket long, counts binary, logs binary"), "lm-values")
-    end_log = float(np.frombuffer(values.where("block = -1").first()["logs"], np.float64)[0])
     scale = total + 0.5 * (distinct + 1)
 
-    def scored(block: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
+    def counted(words: pd.DataFrame) -> pd.DataFrame:
+        """The training counts of each block's words of a bucket."""
+        counts = np.frombuffer(words[words["block"].isna()]["counts"].iloc[0], np.int64)
+        lists = words[words["block"].notna()]
+        return pd.DataFrame({"block": lists["block"].astype("int64"), "bucket": lists["bucket"], "counts": [counts[np.frombuffer(n, np.int32)].tobytes() for n in lists["numbers"]]})
+
+    values = merged.groupBy("bucket").applyInPandas(counted, "block long, bucket long, counts binary")
+    cell = F.shiftright("block", CELL).alias("cell")
+    logs = context_logs(blocks, fan).select("cell", F.lit(None).cast("long").alias("block"), F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("counts"), "near", "keys", "logs")
+    answers = values.select(cell, "block", "bucket", "counts", *(F.lit(None).cast(t).alias(c) for c, t in (("near", "long"), ("keys", "binary"), ("logs", "binary")))).unionByName(logs)
+
+    def scored(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        own = answers[answers["block"].isna()]
+        key = np.concatenate([np.empty(0, np.int64), *(unpacked(np.frombuffer(k, np.uint32), int(c)) for c, k in zip(own["near"], own["keys"]))])
+        log = np.concatenate([np.empty(0, np.float32), *(np.frombuffer(x, np.float32) for x in own["logs"])])
+        order = np.argsort(key)
+        key, log = key[order], log[order].astype(np.float64)
         out = []
-        for r in block.itertuples(index=False):
-            bucket = _buckets(word_list(r.words), buckets)
-            counts, logs = np.zeros(len(bucket), np.int64), np.zeros(len(bucket))
-            for v in values.itertuples(index=False):
-                at = bucket == v.bucket
-                counts[at], logs[at] = np.frombuffer(v.counts, np.int64), np.frombuffer(v.logs, np.float64)
+        for r in block.to_dict("records"):
+            bucket = _buckets(word_list(r["words"]), buckets)
+            counts = np.zeros(len(bucket), np.int64)
+            by_bucket = np.argsort(bucket, kind="stable")
+            starts = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
+            for v in answers[answers["block"] == r["block"]].itertuples(index=False):
+                v_bucket = int(v.bucket)
+                counts[by_bucket[starts[v_bucket] : starts[v_bucket + 1]]] = np.frombuffer(v.counts, np.int64)
             base = np.log10((counts + 0.5) / scale)
-            lens = np.array(r.lens, np.int64)
-            ids, part = block_ids(r.ids, lens), np.repeat(np.arange(len(lens)), lens)
-            sums = [np.bincount(part, x[ids], len(lens)) for x in ((counts > 0).astype(float), base, logs)]
-            doc_ids = pd.array([None if d is None or d != d else int(d) for d in r.doc_ids], "Int64")  # a null may be a NaN here
-            out.append(pd.DataFrame({"doc_id": doc_ids, "n": lens + 1, "known": sums[0].astype(np.int64) + (ends > 0), "base": sums[1] + np.log10((ends + 0.5) / scale), "score": sums[2] + end_log}))
-        return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "n": [], "known": [], "base": [], "score": []})
-
-    per = blocks.groupBy("block").cogroup(values.where("block >= 0").groupBy("block")).applyInPandas(scored, "doc_id long, n long, known long, base double, score double")
+            lens = np.array(r["lens"], np.int64)
+            ids, part = block_ids(r["ids"], lens), np.repeat(np.arange(len(lens)), lens)
+            sums = [np.bincount(part, x[ids], len(lens)) for x in ((counts > 0).astype(float), base)]
+            gram, text = grams(coded_texts(r))
+            total_log = np.bincount(text, log[np.searchsorted(key, gram)], len(lens))
+            coded = np.bincount(text, minlength=len(lens))
+            doc_ids = pd.array([None if d is None or d != d else int(d) for d in r["doc_ids"]], "Int64")  # a null may be a NaN here
+            out.append(
+                pd.DataFrame({"doc_id": doc_ids, "n": lens + 1, "known": sums[0].astype(np.int64) + (ends > 0), "base": sums[1] + np.log10((ends + 0.5) / scale), "score": total_log, "bits": -total_log * np.log2(10) / coded})
+            )
+        return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "n": [], "known": [], "base": [], "score": [], "bits": []})
+
+    per = blocks.withColumn("cell", F.shiftright("block", CELL)).groupBy("cell").cogroup(answers.groupBy("cell"))
+    per = per.applyInPandas(scored, "doc_id long, n long, known long, base double, score double, bits double")
     return per.select(
         "doc_id", (crc_mod(F.col("doc_id"), 5) == 1).alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score",
+        F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score", F.col("bits").alias("bits_per_byte"),
     )
 
 

@@ -285,21 +285,21 @@ def test_substring_dedup(docs, nothing):
 
 
 def _ctw(train):
-    """Context-tree weighting with dictionaries, node by node."""
+    """Context-tree weighting of coded texts with dictionaries, node by node."""
     depth = lm_score.DEPTH
 
-    def steps(w):
+    def steps(coded):
         seen = b" " * depth
-        for c in (w.encode() + b" ") if w else b"\n":
+        for c in coded:
             for j in range(8):
                 yield seen, (1 << j) | (c >> (8 - j)), (c >> (7 - j)) & 1
             seen = (seen + bytes([c]))[-depth:]
 
+    counts = collections.Counter(s for coded in train for s in steps(coded))
     nodes = collections.defaultdict(lambda: [0, 0])
-    for w, c in train.items():
-        for s, n, b in steps(w):
-            for k in range(depth + 1):
-                nodes[s[depth - k :], n][b] += c
+    for (s, n, b), c in counts.items():
+        for k in range(depth + 1):
+            nodes[s[depth - k :], n][b] += c
     kids = collections.defaultdict(list)
     for s, n in nodes:
         if s:
@@ -311,39 +311,59 @@ def _ctw(train):
         below = sum(log_pw[k] for k in kids[key])
         ratio[key] = pe - below
         log_pw[key] = pe if len(key[0]) == depth else np.logaddexp(pe, below) - math.log(2)
-
-    def log10(w):
-        total = 0.0
-        for s, n, b in steps(w):
-            p = None
-            for k in range(depth, -1, -1):
-                key = (s[depth - k :], n)
-                c = nodes[key] if key in nodes else [0, 0]
-                own = (c[b] + 0.5) / (sum(c) + 1)
-                share = 1 / (1 + math.exp(-max(-700, min(700, ratio.get(key, 0.0)))))
-                p = own if p is None else share * own + (1 - share) * p
-            total += math.log10(p)
-        return total
+    memo = {}
+
+    def step_log(step):
+        s, n, b = step
+        p = None
+        for k in range(depth, -1, -1):
+            key = (s[depth - k :], n)
+            c = nodes[key] if key in nodes else [0, 0]
+            own = (c[b] + 0.5) / (sum(c) + 1)
+            share = 1 / (1 + math.exp(-max(-700, min(700, ratio.get(key, 0.0)))))
+            p = own if p is None else share * own + (1 - share) * p
+        return math.log10(p)
+
+    def log10(coded):
+        return sum(memo[x] if x in memo else memo.setdefault(x, step_log(x)) for x in steps(coded))
 
     return log10
 
 
-def test_lm_score(docs, nothing):
+@pytest.mark.parametrize("fan", [64, 2])
+def test_lm_score(docs, nothing, fan):
     rows = docs.select("doc_id", "text").collect()
-    tokens = {r["doc_id"]: [*_words((r["text"] or "").translate(LOWER)), ""] for r in rows}
+    words = [_words((r["text"] or "").translate(LOWER)) for r in rows]
     held = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 5 == 1
-    train = collections.Counter(w for r in rows if not held(r["doc_id"]) for w in tokens[r["doc_id"]])
-    n, v, model, memo = sum(train.values()), len(train), _ctw(train), {}
-    got = lm_score.score(docs).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        w = tokens[r["doc_id"]]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held(r["doc_id"]), len(w), sum(train[x] > 0 for x in w), n)
-        assert r["base_score"] == pytest.approx(sum(math.log10((train[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), rel=1e-9)
-        assert r["score"] == pytest.approx(sum(memo.setdefault(x, None) or memo.update({x: model(x)}) or memo[x] for x in w), rel=1e-7)
+    coded = ["".join(w + " " for w in ws).encode() + b"\n" for ws in words]
+    train = collections.Counter(w for r, ws in zip(rows, words) if not held(r["doc_id"]) for w in [*ws, ""])
+    n, v = sum(train.values()), len(train)
+    model = _ctw([c for r, c in zip(rows, coded) if not held(r["doc_id"])])
+    want = []
+    for r, ws, c in zip(rows, words, coded):
+        base = sum(math.log10((train[x] + 0.5) / (n + 0.5 * (v + 1))) for x in [*ws, ""])
+        score = model(c)
+        want.append(((r["doc_id"] is None, r["doc_id"] or 0, len(ws)), held(r["doc_id"]), len(ws) + 1, sum(train[x] > 0 for x in [*ws, ""]), base, score, -score * math.log2(10) / len(c)))
+    got = lm_score.score(docs, fan).collect()
+    got = [((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"] - 1), r["held_out"], r["n_tokens"], r["n_known"], r["base_score"], r["score"], r["bits_per_byte"]) for r in got]
+    assert len(got) == len(want)
+    for g, w in zip(sorted(got), sorted(want)):
+        assert g[:4] == w[:4]
+        assert g[4:] == pytest.approx(w[4:], rel=1e-6)
     assert lm_score.score(nothing).count() == 0
 
 
+def test_lm_score_knows_the_order_of_words(spark):
+    """A text and its words in another order have the same base score only."""
+    text = " ".join(f"{a} {b}" for a in ("the", "one", "some") for b in ("cat sat down", "dog ran off")) + " . "
+    texts = [text * 20, text, " ".join(sorted(text.split()))]
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 != 1][:1] + [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    got = _by_id(lm_score.score(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")))
+    straight, mixed = got[ids[1]], got[ids[2]]
+    assert straight["base_score"] == pytest.approx(mixed["base_score"])
+    assert straight["score"] > mixed["score"] + 5 and straight["bits_per_byte"] < mixed["bits_per_byte"]
+
+
 def test_url_filter(spark):
     urls = [None, "no scheme", "http://x.COM", "https://a.example.com/en/1", "http://www.example.com/en/1?q#f", "http://example.com/fr/", "http://h.net/es/1", "http://h.net/es/2", "http://h.net/de/1", "http://b.net/de/", "http://c.org#x", "http://d.org", "ftp://net/fr/x://y"]
     html = [None] * 9 + ['<a href="http://H.net/x">'] + ["<p>"] * 3
