@@ -47,6 +47,15 @@ def held_out(doc_id: int | None, folds: int = 5, fold: int = 1) -> bool:
     return zlib.crc32(b"" if doc_id is None or doc_id != doc_id else str(int(doc_id)).encode()) % folds == fold
 
 
+def packed_counts(counts: np.ndarray) -> bytes:
+    """Counts in four bytes each where they fit, else in eight."""
+    return counts.astype(np.uint32 if counts.max(initial=0) < 2**32 else np.int64).tobytes()
+
+
+def unpacked_counts(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint32 if len(data) == 4 * n else np.int64).astype(np.int64)
+
+
 def _buckets(words: list[bytes], n: int) -> np.ndarray:
     return np.array([zlib.crc32(w) for w in words], np.int64) % n
 
@@ -90,9 +99,38 @@ def grams(coded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def coded_texts(block: dict) -> list[bytes]:
     """The texts of a block as they are coded."""
     lens = np.array(block["lens"], np.int64)
-    words, ends = word_list(block["words"]), np.cumsum(lens)
+    word, ends = [w + b" " for w in word_list(block["words"])].__getitem__, np.cumsum(lens)
     ids = block_ids(block["ids"], lens).tolist()
-    return [b"".join([words[i] + b" " for i in ids[e - n : e]]) + END for e, n in zip(ends.tolist(), lens.tolist())]
+    return [b"".join(map(word, ids[e - n : e])) + END for e, n in zip(ends.tolist(), lens.tolist())]
+
+
+class Lookup:
+    """Places of keys in a list of distinct keys that has them all: a table of
+    places by hash, and a search for the few keys whose slot another one took."""
+
+    def __init__(self, keys: np.ndarray):
+        self.order = np.argsort(keys)
+        self.keys, self.sorted = keys, keys[self.order]
+        self.shift = np.uint64(64 - max(8, int(np.ceil(np.log2(len(keys) + 1))) + 2))
+        self.table = np.zeros(1 << (64 - int(self.shift)), np.int32)
+        self.table[self._slot(keys)] = np.arange(len(keys))
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def places(self, asked: np.ndarray) -> np.ndarray:
+        at = self.table[self._slot(asked)]
+        other = np.flatnonzero(self.keys[at] != asked)
+        at[other] = self.order[np.searchsorted(self.sorted, asked[other])]
+        return at
+
+
+def key_counts(keys: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, and how many of each are to be learned: the flag is sorted
+    along as the lowest bit, since sorting values is cheaper than sorting places."""
+    both = np.sort(keys << 1 | learn)
+    first = np.flatnonzero(np.append(True, both[1:] >> 1 != both[:-1] >> 1)) if len(both) else np.empty(0, np.int64)
+    return both[first] >> 1, np.add.reduceat(both & 1, first) if len(both) else first
 
 
 def near(keys: np.ndarray) -> np.ndarray:
@@ -194,7 +232,7 @@ def _merge_words(rows: pd.DataFrame) -> pd.DataFrame:
     for r in rows.sort_values("block", kind="stable").itertuples(index=False):
         at = np.array([number.setdefault(w, len(number)) for w in word_list(r.words)], np.int32)
         total = np.pad(total, (0, len(number) - len(total)))
-        np.add.at(total, at, np.frombuffer(r.counts, np.int64))
+        total[at] += unpacked_counts(r.counts, len(at))  # a block's words are distinct
         out.append((r.bucket, r.block, at.tobytes(), None, None))
     out.append((rows["bucket"].iloc[0], None, None, b" ".join(number), total.tobytes()))
     return pd.DataFrame(out, columns=["bucket", "block", "numbers", "words", "counts"]).astype({"block": "Int64"})
@@ -213,7 +251,7 @@ def _spread(blocks: DataFrame, buckets: int) -> DataFrame:
                 for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
                     if len(part):
                         yield pa.RecordBatch.from_pylist(
-                            [{"bucket": int(bucket[part[0]]), "block": r["block"], "words": b" ".join([words[i] for i in part.tolist()]), "counts": n[part].astype(np.int64).tobytes()}],
+                            [{"bucket": int(bucket[part[0]]), "block": r["block"], "words": b" ".join([words[i] for i in part.tolist()]), "counts": packed_counts(n[part])}],
                             pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())]),
                         )
 
@@ -234,7 +272,7 @@ def _contexts(blocks: DataFrame) -> DataFrame:
             order = np.argsort(last, kind="stable")
             cuts = np.flatnonzero(np.diff(last[order])) + 1
             parts = [p for p in np.split(order, cuts) if len(p)]
-            rows = [pa.array([cell] * len(parts), pa.int64()), pa.array([int(last[p[0]]) for p in parts], pa.int64()), pa.array([packed(key[p]).tobytes() for p in parts], pa.binary()), pa.array([weight[p].astype(np.uint32).tobytes() for p in parts], pa.binary())]
+            rows = [pa.array([cell] * len(parts), pa.int64()), pa.array([int(last[p[0]]) for p in parts], pa.int64()), pa.array([packed(key[p]).tobytes() for p in parts], pa.binary()), pa.array([packed_counts(weight[p]) for p in parts], pa.binary())]
             return pa.RecordBatch.from_arrays(rows, ["cell", "near", "keys", "weights"])
 
         for batch in batches:
@@ -243,11 +281,11 @@ def _contexts(blocks: DataFrame) -> DataFrame:
                     yield flush()
                     keys.clear(), weights.clear()
                 cell = r["block"] >> CELL
-                learn = np.array([not held_out(d) for d in r["doc_ids"]], float)
+                learn = np.array([not held_out(d) for d in r["doc_ids"]], np.int64)
                 key, text = grams(coded_texts(r))
-                own, at = np.unique(key, return_inverse=True)
+                own, n = key_counts(key, learn[text])
                 keys.append(own)
-                weights.append(np.bincount(at, learn[text], len(own)))
+                weights.append(n)
         if keys:
             yield flush()
 
@@ -257,17 +295,17 @@ def _contexts(blocks: DataFrame) -> DataFrame:
 def _joined(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The distinct packed keys of some nodes and their summed counts."""
     keys, at = np.unique(np.concatenate([np.frombuffer(b, np.uint32) for b in rows["keys"]]), return_inverse=True)
-    n = [np.frombuffer(w, np.uint32 if len(w) == len(k) else np.int64) for k, w in zip(rows["keys"], rows["weights"])]
+    n = [unpacked_counts(w, len(k) // 4) for k, w in zip(rows["keys"], rows["weights"])]
     return keys, np.bincount(at, np.concatenate(n), len(keys))
 
 
 def _node(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     keys, weights = _joined(rows)
-    return pd.DataFrame({"near": [key[0]], "node": [key[1]], "keys": [keys.tobytes()], "weights": [weights.astype(np.int64).tobytes()]})
+    return pd.DataFrame({"near": [key[0]], "node": [key[1]], "keys": [keys.tobytes()], "weights": [packed_counts(weights)]})
 
 
 def _tree(row) -> Subtree:
-    return Subtree(unpacked(np.frombuffer(row.keys, np.uint32), row.near), np.frombuffer(row.weights, np.int64).astype(float))
+    return Subtree(unpacked(np.frombuffer(row.keys, np.uint32), row.near), unpacked_counts(row.weights, len(row.keys) // 4).astype(float))
 
 
 def _tops(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -280,7 +318,7 @@ def _tops(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _answers(own: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
     """The logs of each node's keys, from those of the node above it."""
     keys, logs = (np.frombuffer(above[c].iloc[0], t) for c, t in (("keys", np.uint32), ("logs", np.float32)))
-    return own.drop(columns="weights").assign(logs=[logs[np.searchsorted(keys, np.frombuffer(k, np.uint32))].tobytes() for k in own["keys"]])
+    return own.assign(logs=[logs[np.searchsorted(keys, np.frombuffer(k, np.uint32))].tobytes() for k in own["keys"]])
 
 
 def context_logs(blocks: DataFrame, fan: int = FAN) -> DataFrame:
@@ -307,7 +345,7 @@ def context_logs(blocks: DataFrame, fan: int = FAN) -> DataFrame:
     known = levels[-1].mapInPandas(root, "near long, node long, keys binary, logs binary")
     for own in reversed(levels[:-1]):
         leaf = "cell" in own.columns
-        own = own.select(*(["cell"] if leaf else []), "near", "node", "above", "keys", "weights")
+        own = own.select(*(["cell"] if leaf else []), "near", "node", "above", "keys")
         schema = ("cell long, " if leaf else "") + "near long, node long, above long, keys binary, logs binary"
         known = own.groupBy("near", "above").cogroup(known.groupBy("near", "node")).applyInPandas(_answers, schema)
     return known.select("cell", "near", "keys", "logs")
@@ -331,7 +369,7 @@ def score(docs: DataFrame, fan: int = FAN) -> DataFrame:
         """The training counts of each block's words of a bucket."""
         counts = np.frombuffer(words[words["block"].isna()]["counts"].iloc[0], np.int64)
         lists = words[words["block"].notna()]
-        return pd.DataFrame({"block": lists["block"].astype("int64"), "bucket": lists["bucket"], "counts": [counts[np.frombuffer(n, np.int32)].tobytes() for n in lists["numbers"]]})
+        return pd.DataFrame({"block": lists["block"].astype("int64"), "bucket": lists["bucket"], "counts": [packed_counts(counts[np.frombuffer(n, np.int32)]) for n in lists["numbers"]]})
 
     values = merged.groupBy("bucket").applyInPandas(counted, "block long, bucket long, counts binary")
     cell = F.shiftright("block", CELL).alias("cell")
@@ -342,8 +380,7 @@ def score(docs: DataFrame, fan: int = FAN) -> DataFrame:
         own = answers[answers["block"].isna()]
         key = np.concatenate([np.empty(0, np.int64), *(unpacked(np.frombuffer(k, np.uint32), int(c)) for c, k in zip(own["near"], own["keys"]))])
         log = np.concatenate([np.empty(0, np.float32), *(np.frombuffer(x, np.float32) for x in own["logs"])])
-        order = np.argsort(key)
-        key, log = key[order], log[order].astype(np.float64)
+        places = Lookup(key)
         out = []
         for r in block.to_dict("records"):
             bucket = _buckets(word_list(r["words"]), buckets)
@@ -352,13 +389,14 @@ def score(docs: DataFrame, fan: int = FAN) -> DataFrame:
             starts = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
             for v in answers[answers["block"] == r["block"]].itertuples(index=False):
                 v_bucket = int(v.bucket)
-                counts[by_bucket[starts[v_bucket] : starts[v_bucket + 1]]] = np.frombuffer(v.counts, np.int64)
+                at = by_bucket[starts[v_bucket] : starts[v_bucket + 1]]
+                counts[at] = unpacked_counts(v.counts, len(at))
             base = np.log10((counts + 0.5) / scale)
             lens = np.array(r["lens"], np.int64)
             ids, part = block_ids(r["ids"], lens), np.repeat(np.arange(len(lens)), lens)
             sums = [np.bincount(part, x[ids], len(lens)) for x in ((counts > 0).astype(float), base)]
             gram, text = grams(coded_texts(r))
-            total_log = np.bincount(text, log[np.searchsorted(key, gram)], len(lens))
+            total_log = np.bincount(text, log[places.places(gram)], len(lens))
             coded = np.bincount(text, minlength=len(lens))
             doc_ids = pd.array([None if d is None or d != d else int(d) for d in r["doc_ids"]], "Int64")  # a null may be a NaN here
             out.append(
