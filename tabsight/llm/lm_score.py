@@ -39,7 +39,7 @@ from tabsight.llm.common import block_ids, crc_mod, pack_blocks, stored, word_li
 #: Bytes of context; distinct words of a block that share a bucket, at least.
 DEPTH, BLOCKS_PER_BUCKET = 5, 8
 #: Blocks of a cell (a power of two, as an exponent); cells or nodes that meet in one group.
-CELL, FAN = 3, 64
+CELL, FAN = 4, 64
 END = b"\n"
 
 
