@@ -228,22 +228,23 @@ def q_outcome_resolve(spark, base):
 # -- preference log and training tables ---------------------------------------
 
 
-def _samples(spark, base, include_pending=False):
+def _samples(spark, base, include_pending=False, with_context=True):
     # ``shown`` carries the whole response-parse chain and is read three
     # times downstream (outcome scan, its slice totals, sample details), so it
     # is written once to the shared checkpoint folder; so are the samples,
     # which the pair and state jobs scan twice.
     parsed = rsp.parse_responses(fx.view_requests(spark, base))
     shown = materialize(fx.shown_suggestions(parsed), "shown")
-    contexts = pref.context_arrays(msg.truncate_context(fx.messages(spark, base)))
+    # Only jobs that use the context join it; one that reads the samples once needs no table of them.
+    contexts = pref.context_arrays(msg.truncate_context(fx.messages(spark, base))) if with_context else None
     decided = fx.decisions(spark, base, kinds=("accept", "reject"))
     samples = pref.preference_samples(shown, decided, contexts, include_pending)
-    return materialize(samples, "samples")
+    return materialize(samples, "samples") if with_context else samples
 
 
 @query("outcome_report")
 def q_outcome_report(spark, base):
-    return pref.outcome_report(_samples(spark, base))
+    return pref.outcome_report(_samples(spark, base, with_context=False))
 
 
 @query("preference_log_roundtrip")
