@@ -235,11 +235,11 @@ def _samples(spark, base, include_pending=False, with_context=True):
     # which the pair and state jobs scan twice.
     parsed = rsp.parse_responses(fx.view_requests(spark, base))
     shown = materialize(fx.shown_suggestions(parsed), "shown")
-    # Only jobs that use the context join it; one that reads the samples once needs no table of them.
+    # Only jobs that use the context join it.
     contexts = pref.context_arrays(msg.truncate_context(fx.messages(spark, base))) if with_context else None
     decided = fx.decisions(spark, base, kinds=("accept", "reject"))
     samples = pref.preference_samples(shown, decided, contexts, include_pending)
-    return materialize(samples, "samples") if with_context else samples
+    return materialize(samples, "samples")
 
 
 @query("outcome_report")
