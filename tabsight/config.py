@@ -46,3 +46,6 @@ TURN_SLICE = 4096  # turns of one conversation
 # How far behind the newest event a stream still takes rows; also the width of the
 # slices of event time that a stream holds and releases (streaming/ordered.py).
 STREAM_DELAY_MS = 86_400_000  # one day
+
+# Characters of one page of a terminal transcript: what a task holds of a command.
+TRANSCRIPT_PAGE_CHARS = 65_536

@@ -4,6 +4,10 @@ A position is ``(line, ch)`` with 0-based line and character; lines end at
 ``\\r\\n``, ``\\n`` or ``\\r``. Conversions follow the editor's validation:
 offsets are clamped to the text, lines past the end map to the end of the
 document and characters are clamped to the line's length.
+
+Offsets and characters count code points, as Spark's strings do. An editor's own
+logs count UTF-16 units, two for a character beyond the basic plane; ``to_points``
+and ``to_units`` lead from one count to the other over a text's ``utf16`` form.
 """
 
 from __future__ import annotations
@@ -59,3 +63,29 @@ def position_at(text: Column, pieces: Column, offset: Column) -> Column:
     line = found["line"]
     ch = F.least(o - found["lstart"], _content_len(F.get(pieces, line)))
     return F.struct(line.cast("int").alias("line"), ch.cast("int").alias("ch"))
+
+
+def utf16(text: Column) -> Column:
+    """The text in UTF-16, two bytes a unit: the map between the two counts.
+    Make it once per text and look up any number of offsets in it."""
+    return F.encode(text, "UTF-16BE")
+
+
+def unit_count(units: Column) -> Column:
+    return (F.octet_length(units) / 2).cast("long")
+
+
+def to_points(units: Column, offset: Column) -> Column:
+    """Code points before the UTF-16 ``offset`` of a text given as ``utf16``. The
+    offset is clamped to the text; one inside a character goes to its start."""
+    o = F.least(F.greatest(offset.cast("long"), F.lit(0)), unit_count(units)).cast("int")
+    before = F.hex(F.substr(units, F.greatest(2 * o - 1, F.lit(1)), F.lit(1)))
+    inside = (o > 0) & before.isin("D8", "D9", "DA", "DB")
+    whole = o - inside.cast("int")
+    return F.length(F.decode(F.substr(units, F.lit(1), 2 * whole), "UTF-16BE")).cast("long")
+
+
+def to_units(text: Column, offset: Column) -> Column:
+    """UTF-16 units before the code point ``offset`` of ``text``, clamped to it."""
+    o = F.greatest(offset.cast("long"), F.lit(0))
+    return unit_count(utf16(F.left(text, F.least(o, F.length(text)).cast("int"))))

@@ -9,28 +9,38 @@ table that grows with the data.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.jscompat import lines
-from ..functions.positions import line_pieces, offset_at, position_at
+from ..functions.positions import line_pieces, offset_at, position_at, to_points, to_units, utf16
 
 
 def with_pieces(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("__pieces", line_pieces(F.col(text)))
 
 
-def apply_action(df: DataFrame, text: str = "text", action: str = "action", out: str = "new_text") -> DataFrame:
+def _offset(text: Column, pieces: Column, line: Column, ch: Column, utf16_units: bool) -> Column:
+    """Code-point offset of a position whose ``ch`` counts code points or units."""
+    if utf16_units:
+        ch = F.coalesce(to_points(utf16(F.get(pieces, F.greatest(line, F.lit(0)))), ch), F.lit(0))
+    return offset_at(text, pieces, line, ch)
+
+
+def apply_action(
+    df: DataFrame, text: str = "text", action: str = "action", out: str = "new_text", utf16_units: bool = False
+) -> DataFrame:
     """Add ``out``: the text after an ``editInsert`` / ``editDelete`` /
     ``editReplace``; other kinds leave the text unchanged. Positions past the
-    end are clamped to the document, as the editor does."""
+    end are clamped to the document, as the editor does. ``utf16_units``: the
+    action's characters are counted in UTF-16 units, as editors log them."""
     t, a = F.col(text), F.col(action)
     d = with_pieces(df, text)
     pcs = F.col("__pieces")
-    pos_off = offset_at(t, pcs, a["position"]["line"], a["position"]["ch"])
-    s_off = offset_at(t, pcs, a["range"]["start"]["line"], a["range"]["start"]["ch"])
-    e_off = offset_at(t, pcs, a["range"]["end"]["line"], a["range"]["end"]["ch"])
+    pos_off = _offset(t, pcs, a["position"]["line"], a["position"]["ch"], utf16_units)
+    s_off = _offset(t, pcs, a["range"]["start"]["line"], a["range"]["start"]["ch"], utf16_units)
+    e_off = _offset(t, pcs, a["range"]["end"]["line"], a["range"]["end"]["ch"], utf16_units)
     d = (
         d.withColumn("__o", pos_off)
         .withColumn("__s", F.least(s_off, e_off))
@@ -51,19 +61,32 @@ def apply_action(df: DataFrame, text: str = "text", action: str = "action", out:
     return d.withColumn(out, new).drop("__pieces", "__o", "__s", "__e")
 
 
-def offsets_to_positions(df: DataFrame, text: str, offsets: dict[str, str]) -> DataFrame:
-    """For each ``name -> offset column`` add ``name`` = struct(line, ch)."""
+def offsets_to_positions(df: DataFrame, text: str, offsets: dict[str, str], utf16_units: bool = False) -> DataFrame:
+    """For each ``name -> offset column`` add ``name`` = struct(line, ch). With
+    ``utf16_units`` offsets and characters count UTF-16 units."""
     d = with_pieces(df, text)
+    if not utf16_units:
+        for name, off in offsets.items():
+            d = d.withColumn(name, position_at(F.col(text), F.col("__pieces"), F.col(off)))
+        return d.drop("__pieces")
+    d = d.withColumn("__units", utf16(F.col(text)))
     for name, off in offsets.items():
-        d = d.withColumn(name, position_at(F.col(text), F.col("__pieces"), F.col(off)))
-    return d.drop("__pieces")
+        d = d.withColumn("__at", to_points(F.col("__units"), F.col(off)))
+        d = d.withColumn("__pos", position_at(F.col(text), F.col("__pieces"), F.col("__at")))
+        ch = to_units(F.get("__pieces", F.col("__pos.line")), F.col("__pos.ch")).cast("int")
+        d = d.withColumn(name, F.struct(F.col("__pos.line").alias("line"), ch.alias("ch")))
+    return d.drop("__pieces", "__units", "__at", "__pos")
 
 
-def positions_to_offsets(df: DataFrame, text: str, positions: dict[str, tuple[str, str]]) -> DataFrame:
-    """For each ``name -> (line column, ch column)`` add the offset ``name``."""
+def positions_to_offsets(
+    df: DataFrame, text: str, positions: dict[str, tuple[str, str]], utf16_units: bool = False
+) -> DataFrame:
+    """For each ``name -> (line column, ch column)`` add the offset ``name``. With
+    ``utf16_units`` characters and offsets count UTF-16 units."""
     d = with_pieces(df, text)
     for name, (line, ch) in positions.items():
-        d = d.withColumn(name, offset_at(F.col(text), F.col("__pieces"), F.col(line), F.col(ch)))
+        off = _offset(F.col(text), F.col("__pieces"), F.col(line), F.col(ch), utf16_units)
+        d = d.withColumn(name, to_units(F.col(text), off) if utf16_units else off)
     return d.drop("__pieces")
 
 

@@ -146,6 +146,41 @@ def terminal_transcript(outputs: DataFrame) -> DataFrame:
     )
 
 
+def transcript_pages(
+    outputs: DataFrame,
+    page_chars: int = config.TRANSCRIPT_PAGE_CHARS,
+    slice_ms: int = config.EVENT_SLICE_MS,
+) -> DataFrame:
+    """``execution_id, page, n_chunks, text``: the transcript of each command cut
+    into pages of ``page_chars`` characters (the last is shorter); the texts of all
+    pages in order are ``terminal_transcript``'s. ``n_chunks`` counts the chunks that
+    start on the page. Null and empty chunks count on the page of the text before
+    them; a command with no other chunk has one empty page.
+
+    A sliced running sum of the lengths gives each chunk its offset, and a chunk is
+    cut at the page borders it crosses, so no task holds more of a command than a
+    page, whatever the command's output.
+    """
+    size = F.length(F.coalesce(F.col("text"), F.lit(""))).cast("long")
+    s = ordered_scan(outputs, ["execution_id"], ORDER, _slice(slice_ms), running_sums={"__end": size})
+    s = s.withColumn("__from", F.col("__end") - size)
+    begin, end, last = F.col("__from"), F.col("__end"), F.greatest(F.col("__end") - 1, F.lit(0))
+    page_of = lambda c: F.floor(c / F.lit(page_chars)).cast("long")
+    first = F.when(end > begin, page_of(begin)).otherwise(page_of(last))
+    pieces = s.select(
+        "execution_id", "text", "__from", "__end", first.alias("__first"), F.explode(F.sequence(first, page_of(last))).alias("page")
+    )
+    a = F.greatest(F.col("page") * page_chars, begin)
+    b = F.least((F.col("page") + 1) * page_chars, end)
+    cut = F.substr("text", (a - begin + 1).cast("int"), (b - a).cast("int"))
+    # ``collect_list`` leaves nulls out: empty chunks cost a page nothing.
+    piece = F.when(b > a, F.struct(a.alias("at"), cut.alias("text")))
+    return pieces.groupBy("execution_id", "page").agg(
+        F.sum((F.col("page") == F.col("__first")).cast("long")).alias("n_chunks"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda c: c["text"]), "").alias("text"),
+    )
+
+
 def attach_to_last_command(events: DataFrame, slice_ms: int = config.EVENT_SLICE_MS) -> DataFrame:
     """Give output rows without an execution id the id of the user's last
     terminal command before them (sliced as-of scan)."""

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from ..config import CHARS_PER_TOKEN, DEFAULT_SYSTEM_PROMPT
 from ..operators.messages import system_tokens
-from .queries import TEST_BUDGET
+from .queries import TEST_BUDGET, TEST_PAGE_CHARS
 
 ORACLE: dict[str, str] = {}
 
@@ -494,6 +494,20 @@ select doc_id,
   cast({offset_sql('text', 'ls', '1', '1000000')} as bigint) as off_clamp
 from e"""
 
+# Every character with the UTF-16 units and code points before it.
+ORACLE["utf16_positions"] = """
+with d as (select doc_id, replace(text, 'o', chr(128512)) as text from documents),
+p as (select doc_id, unnest(string_split(text, '')) as c, unnest(range(0, length(text))) as i, text from d where length(text) > 0),
+u as (select *, 1 + (unicode(c) > 65535)::int as w from p),
+r as (select *, sum(w) over (partition by doc_id order by i) - w as pre, sum(w) over (partition by doc_id) as n from u),
+m as (select doc_id, cast(any_value(n) as bigint) as n_units,
+             max(i) filter (pre <= n // 2) as points, max(pre) filter (pre <= n // 2) as pre,
+             count(*) filter (c = chr(10) and pre < n // 2) as line,
+             max(pre + 1) filter (c = chr(10) and pre < n // 2) as line_start
+      from r group by doc_id)
+select doc_id, n_units, points, line, cast(pre - coalesce(line_start, 0) as bigint) as ch, cast(pre as bigint) as back from m
+union all select doc_id, 0, 0, 0, 0, 0 from d where length(text) = 0"""
+
 
 def collapse_sql(x: str) -> str:
     return trim_js(f"regexp_replace({x}, '{W}+', ' ', 'g')")
@@ -671,6 +685,20 @@ t as (select *, last_value(case when kind = 'terminal_command' then execution_id
 select xid as execution_id, count(*) as n_chunks, string_agg(text, '' order by ts, seq) as transcript
 from t where kind = 'terminal_output' and xid is not null group by xid"""
 
+ORACLE["transcript_pages"] = f"""with {FEEDS_SQL},
+t as (select *, last_value(case when kind = 'terminal_command' then execution_id end ignore nulls)
+                 over (partition by user_id order by ts, seq rows between unbounded preceding and current row) as xid
+      from eu where kind in ('terminal_command', 'terminal_output')),
+c as (select xid, ts, seq, text, coalesce(sum(length(text)) over (partition by xid order by ts, seq
+                 rows between unbounded preceding and 1 preceding), 0) as pre
+      from t where kind = 'terminal_output' and xid is not null),
+whole as (select xid, string_agg(text, '' order by ts, seq) as txt from c group by xid),
+pages as (select xid, unnest(range(0, cast(ceil(length(txt) / {TEST_PAGE_CHARS}.0) as bigint))) as page, txt from whole),
+starts as (select xid, cast(floor(pre / {TEST_PAGE_CHARS}) as bigint) as page, count(*) as n from c group by all)
+select xid as execution_id, page, coalesce(n, 0) as n_chunks,
+       substring(txt, page * {TEST_PAGE_CHARS} + 1, {TEST_PAGE_CHARS}) as text
+from pages left join starts using (xid, page)"""
+
 ORACLE["session_state_asof"] = f"""with {SAMPLES_SQL},
 acc as (select user_id, outcomeTimestamp as ts, sample_id as seq, kind, line, file_path, atext
         from samples where outcome = 'accepted'),

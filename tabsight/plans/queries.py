@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import commands as cm
 from ..functions import display as dsp
+from ..functions.positions import to_points, unit_count, utf16
 from ..operators import actions as act
 from ..operators import diffs as df_
 from ..operators import edits as ed
@@ -313,6 +314,17 @@ def q_position_to_offset(spark, base):
     return o.select("doc_id", "off_mid", "off_past", "off_clamp")
 
 
+@query("utf16_positions")
+def q_utf16_positions(spark, base):
+    """Offsets as an editor logs them, in UTF-16 units, in texts with characters of two units."""
+    d = fx.astral_documents(spark, base).withColumn("n_units", unit_count(utf16(F.col("text"))))
+    d = d.withColumn("o_mid", F.floor(F.col("n_units") / 2)).withColumn("points", to_points(utf16(F.col("text")), F.col("o_mid")))
+    d = ed.offsets_to_positions(d, "text", {"p": "o_mid"}, utf16_units=True)
+    d = d.withColumn("line", F.col("p.line")).withColumn("ch", F.col("p.ch"))
+    d = ed.positions_to_offsets(d, "text", {"back": ("line", "ch")}, utf16_units=True)
+    return d.select("doc_id", "n_units", "points", F.col("line").cast("long").alias("line"), F.col("ch").cast("long").alias("ch"), "back")
+
+
 def _applied(spark, base, kind):
     c = _completions(spark, base).drop("line_count", "last_line_len")
     docs = fx.documents(spark, base)
@@ -609,13 +621,25 @@ def q_replay_edits(spark, base):
     return r.select("file", "n_edits", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
-@query("terminal_transcript")
-def q_terminal_transcript(spark, base):
+# Fixed test parameter: short pages, so that the short outputs of the fixture cross their borders.
+TEST_PAGE_CHARS = 8
+
+
+def _terminal_outputs(spark, base):
     ev = ses.attach_to_last_command(
         _event_union(spark, base).where(F.col("kind").isin("terminal_command", "terminal_output"))
     )
-    out = ev.where((F.col("kind") == "terminal_output") & F.col("execution_id").isNotNull())
-    return ses.terminal_transcript(out)
+    return ev.where((F.col("kind") == "terminal_output") & F.col("execution_id").isNotNull())
+
+
+@query("terminal_transcript")
+def q_terminal_transcript(spark, base):
+    return ses.terminal_transcript(_terminal_outputs(spark, base))
+
+
+@query("transcript_pages")
+def q_transcript_pages(spark, base):
+    return ses.transcript_pages(_terminal_outputs(spark, base), page_chars=TEST_PAGE_CHARS)
 
 
 @query("session_state_asof")

@@ -106,6 +106,11 @@ def documents(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+def astral_documents(spark: SparkSession, base: str) -> DataFrame:
+    """:func:`documents` with a character beyond the basic plane for each ``o``."""
+    return documents(spark, base).withColumn("text", F.translate("text", "o", "\U0001F600"))
+
+
 # Event-type mapping of the driver's ``events`` table to editor decisions.
 DECISION_KIND = {"view": "shown", "purchase": "accept", "error": "reject", "click": "content", "signup": "clear"}
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
-from ..operators.preferences import parse_log_lines
+from ..operators.preferences import context_digest, parse_log_lines
 from ..sources import events as evs
 from .ordered import Fold, in_order, split_late
 
@@ -77,6 +77,24 @@ def tail_preferences(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     return parse_log_lines(spark.readStream.text(path))
 
 
+def stream_reward_labels(samples: DataFrame, delay_ms: int = config.STREAM_DELAY_MS) -> DataFrame:
+    """``context_sha256, raw_sha256, timestamp, label`` of a stream of log samples:
+    accepted 1, rejected 0, once per distinct (context, output) while the watermark,
+    ``delay_ms`` behind the newest sample, has not passed the first one. The first to
+    arrive stays (of one micro-batch any); state holds digests of the last ``delay_ms``
+    only, so a pair that comes back later is labelled again. Samples behind the
+    watermark are dropped as late. A micro-batch works with the watermark of those before it."""
+    label = F.when(F.col("outcome") == "accepted", 1).when(F.col("outcome") == "rejected", 0).cast("int")
+    timed = samples.select(
+        context_digest(F.col("context")).alias("context_sha256"),
+        F.sha2(F.col("completion.rawModelOutput"), 256).alias("raw_sha256"),
+        "timestamp", label.alias("label"), F.timestamp_millis("timestamp").alias("time"),
+    ).withWatermark("time", f"{delay_ms} milliseconds")
+    # One condition with the time, which keeps it above the watermark (see ``in_order``).
+    labelled = timed.where(F.when(F.col("time").isNotNull(), F.col("label")).isNotNull())
+    return labelled.dropDuplicatesWithinWatermark(["context_sha256", "raw_sha256"]).drop("time")
+
+
 def stream_latest_wins(requests: DataFrame, max_latency_ms: int, delay_ms: int = config.STREAM_DELAY_MS) -> DataFrame:
     """``user_id, seq, ts, response_ts, was_shown`` per request of a stream ``(user_id,
     ts, seq, response_ts)``: whether no newer request of the user started before the

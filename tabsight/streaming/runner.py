@@ -70,23 +70,33 @@ def run_to_end(spark: SparkSession, source: DataFrame, build: Callable[[DataFram
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def commit_lines(lines: DataFrame, path: str, run: str, batch_id: int) -> None:
+    """Write one micro-batch of JSON lines as the folder ``run=<run>/batch=<batch_id>``
+    of a log, in place of what an earlier try of the same batch left there."""
+    folder = f"{path}/run={run}/batch={batch_id:012d}"
+    lines.write.mode("overwrite").option("ignoreNullFields", "false").json(folder)
+
+
 def write_preference_stream(
     samples: DataFrame, path: str, checkpoint: str, enabled: bool = True, available_now: bool = False
 ):
-    """Append resolved samples to the JSONL log as they resolve (nulls kept).
-    Returns the started query, or None when logging is disabled."""
+    """Append resolved samples to the JSONL log as they resolve (nulls kept), each
+    micro-batch under the query's id and its own number: a batch that is run again
+    after a failure replaces its lines, and any reader of the files sees them once.
+    Queries of other checkpoints add to the same log. Returns the started query, or
+    None when logging is disabled."""
     from ..operators.preferences import to_log_records
 
     if not enabled:
         return None
-    w = (
-        to_log_records(samples)
-        .writeStream.format("json")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .option("ignoreNullFields", "false")
-        .outputMode("append")
-    )
+
+    def commit(batch: DataFrame, batch_id: int) -> None:
+        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not run:
+            raise RuntimeError("a micro-batch without the id of its query")
+        commit_lines(batch, path, run, batch_id)
+
+    w = to_log_records(samples).writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).outputMode("append")
     if available_now:
         w = w.trigger(availableNow=True)
     return w.start()

@@ -87,3 +87,38 @@ def test_start_after_end_is_normalised(spark):
     assert tuple(r) == (4, 2)
     out = ed.apply_action(a).first()["new_text"]
     assert out == "\n".join(["l0", "l1", "l4", "l5", "l6", "l7"])
+
+
+def test_utf16_units(spark):
+    """Every unit offset of a text with characters of two units, against Python's own UTF-16."""
+    text = "a\U0001F600b\r\n\U0001F680\U0001F680c\n\u00e9"
+    units = len(text.encode("utf-16-be")) // 2
+    lines = ["a\U0001F600b", "\U0001F680\U0001F680c", "\u00e9"]
+    starts = [0, 6, 12]  # units before each line
+    width = lambda s: len(s.encode("utf-16-be")) // 2
+    want = []
+    for o in range(units + 2):
+        line = max(i for i, s in enumerate(starts) if s <= min(o, units))
+        inside = min(o, units) - starts[line]
+        want.append((line, max(width(lines[line][:k]) for k in range(len(lines[line]) + 1) if width(lines[line][:k]) <= inside)))
+    names = range(units + 2)
+    d = spark.createDataFrame([(text,)], "text string").select("text", *[F.lit(o).alias(f"o{o}") for o in names])
+    p = ed.offsets_to_positions(d, "text", {f"p{o}": f"o{o}" for o in names}, utf16_units=True)
+    r = p.first()
+    assert [(r[f"p{o}"]["line"], r[f"p{o}"]["ch"]) for o in names] == want
+    b = p.select("text", *[F.col(f"p{o}.line").alias(f"l{o}") for o in names], *[F.col(f"p{o}.ch").alias(f"c{o}") for o in names])
+    r = ed.positions_to_offsets(b, "text", {f"b{o}": (f"l{o}", f"c{o}") for o in names}, utf16_units=True).first()
+    assert [r[f"b{o}"] for o in names] == [starts[line] + ch for line, ch in want]
+    empty = spark.createDataFrame([("",), (None,)], "text string").withColumn("o", F.lit(3))
+    assert [x["p"] and tuple(x["p"]) for x in ed.offsets_to_positions(empty, "text", {"p": "o"}, utf16_units=True).collect()][0] == (0, 0)
+
+
+@pytest.mark.parametrize("utf16_units,expected", [(True, "a\U0001F600Xb\n\U0001F680d"), (False, "a\U0001F600bX\n\U0001F680d")])
+def test_apply_counts_units(spark, utf16_units, expected):
+    """The same logged position is another place when its characters count units."""
+    d = spark.createDataFrame([("a\U0001F600b\n\U0001F680d",)], "text string")
+    d = d.withColumn("action", make_action("editInsert", position=pos(F.lit(0), F.lit(3)), text=F.lit("X")))
+    assert ed.apply_action(d, utf16_units=utf16_units).first()["new_text"] == expected
+    r = rng(pos(F.lit(0), F.lit(1)), pos(F.lit(1), F.lit(2)))
+    d = d.withColumn("action", make_action("editDelete", range_=r))
+    assert ed.apply_action(d, utf16_units=True).first()["new_text"] == "ad"

@@ -16,7 +16,7 @@ from tabsight.operators import sessions as S
 from tabsight.plans.queries import QUERIES
 from tabsight.sources import fixtures as fx
 from tabsight.streaming.ordered import CHUNK, InOrder, split_late
-from tabsight.streaming.runner import run_available, run_to_end
+from tabsight.streaming.runner import run_available, run_to_end, write_preference_stream
 from tabsight.streaming.state import Activations, Outcomes, stream_first_activation, stream_outcomes
 
 SF = "/root/testdata/sf0.001"
@@ -293,3 +293,69 @@ def test_log_tail_counts_malformed_lines(spark):
     samples, bad = tail_preferences(spark, d)
     assert sorted(r["timestamp"] for r in run_available(spark, samples, "t_tail").collect()) == [1, 2, 3]
     assert sorted(r[0] for r in run_available(spark, bad, "t_bad").collect()) == ["also broken", "{broken"]
+
+
+def _sample_rows(spark, rows):
+    """Samples ``(timestamp, raw, outcome)`` in the log's layout."""
+    action = F.lit(None).cast("struct<kind:string,position:struct<line:int,ch:int>,range:struct<start:struct<line:int,ch:int>,end:struct<line:int,ch:int>>,text:string,filePath:string,selections:array<struct<start:struct<line:int,ch:int>,end:struct<line:int,ch:int>>>>")
+    return rows.select(
+        "timestamp",
+        F.array().cast("array<struct<role:string,content:string>>").alias("context"),
+        F.struct(F.col("raw").alias("rawModelOutput"), action.alias("parsedAction"), F.lit(-0.5).alias("avgLogprob")).alias("completion"),
+        "outcome", F.col("timestamp").alias("outcomeTimestamp"), F.lit("m").alias("modelName"),
+    )
+
+
+def test_preference_stream_commits_each_batch_once(spark):
+    """A query that dies after a batch's lines are written, before its commit is, runs
+    the batch again on restart; no line is there twice. A new checkpoint adds its own."""
+    d = tempfile.mkdtemp(prefix="tabsight-once-")
+    src, log, ckpt = (os.path.join(d, n) for n in ("src", "log", "ckpt"))
+    schema = "timestamp long, raw string, outcome string"
+
+    def run(checkpoint):
+        rows = spark.readStream.schema(schema).parquet(src)
+        q = write_preference_stream(_sample_rows(spark, rows), log, checkpoint, available_now=True)
+        q.awaitTermination()
+        return q
+
+    def stamps():
+        samples, bad = P.read_preferences(spark, log)
+        assert bad.count() == 0
+        return sorted(r["timestamp"] for r in samples.collect())
+
+    spark.createDataFrame([(1, "a", "accepted"), (2, "b", "rejected")], schema).write.parquet(src)
+    run(ckpt)
+    assert stamps() == [1, 2]
+    # The commit of the only batch is lost, as if the driver had died before it.
+    for name in os.listdir(os.path.join(ckpt, "commits")):
+        os.remove(os.path.join(ckpt, "commits", name))
+    run(ckpt)
+    assert stamps() == [1, 2]
+    spark.createDataFrame([(3, "c", "accepted")], schema).write.mode("append").parquet(src)
+    run(ckpt)
+    assert stamps() == [1, 2, 3]
+    run(os.path.join(d, "other"))
+    assert stamps() == [1, 1, 2, 2, 3, 3]
+
+
+def test_stream_reward_labels_once_within_the_watermark(spark):
+    from tabsight.streaming.feeds import stream_reward_labels
+
+    d = tempfile.mkdtemp(prefix="tabsight-labels-")
+    schema = "timestamp long, raw string, outcome string"
+    day = 86_400_000
+    files = [
+        [(10, "a", "accepted"), (20, "b", "ignored"), (30, None, "rejected")],
+        [(40, "a", "rejected"), (50, "c", "rejected"), (60, None, "rejected"), (None, "d", "accepted")],
+        [(9 * day, "e", "accepted")],
+        [(9 * day + 2, "g", "ignored"), (9 * day + 2, "h", "rejected")],  # works with the new watermark
+        [(9 * day + 1, "c", "accepted"), (5, "f", "accepted")],
+    ]
+    for i, rows in enumerate(files):
+        pq.write_table(pa.Table.from_pylist([dict(zip(("timestamp", "raw", "outcome"), r)) for r in rows], pa.schema([("timestamp", pa.int64()), ("raw", pa.string()), ("outcome", pa.string())])), os.path.join(d, f"{i}.parquet"))
+    _in_order(d)
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(d)
+    got = run_available(spark, stream_reward_labels(_sample_rows(spark, rows)), "t_labels").collect()
+    # Out: the ignored one, the second of "a" and of null, the one without a time and the late one.
+    assert sorted((r["timestamp"], r["label"]) for r in got) == [(10, 1), (30, 0), (50, 0), (9 * day, 1), (9 * day + 1, 1), (9 * day + 2, 0)]

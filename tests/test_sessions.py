@@ -1,6 +1,7 @@
 """Outcome, truncation, coalescing and response goldens (FIXTURES.md 2.3-2.6)."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -179,3 +180,26 @@ def test_null_logprob_counts_as_zero(spark):
     df = spark.createDataFrame([(body('{"logprob":-4.0},{"logprob":null}'),), (body('{"logprob":-4.0},{}'),)], "b string")
     got = [r.m for r in df.select(mean_logprob(token_logprobs(parse_body(F.col("b")))).alias("m")).collect()]
     assert got[0] == -2.0 and math.isnan(got[1])
+
+
+def test_transcript_pages_join_to_the_transcript(spark):
+    """Any page and slice width: pages joined in order are the transcript; no page is
+    longer than asked; empty and null chunks are counted, null commands are one."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(400):
+        text = rng.choice([None, "", "x", "yz\n", "long " * rng.randint(1, 30), "\U0001F600" * 7])
+        rows.append((rng.choice([1, 1, 1, 2, None]), 1000 + i // 3 * 10, i, text))
+    rows += [(3, 5, 900, ""), (3, 6, 901, None), (4, 7, 902, "abcd"), (4, 8, 903, ""), (5, 9, 904, "w" * 100)]
+    df = spark.createDataFrame(rows, "execution_id long, ts long, seq long, text string")
+    whole = {r["execution_id"]: (r["n_chunks"], r["transcript"]) for r in S.terminal_transcript(df).collect()}
+    for page, width in ((4, 1), (4, 50), (33, 3_600_000), (100_000, 7)):
+        got = {}
+        for r in S.transcript_pages(df, page, width).orderBy("execution_id", "page").collect():
+            got.setdefault(r["execution_id"], []).append(r)
+        joined = {k: (sum(r["n_chunks"] for r in v), "".join(r["text"] for r in v)) for k, v in got.items()}
+        assert joined == whole
+        for v in got.values():
+            assert [r["page"] for r in v] == list(range(len(v)))
+            assert all(len(r["text"]) == page for r in v[:-1]) and len(v[-1]["text"]) <= page
+    assert S.transcript_pages(df.limit(0)).count() == 0
