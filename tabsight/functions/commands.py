@@ -21,19 +21,35 @@ FENCE = rf"(?is)```(?:bash)?{WS}*(.*?)```"
 THINK = r"(?is)<think>.*?</think>"
 COMMAND_SPLIT = r"&&|\|\|"
 SED = (
-    rf"(?s)sed{WS}+(?:-[A-Za-z]+{WS}+)*-i{WS}+(?:-[A-Za-z]+{WS}+)*'(.*?)'{WS}+"
+    rf"sed{WS}+(?:-[A-Za-z]+{WS}+)*-i{WS}+(?:-[A-Za-z]+{WS}+)*'(.*?)'{WS}+"
     rf"([^{WS[1:-1]}&|]+){WS}*\z"
 )
-SED_DELETE = r"\A(\d+),(\d+)d\z"
-SED_REPLACE = r"(?s)\A(\d+),(\d+)c\\\n(.*)\z"
-SED_INSERT = r"(?s)\A(\d+)i\\\n(.*)\z"
-SED_APPEND = r"(?s)\A\$a\\\n(.*)\z"
-CAT = rf"\Acat{WS}+-n{WS}+([^{WS[1:-1]}|]+){WS}*\z"
-CAT_SLICE = rf"\Acat{WS}+-n{WS}+([^{WS[1:-1]}|]+){WS}*\|{WS}*sed{WS}+-n{WS}+'(\d+),(\d+)p'{WS}*\z"
+SED_DELETE = r"(\d+),(\d+)d"
+SED_REPLACE = r"(\d+),(\d+)c\\\n(.*)"
+SED_INSERT = r"(\d+)i\\\n(.*)"
+SED_APPEND = r"\$a\\\n(.*)"
+CAT = rf"cat{WS}+-n{WS}+([^{WS[1:-1]}|]+){WS}*"
+CAT_SLICE = rf"\|{WS}*sed{WS}+-n{WS}+'(\d+),(\d+)p'{WS}*"
 STRAY_FLAG = rf"{LINE_START}-[A-Z]{WS}*"
 SHELL_QUOTE = "'\"'\"'"
 BT = "`" * 3
 
+# One match gives all groups of a pattern: the whole text becomes the groups with a
+# separator between them (an unmatched group is empty), split once. Each pattern ends
+# in an alternative without groups that takes any other text. The separator is a line
+# feed, which only the last group may hold.
+SED_PARTS = rf"(?s)\A(?:.*?{SED}|.*\z)", "$2\n$1"
+SCRIPT_PARTS = (
+    rf"(?s)\A(?:{SED_DELETE}|{SED_REPLACE}|{SED_INSERT}|{SED_APPEND}|.*)\z",
+    "$1\n$2\n$3\n$4\n$6\n$5$7$8",
+)
+CAT_PARTS = rf"(?s)\A(?:{CAT}(?:{CAT_SLICE})?|.*)\z", "$1\n$2\n$3"
+
+
+def parts(text: Column, pattern: tuple[str, str], n: int) -> Column:
+    """The ``n`` groups of a pattern's single match as an array; null stays null."""
+    return F.split(F.regexp_replace(text, F.lit(pattern[0]), F.lit(pattern[1])), "\n", n)
+
 
 
 def strip_think(cmd: Column) -> Column:
@@ -140,33 +156,34 @@ def with_command(df: DataFrame, raw: str = "raw", out: str = "command", extracte
 
 
 def with_sed_form(df: DataFrame, cmd: str = "command", active_path: str = "active_path") -> DataFrame:
-    """Add the sed pieces of ``cmd``: ``__p_script`` (only when the target is
-    the active document), ``__p_main`` and ``sed_form``."""
+    """Add the sed pieces of ``cmd``: ``__p_main``, ``__p_script`` (the groups of its
+    script, only when the target is the active document) and ``sed_form``."""
     main = F.col(f"{_P}main")
-    target = F.col(f"{_P}target")
+    sed = F.col(f"{_P}sed")
     script = F.col(f"{_P}script")
-    # The target group is never empty, so '' from regexp_extract means "no
-    # match": one regex pass decides, a second takes the script.
     return (
         df.withColumn(f"{_P}main", first_command(F.col(cmd)))
         .withColumn(
-            f"{_P}target",
+            f"{_P}sed",
             F.when(
-                F.col(active_path).isNotNull() & main.contains("sed") & main.contains("'"),
-                F.regexp_extract(main, SED, 2),
+                F.col(active_path).isNotNull() & main.contains("sed") & main.contains("'"), parts(main, SED_PARTS, 2)
             ),
         )
+        # The target group is never empty: '' means "no match".
         .withColumn(
-            f"{_P}script",
-            F.when((F.length(target) > 0) & (target == F.col(active_path)), F.regexp_extract(main, SED, 1)),
+            f"{_P}raw_script",
+            F.when((F.get(sed, 0) != "") & (F.get(sed, 0) == F.col(active_path)), F.get(sed, 1)),
         )
+        .withColumn(f"{_P}script", parts(F.col(f"{_P}raw_script"), SCRIPT_PARTS, 6))
         .withColumn(
             "sed_form",
-            F.when(script.rlike(SED_DELETE), F.lit("delete"))
-            .when(script.rlike(SED_REPLACE), F.lit("replace"))
-            .when(script.rlike(SED_INSERT), F.lit("insert"))
-            .when(script.rlike(SED_APPEND), F.lit("append")),
+            F.when(F.get(script, 0) != "", F.lit("delete"))
+            .when(F.get(script, 2) != "", F.lit("replace"))
+            .when(F.get(script, 4) != "", F.lit("insert"))
+            # Only the append form has no number.
+            .when(F.col(f"{_P}raw_script").startswith("$a\\\n"), F.lit("append")),
         )
+        .drop(f"{_P}sed", f"{_P}raw_script")
     )
 
 
@@ -192,45 +209,22 @@ def with_action(
     lc, lll, path = F.col(line_count), F.col(last_line_len), F.col(active_path)
     has_doc = path.isNotNull() & (F.length(main) > 0)
 
+    line1 = F.when(form == "delete", F.get(script, 0)).when(form == "replace", F.get(script, 2)).when(form == "insert", F.get(script, 4))
+    line2 = F.when(form == "delete", F.get(script, 1)).when(form == "replace", F.get(script, 3))
+    cat_parts = F.col(f"{_P}cat_parts")
     d = (
-        d.withColumn(
-            f"{_P}a1",
-            try_int(
-                F.when(form == "delete", F.regexp_extract(script, SED_DELETE, 1))
-                .when(form == "replace", F.regexp_extract(script, SED_REPLACE, 1))
-                .when(form == "insert", F.regexp_extract(script, SED_INSERT, 1))
-            ),
-        )
-        .withColumn(
-            f"{_P}a2",
-            try_int(
-                F.when(form == "delete", F.regexp_extract(script, SED_DELETE, 2)).when(
-                    form == "replace", F.regexp_extract(script, SED_REPLACE, 2)
-                )
-            ),
-        )
-        .withColumn(
-            f"{_P}payload",
-            unescape_payload(
-                F.when(form == "replace", F.regexp_extract(script, SED_REPLACE, 3))
-                .when(form == "insert", F.regexp_extract(script, SED_INSERT, 2))
-                .when(form == "append", F.regexp_extract(script, SED_APPEND, 1))
-            ),
-        )
-        .withColumn(f"{_P}is_cat", has_doc & main.startswith("cat"))
-        .withColumn(f"{_P}cat", nonempty(F.when(F.col(f"{_P}is_cat"), F.regexp_extract(main, CAT, 1))))
-        .withColumn(
-            f"{_P}vfile0",
-            nonempty(F.when(F.col(f"{_P}is_cat") & main.contains("|"), F.regexp_extract(main, CAT_SLICE, 1))),
-        )
-        .withColumn(f"{_P}slice_ok", F.col(f"{_P}vfile0").isNotNull())
+        d.withColumn(f"{_P}a1", try_int(line1))
+        .withColumn(f"{_P}a2", try_int(line2))
+        .withColumn(f"{_P}payload", unescape_payload(F.when(form != "delete", F.get(script, 5))))
+        .withColumn(f"{_P}cat_parts", F.when(has_doc & main.startswith("cat"), parts(main, CAT_PARTS, 3)))
+        .withColumn(f"{_P}sliced", F.get(cat_parts, 1) != "")
     )
-    a1, a2, payload = F.col(f"{_P}a1"), F.col(f"{_P}a2"), F.col(f"{_P}payload")
-    slice_ok = F.col(f"{_P}slice_ok")
+    a1, a2, payload, sliced = (F.col(f"{_P}{n}") for n in ("a1", "a2", "payload", "sliced"))
     d = (
-        d.withColumn(f"{_P}vfile", F.col(f"{_P}vfile0"))
-        .withColumn(f"{_P}vs", try_int(F.when(slice_ok, F.regexp_extract(main, CAT_SLICE, 2))).cast("long"))
-        .withColumn(f"{_P}ve", try_int(F.when(slice_ok, F.regexp_extract(main, CAT_SLICE, 3))).cast("long"))
+        d.withColumn(f"{_P}cat", F.when(~sliced, nonempty(F.get(cat_parts, 0))))
+        .withColumn(f"{_P}vfile", F.when(sliced, F.get(cat_parts, 0)))
+        .withColumn(f"{_P}vs", try_int(F.when(sliced, F.get(cat_parts, 1))).cast("long"))
+        .withColumn(f"{_P}ve", try_int(F.when(sliced, F.get(cat_parts, 2))).cast("long"))
     )
     cat, vfile, vs, ve = (F.col(f"{_P}{n}") for n in ("cat", "vfile", "vs", "ve"))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.commands import with_action
+from ..functions.commands import with_action, with_command, with_sed_form
 from ..functions.jscompat import last_line_len, line_count
 
 
@@ -44,6 +44,27 @@ def attach_documents(completions: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
+def edits_on_documents(completions: DataFrame, documents: DataFrame, forms: tuple[str, ...]) -> DataFrame:
+    """Completions that are a sed edit of one of the ``forms`` (delete, replace,
+    insert, append) on their active document, with its ``text`` and the ``action``.
+
+    The form depends on the completion alone, so other completions go before the
+    join, which is the only one: the documents are read once and give text and line
+    statistics together. Columns of ``completions`` named like these are replaced."""
+    keep = [c for c in completions.columns if c not in ("line_count", "last_line_len", "text", "path")]
+    formed = with_sed_form(with_command(completions.select(*keep), out="__command"), "__command")
+    # Out of a generator, so that the filter stays above the chain (see ``with_action``).
+    formed = formed.select(*keep, F.inline(F.array(F.struct(F.col("sed_form").alias("__form")))))
+    edits = formed.where(F.col("__form").isin(*forms)).drop("__form")
+    docs = documents.select(
+        "path", "text",
+        line_count(F.col("text")).cast("int").alias("line_count"),
+        last_line_len(F.col("text")).cast("int").alias("last_line_len"),
+    )
+    joined = edits.join(docs, F.col("active_path") == F.col("path")).drop("path")
+    return parse_completions(joined).where(F.col("route") == "edit")
+
+
 def action_mix(parsed: DataFrame) -> DataFrame:
     """Count of parsed actions by kind (``none`` when nothing parsed)."""
     return parsed.groupBy(F.coalesce(F.col("action.kind"), F.lit("none")).alias("kind")).agg(

@@ -325,13 +325,9 @@ def q_utf16_positions(spark, base):
     return d.select("doc_id", "n_units", "points", F.col("line").cast("long").alias("line"), F.col("ch").cast("long").alias("ch"), "back")
 
 
-def _applied(spark, base, kind):
-    c = _completions(spark, base).drop("line_count", "last_line_len")
-    docs = fx.documents(spark, base)
-    parsed = act.parse_completions(act.attach_documents(c, docs)).where(F.col("route") == "edit")
-    parsed = parsed.where(F.col("action.kind") == kind) if kind else parsed
-    withtext = parsed.join(docs.select(F.col("path").alias("active_path"), "text"), "active_path")
-    out = ed.apply_action(withtext)
+def _applied(spark, base, *forms):
+    edits = act.edits_on_documents(_completions(spark, base), fx.documents(spark, base), forms)
+    out = ed.apply_action(edits.where(F.col("action").isNotNull()))
     return out.select(
         *KEY,
         F.length("new_text").cast("long").alias("new_len"),
@@ -340,9 +336,9 @@ def _applied(spark, base, kind):
     )
 
 
-QUERIES["apply_insert"] = lambda spark, base: _applied(spark, base, "editInsert")
-QUERIES["apply_delete"] = lambda spark, base: _applied(spark, base, "editDelete")
-QUERIES["apply_replace"] = lambda spark, base: _applied(spark, base, "editReplace")
+QUERIES["apply_insert"] = lambda spark, base: _applied(spark, base, "insert", "append")
+QUERIES["apply_delete"] = lambda spark, base: _applied(spark, base, "delete")
+QUERIES["apply_replace"] = lambda spark, base: _applied(spark, base, "replace")
 
 
 @query("viewport_lines")
@@ -416,9 +412,8 @@ def _revisions(spark, base):
     """Replacement actions on their documents: ``old_text`` is the whole
     replaced range, ``new_text`` the replacement. Only replacements carry
     document text into the join and the diff."""
-    docs = fx.documents(spark, base)
-    parsed = _doc_parsed(spark, base).where((F.col("route") == "edit") & (F.col("action.kind") == "editReplace"))
-    withtext = parsed.join(docs.select(F.col("path").alias("active_path"), "text"), "active_path")
+    edits = act.edits_on_documents(_completions(spark, base), fx.documents(spark, base), ("replace",))
+    withtext = edits.where(F.col("action.kind") == "editReplace")
     a = F.col("action")
     o = ed.positions_to_offsets(
         withtext.withColumn("__sl", a["range"]["start"]["line"]).withColumn("__sc", a["range"]["start"]["ch"])

@@ -75,3 +75,34 @@ def test_huge_line_number_is_no_edit(spark):
     df = spark.createDataFrame([("sed -i '99999999999,2d' /a.py", "/a.py", 10, 4)],
                                "raw string, active_path string, line_count int, last_line_len int")
     assert cm.with_action(df).select("action.kind").first()[0] == "terminalSendText"
+
+
+def test_edits_on_documents_equal_the_parse(spark):
+    """Each golden that is an edit comes out with its document, the others do not."""
+    from tabsight.operators.actions import edits_on_documents
+
+    text = NL.join(["abcd"] * 10)
+    rows = [(i, raw, "/a.py", "clash") for i, (raw, _) in enumerate(CASES)] + [(99, CASES[0][0], None, ""), (100, None, "/a.py", "")]
+    c = spark.createDataFrame(rows, "i int, raw string, active_path string, text string")
+    docs = spark.createDataFrame([("/a.py", text), ("/b.py", ""), (None, "x")], "path string, text string")
+    forms = {"delete": "editDelete", "replace": "editReplace", "insert": "editInsert", "append": "editInsert"}
+    got = edits_on_documents(c, docs, tuple(forms)).select("i", "text", *cm.action_columns(F.col("action"))).collect()
+    want = {i: w for i, (_, w) in enumerate(CASES) if w and w[0] in forms.values()}
+    assert {r["i"]: tuple(r)[2:] for r in got} == want and all(r["text"] == text for r in got)
+    only = edits_on_documents(c, docs, ("delete",)).select("action.kind").collect()
+    assert {r[0] for r in only} == {"editDelete"}
+
+
+def test_groups_of_one_match(spark):
+    """Payloads and targets that hold the separator, other controls or a second command."""
+    rows = [
+        ("sed -i '1,2c\\" + NL + "a" + NL + NL + "b\u0001$1' /a.py", ("editReplace", 0, 0, 2, 0, "a" + NL + NL + "b\u0001$1" + NL, None)),
+        ("sed -i '7d' /a.py", ("terminalSendText", None, None, None, None, "sed -i '7d' /a.py", None)),
+        ("sed -i '1,99999999999d' /a.py", ("terminalSendText", None, None, None, None, "sed -i '1,99999999999d' /a.py", None)),
+        ("x=1 sed -i '$a\\" + NL + "q' /a.py", ("editInsert", 10, 0, None, None, NL + "q" + NL, None)),
+        ("echo sed; sed -i '3i\\" + NL + "' /a.py", ("editInsert", 2, 0, None, None, NL, None)),
+        ("cat -n /b.py | sed -n '1,99999999999p'", ("terminalSendText", None, None, None, None, "cat -n /b.py | sed -n '1,99999999999p'", None)),
+    ]
+    df = spark.createDataFrame([(i, r, "/a.py", 10, 4) for i, (r, _) in enumerate(rows)], "i int, raw string, active_path string, line_count int, last_line_len int")
+    out = cm.with_action(df).select("i", *cm.action_columns(F.col("action"))).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in out] == [w for _, w in rows]
