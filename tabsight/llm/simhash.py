@@ -1,10 +1,10 @@
 """SimHash near-duplicates by vantage-point trees.
 
 Fingerprints are majority bits of the XXH64 values of a text's word shingles.
-Equal fingerprints are one point. A shallow vantage-point tree, fitted on a
-bounded sample, cuts the points into shards; each point lives in one shard and
-asks every shard whose region lies within the allowed distance (triangle
-bounds). Inside a shard a tree of the same kind prunes the search down to small
+Equal fingerprints are one point. A vantage-point tree, fitted on a sample that
+grows with the shards, cuts the points into shards of about ``SHARD`` (more where
+that would take over ``SHARDS`` of them); each point lives in one shard and asks
+every shard whose region lies within the allowed distance (triangle bounds). Inside a shard a tree of the same kind prunes the search down to small
 leaves, which are compared in full, so every pair within the distance is found.
 A shard returns only a spanning forest of its links.
 
@@ -26,8 +26,11 @@ from pyspark.sql import functions as F
 from tabsight.llm.common import LOWER, free_name, stored
 from tabsight.llm.components import components
 
-#: Points per shard aimed at, points the split tree is fitted on, leaf size.
-SHARD, SAMPLE, LEAF = 20_000, 4096, 48
+#: Points per shard aimed at, most shards, points that the split tree is fitted on for
+#: each shard, leaf size. The sample is at most about SHARDS * PER_SHARD points (8 MB).
+SHARD, SHARDS, PER_SHARD, LEAF = 20_000, 1 << 16, 16, 48
+#: Points routed at once: a large tree is walked once for many.
+ROUTED = 1 << 17
 
 
 def fingerprint(text: str | None, k: int = 3) -> int:
@@ -81,24 +84,25 @@ def vantage(points: np.ndarray, reach: int, tries: int = 12) -> tuple[np.uint64,
     return best and best[1:]
 
 
-def split_tree(sample: np.ndarray, depth: int, reach: int) -> list[tuple[int, int, int, int]]:
-    """Nodes ``(vantage, radius, inner, outer)``; a child below 0 is shard ``-child - 1``."""
+def split_tree(sample: np.ndarray, full: int, reach: int) -> list[tuple[int, int, int, int]]:
+    """Nodes ``(vantage, radius, inner, outer)``; a child below 0 is shard ``-child - 1``.
+    A part of the sample of more than ``full`` points (at least 8) is split again."""
     nodes: list[tuple[int, int, int, int]] = []
     shards = 0
 
-    def grow(points: np.ndarray, level: int) -> int:
+    def grow(points: np.ndarray) -> int:
         nonlocal shards
-        cut = vantage(points, reach) if level and len(points) >= 8 else None
+        cut = vantage(points, reach) if len(points) > max(full, 8) else None
         if cut is None:
             shards += 1
             return -shards
         near = np.bitwise_count(points ^ cut[0]) <= cut[1]
         at = len(nodes)
         nodes.append((0, 0, 0, 0))
-        nodes[at] = (int(cut[0]), int(cut[1]), grow(points[near], level - 1), grow(points[~near], level - 1))
+        nodes[at] = (int(cut[0]), int(cut[1]), grow(points[near]), grow(points[~near]))
         return at
 
-    grow(sample, depth)
+    grow(sample)
     return nodes
 
 
@@ -166,20 +170,40 @@ def linked(points: np.ndarray, home: np.ndarray, reach: int, cells: int = 1 << 2
 # ---------------------------------------------------------------- operator
 
 
-def point_links(points: DataFrame, reach: int = 2, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
+def _sampled(points: DataFrame, share: float) -> np.ndarray:
+    """The points whose hash falls in a ``share`` of the hashes, in order of the hash."""
+    place = F.pmod(F.xxhash64(F.lit(7), "fp"), F.lit(1 << 40))
+    rows = points.select("fp", place.alias("place")).where(F.col("place") < int(share * (1 << 40))).toArrow()
+    order = np.lexsort((rows["fp"].to_numpy(), rows["place"].to_numpy()))
+    return rows["fp"].to_numpy()[order].view(np.uint64)
+
+
+def point_links(points: DataFrame, reach: int = 2, shard: int = SHARD, shards: int = SHARDS, per_shard: int = PER_SHARD) -> DataFrame:
     """Edges ``(a, b)`` that connect the distinct longs ``fp`` exactly as all
-    pairs within ``reach`` bits do. ``sample``: the bounded number of points
-    that the split tree is fitted on; every point is indexed and searched."""
+    pairs within ``reach`` bits do. The points are split until each shard has at most
+    ``shard``, or an ``1 / shards`` of all, as the split tree's sample tells: about
+    ``per_shard`` points for each. Every point is indexed and searched."""
     n = points.count()
-    rows = points.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()
-    fitted = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-    nodes = split_tree(fitted, max(0, int(np.ceil(np.log2(max(n, 1) / shard)))), reach) if n else []
+    shard = max(shard, -(-n // shards))
+    nodes = []
+    if n > shard:
+        share = min(1.0, max(4096 / n, per_shard / shard))
+        nodes = split_tree(_sampled(points, share), int(shard * share), reach)
+
+    def batched(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            held.append(batch.column(0).to_numpy())
+            if sum(map(len, held)) >= ROUTED:
+                yield np.concatenate(held)
+                held = []
+        if held:
+            yield np.concatenate(held)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = batch.column(0).to_numpy()
-            at, shards, home = route(fp.view(np.uint64), nodes, reach)
-            yield pa.RecordBatch.from_arrays([pa.array(shards), pa.array(fp[at]), pa.array(home)], ["shard", "fp", "home"])
+        for fp in batched(batches):
+            at, to, home = route(fp.view(np.uint64), nodes, reach)
+            yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(fp[at]), pa.array(home)], ["shard", "fp", "home"])
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("fp", kind="stable")
