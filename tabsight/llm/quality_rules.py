@@ -10,7 +10,7 @@ determinant. Everything is DataFrame expressions; the cells' estimates are a
 small table, the documents' vectors are written once.
 
 Null and empty texts have no words and fail the base rule. Null languages and
-sources are cells of their own. Cells with fewer than ``MIN_CELL`` documents
+sources count as empty ones. Cells with fewer than ``MIN_CELL`` documents
 are pooled by language, and languages with fewer over everything. A ridge keeps
 dependent statistics from making singular matrices; a variance below ``LEAST``
 squared counts as that, so a constant statistic makes no outliers of tiny
@@ -19,6 +19,7 @@ deviations. Repeated rows are judged one by one. An empty table gives no rows. C
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from math import exp, factorial
 
@@ -46,6 +47,15 @@ DIM = len(VECTOR)
 LEAST = [0.05, 0.03, 0.12, 0.12, 0.03, 0.03]
 
 
+#: Most (language, source) pairs whose estimates are sent to the documents' rows
+#: (under 1 KB each, three starts); beyond that they are joined by shuffles.
+PAIRS = 10_000
+
+
+def _as_is(few: DataFrame) -> DataFrame:
+    return few
+
+
 def chi2_quantile(p: float, dof: int) -> float:
     """Quantile of the chi-squared law for an even number of degrees of freedom."""
     cdf = lambda x: 1 - exp(-x / 2) * sum((x / 2) ** k / factorial(k) for k in range(dof // 2))
@@ -117,22 +127,22 @@ def _inverse(cov: DataFrame) -> DataFrame:
     return cov.select(*keep, swept.alias("s")).select(*keep, *((-F.col("s.m")[i][j]).alias(f"p_{i}_{j}") for i in range(DIM) for j in range(i, DIM)), F.col("s.det").alias("det"))
 
 
-def _start(vectors: DataFrame) -> DataFrame:
+def _start(vectors: DataFrame, send: Callable = _as_is) -> DataFrame:
     """Medians and median absolute deviations, as a diagonal estimate."""
     med = stored(vectors.groupBy("cell").agg(*(F.percentile_approx(v, 0.5, 10_000).alias(f"m_{i}") for i, (v, _, _) in enumerate(VECTOR))), "quality-medians")
-    away = vectors.join(med, "cell").groupBy("cell").agg(*(F.percentile_approx(F.abs(F.col(v) - F.col(f"m_{i}")), 0.5, 10_000).alias(f"d_{i}") for i, (v, _, _) in enumerate(VECTOR)))
+    away = vectors.join(send(med), "cell").groupBy("cell").agg(*(F.percentile_approx(F.abs(F.col(v) - F.col(f"m_{i}")), 0.5, 10_000).alias(f"d_{i}") for i, (v, _, _) in enumerate(VECTOR)))
     spread = [F.pow(F.greatest(1.4826 * F.col(f"d_{i}"), F.lit(LEAST[i])), 2) for i in range(DIM)]
     zero = [F.lit(0.0).alias(f"p_{i}_{j}") for i in range(DIM) for j in range(i + 1, DIM)]
     return med.join(away, "cell").select("cell", *(f"m_{i}" for i in range(DIM)), *((F.lit(1.0) / s).alias(f"p_{i}_{i}") for i, s in enumerate(spread)), *zero)
 
 
-def _starts(vectors: DataFrame) -> DataFrame:
+def _starts(vectors: DataFrame, send: Callable = _as_is) -> DataFrame:
     """Three starts per cell around the medians, all with the spreads of
     :func:`_start`: no correlations, and those of two robust transforms of the
     scaled deviations, their hyperbolic tangents and their directions."""
-    first = stored(_start(vectors), "quality-start")
+    first = stored(_start(vectors, send), "quality-start")
     z = [((F.col(v) - F.col(f"m_{i}")) * F.sqrt(f"p_{i}_{i}")).alias(f"z_{i}") for i, (v, _, _) in enumerate(VECTOR)]
-    scaled = vectors.join(first, "cell").select("cell", *z)
+    scaled = vectors.join(send(first), "cell").select("cell", *z)
     norm = F.expr("sqrt(" + " + ".join(f"z_{i} * z_{i}" for i in range(DIM)) + ")")
     pairs = [(i, j) for i in range(DIM) for j in range(i, DIM)]
     parts = [first.withColumn("start", F.lit(0))]
@@ -145,22 +155,22 @@ def _starts(vectors: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _judged(vectors: DataFrame, estimate: DataFrame) -> DataFrame:
+def _judged(vectors: DataFrame, estimate: DataFrame, send: Callable = _as_is) -> DataFrame:
     inverse = {(i, j): F.col(f"p_{i}_{j}") for i in range(DIM) for j in range(i, DIM)}
     d2 = _distance([F.col(f"m_{i}") for i in range(DIM)], inverse)
-    return vectors.join(estimate, "cell").withColumn("d2", d2).select(*_keys(estimate), *(v for v, _, _ in VECTOR), "d2")
+    return vectors.join(send(estimate), "cell").withColumn("d2", d2).select(*_keys(estimate), *(v for v, _, _ in VECTOR), "d2")
 
 
 def _keys(estimate: DataFrame) -> list[str]:
     return [c for c in ("cell", "start") if c in estimate.columns]
 
 
-def _concentrate(vectors: DataFrame, estimate: DataFrame, support: float) -> DataFrame:
+def _concentrate(vectors: DataFrame, estimate: DataFrame, support: float, send: Callable = _as_is) -> DataFrame:
     """Mean and covariance of each cell's nearest ``support`` share, for each start."""
     keys = _keys(estimate)
-    judged = _judged(vectors, estimate)
+    judged = _judged(vectors, estimate, send)
     edge = stored(judged.groupBy(*keys).agg(F.percentile_approx("d2", support, 10_000).alias("edge")), "quality-edge")
-    near = judged.join(edge, keys).where("d2 <= edge")
+    near = judged.join(send(edge), keys).where("d2 <= edge")
     x = [F.col(v) for v, _, _ in VECTOR]
     sums = near.groupBy(*keys).agg(*(F.avg(x[i]).alias(f"m_{i}") for i in range(DIM)), *(F.covar_pop(x[i], x[j]).alias(f"q_{i}_{j}") for i in range(DIM) for j in range(i, DIM)))
     factor = consistency(support, DIM)
@@ -170,13 +180,13 @@ def _concentrate(vectors: DataFrame, estimate: DataFrame, support: float) -> Dat
     return _inverse(sums.select(*keys, *(f"m_{i}" for i in range(DIM)), *(c.alias(f"c_{i}_{j}") for (i, j), c in cov.items())))
 
 
-def _estimate(vectors: DataFrame, support: float) -> DataFrame:
+def _estimate(vectors: DataFrame, support: float, send: Callable = _as_is) -> DataFrame:
     """Per cell the estimate of the least determinant that concentration reaches
     from any start. A start is left when its determinant falls no more."""
-    open_ = stored(_starts(vectors).withColumn("was", F.lit(float("inf"))), "quality-estimate")
+    open_ = stored(_starts(vectors, send).withColumn("was", F.lit(float("inf"))), "quality-estimate")
     reached = []
     while not open_.isEmpty():
-        after = _concentrate(vectors, open_.drop("was"), support)
+        after = _concentrate(vectors, open_.drop("was"), support, send)
         was = open_.select("cell", "start", "was")
         reached.append(stored(after.join(was, ["cell", "start"]), "quality-estimate"))
         open_ = reached[-1].where(f"det < was - {TOLERANCE}").withColumn("was", F.col("det")).drop("det")
@@ -203,13 +213,14 @@ def passing(docs: DataFrame, support: float = SUPPORT, min_cell: int = MIN_CELL,
 def _verdicts(stats: DataFrame, support: float, min_cell: int, beyond: float) -> DataFrame:
     good = stats.where("NOT base_failed").select("lang", "source", *(F.expr(e).alias(v) for v, e, _ in VECTOR))
     cells = stored(_cells(good, min_cell), "quality-cells")
-    vectors = stored(good.join(cells, ["lang", "source"]).drop("lang", "source"), "quality-vectors")
-    estimate = _estimate(vectors, support)
+    send = F.broadcast if cells.count() <= PAIRS else _as_is
+    vectors = stored(good.join(send(cells), ["lang", "source"]).drop("lang", "source"), "quality-vectors")
+    estimate = _estimate(vectors, support, send)
     every = stats.select("*", *(F.expr(f"CASE WHEN NOT base_failed THEN {e} END").alias(v) for v, e, _ in VECTOR))
     inverse = {(i, j): F.col(f"p_{i}_{j}") for i in range(DIM) for j in range(i, DIM)}
     d2 = F.when(~F.col("base_failed"), _distance([F.col(f"m_{i}") for i in range(DIM)], inverse))
     cut = chi2_quantile(1 - beyond, DIM)
-    # Written, so that the planner knows its size and can send it to the rows.
+    # At most one row per pair.
     fitted = stored(cells.join(estimate, "cell"), "quality-fitted")
-    judged = every.join(fitted, ["lang", "source"], "left").withColumn("d2", d2)
+    judged = every.join(send(fitted), ["lang", "source"], "left").withColumn("d2", d2)
     return judged.withColumn("kept", F.coalesce(~F.col("base_failed") & (F.col("d2") <= cut), F.lit(False)))

@@ -482,3 +482,112 @@ def test_vantage_trees_find_every_link():
         root = simhash.linked(points[own], home[shard == s], 2)
         forest.link(own, own[root])
     assert (forest.up == plain.up).all()
+
+
+def test_shards_grow_with_the_points(spark):
+    """No shard outgrows its size because there are many: the sample grows with them."""
+    points = np.unique(np.random.default_rng(8).integers(0, 2**63, 60_000).astype(np.uint64))
+    df = spark.createDataFrame([(int(p),) for p in points], "fp long")
+    shard = 100
+    sample = simhash._sampled(df, simhash.PER_SHARD / shard)
+    assert 0.9 < len(sample) / (simhash.PER_SHARD / shard * len(points)) < 1.1 and np.isin(sample, points).all()
+    at, to, home = simhash.route(points, simhash.split_tree(sample, simhash.PER_SHARD, 2), 2)
+    sizes = np.bincount(to[home])
+    assert (np.bincount(at[home], minlength=len(points)) == 1).all()
+    assert len(sizes) >= len(points) / shard and sizes.max() < 4 * shard
+
+
+def test_point_links_in_few_or_many_shards(spark):
+    rng = np.random.default_rng(9)
+    c = rng.integers(0, 2**63, 1500).astype(np.uint64)
+    points = np.unique(np.concatenate([c, c[:400] ^ np.uint64(5), c[:200] ^ np.uint64(1 << 40)]))
+    df = spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "fp long")
+    plain = simhash.Forest(len(points))
+    plain.link(*np.nonzero(np.bitwise_count(points[:, None] ^ points[None, :]) <= 2))
+    for shard, shards in ((20_000, 1 << 16), (10, 1 << 16), (10, 4)):
+        edges = simhash.point_links(df, 2, shard, shards).toPandas()
+        forest = simhash.Forest(len(points))
+        place = lambda x: np.searchsorted(points, x.to_numpy(np.int64).view(np.uint64))
+        forest.link(place(edges["a"]), place(edges["b"]))
+        assert (forest.up == plain.up).all()
+
+
+def _vector(text):
+    words, lines = _words(text), [x for x in text.split("\n") if _words(x)]
+    n, chars, symbols, dup, rep = _base(text)
+    upper, marks = sum("A" <= c <= "Z" for c in text), sum(c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" for c in text)
+    assert n == len(words)
+    return [np.log(chars / n), np.log(1 + symbols / n), np.sqrt(dup / max(len(lines), 1)), np.sqrt(rep / n), np.log(1 + upper / n), np.log(1 + marks / n)]
+
+
+def _robust(x):
+    """Squared distances from the minimum-covariance-determinant estimate of rows ``x``."""
+    dim, least = x.shape[1], np.array(quality_rules.LEAST)
+    ridge, factor = np.array([r for _, _, r in quality_rules.VECTOR]), quality_rules.consistency(0.75, x.shape[1])
+    at = lambda v, p: np.sort(v)[int(np.ceil(p * len(v))) - 1]
+    m = np.array([at(c, 0.5) for c in x.T])
+    sd = np.maximum(1.4826 * np.array([at(abs(c - mm), 0.5) for c, mm in zip(x.T, m)]), least)
+    z = (x - m) / sd
+    starts = [np.diag(1 / sd**2)]
+    for y in (np.tanh(z), z / np.maximum(np.sqrt((z**2).sum(1)), 1e-9)[:, None]):
+        q = y.T @ y / len(y)
+        size = np.sqrt(np.diag(q) + 1e-6)
+        corr = q / np.outer(size, size)
+        np.fill_diagonal(corr, 1)
+        starts.append(np.linalg.inv(corr * np.outer(sd, sd)))
+    distance = lambda m, inv: np.einsum("ij,jk,ik->i", x - m, inv, x - m)
+    best = None
+    for inv in starts:
+        mm, was = m, np.inf
+        while True:
+            d2 = distance(mm, inv)
+            near = x[d2 <= at(d2, 0.75)]
+            mm, cov = near.mean(0), np.cov(near.T, bias=True) * factor
+            cov[np.arange(dim), np.arange(dim)] = np.maximum(np.diag(cov) + ridge**2, least**2)
+            inv, det = np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
+            if best is None or det < best[0]:
+                best = (det, mm, inv)
+            if not det < was - quality_rules.TOLERANCE:
+                break
+            was = det
+    return distance(*best[1:])
+
+
+def test_quality_verdicts_against_numpy(spark, monkeypatch):
+    """``d2`` and ``kept`` of every row equal a numpy estimate per cell, large, pooled by
+    language and pooled over all, whether estimates are sent to the rows or shuffled."""
+    rnd = random.Random(77)
+    rows = []
+    for i in range(900):
+        lang, source = rnd.choice([("en", "a")] * 5 + [("en", "b"), ("de", "c"), ("de", None), (None, "a"), ("fr", "x")])
+        lines = [" ".join(rnd.choice(VOCAB) + rnd.choice(["", "", "", "!", "X"]) for _ in range(rnd.randint(3, 15))) for _ in range(rnd.randint(8, 20))]
+        text = "\n".join(lines + rnd.choices(lines, k=rnd.choice([0, 0, 1, 2, 9])))
+        rows.append((i, rnd.choice([text] * 30 + [None, "", "### " * 90, text.upper()]), lang, source))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    least = 120
+    good, cells = {}, collections.Counter((lang or "", source or "") for _, t, lang, source in rows if not _failed(t))
+    pooled = collections.Counter()
+    for (lang, _), n in cells.items():
+        pooled[lang] += n if n < least else 0
+    for i, t, lang, source in rows:
+        if not _failed(t):
+            pair = (lang or "", source or "")
+            good.setdefault(pair if cells[pair] >= least else pair[0] if pooled[pair[0]] >= least else None, []).append((i, _vector(t)))
+    assert {type(k) for k in good} == {tuple, str, type(None)}
+    cut, want = quality_rules.chi2_quantile(1 - quality_rules.BEYOND, quality_rules.DIM), {}
+    for members in good.values():
+        want.update(zip((i for i, _ in members), _robust(np.array([v for _, v in members]))))
+    for pairs in (quality_rules.PAIRS, 0):
+        monkeypatch.setattr(quality_rules, "PAIRS", pairs)
+        got = _by_id(quality_rules.judge(docs, min_cell=least))
+        assert len(got) == len(rows)
+        for i, t, _, _ in rows:
+            assert (got[i]["d2"] is None) == _failed(t)
+            assert got[i]["kept"] == (not _failed(t) and bool(want[i] <= cut))
+            assert _failed(t) or got[i]["d2"] == pytest.approx(want[i], rel=1e-6, abs=1e-9)
+    assert {r["kept"] for r in got.values() if not r["base_failed"]} == {True, False}
+
+
+def _failed(text):
+    n, *_, rep = _base(text)
+    return n < 50 or 100 * rep > 50 * n
