@@ -26,12 +26,12 @@ class FirstTabs(Fold):
         self.files = handle.getMapState("files", "file string", "ts bigint")
 
     def load(self) -> None:
-        self.new = not self.begun.exists()
+        self.new = self.empty = not self.begun.exists()
         self.seen: dict[tuple, int] = {}
 
     def _first(self, ts: int, file: str | None) -> bool:
         name = ("x" + file if file is not None else "",)
-        if name in self.seen or self.files.containsKey(name):
+        if name in self.seen or not self.empty and self.files.containsKey(name):
             return False
         self.seen[name] = ts
         return True

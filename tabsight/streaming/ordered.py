@@ -5,10 +5,13 @@ state, cut into slices of event time, and releases a slice in ``(ts, seq)`` orde
 once the watermark has passed its end (an event-time timer per slice). What a fold
 then sees is the batch order, however the rows were spread over micro-batches.
 
-State per key: for each held slice its chunks of at most ``CHUNK`` rows, each sorted
-(``MapState``); the end of the last released slice; and the fold's own state. A
-micro-batch's rows arrive as a sequence of frames and go to state frame by frame; at
-release the sorted chunks of one slice are merged as iterators, and the fold's rows
+State per key: its held rows in pieces, each sorted (``MapState``), with the slices that
+a piece spans (``MapState`` of keys alone); the end of the last released slice; and the
+fold's own state. A micro-batch's rows arrive as a sequence of frames and go to state
+frame by frame. A piece is one slice's rows, ``CHUNK`` at most, or several whole slices
+with ``SMALL`` rows at most together: a call to the state costs far more than a row, and
+most keys have few rows in a slice. One timer is set, for a key's earliest slice. At
+release pieces are loaded when the merge reaches their first slice, and the fold's rows
 leave in frames of at most ``CHUNK`` rows. No frame ever holds a key's whole input.
 
 A row of a slice that has been released is late: it changes nothing, and leaves by
@@ -20,6 +23,7 @@ without a time have no place in the order and are not taken.
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-#: Rows of a chunk of state and of an output frame.
-CHUNK = 10_000
+#: Rows of a piece of state and of an output frame, and of a piece of several slices.
+CHUNK, SMALL = 10_000, 256
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -52,6 +56,11 @@ class Fold:
         """Called after the last step of a release."""
 
 
+def _place(row: tuple) -> tuple:
+    """Order of a row; without a ``seq`` it is the last of its time."""
+    return row[0], row[1] is None, row[1] or 0
+
+
 class InOrder(StatefulProcessor):
     def __init__(self, fold: Fold, key: str, slice_ms: int, chunk: int = CHUNK):
         self.fold, self.key, self.slice_ms, self.chunk = fold, key, slice_ms, chunk
@@ -59,51 +68,101 @@ class InOrder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         arrays = ", ".join(f"{c} array<{t}>" for c, t in self.fold.columns.items())
-        self.slices = handle.getMapState("slices", "slice bigint", "chunks int")
-        self.held = handle.getMapState("held", "slice bigint, chunk int", arrays)
+        self.slices = handle.getMapState("slices", "piece int, first bigint, last bigint", "rows int")
+        self.held = handle.getMapState("held", "piece int", arrays)
         self.released = handle.getValueState("released", "ts bigint")
         self.fold.init(handle)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        end = self.released.get()[0] if self.released.exists() else None
+        end = self.released.get()
+        index = self._index()
+        before = min((first for first, _, _ in index), default=None)
         for frame in rows:
             frame = frame[list(self.fold.columns)].sort_values(["ts", "seq"], kind="stable")
             if end is not None:
-                late, frame = frame[frame["ts"] < end], frame[frame["ts"] >= end]
+                late, frame = frame[frame["ts"] < end[0]], frame[frame["ts"] >= end[0]]
                 if len(late):
                     yield self._late(key[0], late)
-            for number, part in frame.groupby(frame["ts"] // self.slice_ms, sort=True):
-                self._hold(int(number), part)
-
-    def _hold(self, number: int, part: pd.DataFrame) -> None:
-        at = self.slices.getValue((number,))[0] if self.slices.containsKey((number,)) else 0
-        if at == 0:
-            self.handle.registerTimer((number + 1) * self.slice_ms)
-        for i in range(0, len(part), self.chunk):
-            piece = part.iloc[i : i + self.chunk]
-            self.held.updateValue((number, at), tuple([None if pd.isna(v) else v for v in piece[c].tolist()] for c in self.fold.columns))
-            at += 1
-        self.slices.updateValue((number,), (at,))
+            columns = [[None if pd.isna(v) else v for v in frame[c].tolist()] for c in self.fold.columns]
+            index += self._hold(columns, max((piece for _, piece, _ in index), default=-1) + 1)
+        self._set_timer(index, before)
+
+    def _index(self) -> list[tuple[int, int, int]]:
+        """Of each piece its first slice, its number, and its last slice."""
+        return sorted((first, piece, last) for piece, first, last in list(self.slices.keys()))
+
+    def _set_timer(self, index: list[tuple[int, int, int]], before: int | None) -> None:
+        earliest = min((first for first, _, _ in index), default=None)
+        if earliest is not None and (before is None or earliest < before):
+            self.handle.registerTimer((earliest + 1) * self.slice_ms)
+
+    def _hold(self, columns: list[list], piece: int) -> list[tuple[int, int, int]]:
+        """Sorted rows go to state in pieces, numbered from ``piece``."""
+        numbers = [int(ts // self.slice_ms) for ts in columns[0]]
+        ends = [i for i in range(1, len(numbers)) if numbers[i] != numbers[i - 1]] + [len(numbers)]
+        added, a, k = [], 0, 0
+        while a < len(numbers):
+            while k + 1 < len(ends) and ends[k + 1] - a <= SMALL:
+                k += 1
+            for i in range(a, ends[k], self.chunk):
+                j = min(i + self.chunk, ends[k])
+                self.held.updateValue((piece,), tuple(c[i:j] for c in columns))
+                self.slices.updateValue((piece, numbers[i], numbers[j - 1]), (j - i,))
+                added.append((numbers[i], piece, numbers[j - 1]))
+                piece += 1
+            a, k = ends[k], k + 1
+        return added
+
+    def _load(self, entry: tuple[int, int, int], limit: int) -> tuple[Iterator[tuple], list[list]]:
+        """A piece's rows up to the slice ``limit``, taken from state, and the columns of
+        the others."""
+        first, piece, last = entry
+        columns = [list(c) for c in self.held.getValue((piece,))]
+        self.held.removeKey((piece,))
+        self.slices.removeKey((piece, first, last))
+        cut = len(columns[0]) if last <= limit else bisect_left(columns[0], (limit + 1) * self.slice_ms)
+        return zip(*(c[:cut] for c in columns)), [c[cut:] for c in columns]
+
+    def _in_order(self, due: list[tuple[int, int, int]], limit: int, kept: list[list[list]]) -> Iterator[tuple]:
+        """The rows of the pieces ``due``, merged; what is not due yet goes to ``kept``."""
+        heap: list[tuple] = []
+        waiting = due[::-1]
+        while waiting or heap:
+            while waiting and (not heap or waiting[-1][0] * self.slice_ms <= heap[0][0][0]):
+                entry = waiting.pop()
+                rows, rest = self._load(entry, limit)
+                if rest[0]:
+                    kept.append(rest)
+                row = next(rows)
+                heapq.heappush(heap, (_place(row), entry[1], row, rows))
+            _, piece, row, rows = heap[0]
+            yield row
+            after = next(rows, None)
+            if after is None:
+                heapq.heappop(heap)
+            else:
+                heapq.heapreplace(heap, (_place(after), piece, after, rows))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
         # All slices that are due, in order, whichever timer comes first.
-        due = sorted(number for (number,) in list(self.slices.keys()) if (number + 1) * self.slice_ms <= now)
+        limit = timerValues.getCurrentWatermarkInMs() // self.slice_ms - 1
+        index = self._index()
+        due = [entry for entry in index if entry[0] <= limit]
         if not due:
             return
         self.fold.load()
         out: list[tuple] = []
-        for number in due:
-            chunks = [self.held.getValue((number, i)) for i in range(self.slices.getValue((number,))[0])]
-            for row in heapq.merge(*(zip(*c) for c in chunks), key=lambda r: r[:2]):
-                out += self.fold.step(row)
-                while len(out) >= self.chunk:
-                    yield self._out(key[0], out[: self.chunk])
-                    out = out[self.chunk :]
-            for i in range(len(chunks)):
-                self.held.removeKey((number, i))
-            self.slices.removeKey((number,))
-        self.released.update(((due[-1] + 1) * self.slice_ms,))
+        kept: list[list[list]] = []
+        for row in self._in_order(due, limit, kept):
+            out += self.fold.step(row)
+            while len(out) >= self.chunk:
+                yield self._out(key[0], out[: self.chunk])
+                out = out[self.chunk :]
+        index = index[len(due) :]
+        for columns in kept:
+            index += self._hold(columns, max((piece for _, piece, _ in index), default=-1) + 1)
+        self.released.update(((int(row[0] // self.slice_ms) + 1) * self.slice_ms,))
+        self._set_timer(index, None)
         self.fold.save()
         if out:
             yield self._out(key[0], out)

@@ -26,7 +26,8 @@ class Outcomes(Fold):
         self.state = handle.getValueState("pending", "seq bigint, ts bigint")
 
     def load(self) -> None:
-        self.pending = tuple(self.state.get()) if self.state.exists() else None
+        pending = self.state.get()
+        self.pending = tuple(pending) if pending else None
 
     def step(self, row: tuple) -> list[tuple]:
         ts, seq, kind = row
@@ -57,8 +58,10 @@ class Activations(Fold):
         self.files = handle.getMapState("files", "file string", "epoch bigint")
 
     def load(self) -> None:
-        self.epoch = self.state.get()[0] if self.state.exists() else 0
-        self.start, self.seen = self.epoch, set()
+        begun = self.state.get()
+        self.epoch = begun[0] if begun else 0
+        # Files of earlier releases count up to the first clear; a new user has none.
+        self.start, self.seen = self.epoch if begun else None, set()
 
     def step(self, row: tuple) -> list[tuple]:
         _, seq, kind, file = row
@@ -73,7 +76,7 @@ class Activations(Fold):
         return [(seq, file, self.epoch, first)]
 
     def save(self) -> None:
-        if self.epoch != self.start:
+        if self.start is not None and self.epoch != self.start:
             self.files.clear()
         for name in self.seen:
             self.files.updateValue(name, (self.epoch,))

@@ -359,3 +359,29 @@ def test_stream_reward_labels_once_within_the_watermark(spark):
     got = run_available(spark, stream_reward_labels(_sample_rows(spark, rows)), "t_labels").collect()
     # Out: the ignored one, the second of "a" and of null, the one without a time and the late one.
     assert sorted((r["timestamp"], r["label"]) for r in got) == [(10, 1), (30, 0), (50, 0), (9 * day, 1), (9 * day + 1, 1), (9 * day + 2, 0)]
+
+
+def test_few_calls_for_a_user_of_few_rows():
+    """The rows of many slices lie in one piece, under one timer; what is due leaves, in
+    order over all pieces, and the rest stays."""
+    calls = []
+
+    class Counted(_Handle):
+        def registerTimer(self, ms):
+            calls.append(ms)
+
+    processor = InOrder(Outcomes(), "user_id", 1000)
+    processor.init(Counted())
+    frame = pd.DataFrame({"user_id": 1, "ts": [500 * i for i in range(60)], "seq": range(60), "kind": "shown"})
+    assert list(processor.handleInputRows((1,), iter([frame[::2]]), None)) == []
+    assert len(processor.held) == len(processor.slices) == 1 and calls == [1000]
+    assert list(processor.handleInputRows((1,), iter([frame[1::2]]), None)) == []
+    assert len(processor.held) == len(processor.slices) == 2 and calls == [1000]
+    frames = list(processor.handleExpiredTimer((1,), _Now(10_400), None))
+    assert pd.concat(frames)["shown_seq"].tolist() == list(range(19))
+    assert sum(len(v[0]) for v in processor.held.values()) == 40 and calls == [1000, 11_000]
+    late = list(processor.handleInputRows((1,), iter([frame[19:21]]), None))
+    assert late[0]["late_seq"].tolist() == [19]
+    frames = list(processor.handleExpiredTimer((1,), _Now(1_000_000), None))
+    assert pd.concat(frames)["shown_seq"].tolist() == [19, *sorted([*range(20, 60), 20])][:41]
+    assert not processor.held and not processor.slices
