@@ -40,8 +40,9 @@ def js_trim(c: Column | str) -> Column:
 
 
 def js_collapse_ws(c: Column | str) -> Column:
-    """``s.replace(/\\s+/g, ' ').trim()``."""
-    return js_trim(F.regexp_replace(col(c), f"{WS}+", " "))
+    """``s.replace(/\\s+/g, ' ').trim()``. A single space, the most common run by far,
+    is left as it is."""
+    return js_trim(F.regexp_replace(col(c), f"(?:[{JS_WS_CHARS}&&[^ ]]{WS}*+| {WS}++)", " "))
 
 
 def nonempty(c: Column) -> Column:

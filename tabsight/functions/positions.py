@@ -12,7 +12,7 @@ and ``to_units`` lead from one count to the other over a text's ``utf16`` form.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Split after each line terminator, keeping it with its line.
@@ -29,40 +29,56 @@ def _content_len(piece: Column) -> Column:
     return F.length(F.regexp_replace(piece, _TERMINATOR, ""))
 
 
+def odd_pieces(text: Column) -> Column:
+    """:func:`line_pieces` of a text with a carriage return, null for others, whose
+    lines :func:`offset_at` finds by plain searches."""
+    return F.when(text.contains("\r"), line_pieces(text))
+
+
+def _line_start(text: Column, line: Column) -> Column:
+    """Offset of a line of a text whose lines end at ``\\n`` alone."""
+    return F.when(line > 0, F.length(F.call_function("substring_index", text, F.lit("\n"), line)) + 1).otherwise(F.lit(0))
+
+
 def offset_at(text: Column, pieces: Column, line: Column, ch: Column) -> Column:
-    """Offset of a position (editor ``offsetAt``)."""
-    n = F.size(pieces)
-    start = F.aggregate(
-        F.slice(pieces, 1, F.greatest(line, F.lit(0))), F.lit(0).cast("long"), lambda a, p: a + F.length(p)
-    )
-    inside = start + F.least(F.greatest(ch, F.lit(0)), _content_len(F.get(pieces, line)))
-    return (
-        F.when(line < 0, F.lit(0).cast("long"))
-        .when(line >= n, F.length(text).cast("long"))
-        .otherwise(inside.cast("long"))
+    """Offset of a position (editor ``offsetAt``). ``pieces``: the text's
+    :func:`line_pieces`, or its :func:`odd_pieces`."""
+    wanted = F.greatest(ch, F.lit(0))
+    # Where the lines end at \n alone.
+    breaks = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    start = _line_start(text, F.least(line, breaks).cast("int"))
+    content = F.length(F.call_function("substring_index", F.substr(text, start + 1), F.lit("\n"), F.lit(1)))
+    plain = (
+        F.when(line > breaks, F.length(text))
+        .when(line.isNotNull(), start + F.least(wanted, content))
+        .when(text.isNotNull(), wanted)
     )
+    # Joined, not summed, so that it is one pass over the text.
+    before = F.length(F.array_join(F.slice(pieces, F.lit(1), F.greatest(line, F.lit(0)).cast("int")), ""))
+    odd = F.when(line >= F.size(pieces), F.length(text)).otherwise(before + F.least(wanted, _content_len(F.get(pieces, line.cast("int")))))
+    return F.when(line < 0, F.lit(0)).when(pieces.isNull(), plain).otherwise(odd).cast("long")
+
+
+def text_before(text: Column, offset: Column) -> Column:
+    """The text before an offset (clamped to it) with ``\\n`` as the only line end: what
+    :func:`position_of` needs. An offset inside ``\\r\\n`` goes to its start."""
+    o = F.least(F.greatest(offset, F.lit(0)), F.length(text)).cast("int")
+    inside = F.substr(text, F.greatest(o, F.lit(1)), F.lit(2)) == "\r\n"
+    head = F.left(text, F.when((o > 0) & inside, o - 1).otherwise(o))
+    return F.replace(F.replace(head, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+
+
+def position_of(before: Column) -> Column:
+    """``struct(line, ch)`` of the offset whose :func:`text_before` is given. Make that a
+    column of its own, so that it is computed once."""
+    line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))
+    ch = F.length(F.substring_index(before, "\n", -1))
+    return F.struct(line.cast("int").alias("line"), ch.cast("int").alias("ch"))
 
 
-def position_at(text: Column, pieces: Column, offset: Column) -> Column:
-    """``struct(line, ch)`` of an offset (editor ``positionAt``)."""
-    o = F.least(F.greatest(offset, F.lit(0)), F.length(text))
-    n = F.size(pieces)
-    init = F.struct(F.lit(0).cast("long").alias("start"), F.lit(-1).alias("line"), F.lit(0).cast("long").alias("lstart"))
-
-    def step(acc, i):
-        p = F.get(pieces, i)
-        end = acc["start"] + F.length(p)
-        hit = (acc["line"] < 0) & ((o < end) | (i == n - 1))
-        return F.struct(
-            end.alias("start"),
-            F.when(hit, i).otherwise(acc["line"]).alias("line"),
-            F.when(hit, acc["start"]).otherwise(acc["lstart"]).alias("lstart"),
-        )
-
-    found = F.aggregate(F.sequence(F.lit(0), n - 1), init, step)
-    line = found["line"]
-    ch = F.least(o - found["lstart"], _content_len(F.get(pieces, line)))
-    return F.struct(line.cast("int").alias("line"), ch.cast("int").alias("ch"))
+def with_position(df: DataFrame, name: str, text: Column, offset: Column) -> DataFrame:
+    """Add ``name``: ``struct(line, ch)`` of an offset (editor ``positionAt``)."""
+    return df.withColumn("__before", text_before(text, offset)).withColumn(name, position_of(F.col("__before"))).drop("__before")
 
 
 def utf16(text: Column) -> Column:

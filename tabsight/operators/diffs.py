@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.chardiff import lcs_length_udf, segments_udf
 from ..functions.jscompat import js_trim
-from ..functions.positions import line_pieces, position_at
+from ..functions.positions import with_position
 
 
 def revision_diff(pairs: DataFrame, old: str = "old_text", new: str = "new_text") -> DataFrame:
@@ -126,19 +126,18 @@ def with_diff_facts(d: DataFrame, segs: str = "segments", new: str = "new_text")
 def deletion_offsets(d: DataFrame, segs: str = "segments") -> DataFrame:
     """``(…, idx, del_start, del_end)``: relative offsets of each deleted run,
     ``idx`` numbering the deleted runs from 1 in order."""
-    s = F.col(segs)
-    dels = F.filter(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.size(s), F.lit(1))), lambda i: F.struct(i.alias("i"), F.get(s, i - 1).alias("seg"))),
-        lambda x: x["seg"]["type"] == "delete",
-    )
-    spans = F.transform(
-        dels,
-        lambda x, n: F.struct(
-            (n + 1).alias("idx"),
-            _offset_before(s, x["i"]).alias("start"),
-            (_offset_before(s, x["i"]) + F.length(x["seg"]["value"])).alias("end"),
-        ),
-    )
+    # One pass over the segments, with the old text's length so far.
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<idx:bigint,start:bigint,end:bigint>>").alias("spans"))
+
+    def step(acc: Column, seg: Column) -> Column:
+        end = acc["at"] + F.length(seg["value"])
+        span = F.struct((F.size(acc["spans"]) + 1).cast("long").alias("idx"), acc["at"].alias("start"), end.alias("end"))
+        return F.struct(
+            F.when(seg["type"] == "insert", acc["at"]).otherwise(end).alias("at"),
+            F.when(seg["type"] == "delete", F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"),
+        )
+
+    spans = F.aggregate(F.col(segs), start, step, lambda acc: acc["spans"])
     keep = [c for c in d.columns if c != segs]
     return d.select(*keep, F.explode(spans).alias("__span")).select(
         *keep, F.col("__span.idx").cast("long").alias("idx"), F.col("__span.start").alias("del_start"),
@@ -146,11 +145,24 @@ def deletion_offsets(d: DataFrame, segs: str = "segments") -> DataFrame:
     )
 
 
-def to_positions(d: DataFrame, text: str, offsets: dict[str, Column]) -> DataFrame:
-    d = d.withColumn("__pieces", line_pieces(F.col(text)))
+def with_range(d: DataFrame, text: str = "text", start: str = "range_start", old: str = "old_text") -> DataFrame:
+    """Add what :func:`to_positions` needs of a replaced range: ``__base``, the position of
+    its start, and ``__range``, its text with one character more, so that a line end of
+    two characters at its end is seen whole. The whole text is needed no longer."""
+    more = F.substr(F.col(text), F.col(start) + 1, F.length(old) + 1)
+    return with_position(d, "__base", F.col(text), F.col(start)).withColumn("__range", more)
+
+
+def to_positions(d: DataFrame, offsets: dict[str, Column]) -> DataFrame:
+    """Positions in the whole text of offsets in the replaced range, from the columns of
+    :func:`with_range`: the work grows with the range, not with the document."""
+    base = F.col("__base")
     for name, off in offsets.items():
-        d = d.withColumn(name, position_at(F.col(text), F.col("__pieces"), off))
-    return d.drop("__pieces")
+        d = with_position(d, "__in", F.col("__range"), off)
+        here = F.col("__in")
+        ch = here["ch"] + F.when(here["line"] == 0, base["ch"]).otherwise(F.lit(0))
+        d = d.withColumn(name, F.struct((base["line"] + here["line"]).alias("line"), ch.alias("ch"))).drop("__in")
+    return d
 
 
 def preview_class(action: Column, cursor_line: Column, cursor_ch: Column) -> Column:

@@ -1,8 +1,7 @@
 """Applying edit actions to document text, and viewports.
 
-Everything is a projection over ``(text, action)`` rows: the line index of a
-text is computed once per row, offsets come from it, and the new text is a
-``concat`` of slices. Documents reach the actions through one equi-join on the
+Everything is a projection over ``(text, action)`` rows: offsets come from searches
+for line ends, and the new text is a ``concat`` of slices. Documents reach the actions through one equi-join on the
 path (``operators.actions.attach_documents`` style), with no broadcast of a
 table that grows with the data.
 """
@@ -14,11 +13,12 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.jscompat import lines
-from ..functions.positions import line_pieces, offset_at, position_at, to_points, to_units, utf16
+from ..functions.positions import line_pieces, odd_pieces, offset_at, to_points, to_units, utf16, with_position
 
 
-def with_pieces(df: DataFrame, text: str = "text") -> DataFrame:
-    return df.withColumn("__pieces", line_pieces(F.col(text)))
+def with_pieces(df: DataFrame, text: str = "text", utf16_units: bool = False) -> DataFrame:
+    """UTF-16 units need every line, code points only those of texts with odd line ends."""
+    return df.withColumn("__pieces", (line_pieces if utf16_units else odd_pieces)(F.col(text)))
 
 
 def _offset(text: Column, pieces: Column, line: Column, ch: Column, utf16_units: bool) -> Column:
@@ -36,17 +36,14 @@ def apply_action(
     end are clamped to the document, as the editor does. ``utf16_units``: the
     action's characters are counted in UTF-16 units, as editors log them."""
     t, a = F.col(text), F.col(action)
-    d = with_pieces(df, text)
+    d = with_pieces(df, text, utf16_units)
     pcs = F.col("__pieces")
-    pos_off = _offset(t, pcs, a["position"]["line"], a["position"]["ch"], utf16_units)
-    s_off = _offset(t, pcs, a["range"]["start"]["line"], a["range"]["start"]["ch"], utf16_units)
-    e_off = _offset(t, pcs, a["range"]["end"]["line"], a["range"]["end"]["ch"], utf16_units)
-    d = (
-        d.withColumn("__o", pos_off)
-        .withColumn("__s", F.least(s_off, e_off))
-        .withColumn("__e", F.greatest(s_off, e_off))
+    inserts = a["kind"] == "editInsert"
+    one = F.when(inserts, a["position"]).otherwise(a["range"]["start"])
+    d = d.withColumn("__o1", _offset(t, pcs, one["line"], one["ch"], utf16_units)).withColumn(
+        "__o2", F.when(~inserts, _offset(t, pcs, a["range"]["end"]["line"], a["range"]["end"]["ch"], utf16_units))
     )
-    o, s, e = F.col("__o"), F.col("__s"), F.col("__e")
+    o, s, e = F.col("__o1"), F.least("__o1", "__o2"), F.greatest("__o1", "__o2")
 
     def splice(start, end, ins):
         return F.concat(F.left(t, start), ins, F.substr(t, end + 1))
@@ -58,21 +55,20 @@ def apply_action(
         .when(kind == "editReplace", splice(s, e, a["text"]))
         .otherwise(t)
     )
-    return d.withColumn(out, new).drop("__pieces", "__o", "__s", "__e")
+    return d.withColumn(out, new).drop("__pieces", "__o1", "__o2")
 
 
 def offsets_to_positions(df: DataFrame, text: str, offsets: dict[str, str], utf16_units: bool = False) -> DataFrame:
     """For each ``name -> offset column`` add ``name`` = struct(line, ch). With
     ``utf16_units`` offsets and characters count UTF-16 units."""
-    d = with_pieces(df, text)
     if not utf16_units:
         for name, off in offsets.items():
-            d = d.withColumn(name, position_at(F.col(text), F.col("__pieces"), F.col(off)))
-        return d.drop("__pieces")
-    d = d.withColumn("__units", utf16(F.col(text)))
+            df = with_position(df, name, F.col(text), F.col(off))
+        return df
+    d = with_pieces(df, text, utf16_units).withColumn("__units", utf16(F.col(text)))
     for name, off in offsets.items():
         d = d.withColumn("__at", to_points(F.col("__units"), F.col(off)))
-        d = d.withColumn("__pos", position_at(F.col(text), F.col("__pieces"), F.col("__at")))
+        d = with_position(d, "__pos", F.col(text), F.col("__at"))
         ch = to_units(F.get("__pieces", F.col("__pos.line")), F.col("__pos.ch")).cast("int")
         d = d.withColumn(name, F.struct(F.col("__pos.line").alias("line"), ch.alias("ch")))
     return d.drop("__pieces", "__units", "__at", "__pos")
@@ -83,7 +79,7 @@ def positions_to_offsets(
 ) -> DataFrame:
     """For each ``name -> (line column, ch column)`` add the offset ``name``. With
     ``utf16_units`` characters and offsets count UTF-16 units."""
-    d = with_pieces(df, text)
+    d = with_pieces(df, text, utf16_units)
     for name, (line, ch) in positions.items():
         off = _offset(F.col(text), F.col("__pieces"), F.col(line), F.col(ch), utf16_units)
         d = d.withColumn(name, to_units(F.col(text), off) if utf16_units else off)

@@ -458,8 +458,8 @@ def q_diff_flags(spark, base):
 @query("coherent_replacement")
 def q_coherent_replacement(spark, base):
     r = df_.to_positions(
-        _replacements(spark, base), "text",
-        {"__ds": F.col("range_start") + F.col("coherent.del_start"), "__de": F.col("range_start") + F.col("coherent.del_end")},
+        df_.with_range(_replacements(spark, base)),
+        {"__ds": F.col("coherent.del_start"), "__de": F.col("coherent.del_end")},
     )
     return r.select(
         *KEY, F.col("coherent.is_coherent").alias("is_coherent"),
@@ -473,7 +473,7 @@ def q_coherent_replacement(spark, base):
 
 @query("pure_insertion")
 def q_pure_insertion(spark, base):
-    r = df_.to_positions(_replacements(spark, base), "text", {"__at": F.col("range_start") + F.col("pure.at")})
+    r = df_.to_positions(df_.with_range(_replacements(spark, base)), {"__at": F.col("pure.at")})
     return r.select(
         *KEY, F.col("pure.is_pure").alias("is_pure"),
         F.when(F.col("pure.is_pure"), F.col("__at.line")).cast("long").alias("line"),
@@ -484,8 +484,9 @@ def q_pure_insertion(spark, base):
 
 @query("deletion_ranges")
 def q_deletion_ranges(spark, base):
-    r = df_.deletion_offsets(_replacements(spark, base).select(*KEY, "text", "range_start", "segments"))
-    r = df_.to_positions(r, "text", {"__s": F.col("range_start") + F.col("del_start"), "__e": F.col("range_start") + F.col("del_end")})
+    # A row of a deleted run carries the replaced range alone, not the document.
+    r = df_.deletion_offsets(df_.with_range(_replacements(spark, base)).select(*KEY, "__base", "__range", "segments"))
+    r = df_.to_positions(r, {"__s": F.col("del_start"), "__e": F.col("del_end")})
     return r.select(*KEY, "idx", F.col("__s.line").cast("long").alias("start_line"), F.col("__s.ch").cast("long").alias("start_ch"),
                     F.col("__e.line").cast("long").alias("end_line"), F.col("__e.ch").cast("long").alias("end_ch"))
 

@@ -122,3 +122,39 @@ def test_apply_counts_units(spark, utf16_units, expected):
     r = rng(pos(F.lit(0), F.lit(1)), pos(F.lit(1), F.lit(2)))
     d = d.withColumn("action", make_action("editDelete", range_=r))
     assert ed.apply_action(d, utf16_units=True).first()["new_text"] == "ad"
+
+
+def test_positions_in_a_range_equal_those_in_the_text(spark):
+    """Every offset of every range, line ends of two characters cut by it included."""
+    from tabsight.operators import diffs as D
+
+    text = "ab\r\nc\rd\n\r\n\nef\r"
+    rows = [(text, a, text[a:b], o) for a in range(len(text) + 1) for b in range(a, len(text) + 1) for o in range(b - a + 1)]
+    d = spark.createDataFrame(rows, "text string, range_start int, old_text string, o int")
+    d = ed.offsets_to_positions(d.withColumn("whole", F.col("range_start") + F.col("o")), "text", {"want": "whole"})
+    got = D.to_positions(D.with_range(d), {"got": F.col("o")})
+    assert got.where(~F.col("got").eqNullSafe(F.col("want"))).count() == 0 and "text" in got.columns
+    # Against the text split into lines.
+    lines = ["ab\r\n", "c\r", "d\n", "\r\n", "\n", "ef\r", ""]
+    for r in got.where("range_start = 0").select("o", "got").distinct().collect():
+        line = max(i for i in range(len(lines)) if len("".join(lines[:i])) <= r["o"])
+        ch = min(r["o"] - len("".join(lines[:line])), len(lines[line].rstrip("\r\n")))
+        assert tuple(r["got"]) == (line, ch)
+
+
+def test_offsets_of_lines_with_and_without_carriage_returns(spark):
+    rows = [(t, line, ch) for t in ("ab\ncd\n\nef", "ab\r\ncd\r\ref", "", "\n", None) for line in (None, -1, 0, 1, 2, 3, 9) for ch in (None, -1, 0, 1, 2, 99)]
+    d = spark.createDataFrame(rows, "text string, line int, ch int")
+    from tabsight.functions.positions import line_pieces, offset_at
+
+    t = F.col("text")
+    got = ed.positions_to_offsets(d, "text", {"got": ("line", "ch")}).withColumn("want", offset_at(t, line_pieces(t), F.col("line"), F.col("ch")))
+    assert got.where(~F.col("got").eqNullSafe(F.col("want"))).collect() == []
+
+
+def test_collapsed_white_space(spark):
+    from tabsight.functions.jscompat import js_collapse_ws
+
+    cases = {"a b": "a b", "a  b": "a b", "  a\t b\n\n c ": "a b c", "a   b\tc": "a b c", "\t": "", "a\nb": "a b"}
+    d = spark.createDataFrame([(k,) for k in cases], "t string").select("t", js_collapse_ws("t").alias("c"))
+    assert {r["t"]: r["c"] for r in d.collect()} == cases
