@@ -54,7 +54,7 @@ def parts(text: Column, pattern: tuple[str, str], n: int) -> Column:
 
 def strip_think(cmd: Column) -> Column:
     """Remove every ``<think>...</think>`` block, trim; empty -> null."""
-    has_think = cmd.contains("<") & (F.instr(F.lower(cmd), "<think>") > 0)
+    has_think = cmd.contains("<") & cmd.rlike(r"(?i)<think>")
     return nonempty(js_trim(F.when(has_think, F.regexp_replace(cmd, THINK, "")).otherwise(cmd)))
 
 
