@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -38,7 +39,7 @@ _COMMON = re.compile(rf" ?[{_LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\t-\r {
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 FULL_SCHEMA = SCHEMA + ", ids array<int>"
 #: Pre-tokens whose encodings a worker remembers; the memory is emptied when full.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 
 
 class Vocabulary:
@@ -162,7 +163,7 @@ class Coder:
 _CODERS: dict[str, Coder] = {}
 
 
-def encode(docs: DataFrame, path: str, with_ids: bool = False, most: int = 1 << 22) -> DataFrame:
+def encode(docs: DataFrame, path: str, with_ids: bool = False, most: int = 1 << 20) -> DataFrame:
     """One row per document: token count, digests of the ids and of the text
     decoded from them, and with ``with_ids`` the ids. ``most``: characters of
     text that are worked on together. ``path``: the tokenizers JSON file, at
@@ -173,25 +174,28 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False, most: int = 1 <<
             _CODERS[path] = Coder(vocabulary(path))
         coder = _CODERS[path]
         for batch in batches:
-            doc_ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
+            doc_ids, column = batch.column("doc_id"), batch.column("text")
+            lengths = pc.fill_null(pc.utf8_length(column), 0).to_pylist()
             a = 0
-            while a < len(texts):
+            while a < len(lengths):
                 size, b = 0, a
-                while b < len(texts) and (b == a or size < most):
-                    size += len(texts[b] or "")
+                while b < len(lengths) and (b == a or size < most):
+                    size += lengths[b]
                     b += 1
                 n, sha, back, full = [], [], [], []
-                for ids in coder.encode([t or "" for t in texts[a:b]]):
+                # Only the texts worked on are Python strings; ids stay in arrays.
+                for ids in coder.encode([t or "" for t in column.slice(a, b - a).to_pylist()]):
                     listed = ids.tolist()
                     n.append(len(listed))
                     sha.append(hashlib.sha256(",".join([coder.decimal[i] for i in listed]).encode()).hexdigest())
                     back.append(hashlib.sha256(text_of(coder.token, listed).encode()).hexdigest())
                     if with_ids:
-                        full.append(listed)
+                        full.append(ids.astype(np.int32))
                 out = [doc_ids.slice(a, b - a), pa.array(n, pa.int64()), pa.array(sha), pa.array(back)]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    out.append(pa.array(full, pa.list_(pa.int32())))
+                    begin = np.cumsum([0, *n]).astype(np.int32)
+                    out.append(pa.ListArray.from_arrays(begin, np.concatenate(full)))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(out, names)
                 a = b
