@@ -385,3 +385,9 @@ def test_few_calls_for_a_user_of_few_rows():
     frames = list(processor.handleExpiredTimer((1,), _Now(1_000_000), None))
     assert pd.concat(frames)["shown_seq"].tolist() == [19, *sorted([*range(20, 60), 20])][:41]
     assert not processor.held and not processor.slices
+
+
+def test_stream_actions_parses_in_several_tasks(spark):
+    """One file is one split: its rows are dealt out before the parse."""
+    out = QUERIES["stream_actions"](spark, SF)
+    assert len(out.inputFiles()) > 1 or spark.sparkContext.defaultParallelism == 1
