@@ -59,7 +59,12 @@ def parse_responses(
 
 def confidence_gate(scored: DataFrame, min_avg_logprob: float = config.DEFAULT_MIN_AVG_LOGPROB) -> DataFrame:
     """Keep responses whose mean is not below the floor (equal and NaN pass)."""
-    return scored.where(F.col("avg_logprob").isNotNull() & ~R.below_floor(F.col("avg_logprob"), min_avg_logprob))
+    # Out of a generator: else the filter moves below the scores and parses the body again for
+    # each mention of the mean.
+    others = [c for c in scored.columns if c != "avg_logprob"]
+    means = scored.select(*others, F.inline(F.array(F.struct("avg_logprob"))))
+    kept = means.where(F.col("avg_logprob").isNotNull() & ~R.below_floor(F.col("avg_logprob"), min_avg_logprob))
+    return kept.select(*scored.columns)
 
 
 def avg_logprob_tokens(tokens: DataFrame, key: str = "request_id", value: str = "logprob") -> DataFrame:

@@ -41,10 +41,13 @@ def messages(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
-def completions(spark: SparkSession, base: str, lineitems: DataFrame | None = None) -> DataFrame:
-    """One model output per lineitem row, ten command shapes, three wrappings."""
+def completions(
+    spark: SparkSession, base: str, lineitems: DataFrame | None = None, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """One model output per lineitem row, ten command shapes, three wrappings. Columns
+    ``keep`` of ``lineitems`` stay beside it."""
     li = lineitems if lineitems is not None else table(spark, base, "lineitem")
-    li = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    li = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *keep)
     ok, ln = F.col("l_orderkey"), F.col("l_linenumber")
     shape = ((ok * 7 + ln) % 10).cast("long")
     active = doc_path(F.floor(ok / ORDERS_PER_DOC))
@@ -96,6 +99,7 @@ def completions(spark: SparkSession, base: str, lineitems: DataFrame | None = No
         (F.col("l_suppkey") % 7).cast("int").alias("last_line_len"),
         shape.alias("shape"),
         raw.alias("raw"),
+        *keep,
     )
 
 
@@ -191,17 +195,17 @@ def responses(spark: SparkSession, base: str, request_ids: DataFrame | None = No
         ).alias("toks"),
         F.min(F.struct("l_linenumber", "l_partkey", "l_suppkey")).alias("m"),
     )
-    first = completions(
-        spark, base, per_order.select(F.col("request_id").alias("l_orderkey"), "m.l_linenumber", "m.l_partkey", "m.l_suppkey")
-    ).select(F.col("l_orderkey").alias("request_id"), "raw", "active_path", "line_count", "last_line_len")
-    toks = per_order.select("request_id", "toks")
+    # Tokens and completion go on together, or each would aggregate and join the lines anew.
+    lines = per_order.select(F.col("request_id").alias("l_orderkey"), "m.l_linenumber", "m.l_partkey", "m.l_suppkey", "toks")
+    first = completions(spark, base, lines, keep=("toks",)).withColumnRenamed("l_orderkey", "request_id")
+    first = first.select("request_id", "raw", "active_path", "line_count", "last_line_len", "toks")
     orders = table(spark, base, "orders").select(
         F.col("o_orderkey").alias("request_id"),
         F.concat(F.lit("model-"), F.substring("o_orderpriority", 1, 1)).alias("model_name"),
     )
     if request_ids is not None:
         orders = orders.join(request_ids, "request_id", "left_semi")
-    d = orders.join(toks, "request_id", "left").join(first, "request_id", "left")
+    d = orders.join(first, "request_id", "left")
     lp = F.transform(
         F.coalesce(F.col("toks"), F.array().cast("array<struct<idx:long,logprob_centi:long>>")),
         lambda t: F.struct((t["logprob_centi"] / F.lit(100.0)).alias("logprob")),

@@ -1,5 +1,7 @@
 """Golden rows for command parsing (FIXTURES.md 2.2) and JavaScript text pins."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +108,29 @@ def test_groups_of_one_match(spark):
     df = spark.createDataFrame([(i, r, "/a.py", 10, 4) for i, (r, _) in enumerate(rows)], "i int, raw string, active_path string, line_count int, last_line_len int")
     out = cm.with_action(df).select("i", *cm.action_columns(F.col("action"))).orderBy("i").collect()
     assert [tuple(r)[1:] for r in out] == [w for _, w in rows]
+
+
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_gate_parses_a_body_once(spark):
+    from tabsight.operators import responses as rsp
+
+    def body(*logprobs):
+        return json.dumps({"choices": [{"message": {"content": "t"}, "logprobs": {"content": [{"logprob": x} for x in logprobs]}}]})
+
+    bodies = [("low", body(-3.0, -1.0)), ("equal", body(-1.0)), ("none", body()), ("bad", "no json"), (None, None), ("ok", body(-0.5, 0.0))]
+    rows = spark.createDataFrame(bodies, "id string, body string")
+    gated = rsp.confidence_gate(rsp.with_scores(rows))
+    assert _optimized(gated.select("id", "avg_logprob")).count("parseJson") == 1
+    assert gated.columns == rsp.with_scores(rows).columns
+    got = {r["id"]: r["avg_logprob"] for r in gated.collect()}
+    assert set(got) == {"equal", "none", "ok"} and got["ok"] == -0.25
+
+
+def test_responses_aggregate_the_lines_once(spark):
+    from tabsight.sources import fixtures as fx
+
+    plan = _optimized(fx.responses(spark, "/root/testdata/sf0.001"))
+    assert plan.count("Aggregate [") == 1 and plan.count("Join ") == 1
