@@ -24,7 +24,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,62 +34,69 @@ from ..session import materialize
 from .scan import event_slice, ordered_scan
 
 SLICE, FAN = 1024, 16
-_LENGTHS = "file string, node long, starts array<long>, vals array<long>, slopes array<long>"
-_DELTAS = "file string, node long, runs array<long>, texts array<string>"
+_LONGS = T.ArrayType(T.LongType())
+_LENGTHS = T.StructType([T.StructField(c, _LONGS) for c in ("starts", "vals", "slopes")])
+_DELTAS = T.StructType([T.StructField("runs", _LONGS), T.StructField("texts", T.ArrayType(T.StringType()))])
 
 
-def _lists(frame: pd.DataFrame, *columns: str) -> list[tuple[list, ...]]:
-    return [tuple(list(v) for v in row) for row in frame[list(columns)].itertuples(index=False)]
+# Most groups are a handful of edits, so a group is a row of arrays, and rows go to Python a
+# hundred at a time (no Arrow batch of ten thousand slices): a call costs far less than a
+# data frame per group.
 
 
-def _one(file: str, node: int, names: list[str], value: tuple[list, ...]) -> pd.DataFrame:
-    return pd.DataFrame({"file": [file], "node": [node], **{n: [v] for n, v in zip(names, value)}})
+@F.udf(_LENGTHS, useArrow=False)
+def _slice_lengths(offsets: list, lengths: list, added: list) -> dl.Lengths:
+    return dl.together([dl.edit_lengths(*e) for e in zip(offsets, lengths, added)], dl.compose_lengths)
 
 
-def _slice_lengths(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("n")
-    all_edits = [dl.edit_lengths(int(o), int(m), int(a)) for o, m, a in zip(rows["offset"], rows["length"], rows["added"])]
-    return _one(key[0], key[1], ["starts", "vals", "slopes"], dl.together(all_edits, dl.compose_lengths))
+@F.udf(_LENGTHS, useArrow=False)
+def _node_lengths(starts: list, vals: list, slopes: list) -> dl.Lengths:
+    return dl.together(list(zip(starts, vals, slopes)), dl.compose_lengths)
 
 
-def _node_lengths(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    parts = _lists(rows.sort_values("node"), "starts", "vals", "slopes")
-    return _one(key[0], key[1], ["starts", "vals", "slopes"], dl.together(parts, dl.compose_lengths))
-
-
-def _handed_down(rows: pd.DataFrame) -> pd.DataFrame:
+@F.udf(_LONGS, useArrow=False)
+def _handed_down(before: int, starts: list, vals: list, slopes: list) -> list[int]:
     """The length before each node, from that before their parent."""
-    rows = rows.sort_values("node")
-    at, out = int(rows["before"].iloc[0]), []
-    for part in _lists(rows, "starts", "vals", "slopes"):
-        out.append(at)
-        at = dl.length_after(part, at)
-    return rows[["file", "node"]].assign(before=out)
-
-
-def _slice_deltas(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("n")
-    at, parts = int(rows["before"].iloc[0]), []
-    for o, m, text in zip(rows["offset"], rows["length"], rows["text"]):
-        o = min(int(o), at)
-        m = min(int(m), at - o)
+    out = []
+    for part in zip(starts, vals, slopes):
+        out.append(before)
+        before = dl.length_after(part, before)
+    return out
+
+
+@F.udf(_DELTAS, useArrow=False)
+def _slice_deltas(before: int, offsets: list, lengths: list, texts: list) -> dl.Delta:
+    parts = []
+    for o, m, text in zip(offsets, lengths, texts):
+        o = min(o, before)
+        m = min(m, before - o)
         parts.append(dl.edit_delta(o, m, text))
-        at += len(text) - m
-    return _one(key[0], key[1], ["runs", "texts"], dl.together(parts, dl.compose))
+        before += len(text) - m
+    return dl.together(parts, dl.compose)
+
+
+@F.udf(_DELTAS, useArrow=False)
+def _node_deltas(runs: list, texts: list) -> dl.Delta:
+    return dl.together(list(zip(runs, texts)), dl.compose)
+
 
+def _in_order(rows: DataFrame, keys: list[str], place: str, columns: tuple[str, ...], *aggs: Column) -> DataFrame:
+    """One row per ``keys`` with ``place`` and the ``columns`` of its rows as arrays in
+    ``place``'s order, and ``aggs``."""
+    own = F.sort_array(F.collect_list(F.struct(place, *columns))).alias("__own")
+    grouped = rows.groupBy(*keys).agg(own, *aggs)
+    return grouped.withColumns({c: F.col("__own")[c] for c in (place, *columns)}).drop("__own")
 
-def _node_deltas(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    return _one(key[0], key[1], ["runs", "texts"], dl.together(_lists(rows.sort_values("node"), "runs", "texts"), dl.compose))
 
+def _valued(groups: DataFrame, value: Column, *keys: Column | str) -> DataFrame:
+    """``keys`` and the fields of the struct ``value``, which is computed once."""
+    return groups.select(*keys, value.alias("__value")).select("file", "node", "__value.*")
 
-def _climb(leaves: DataFrame, join: Callable, schema: str, most: int, fan: int) -> list[DataFrame]:
-    """``leaves`` and the tables of nodes above them, one row per file in the last."""
-    levels = [materialize(leaves, "replay")]
-    while most > 0:
-        above = levels[-1].groupBy("file", F.expr(f"node div {fan}").alias("node")).applyInPandas(join, schema)
-        levels.append(materialize(above, "replay"))
-        most //= fan
-    return levels
+
+def _above(nodes: DataFrame, join: Callable[..., Column], columns: tuple[str, ...], fan: int) -> DataFrame:
+    """The nodes above ``nodes``: ``join`` of the ``columns`` of up to ``fan`` neighbours."""
+    groups = _in_order(nodes.withColumn("parent", F.expr(f"node div {fan}")), ["file", "parent"], "node", columns)
+    return _valued(groups, join(*columns), "file", F.col("parent").alias("node"))
 
 
 @F.pandas_udf(T.StringType())
@@ -106,17 +113,26 @@ def replay_edits(edits: DataFrame, bases: DataFrame, slice_edits: int = SLICE, f
     numbered = materialize(numbered.select("file", "n", "offset", "length", "text", F.expr(f"(n - 1) div {slice_edits}").alias("node")), "edits")
     most = numbered.agg(F.max("node")).first()[0] or 0
 
-    narrow = numbered.select("file", "node", "n", "offset", "length", F.length("text").alias("added"))
-    levels = _climb(narrow.groupBy("file", "node").applyInPandas(_slice_lengths, _LENGTHS), _node_lengths, _LENGTHS, most, fan)
-    files = levels[-1].select("file")
-    texts = files.join(bases.select("file", "text"), "file", "left").withColumn("text", F.coalesce("text", F.lit("")))
+    own = ("offset", "length", "added")
+    slices = _in_order(numbered.withColumn("added", F.length("text")), ["file", "node"], "n", own)
+    nodes, levels, left = _valued(slices, _slice_lengths(*own), "file", "node"), [], most
+    while left > 0:  # the topmost level's functions are not needed
+        levels.append(materialize(nodes, "replay"))
+        nodes, left = _above(levels[-1], _node_lengths, ("starts", "vals", "slopes"), fan), left // fan
+    counts = numbered.groupBy("file").agg(F.max("n").alias("n_edits"))
+    texts = counts.join(bases.select("file", "text"), "file", "left").withColumn("text", F.coalesce("text", F.lit("")))
     down = texts.select("file", F.lit(0).cast("long").alias("node"), F.length("text").cast("long").alias("before"))
-    for below in reversed(levels[:-1]):
+    at = F.min("before").alias("before")
+    for below in reversed(levels):
         here = below.withColumn("parent", F.expr(f"node div {fan}")).join(down.withColumnRenamed("node", "parent"), ["file", "parent"])
-        down = here.groupBy("file", "parent").applyInPandas(_handed_down, "file string, node long, before long")
-
-    clamped = numbered.join(down, ["file", "node"]).groupBy("file", "node").applyInPandas(_slice_deltas, _DELTAS)
-    whole = _climb(clamped, _node_deltas, _DELTAS, most, fan)[-1]
-    counts = numbered.groupBy("file").agg(F.max("n").alias("n_edits"))
-    out = whole.join(counts, "file").join(texts, "file")
+        here = _in_order(here, ["file", "parent"], "node", ("starts", "vals", "slopes"), at)
+        here = here.select("file", "node", _handed_down("before", "starts", "vals", "slopes").alias("before"))
+        down = here.select("file", F.inline(F.arrays_zip("node", "before")))
+
+    own = ("offset", "length", "text")
+    slices = _in_order(numbered.join(down, ["file", "node"]), ["file", "node"], "n", own, at)
+    whole, left = _valued(slices, _slice_deltas("before", *own), "file", "node"), most
+    while left > 0:
+        whole, left = _above(materialize(whole, "replay"), _node_deltas, ("runs", "texts"), fan), left // fan
+    out = whole.drop("node").join(texts, "file")
     return out.select("file", "n_edits", _applied("text", "runs", "texts").alias("text"))

@@ -71,3 +71,22 @@ def test_replay(spark, slice_edits, fan, slice_ms):
 def test_replay_of_nothing(spark):
     edits = spark.createDataFrame([], "file string, ts long, seq long, change_idx long, offset int, length int, text string")
     assert replay_edits(edits, spark.createDataFrame([("a", "x")], "file string, text string")).collect() == []
+
+
+def test_no_data_frame_per_file(spark, monkeypatch):
+    """A call of Python per group makes many small files slow, whatever their edits."""
+    from pyspark.sql import GroupedData
+
+    def refuse(*args, **kwargs):
+        raise AssertionError("a data frame per group")
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", refuse)
+    rows = [(f"f{i % 300}", i, i, 0, i % 4, 1, str(i % 10)) for i in range(900)]
+    edits = spark.createDataFrame(rows, "file string, ts long, seq long, change_idx long, offset int, length int, text string")
+    base = spark.createDataFrame([(f"f{i}", "text") for i in range(200)], "file string, text string")
+    for slice_edits, fan in ((1024, 16), (2, 2)):
+        got = {r["file"]: (r["n_edits"], r["text"]) for r in replay_edits(edits, base, slice_edits, fan).collect()}
+        assert len(got) == 300
+        for i in range(300):
+            text = plain("text" if i < 200 else "", [(r[4], r[5], r[6]) for r in rows if r[0] == f"f{i}"])
+            assert got[f"f{i}"] == (3, text)
