@@ -8,6 +8,9 @@ discriminator; branches that do not apply are null and are merged with
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -187,6 +190,18 @@ def with_sed_form(df: DataFrame, cmd: str = "command", active_path: str = "activ
     )
 
 
+#: What the text of every command of a form holds as it stands.
+FORM_MARKS = {"delete": "d'", "replace": "c\\\n", "insert": "i\\\n", "append": "$a\\\n"}
+
+
+def may_hold_form(raw: Column, forms: tuple[str, ...]) -> Column:
+    """A cheap look at a model output: where it is false or null, :func:`with_sed_form`
+    finds none of the ``forms``. A command is a stretch of the output, unless a think
+    block is cut out of it, so outputs with one always pass."""
+    marks = [raw.contains(FORM_MARKS[f]) for f in forms]
+    return reduce(or_, marks) | (raw.contains("<") & raw.rlike(r"(?i)<think>"))
+
+
 def with_action(
     df: DataFrame,
     raw: str = "raw",

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.commands import with_action, with_command, with_sed_form
+from ..functions.commands import may_hold_form, with_action, with_command, with_sed_form
 from ..functions.jscompat import last_line_len, line_count
 
 
@@ -52,7 +52,11 @@ def edits_on_documents(completions: DataFrame, documents: DataFrame, forms: tupl
     join, which is the only one: the documents are read once and give text and line
     statistics together. Columns of ``completions`` named like these are replaced."""
     keep = [c for c in completions.columns if c not in ("line_count", "last_line_len", "text", "path")]
-    formed = with_sed_form(with_command(completions.select(*keep), out="__command"), "__command")
+    # Most outputs hold no such edit at a glance. Out of a generator, or the text is made again
+    # for the look.
+    others = [c for c in keep if c != "raw"]
+    looked = completions.select(*others, F.inline(F.array(F.struct("raw")))).where(may_hold_form(F.col("raw"), forms))
+    formed = with_sed_form(with_command(looked.select(*keep), out="__command"), "__command")
     # Out of a generator, so that the filter stays above the chain (see ``with_action``).
     formed = formed.select(*keep, F.inline(F.array(F.struct(F.col("sed_form").alias("__form")))))
     edits = formed.where(F.col("__form").isin(*forms)).drop("__form")

@@ -158,3 +158,22 @@ def test_collapsed_white_space(spark):
     cases = {"a b": "a b", "a  b": "a b", "  a\t b\n\n c ": "a b c", "a   b\tc": "a b c", "\t": "", "a\nb": "a b"}
     d = spark.createDataFrame([(k,) for k in cases], "t string").select("t", js_collapse_ws("t").alias("c"))
     assert {r["t"]: r["c"] for r in d.collect()} == cases
+
+
+def test_only_texts_that_may_hold_a_form_are_parsed(spark):
+    """What the cheap look leaves out is never an edit of the form; a think block in the
+    midst of a command is cut out first."""
+    from tabsight.functions import commands as cm
+
+    scripts = {"delete": "1,2d", "replace": "1,2c\\\nx", "insert": "3i\\\nx", "append": "$a\\\nx"}
+    raws = [f"sed -i '{s}' /a.py" for s in scripts.values()]
+    raws += [f"Plan.\n{cm.BT}bash\n{r}\n{cm.BT}" for r in raws[:4]]
+    raws += [r[:k] + "<Think>no\n</THINK>" + r[k:] for r in raws[:4] for k in range(len(r) + 1)]
+    raws += ["cat -n /a.py", "sed -i '1,2c x' /a.py", "", None]
+    df = spark.createDataFrame([(i, r, "/a.py") for i, r in enumerate(raws)], "i int, raw string, active_path string")
+    parsed = cm.with_sed_form(cm.with_command(df))
+    for form in scripts:
+        held = parsed.withColumn("may", cm.may_hold_form(F.col("raw"), (form,))).where(F.col("sed_form") == form)
+        assert held.count() > 2 and held.where(~F.col("may")).count() == 0
+    left = df.where(cm.may_hold_form(F.col("raw"), ("replace",))).select("raw").collect()
+    assert not {r["raw"] for r in left} & {raws[0], raws[2], raws[3], *raws[-4:]}
