@@ -54,6 +54,10 @@ def samples_from_outcomes(outcomes: DataFrame, shown: DataFrame, contexts: DataF
     info = shown.select(
         F.col("seq").alias("shown_seq"), "raw", "action", "avg_logprob", "model_name", "conv_id"
     )
+    if outcomes.isStreaming:
+        # A micro-batch without new rows looks empty to the planner, though timers release
+        # rows in it: all outcomes would be broadcast, in the broadcast's time.
+        info = info.hint("merge")
     s = outcomes.join(info, "shown_seq")
     if contexts is not None:
         s = s.join(contexts, "conv_id", "left")

@@ -716,7 +716,7 @@ def q_stream_preference_log(spark, base):
     marker = EndMarker(fx.event_stream(spark, base))
     ev = fx.decisions_from(marker.stream)
     # A view counts as shown only if its response parsed ok (stream-static join).
-    ok = shown.select("seq", F.lit(True).alias("ok"))
+    ok = shown.select("seq", F.lit(True).alias("ok")).hint("merge")  # it grows with the events
     kind = F.when((F.col("kind") != "shown") | F.col("ok"), F.col("kind"))
     outcomes = stream_outcomes(ev.join(ok, "seq", "left").withColumn("kind", kind))
     samples = pref.samples_from_outcomes(split_late(outcomes, Outcomes(), "user_id")[0], shown, contexts)

@@ -391,3 +391,36 @@ def test_stream_actions_parses_in_several_tasks(spark):
     """One file is one split: its rows are dealt out before the parse."""
     out = QUERIES["stream_actions"](spark, SF)
     assert len(out.inputFiles()) > 1 or spark.sparkContext.defaultParallelism == 1
+
+
+def test_outcomes_of_a_long_release_are_not_broadcast(spark):
+    """Timers release rows in a micro-batch without input, which looks empty to the planner:
+    a release longer than the broadcast's time must not fail the query."""
+    from tabsight.streaming.ordered import in_order
+
+    class Slow(Outcomes):
+        def load(self):
+            import time
+
+            time.sleep(4)
+            Outcomes.load(self)
+
+    tmp = tempfile.mkdtemp(prefix="tabsight-test-")
+    day, rows = 86_400_000, []
+    for user in (1, 2):
+        rows += [(user, 1000, user * 10, "shown"), (user, 2000, user * 10 + 1, "accept"), (user, 9 * day, user * 10 + 2, "reject")]
+    schema = "user_id long, ts long, seq long, kind string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp}/events")
+    shown = [(10, "a", "x", -0.5, "m", 1), (20, "b", "y", -0.5, "m", 2)]
+    names = "seq long, raw string, action string, avg_logprob double, model_name string, conv_id long"
+    spark.createDataFrame(shown, names).write.parquet(f"{tmp}/shown")
+    before = spark.conf.get("spark.sql.broadcastTimeout")
+    spark.conf.set("spark.sql.broadcastTimeout", "1")
+    try:
+        stream = spark.readStream.schema(schema).parquet(f"{tmp}/events")
+        outcomes = split_late(in_order(stream, Slow(), "user_id", "bigint", day), Outcomes(), "user_id")[0]
+        samples = P.samples_from_outcomes(outcomes, spark.read.parquet(f"{tmp}/shown"))
+        got = run_available(spark, samples, "slow_release").select("sample_id", "outcome", "completion.rawModelOutput").collect()
+    finally:
+        spark.conf.set("spark.sql.broadcastTimeout", before)
+    assert sorted(map(tuple, got)) == [(10, "accepted", "a"), (20, "accepted", "b")]
