@@ -171,9 +171,10 @@ def test_only_texts_that_may_hold_a_form_are_parsed(spark):
     raws += [r[:k] + "<Think>no\n</THINK>" + r[k:] for r in raws[:4] for k in range(len(r) + 1)]
     raws += ["cat -n /a.py", "sed -i '1,2c x' /a.py", "", None]
     df = spark.createDataFrame([(i, r, "/a.py") for i, r in enumerate(raws)], "i int, raw string, active_path string")
-    parsed = cm.with_sed_form(cm.with_command(df))
+    looks = [cm.may_hold_form(F.col("raw"), (form,)).alias(f"may_{form}") for form in scripts]
+    parsed = cm.with_sed_form(cm.with_command(df)).select("raw", "sed_form", *looks).collect()
     for form in scripts:
-        held = parsed.withColumn("may", cm.may_hold_form(F.col("raw"), (form,))).where(F.col("sed_form") == form)
-        assert held.count() > 2 and held.where(~F.col("may")).count() == 0
-    left = df.where(cm.may_hold_form(F.col("raw"), ("replace",))).select("raw").collect()
-    assert not {r["raw"] for r in left} & {raws[0], raws[2], raws[3], *raws[-4:]}
+        held = [r[f"may_{form}"] for r in parsed if r["sed_form"] == form]
+        assert len(held) > 2 and all(held)
+    left = {r["raw"] for r in parsed if r["may_replace"]}
+    assert not left & {raws[0], raws[2], raws[3], *raws[-4:]}
