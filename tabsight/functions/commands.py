@@ -190,6 +190,48 @@ def with_sed_form(df: DataFrame, cmd: str = "command", active_path: str = "activ
     )
 
 
+EDIT_FORMS = ("delete", "replace", "insert", "append")
+
+
+def with_edit_parts(df: DataFrame) -> DataFrame:
+    """Add ``__p_a1``, ``__p_a2`` and ``__p_payload``, the line numbers and the text of a
+    sed edit, to the pieces of :func:`with_sed_form`."""
+    script, form = F.col(f"{_P}script"), F.col("sed_form")
+    line1 = F.when(form == "delete", F.get(script, 0)).when(form == "replace", F.get(script, 2)).when(form == "insert", F.get(script, 4))
+    line2 = F.when(form == "delete", F.get(script, 1)).when(form == "replace", F.get(script, 3))
+    return (
+        df.withColumn(f"{_P}a1", try_int(line1))
+        .withColumn(f"{_P}a2", try_int(line2))
+        .withColumn(f"{_P}payload", unescape_payload(F.when(form != "delete", F.get(script, 5))))
+    )
+
+
+def edit_action(
+    form: Column,
+    line1: Column,
+    line2: Column,
+    payload: Column,
+    line_count: Column,
+    last_line_len: Column,
+    forms: tuple[str, ...] = EDIT_FORMS,
+) -> Column:
+    """The edit that a sed command of one of the ``forms`` makes, from its form and parts
+    and the document's line statistics; null where there is none or a line number does not
+    fit an int."""
+    start = pos(F.greatest(F.lit(0), line1 - 1), F.lit(0))
+    end = _end_position(line2, line_count, last_line_len)
+    both = line1.isNotNull() & line2.isNotNull()
+    text = _with_text(payload)
+    appended = F.when(line_count > 0, F.concat(F.lit("\n"), text)).otherwise(text)
+    edits = {
+        "delete": (both, make_action("editDelete", range_=rng(start, end))),
+        "replace": (both, make_action("editReplace", range_=rng(start, end), text=text)),
+        "insert": (line1.isNotNull(), make_action("editInsert", position=start, text=text)),
+        "append": (F.lit(True), make_action("editInsert", position=pos(line_count, F.lit(0)), text=appended)),
+    }
+    return F.coalesce(*[F.when((form == f) & edits[f][0], edits[f][1]) for f in forms])
+
+
 #: What the text of every command of a form holds as it stands.
 FORM_MARKS = {"delete": "d'", "replace": "c\\\n", "insert": "i\\\n", "append": "$a\\\n"}
 
@@ -220,17 +262,13 @@ def with_action(
     """
     cmd_col = "command" if keep_command else f"{_P}command"
     d = with_sed_form(with_command(df, raw, cmd_col), cmd_col, active_path)
-    script, form, main = F.col(f"{_P}script"), F.col("sed_form"), F.col(f"{_P}main")
+    form, main = F.col("sed_form"), F.col(f"{_P}main")
     lc, lll, path = F.col(line_count), F.col(last_line_len), F.col(active_path)
     has_doc = path.isNotNull() & (F.length(main) > 0)
 
-    line1 = F.when(form == "delete", F.get(script, 0)).when(form == "replace", F.get(script, 2)).when(form == "insert", F.get(script, 4))
-    line2 = F.when(form == "delete", F.get(script, 1)).when(form == "replace", F.get(script, 3))
     cat_parts = F.col(f"{_P}cat_parts")
     d = (
-        d.withColumn(f"{_P}a1", try_int(line1))
-        .withColumn(f"{_P}a2", try_int(line2))
-        .withColumn(f"{_P}payload", unescape_payload(F.when(form != "delete", F.get(script, 5))))
+        with_edit_parts(d)
         .withColumn(f"{_P}cat_parts", F.when(has_doc & main.startswith("cat"), parts(main, CAT_PARTS, 3)))
         .withColumn(f"{_P}sliced", F.get(cat_parts, 1) != "")
     )
@@ -243,26 +281,7 @@ def with_action(
     )
     cat, vfile, vs, ve = (F.col(f"{_P}{n}") for n in ("cat", "vfile", "vs", "ve"))
 
-    start = pos(F.greatest(F.lit(0), a1 - 1), F.lit(0))
-    edit = (
-        F.when(
-            (form == "delete") & a1.isNotNull() & a2.isNotNull(),
-            make_action("editDelete", range_=rng(start, _end_position(a2, lc, lll))),
-        )
-        .when(
-            (form == "replace") & a1.isNotNull() & a2.isNotNull(),
-            make_action("editReplace", range_=rng(start, _end_position(a2, lc, lll)), text=_with_text(payload)),
-        )
-        .when((form == "insert") & a1.isNotNull(), make_action("editInsert", position=start, text=_with_text(payload)))
-        .when(
-            form == "append",
-            make_action(
-                "editInsert",
-                position=pos(lc, F.lit(0)),
-                text=F.when(lc > 0, F.concat(F.lit("\n"), _with_text(payload))).otherwise(_with_text(payload)),
-            ),
-        )
-    )
+    edit = edit_action(form, a1, a2, payload, lc, lll)
     center0 = F.greatest(F.lit(0), F.floor((vs + ve) / 2) - 1)
     view = F.when(
         cat.isNotNull(),
@@ -307,6 +326,43 @@ def with_action(
     return d.select(*keep, F.inline(F.array(parsed)))
 
 
+def with_edit(df: DataFrame, out: str, raw: str = "raw", active_path: str = "active_path") -> DataFrame:
+    """Add ``out``: what the output alone says of a sed edit, the part of :func:`with_action`
+    that needs no document. Its ``form`` is null where the route is another."""
+    cmd = F.col(f"{_P}command")
+    d = with_edit_parts(with_sed_form(with_command(df, raw, f"{_P}command"), f"{_P}command", active_path))
+    form, line1, line2 = F.col("sed_form"), F.col(f"{_P}a1"), F.col(f"{_P}a2")
+    edit = F.struct(
+        F.when(line1.isNotNull() | (form == "append"), form).alias("form"),
+        line1.alias("line1"),
+        line2.alias("line2"),
+        F.col(f"{_P}payload").alias("payload"),
+        # Of a range whose end fits no int: such a command goes to the terminal as it is.
+        F.when(form.isin("delete", "replace") & line2.isNull(), cmd).alias("command"),
+    )
+    keep = [c for c in df.columns if c != out]
+    return d.select(*keep, F.inline(F.array(F.struct(edit.alias(out)))))
+
+
+def with_edit_action(
+    df: DataFrame,
+    edit: str,
+    forms: tuple[str, ...],
+    line_count: str = "line_count",
+    last_line_len: str = "last_line_len",
+) -> DataFrame:
+    """The ``action``, ``route`` and ``sed_form`` of :func:`with_action` in place of the
+    column ``edit`` of :func:`with_edit`, whose form is one of the ``forms`` here. No edit
+    is a view: a view command does not end in a quoted script and a target."""
+    e = F.col(edit)
+    action = edit_action(e["form"], e["line1"], e["line2"], e["payload"], F.col(line_count), F.col(last_line_len), forms)
+    if {"delete", "replace"} & set(forms):
+        action = F.coalesce(action, make_action("terminalSendText", text=sanitize_command(e["command"])))
+    keep = [c for c in df.columns if c not in (edit, "action", "route", "sed_form")]
+    parsed = F.struct(action.alias("action"), F.lit("edit").alias("route"), e["form"].alias("sed_form"))
+    return df.select(*keep, F.inline(F.array(parsed)))
+
+
 def action_columns(a: Column, prefix: str = "") -> list[Column]:
     """Flatten an action into scalar columns (for reports and oracles)."""
     sel0 = F.get(a["selections"], 0)

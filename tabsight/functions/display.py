@@ -32,9 +32,18 @@ def path_basename(p: Column) -> Column:
     return F.when(F.length(last) > 0, last).otherwise(p)
 
 
-def significant_diff(old: Column, new: Column) -> Column:
-    """False when equal, or equal after collapsing whitespace and trimming."""
-    return (old != new) & (js_collapse_ws(old) != js_collapse_ws(new))
+def significant_diff(old: Column, new: Column, changed: Column | None = None) -> Column:
+    """False when equal, or equal after collapsing whitespace and trimming.
+
+    ``changed``: ``struct(old, new)``, the only stretch where the texts differ with the
+    character on either side. Collapsed, the stretches differ exactly when the texts do:
+    a run of whitespace that reaches over an edge is seen by that character, and what
+    lies beyond is the same in both. The whole texts are collapsed where it is null."""
+    if changed is None:
+        before, after = old, new
+    else:
+        before, after = F.coalesce(changed["old"], old), F.coalesce(changed["new"], new)
+    return (old != new) & (js_collapse_ws(before) != js_collapse_ws(after))
 
 
 def _line1(c: Column) -> Column:

@@ -55,13 +55,22 @@ def lines(c: Column | str) -> Column:
     return F.split(col(c), EOL, -1)
 
 
+def _odd(text: Column) -> Column:
+    """Lines may end at ``\\r``: only then is a text split to count or measure them."""
+    return text.contains("\r") | text.isNull()
+
+
 def line_count(c: Column | str) -> Column:
     """Editor line count: an empty text still has one line."""
-    return F.size(lines(c))
+    text = col(c)
+    breaks = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    return F.when(_odd(text), F.size(lines(text))).otherwise(breaks + 1)
 
 
 def last_line_len(c: Column | str) -> Column:
-    return F.length(F.element_at(lines(c), -1))
+    text = col(c)
+    last = F.substring_index(text, "\n", -1)
+    return F.length(F.when(_odd(text), F.element_at(lines(text), -1)).otherwise(last))
 
 
 def literal_replace(c: Column, search: str, replacement: str) -> Column:

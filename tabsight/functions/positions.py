@@ -35,30 +35,53 @@ def odd_pieces(text: Column) -> Column:
     return F.when(text.contains("\r"), line_pieces(text))
 
 
-def _line_start(text: Column, line: Column) -> Column:
-    """Offset of a line of a text whose lines end at ``\\n`` alone."""
-    return F.when(line > 0, F.length(F.call_function("substring_index", text, F.lit("\n"), line)) + 1).otherwise(F.lit(0))
+def _line_start(text: Column, line: Column, size=F.length) -> Column:
+    """Offset of a line of a text whose lines end at ``\\n`` alone; of one past the end, the
+    text's ``size``."""
+    # More lines than that no text has, and a count must fit an int.
+    n = F.least(line, size(text) + 1).cast("int")
+    before = size(F.call_function("substring_index", text, F.lit("\n"), n))
+    return F.when(line > 0, F.least(before + 1, size(text))).otherwise(F.lit(0))
 
 
 def offset_at(text: Column, pieces: Column, line: Column, ch: Column) -> Column:
     """Offset of a position (editor ``offsetAt``). ``pieces``: the text's
     :func:`line_pieces`, or its :func:`odd_pieces`."""
     wanted = F.greatest(ch, F.lit(0))
-    # Where the lines end at \n alone.
-    breaks = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-    start = _line_start(text, F.least(line, breaks).cast("int"))
+    # Where the lines end at \n alone. Most positions are at a line's start.
+    start = _line_start(text, line)
     content = F.length(F.call_function("substring_index", F.substr(text, start + 1), F.lit("\n"), F.lit(1)))
-    plain = (
-        F.when(line > breaks, F.length(text))
-        .when(line.isNotNull(), start + F.least(wanted, content))
-        .when(text.isNotNull(), wanted)
-    )
+    inside = F.when(wanted > 0, F.least(wanted, content)).otherwise(F.lit(0))
+    plain = F.when(line.isNotNull(), start + inside).when(text.isNotNull(), wanted)
     # Joined, not summed, so that it is one pass over the text.
     before = F.length(F.array_join(F.slice(pieces, F.lit(1), F.greatest(line, F.lit(0)).cast("int")), ""))
     odd = F.when(line >= F.size(pieces), F.length(text)).otherwise(before + F.least(wanted, _content_len(F.get(pieces, line.cast("int")))))
     return F.when(line < 0, F.lit(0)).when(pieces.isNull(), plain).otherwise(odd).cast("long")
 
 
+def feeds(text: Column) -> Column:
+    """The text, byte for byte as long, with every line ending at ``\\n`` alone: what
+    :func:`bytes_at` needs. Make that a column of its own."""
+    ends = F.replace(F.replace(text, F.lit("\r\n"), F.lit(" \n")), F.lit("\r"), F.lit("\n"))
+    return F.when(text.contains("\r"), ends).otherwise(text)
+
+
+def bytes_at(text: Column, fed: Column, line: Column, ch: Column) -> Column:
+    """:func:`offset_at` in bytes of the text, ``fed`` being its :func:`feeds`: the place of
+    a line's start is found without counting the characters before it."""
+    wanted = F.greatest(ch, F.lit(0))
+    start = _line_start(fed, line, F.octet_length)
+    rest = F.substr(text.cast("binary"), start + 1).cast("string")
+    for end in ("\n", "\r"):
+        rest = F.call_function("substring_index", rest, F.lit(end), F.lit(1))
+    inside = F.when(wanted > 0, F.octet_length(F.left(rest, wanted))).otherwise(F.lit(0))
+    return (
+        F.when(line < 0, F.lit(0))
+        .when(line.isNotNull(), start + inside)
+        .when(text.isNotNull(), F.octet_length(F.left(text, wanted)))
+    )
+
+
 def text_before(text: Column, offset: Column) -> Column:
     """The text before an offset (clamped to it) with ``\\n`` as the only line end: what
     :func:`position_of` needs. An offset inside ``\\r\\n`` goes to its start."""

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.commands import may_hold_form, with_action, with_command, with_sed_form
+from ..functions.commands import may_hold_form, with_action, with_edit, with_edit_action
 from ..functions.jscompat import last_line_len, line_count
 
 
@@ -48,25 +48,24 @@ def edits_on_documents(completions: DataFrame, documents: DataFrame, forms: tupl
     """Completions that are a sed edit of one of the ``forms`` (delete, replace,
     insert, append) on their active document, with its ``text`` and the ``action``.
 
-    The form depends on the completion alone, so other completions go before the
-    join, which is the only one: the documents are read once and give text and line
-    statistics together. Columns of ``completions`` named like these are replaced."""
+    The form and the parts of the edit depend on the completion alone, so each is parsed
+    once, before the join, and other completions go there. The join is the only one: the
+    documents are read once and give text and line statistics together. Columns of
+    ``completions`` named like these are replaced."""
     keep = [c for c in completions.columns if c not in ("line_count", "last_line_len", "text", "path")]
     # Most outputs hold no such edit at a glance. Out of a generator, or the text is made again
     # for the look.
     others = [c for c in keep if c != "raw"]
     looked = completions.select(*others, F.inline(F.array(F.struct("raw")))).where(may_hold_form(F.col("raw"), forms))
-    formed = with_sed_form(with_command(looked.select(*keep), out="__command"), "__command")
     # Out of a generator, so that the filter stays above the chain (see ``with_action``).
-    formed = formed.select(*keep, F.inline(F.array(F.struct(F.col("sed_form").alias("__form")))))
-    edits = formed.where(F.col("__form").isin(*forms)).drop("__form")
+    edits = with_edit(looked.select(*keep), "__edit").where(F.col("__edit.form").isin(*forms))
     docs = documents.select(
         "path", "text",
         line_count(F.col("text")).cast("int").alias("line_count"),
         last_line_len(F.col("text")).cast("int").alias("last_line_len"),
     )
     joined = edits.join(docs, F.col("active_path") == F.col("path")).drop("path")
-    return parse_completions(joined).where(F.col("route") == "edit")
+    return with_edit_action(joined, "__edit", forms)
 
 
 def action_mix(parsed: DataFrame) -> DataFrame:

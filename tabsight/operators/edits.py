@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.jscompat import lines
-from ..functions.positions import line_pieces, odd_pieces, offset_at, to_points, to_units, utf16, with_position
+from ..functions.positions import bytes_at, feeds, line_pieces, odd_pieces, offset_at, to_points, to_units, utf16, with_position
 
 
 def with_pieces(df: DataFrame, text: str = "text", utf16_units: bool = False) -> DataFrame:
@@ -21,41 +21,71 @@ def with_pieces(df: DataFrame, text: str = "text", utf16_units: bool = False) ->
     return df.withColumn("__pieces", (line_pieces if utf16_units else odd_pieces)(F.col(text)))
 
 
-def _offset(text: Column, pieces: Column, line: Column, ch: Column, utf16_units: bool) -> Column:
-    """Code-point offset of a position whose ``ch`` counts code points or units."""
+def _points(pieces: Column, line: Column, ch: Column, utf16_units: bool) -> Column:
+    """``ch``, which may count units, in code points."""
     if utf16_units:
         ch = F.coalesce(to_points(utf16(F.get(pieces, F.greatest(line, F.lit(0)))), ch), F.lit(0))
-    return offset_at(text, pieces, line, ch)
+    return ch
+
+
+def _offset(text: Column, pieces: Column, line: Column, ch: Column, utf16_units: bool) -> Column:
+    """Code-point offset of a position whose ``ch`` counts code points or units."""
+    return offset_at(text, pieces, line, _points(pieces, line, ch, utf16_units))
 
 
 def apply_action(
-    df: DataFrame, text: str = "text", action: str = "action", out: str = "new_text", utf16_units: bool = False
+    df: DataFrame,
+    text: str = "text",
+    action: str = "action",
+    out: str = "new_text",
+    utf16_units: bool = False,
+    changed: str | None = None,
 ) -> DataFrame:
     """Add ``out``: the text after an ``editInsert`` / ``editDelete`` /
     ``editReplace``; other kinds leave the text unchanged. Positions past the
     end are clamped to the document, as the editor does. ``utf16_units``: the
-    action's characters are counted in UTF-16 units, as editors log them."""
-    t, a = F.col(text), F.col(action)
-    d = with_pieces(df, text, utf16_units)
-    pcs = F.col("__pieces")
-    inserts = a["kind"] == "editInsert"
-    one = F.when(inserts, a["position"]).otherwise(a["range"]["start"])
-    d = d.withColumn("__o1", _offset(t, pcs, one["line"], one["ch"], utf16_units)).withColumn(
-        "__o2", F.when(~inserts, _offset(t, pcs, a["range"]["end"]["line"], a["range"]["end"]["ch"], utf16_units))
-    )
-    o, s, e = F.col("__o1"), F.least("__o1", "__o2"), F.greatest("__o1", "__o2")
+    action's characters are counted in UTF-16 units, as editors log them.
 
-    def splice(start, end, ins):
-        return F.concat(F.left(t, start), ins, F.substr(t, end + 1))
-
-    kind = a["kind"]
-    new = (
-        F.when(kind == "editInsert", splice(o, o, a["text"]))
-        .when(kind == "editDelete", splice(s, e, F.lit("")))
-        .when(kind == "editReplace", splice(s, e, a["text"]))
-        .otherwise(t)
+    ``changed``: a column of that name with what the edit changes,
+    ``struct(old, new)``: the edited stretch before and after, with the character on
+    either side; null where there is no edit. Texts are cut at bytes, so that
+    characters are not counted for each piece."""
+    t, a = F.col(text), F.col(action)
+    d = df.withColumn("__feeds", feeds(t))
+    if utf16_units:
+        d = with_pieces(d, text, utf16_units)
+    b = F.col("__bytes")
+
+    def at(line, ch):
+        return bytes_at(t, F.col("__feeds"), line, _points(F.col("__pieces"), line, ch, utf16_units))
+
+    kind, to = a["kind"], a["range"]["end"]
+    inserts = kind == "editInsert"
+    d = (
+        d.withColumn("__from", F.when(inserts, a["position"]).otherwise(a["range"]["start"]))
+        .withColumn("__line", F.col("__from.line"))
+        .withColumn("__ch", F.col("__from.ch"))
+        .withColumn("__o1", at(F.col("__line"), F.col("__ch")))
+        .withColumn("__o2", F.when(inserts, F.col("__o1")).otherwise(at(to["line"], to["ch"])))
     )
-    return d.withColumn(out, new).drop("__pieces", "__o1", "__o2")
+    # Out of a generator, so that the cuts are a generated method of their own: the JIT leaves
+    # one over 8 KB to the interpreter.
+    ends = F.struct(F.least("__o1", "__o2").alias("__s"), F.greatest("__o1", "__o2").alias("__e"))
+    d = d.select("*", F.inline(F.array(ends))).withColumn("__bytes", t.cast("binary"))
+    s, e = F.col("__s"), F.col("__e")
+    edits = kind.isin("editInsert", "editDelete", "editReplace")
+    ins = F.when(kind == "editDelete", F.lit("")).otherwise(a["text"])
+    spliced = F.concat(F.left(b, s), ins.cast("binary"), F.substr(b, e + 1)).cast("string")
+    d = d.withColumn(out, F.when(edits, spliced).otherwise(t))
+    if changed:
+        # A character has at most four bytes.
+        head, tail = F.substr(b, F.greatest(s - 3, F.lit(1)), F.least(s, F.lit(4))), F.substr(b, e + 1, F.lit(4))
+        d = d.withColumn("__before", F.right(head.cast("string"), F.lit(1)))
+        d = d.withColumn("__after", F.left(tail.cast("string"), F.lit(1)))
+        old = F.concat("__before", F.substr(b, s + 1, e - s).cast("string"), "__after")
+        new = F.concat("__before", ins, "__after")
+        d = d.withColumn(changed, F.when(edits, F.struct(old.alias("old"), new.alias("new"))))
+    return d.select(*dict.fromkeys([*df.columns, out, *([changed] if changed else [])]))
 
 
 def offsets_to_positions(df: DataFrame, text: str, offsets: dict[str, str], utf16_units: bool = False) -> DataFrame:

@@ -327,12 +327,12 @@ def q_utf16_positions(spark, base):
 
 def _applied(spark, base, *forms):
     edits = act.edits_on_documents(_completions(spark, base), fx.documents(spark, base), forms)
-    out = ed.apply_action(edits.where(F.col("action").isNotNull()))
+    out = ed.apply_action(edits.where(F.col("action").isNotNull()), changed="changed")
     return out.select(
         *KEY,
         F.length("new_text").cast("long").alias("new_len"),
         F.md5(F.col("new_text")).alias("new_md5"),
-        dsp.significant_diff(F.col("text"), F.col("new_text")).alias("significant"),
+        dsp.significant_diff(F.col("text"), F.col("new_text"), F.col("changed")).alias("significant"),
     )
 
 

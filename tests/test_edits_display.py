@@ -178,3 +178,53 @@ def test_only_texts_that_may_hold_a_form_are_parsed(spark):
         assert len(held) > 2 and all(held)
     left = {r["raw"] for r in parsed if r["may_replace"]}
     assert not left & {raws[0], raws[2], raws[3], *raws[-4:]}
+
+
+def test_edits_cut_at_bytes_equal_edits_of_characters(spark):
+    """Every position of texts with characters of one to four bytes, and the difference told from the changed stretch."""
+    import re
+
+    from tabsight.functions.positions import bytes_at, feeds, line_pieces, offset_at
+
+    texts = ["ab\n\u00e9\U0001F600\n\n \t\u20ac", "\u00e9\r\n\U0001F600 b\rc", "", "\n", " \u3000\n y"]
+    inserted = ["", " ", "\n\u3000", "\U0001F600", " a"]
+
+    def offset(text, line, ch):
+        pieces = re.split(r"(?<=\n)|(?<=\r)(?!\n)", text)
+        if line >= len(pieces):
+            return len(text)
+        return sum(map(len, pieces[:line])) + min(ch, len(pieces[line].rstrip("\r\n")))
+
+    places = [(line, ch) for line in range(5) for ch in (0, 1, 3)]
+    rows = [(t, "editInsert", *p, *p, i, t[: offset(t, *p)] + i + t[offset(t, *p):]) for t in texts for p in places for i in inserted]
+    for t in texts:
+        for p in places:
+            for q in places:
+                a, b = sorted((offset(t, *p), offset(t, *q)))
+                rows += [(t, "editDelete", *p, *q, None, t[:a] + t[b:])]
+                rows += [(t, "editReplace", *p, *q, i, t[:a] + i + t[b:]) for i in inserted[1::2]]
+    rows += [(None, "editInsert", 0, 0, 0, 0, "x", None), ("a", "terminalSendText", 0, 0, 0, 0, "ls", "a"), ("a", "editInsert", 0, 0, 0, 0, None, None)]
+    d = spark.createDataFrame(rows, "text string, kind string, l1 int, c1 int, l2 int, c2 int, ins string, want string")
+    d = d.withColumn("n", F.monotonically_increasing_id())
+    one, two = pos(F.col("l1"), F.col("c1")), pos(F.col("l2"), F.col("c2"))
+    made = [make_action(k, position=one, range_=rng(one, two), text=F.col("ins")) for k in ("editInsert", "editDelete", "editReplace", "terminalSendText")]
+    d = d.withColumn("action", F.coalesce(*[F.when(F.col("kind") == m, x) for m, x in zip(("editInsert", "editDelete", "editReplace", "terminalSendText"), made)]))
+    t, n = F.col("text"), F.col("new_text")
+    out = ed.apply_action(d, changed="changed")
+    out = out.withColumn("sig", dsp.significant_diff(t, n, F.col("changed"))).withColumn("whole", dsp.significant_diff(t, n))
+    assert out.count() == len(rows) and {True, False, None} == {r[0] for r in out.select("sig").distinct().collect()}
+    assert out.where(~n.eqNullSafe(F.col("want")) | ~F.col("sig").eqNullSafe(F.col("whole"))).collect() == []
+    points = offset_at(t, line_pieces(t), F.col("l1"), F.col("c1"))
+    place = bytes_at(t, feeds(t), F.col("l1"), F.col("c1"))
+    assert d.where(place != F.octet_length(F.left(t, points.cast("int")))).collect() == []
+
+
+def test_line_statistics(spark):
+    import re
+
+    from tabsight.functions.jscompat import last_line_len, line_count
+
+    texts = ["", "a", "a\n", "a\nbc", "\n\n", "a\r\nb\rcd", "\u00e9\n\U0001F600\U0001F600", "a\r"]
+    d = spark.createDataFrame([(x,) for x in [*texts, None]], "t string").select("t", line_count("t"), last_line_len("t"))
+    want = {x: (len(re.split(r"\r\n|\n|\r", x)), len(re.split(r"\r\n|\n|\r", x)[-1])) for x in texts}
+    assert {r[0]: tuple(r)[1:] for r in d.collect() if r[0] is not None} == want

@@ -95,6 +95,36 @@ def test_edits_on_documents_equal_the_parse(spark):
     assert {r[0] for r in only} == {"editDelete"}
 
 
+def test_edits_on_documents_equal_the_parse_of_every_form(spark):
+    """Actions from parts parsed before the join are those of the whole parse with the document's statistics."""
+    from tabsight.operators.actions import attach_documents, edits_on_documents, parse_completions
+
+    scripts = ["2,3d", "3,99d", "1,99999999999d", "99999999999,1d", "1,2c\\" + NL + "x\\ny", "1,99999999999c\\" + NL + "x",
+               "2i\\" + NL + "a\\tb", "99999999999i\\" + NL + "a", "$a\\" + NL + "end" + NL, "7d"]
+    raws = [f"sed -i '{s}' {p}" for s in scripts for p in ("/a.py", "/b.py", "/e.py", "/x.py")]
+    raws += ["cat -n /a.py; " + r for r in raws[:40:4]] + ["<think>no</think>" + r for r in raws[:40:4]] + ["cat -n /a.py", "", None]
+    rows = [(i, r, p) for i, (r, p) in enumerate((r, p) for r in raws for p in ("/a.py", "/b.py", "/e.py", "/x.py", None))]
+    c = spark.createDataFrame(rows, "i int, raw string, active_path string")
+    docs = spark.createDataFrame([("/a.py", "a\nb\nc\nd"), ("/b.py", "a\r\nb\r"), ("/e.py", ""), (None, "x")], "path string, text string")
+    parsed = parse_completions(attach_documents(c, docs)).where("route = 'edit' and active_path != '/x.py'")
+    out = ["i", "line_count", "last_line_len", "route", "sed_form", *cm.action_columns(F.col("action"))]
+    for forms in (("delete",), ("replace",), ("insert", "append"), ("delete", "replace", "insert", "append")):
+        want = parsed.where(F.col("sed_form").isin(*forms)).select(*out).collect()
+        got = edits_on_documents(c, docs, forms).select(*out).collect()
+        assert len(want) > 3 and sorted(got, key=lambda r: r["i"]) == sorted(want, key=lambda r: r["i"])
+
+
+def test_apply_insert_parses_an_output_once(spark):
+    """Nor is a whole document collapsed; an output's command is written once."""
+    from tabsight.plans.queries import QUERIES
+    from tabsight.sources import fixtures as fx
+
+    plan = _optimized(QUERIES["apply_insert"](spark, "/root/testdata/sf0.001"))
+    assert plan.count(cm.SED_DELETE) == 1 and plan.count("regexp_replace(coalesce(changed") == 2
+    assert plan.count("regexp_replace(new_text") == 0 and plan.count("regexp_replace(text") == 0
+    assert _optimized(fx.completions(spark, "/root/testdata/sf0.001")).count("pytest -k ") == 1
+
+
 def test_groups_of_one_match(spark):
     """Payloads and targets that hold the separator, other controls or a second command."""
     rows = [
